@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from geotrail.llm.shared import fixed
+
 MARKS = r"(?:/?(?:SYS|INST|TURN)|TEXT|SEP)\]|/?s>"
 OPEN = {"system": "[SYS]", "user": "[INST]", "assistant": "<s>"}
 CLOSE = {"system": "[/SYS]", "user": "[/INST]", "assistant": "</s>"}
@@ -63,7 +65,7 @@ def merge_turns(df: DataFrame) -> DataFrame:
     told = df.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
     n = F.size("turns")
     role = lambda i: F.get("turns", i)["role"]
-    told = told.withColumn("starts", F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (role(i) != role(i - 1))))
+    told = fixed(told, starts=F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (role(i) != role(i - 1))))
     block = lambda s, k: F.struct(
         role(s).alias("role"), F.transform(F.slice(F.col("turns"), s + 1, F.coalesce(F.get("starts", k + 1), n) - s), lambda t: t["text"]).alias("texts")
     )

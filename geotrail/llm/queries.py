@@ -6,8 +6,9 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from geotrail.llm import bpe, chat, media
+from geotrail.llm import bpe, chat, html, media, mixing, quality, secret_scan
 from geotrail.llm.shared import written
 
 __all__ = ["ORACLES", "QUERIES", "written"]
@@ -23,28 +24,94 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Shares of the token budget by domain, a domain being a label of quality and toxicity.
+WEIGHTS = {"quality 1, toxic 0": 0.95, "quality 0, toxic 0": 0.03, "quality 1, toxic 1": 0.01, "quality 0, toxic 1": 0.01}
+
+
+def _domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "labels").select("doc_id", F.concat(F.lit("quality "), F.col("quality").cast("string"), F.lit(", toxic "), F.col("toxic").cast("string")).alias("domain"))
+
+
+def _mixed(docs: DataFrame, model: mixing.Model) -> DataFrame:
+    """Documents with posteriors, rates and copies; as many expected tokens as there are, shared out by WEIGHTS."""
+    scored = mixing.posteriors(docs, model)
+    fitted = written(scored.select("__tokens", "__p"))
+    budget = float(fitted.agg(F.sum("__tokens")).first()[0] or 0)
+    return mixing.mix(scored, mixing.fit(fitted, mixing.weights_to_targets(model, WEIGHTS, budget)), model)
+
+
+def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates of all documents: doc_id, n_tokens, the most likely domain and its posterior, rate, copies."""
+    docs = _table(spark, sf_dir, "documents")
+    model = mixing.train(docs, _domains(spark, sf_dir))
+    scored = written(mixing.posteriors(docs, model).select("doc_id", "__tokens", "__p"))
+    budget = float(scored.agg(F.sum("__tokens")).first()[0] or 0)
+    mixed = mixing.mix(scored, mixing.fit(scored, mixing.weights_to_targets(model, WEIGHTS, budget)), model)
+    best = F.array_max("__p")
+    names = F.array(*(F.lit(d) for d in model.domains))
+    return mixed.select("doc_id", F.col("__tokens").alias("n_tokens"), F.get(names, F.array_position("__p", best).cast("int") - 1).alias("domain"), F.round(best, 6).alias("posterior"), F.round("__rate", 6).alias("rate"), F.col("__copies").alias("copies"))
+
+
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.features(media.mux(_table(spark, sf_dir, "documents")))
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_pages(_table(spark, sf_dir, "pages"))
+
+
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     own = spark.createDataFrame([(-7, k, role, "</s>[INST] ok [/INST]") for k, role in enumerate(("user", "assistant"))], turns.schema)
     return chat.digest(chat.format_chats(turns.unionByName(own)))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    told = quality.judge(docs, quality.learn(docs, _table(spark, sf_dir, "labels")))
+    q = F.col("__quality")
+    return told.select("doc_id", *(q[k].alias(k) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")))
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return secret_scan.digest(secret_scan.scan(docs, secret_scan.train(docs)))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(_table(spark, sf_dir, "documents"), bpe.load_ranks(f"{TOKENIZERS}/{RANKS}"), PATTERN)
 
 
+def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that neither the base rules nor the learned list reject."""
+    told = quality.judge(docs, quality.learn(docs, _table(spark, sf_dir, "labels")))
+    return told.filter("__quality.kept").select(*docs.columns)
+
+
+def stage_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, each secret replaced by a mark."""
+    clean = secret_scan.redact(secret_scan.scan(docs, secret_scan.train(docs)))
+    return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as many times as its copies say."""
+    mixed = _mixed(docs, mixing.train(docs, _domains(spark, sf_dir)))
+    return mixed.filter("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+
+
 def stage_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The encoded documents: doc_id, ids and their number, checked by decoding."""
     return bpe.encode(docs, bpe.load_ranks(f"{TOKENIZERS}/{RANKS}"), PATTERN)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mix": op1_mix,
     "op3_media": op3_media,
+    "op4_html": op4_html,
     "op6_chat": op6_chat,
+    "op7_quality": op7_quality,
+    "op8_secrets": op8_secrets,
     "op10_bpe": op10_bpe,
 }
 
