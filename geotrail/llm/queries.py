@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geotrail.llm import bpe, chat, html, media, mixing, quality, secret_scan
+from geotrail.llm import bpe, chat, html, lsh_forest, media, mixing, quality, rlz_dedup, secret_scan, suffix_dedup
 from geotrail.llm.shared import written
 
 __all__ = ["ORACLES", "QUERIES", "written"]
@@ -52,6 +52,11 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", F.col("__tokens").alias("n_tokens"), F.get(names, F.array_position("__p", best).cast("int") - 1).alias("domain"), F.round(best, 6).alias("posterior"), F.round("__rate", 6).alias("rate"), F.col("__copies").alias("copies"))
 
 
+def op2_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return suffix_dedup.digest(suffix_dedup.remove(docs, suffix_dedup.duplicate_spans(docs)))
+
+
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.features(media.mux(_table(spark, sf_dir, "documents")))
 
@@ -60,6 +65,11 @@ def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_pages(_table(spark, sf_dir, "pages"))
 
 
+def op5_rlz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return rlz_dedup.digest(rlz_dedup.remove(docs, rlz_dedup.duplicate_spans(docs)))
+
+
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     own = spark.createDataFrame([(-7, k, role, "</s>[INST] ok [/INST]") for k, role in enumerate(("user", "assistant"))], turns.schema)
@@ -78,6 +88,10 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(docs, secret_scan.train(docs)))
 
 
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsh_forest.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(_table(spark, sf_dir, "documents"), bpe.load_ranks(f"{TOKENIZERS}/{RANKS}"), PATTERN)
 
@@ -88,6 +102,11 @@ def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return told.filter("__quality.kept").select(*docs.columns)
 
 
+def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each class of near copies."""
+    return lsh_forest.deduplicate(docs)
+
+
 def stage_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, each secret replaced by a mark."""
     clean = secret_scan.redact(secret_scan.scan(docs, secret_scan.train(docs)))
@@ -107,11 +126,14 @@ def stage_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
+    "op2_suffix": op2_suffix,
     "op3_media": op3_media,
     "op4_html": op4_html,
+    "op5_rlz": op5_rlz,
     "op6_chat": op6_chat,
     "op7_quality": op7_quality,
     "op8_secrets": op8_secrets,
+    "op9_jaccard": op9_jaccard,
     "op10_bpe": op10_bpe,
 }
 
