@@ -12,6 +12,10 @@ from geotrail.llm import queries as Q
 
 #: Stage functions by name, in order.
 STAGES = [
+    ("quality rules", Q.stage_quality),
+    ("n-gram Jaccard join", Q.stage_near_duplicates),
+    ("secret scans", Q.stage_secrets),
+    ("mixing sources to target weights", Q.stage_mix),
     ("byte-level BPE encoding and decoding", Q.stage_bpe),
 ]
 
