@@ -60,7 +60,7 @@ def prefix_depth(target: float = RECALL, trees: int = TREES, depth: int = DEPTH,
 
 def _seeds() -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(20240501)
-    return rng.integers(1, 1 << 63, TREES * DEPTH, np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, TREES * DEPTH, np.uint64)
+    return rng.integers(0, 1 << 31, TREES * DEPTH, np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 1 << 32, TREES * DEPTH, np.uint32)
 
 
 def shingles(hashes: np.ndarray, width: int = WIDTH) -> np.ndarray:
@@ -80,9 +80,9 @@ def signatures(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             digests, labels = [], []
             sets = [shingles(words.hashes[a:b], width) for a, b in zip(words.first, words.first[1:], strict=False)]
             full = [k for k, s in enumerate(sets) if len(s)]
-            least = np.empty((TREES * DEPTH, len(full)), np.uint64)
+            least = np.empty((TREES * DEPTH, len(full)), np.uint32)
             if full:
-                flat = np.concatenate([sets[k] for k in full])
+                flat = (np.concatenate([sets[k] for k in full]) >> np.uint64(32)).astype(np.uint32)
                 begins = np.cumsum([0, *(len(sets[k]) for k in full[:-1])])
                 for at in range(0, len(full), 256):
                     few = flat[begins[at] : begins[at + 256] if at + 256 < len(full) else None]
@@ -90,9 +90,8 @@ def signatures(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                     for i in range(TREES * DEPTH):
                         h = few * times[i]
                         h += plus[i]
-                        h >>= np.uint64(16)
                         least[i, at : at + 256] = np.minimum.reduceat(h, own)
-            short = (((least * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(">u2")).T.copy()
+            short = (((least * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(">u2")).T.copy()
             place = dict(zip(full, range(len(full)), strict=True))
             for k in range(len(texts)):
                 if k in place:
