@@ -22,4 +22,4 @@ def query(sql: str | None = None):
     return add
 
 
-from geotrail.plans import fix_queries, map_queries, sensor_queries, tile_queries  # noqa: E402, F401
+from geotrail.plans import file_queries, fix_queries, map_queries, sensor_queries, tile_queries  # noqa: E402, F401

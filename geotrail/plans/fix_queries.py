@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -184,20 +185,28 @@ def j10_upsert_journeys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upsert_journeys(row(1).filter("time_id % 3 < 2"), row(2).filter("time_id % 3 > 0")).select("user_id", "time_id", "distance")
 
 
-def _streamed(spark: SparkSession, rows: DataFrame, build, parts: int = 3) -> DataFrame:
-    """Writes rows as files in their order, streams them through ``build`` into a table and reads that."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-')}"
-    import uuid
+def scratch(spark: SparkSession) -> str:
+    """The folder that the cluster shares; one of this machine's only where none is set, as in tests."""
+    return spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-')}"
+
 
-    home = f"{base}/{uuid.uuid4().hex}"
+def spans(rows: DataFrame, parts: int = 3) -> list[DataFrame]:
+    """Rows in equal spans of time, in order."""
     low, high = rows.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    if low is None:
+        return [rows]
     part = F.least(F.floor((F.unix_micros("ts") - low) / max(1.0, (high - low) / parts)), F.lit(parts - 1))
-    for k in range(parts):  # one after another, so that the stream reads them in this order
-        rows.filter(part == k).coalesce(1).write.mode("append").parquet(f"{home}/in")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(f"{home}/in")
-    out = build(stream)
-    run = out.writeStream.format("parquet").option("checkpointLocation", f"{home}/check").option("path", f"{home}/out").outputMode("append").trigger(availableNow=True).start()
-    run.awaitTermination()
+    return [rows.filter(part == k) for k in range(parts)]
+
+
+def _streamed(spark: SparkSession, rows: DataFrame, build, parts: int = 3) -> DataFrame:
+    """Streams rows through ``build`` into a table, a span of time after the other, and reads that."""
+    home = f"{scratch(spark)}/{uuid.uuid4().hex}"
+    for part in spans(rows, parts):
+        part.write.mode("append").parquet(f"{home}/in")
+        out = build(spark.readStream.schema(rows.schema).parquet(f"{home}/in"))
+        run = out.writeStream.format("parquet").option("checkpointLocation", f"{home}/check").option("path", f"{home}/out").outputMode("append").trigger(availableNow=True).start()
+        run.awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{home}/out")
 
 

@@ -18,6 +18,11 @@ MOST_CELLS = 10_000_000
 TRACK = np.dtype([("ts", "<u8"), ("x", "<f4"), ("y", "<f4"), ("z", "<f4"), ("pad", "<f4")])
 POI_VERSIONS = (0x02000000, 0x02000001, 0x02000002, 0x02000003)
 LERC_TAG = b"CntZImage "
+TRACK3D = "file string, line long, ts long, x float, y float, z float"
+DEM = "level int, x long, y long, width int, height int, z array<float>"
+SHAPES = "file string, num int, shape_type int, box array<double>, parts array<int>, points array<struct<x:double,y:double>>"
+POI = "file string, lon double, lat double, altitude float, key string, text string, font_name string, font_size int, font_weight int, font_color long, font_color_outer long, img_key string"
+MODELS = "level int, x long, y long, ver long, type int, key string, lon double, lat double, altitude float, box array<double>, img_level int, data_file string, img_file string"
 
 
 class Bytes:
@@ -45,7 +50,7 @@ def _files(spark: SparkSession, path: str, suffix: str) -> DataFrame:
     return files.select("path", "content")
 
 
-def _decoded(files: DataFrame, decode: Callable[[str, bytes], Iterator[tuple]], schema: str, rejects: bool = False) -> DataFrame:
+def decoded(files: DataFrame, decode: Callable[[str, bytes], Iterator[tuple]], schema: str, rejects: bool = False) -> DataFrame:
     """Rows of all files; with ``rejects`` the names of those that can't be decoded."""
     names = [c.split()[0] for c in schema.split(", ")]
 
@@ -78,7 +83,7 @@ def decode_track(path: str, data: bytes) -> Iterator[tuple]:
 
 def read_3dpath(spark: SparkSession, path: str) -> DataFrame:
     """track3d(file, line, ts long, x, y, z)."""
-    return _decoded(_files(spark, path, ".3dpath"), decode_track, "file string, line long, ts long, x float, y float, z float")
+    return decoded(_files(spark, path, ".3dpath"), decode_track, TRACK3D)
 
 
 def encode_tracks(df: DataFrame) -> DataFrame:
@@ -123,9 +128,6 @@ def _tile(path: str) -> tuple[int, int, int]:
     return int(level), int(column), (1 << int(level)) - int(row) - 1
 
 
-DEM = "level int, x long, y long, width int, height int, z array<float>"
-
-
 def decode_dem(path: str, data: bytes) -> Iterator[tuple]:
     b = Bytes(data)
     if b.take(3) != b"dem":
@@ -137,11 +139,11 @@ def decode_dem(path: str, data: bytes) -> Iterator[tuple]:
 
 
 def read_dem_tiles(spark: SparkSession, path: str, rejects: bool = False) -> DataFrame:
-    return _decoded(_files(spark, path, ".dem"), decode_dem, DEM, rejects)
+    return decoded(_files(spark, path, ".dem"), decode_dem, DEM, rejects)
 
 
-def write_dem_tiles(df: DataFrame, target: str) -> int:
-    """Height maps in the layout that ``read_dem_tiles`` reads."""
+def encode_dem_tiles(df: DataFrame) -> DataFrame:
+    """(file, content) of height maps in the layout that ``read_dem_tiles`` reads."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -152,7 +154,11 @@ def write_dem_tiles(df: DataFrame, target: str) -> int:
                 contents.append(b"dem" + struct.pack("<II", r.width, r.height) + np.asarray(r.z, "<f4").tobytes())
             yield pd.DataFrame({"file": names, "content": contents})
 
-    return write_files(df.select("level", "x", "y", "width", "height", "z").mapInPandas(run, "file string, content binary"), target)
+    return df.select("level", "x", "y", "width", "height", "z").mapInPandas(run, "file string, content binary")
+
+
+def write_dem_tiles(df: DataFrame, target: str) -> int:
+    return write_files(encode_dem_tiles(df), target)
 
 
 def _unpack(b: Bytes) -> np.ndarray:
@@ -212,7 +218,7 @@ def decode_lerc(path: str, data: bytes) -> Iterator[tuple]:
 
 
 def read_lerc_tiles(spark: SparkSession, path: str, rejects: bool = False) -> DataFrame:
-    return _decoded(_files(spark, path, ".lerc"), decode_lerc, DEM, rejects)
+    return decoded(_files(spark, path, ".lerc"), decode_lerc, DEM, rejects)
 
 
 def decode_shapes(path: str, data: bytes) -> Iterator[tuple]:
@@ -233,7 +239,7 @@ def decode_shapes(path: str, data: bytes) -> Iterator[tuple]:
 
 def read_shapes(spark: SparkSession, path: str) -> DataFrame:
     """shapes(file, num, shape_type, box, parts, points): polylines (3) and polygons (5)."""
-    return _decoded(_files(spark, path, ".shp"), decode_shapes, "file string, num int, shape_type int, box array<double>, parts array<int>, points array<struct<x:double,y:double>>")
+    return decoded(_files(spark, path, ".shp"), decode_shapes, SHAPES)
 
 
 def decode_poi(path: str, data: bytes) -> Iterator[tuple]:
@@ -253,8 +259,7 @@ def decode_poi(path: str, data: bytes) -> Iterator[tuple]:
 
 
 def read_poi(spark: SparkSession, path: str) -> DataFrame:
-    schema = "file string, lon double, lat double, altitude float, key string, text string, font_name string, font_size int, font_weight int, font_color long, font_color_outer long, img_key string"
-    return _decoded(_files(spark, path, ".poi_*"), decode_poi, schema)
+    return decoded(_files(spark, path, ".poi_*"), decode_poi, POI)
 
 
 def decode_models(path: str, data: bytes) -> Iterator[tuple]:
@@ -274,5 +279,4 @@ def decode_models(path: str, data: bytes) -> Iterator[tuple]:
 
 
 def read_model_index(spark: SparkSession, path: str) -> DataFrame:
-    schema = "level int, x long, y long, ver long, type int, key string, lon double, lat double, altitude float, box array<double>, img_level int, data_file string, img_file string"
-    return _decoded(_files(spark, path, ".facility_build"), decode_models, schema)
+    return decoded(_files(spark, path, ".facility_build"), decode_models, MODELS)
