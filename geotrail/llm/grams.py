@@ -11,7 +11,7 @@ _R = np.uint64(0x9E3779B97F4A7C15 | 1)
 _RINV = np.uint64(pow(int(_R), -1, 1 << 64))
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 #: Bytes of text that are hashed at a time.
-PART = 1 << 20
+PART = 1 << 18
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -72,15 +72,15 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def parts(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of batches with about PART bytes of text, and their texts."""
+def parts(batches: Iterator[pa.RecordBatch], text: int, size: int = PART) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of batches with about ``size`` bytes of text, and their texts."""
     for batch in batches:
         texts = as_bytes(batch.column(text))
         at = 0
         while at < len(texts):
-            end, size = at, 0
-            while end < len(texts) and (end == at or size + len(texts[end]) <= PART):
-                size += len(texts[end])
+            end, used = at, 0
+            while end < len(texts) and (end == at or used + len(texts[end]) <= size):
+                used += len(texts[end])
                 end += 1
             yield batch.slice(at, end - at), texts[at:end]
             at = end

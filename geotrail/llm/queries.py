@@ -141,6 +141,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _ESCAPED = r"""regexp_replace(replace(t, '\', '\\'), '([\[<])((?:/?(?:SYS|INST|TURN)|TEXT|SEP)\]|/?s>)', '\1\\\2', 'g')"""
 
 ORACLES: dict[str, str] = {
+    "op5_rlz": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
+f AS (SELECT g, min(doc_id) AS first FROM g GROUP BY g HAVING min(doc_id) < max(doc_id)),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS j FROM g JOIN f USING (g) WHERE first < doc_id),
+w AS (SELECT doc_id, unnest(w) AS t, unnest(range(1, len(w) + 1)) AS j FROM d),
+k AS (SELECT w.doc_id, count(*) AS n, count(c.j) AS gone, string_agg(t, ' ' ORDER BY w.j) FILTER (c.j IS NULL) AS kept
+  FROM w LEFT JOIN c ON c.doc_id = w.doc_id AND c.j = w.j GROUP BY w.doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_words, coalesce(gone, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)""",
     "op6_chat": f"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS t FROM conversations

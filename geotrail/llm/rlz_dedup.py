@@ -9,9 +9,9 @@ so equal windows have equal anchors.  An anchor's reference block is the first d
 2. Each document sends the runs of words around its shared anchors to their reference blocks, and as a
    block the runs around the anchors that it has first.  Runs for a much copied block are dealt over
    ``salts`` tasks, each with the block.
-3. A run is parsed greedily into factors of its block: the longest match from a position, at least a
-   window long.  Where a factor ends, the windows across its end are looked up in the block, so that what
-   straddles two factors is found.
+3. A run is parsed greedily into factors of its block: a match at least a window long that goes on as long
+   as the block does.  Where a factor ends, the windows across its end are looked up in the block, so that
+   what straddles two factors is found.
 4. Windows that their block doesn't hold may still be in a document between the two: they are indexed
    themselves, by 128-bit hashes, with their first document.
 
@@ -38,8 +38,8 @@ from geotrail.llm.shared import written
 
 #: Words of a window and of an anchor.
 WINDOW, ANCHOR = 13, 4
-#: Bytes of runs that one task parses against a block.
-SALT_BYTES = 4 << 20
+#: Shared anchors whose runs one task parses against a block: some 4 MB of text.
+SALT = 1 << 16
 
 _LOW = np.uint64((1 << 24) - 1)
 
@@ -131,8 +131,6 @@ class Block:
         gram, place = np.concatenate(grams), np.concatenate(places)
         order = np.argsort(gram, kind="stable")
         self.grams, self.places = gram[order], place[order]
-        #: Words by number over all runs; a run's end stops a match.
-        self.hashes, self.ends = words.hashes, words.first[1:]
 
     def lookup(self, grams: np.ndarray) -> np.ndarray:
         """The first place of each window in the block, or -1."""
@@ -141,36 +139,31 @@ class Block:
         at = np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)
         return np.where(self.grams[at] == grams, self.places[at], -1)
 
-    def length(self, word: np.ndarray, at: int, place: int) -> int:
-        """How many words from ``at`` on match those from ``place`` on."""
-        stop = min(len(word) - at, int(self.ends[np.searchsorted(self.ends, place, "right")]) - place)
-        done, step = WINDOW, 32
-        while done < stop:
-            end = min(stop, done + step)
-            differ = np.flatnonzero(word[at + done : at + end] != self.hashes[place + done : place + end])
-            if len(differ):
-                return done + int(differ[0])
-            done, step = end, step * 2
-        return stop
-
-
-def parse(word: np.ndarray, grams: np.ndarray, block: Block) -> tuple[list[tuple[int, int]], np.ndarray]:
-    """Greedy factors (start, end) of a run that are at least a window long, and which windows the block lacks."""
-    place = block.lookup(grams)
-    hits = np.flatnonzero(place >= 0)
-    factors, at = [], 0
-    while at < len(hits):
-        start = int(hits[at])
-        end = start + block.length(word, start, int(place[start]))
-        factors.append((start, end))
-        at = int(np.searchsorted(hits, end - WINDOW + 1))  # the first window across the factor's end, or beyond
-    return factors, np.flatnonzero(place < 0)
-
-
-def _parsed(sent: DataFrame) -> DataFrame:
+
+def parse(words: Words, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Factors (first word, end) of runs against a block, and the windows that it lacks; places over all runs.
+
+    From each window that the block holds the factor goes on as long as the block goes on with it.  The windows
+    across its end that the block holds at another place begin factors of their own.
+    """
+    grams = windows(words.hashes, WINDOW)
+    inside = np.zeros(len(grams) + WINDOW + 1, np.int64)
+    long = np.flatnonzero(np.diff(words.first) >= WINDOW)
+    np.add.at(inside, words.first[:-1][long], 1)
+    np.add.at(inside, words.first[1:][long] - WINDOW + 1, -1)
+    starts = np.flatnonzero(np.cumsum(inside)[: len(grams)] > 0)
+    place = block.lookup(grams[starts])
+    hits, at = starts[place >= 0], place[place >= 0]
+    begins = np.ones(len(hits), bool)
+    begins[1:] = (hits[1:] != hits[:-1] + 1) | (at[1:] != at[:-1] + 1)
+    first = np.flatnonzero(begins)
+    last = np.concatenate([first[1:], [len(hits)]]) - 1 if len(first) else first
+    return hits[first], hits[last] + WINDOW, starts[place < 0]
+
+
+def _parsed(sent: DataFrame, salts: DataFrame) -> DataFrame:
     """(doc_id, at, upto, g, h): factors as word ranges, and windows that the block lacks with their hashes."""
-    size = sent.filter("refers").groupBy("block").agg(F.ceil(F.sum(F.octet_length("words")) / SALT_BYTES).cast("int").alias("salts"))
-    rows = sent.join(size, "block")
+    rows = sent.join(salts, "block")
     own = F.pmod(F.xxhash64("doc_id", "at"), F.col("salts")).cast("int")
     salt = F.when(F.col("refers"), F.array(own)).otherwise(F.sequence(F.lit(0), F.col("salts") - 1))
     dealt = rows.select("block", F.explode(salt).alias("salt"), "doc_id", "refers", "at", "words")
@@ -184,16 +177,15 @@ def _parsed(sent: DataFrame) -> DataFrame:
         out: list[list[np.ndarray]] = [[], [], [], [], []]
         for first in range(0, len(mine), 512):
             words = Words([text[k] for k in mine[first : first + 512]])
-            for k in range(len(words.first) - 1):
-                word = words.hashes[words.first[k] : words.first[k + 1]]
-                grams = windows(word, WINDOW)
-                factors, left = parse(word, grams, block)
-                starts = np.concatenate([np.array([a for a, _ in factors], np.int64), left])
-                ends = np.concatenate([np.array([b for _, b in factors], np.int64), left + WINDOW])
-                blank = np.zeros(len(factors), np.uint64)
-                second = windows(mix(word + np.uint64(77)), WINDOW)[left]
-                for column, v in zip(out, (np.full(len(starts), doc[first + k]), starts + at[first + k], ends + at[first + k], np.concatenate([blank, grams[left]]), np.concatenate([blank, second])), strict=True):
-                    column.append(v)
+            begin, end, left = parse(words, block)
+            second = windows(mix(words.hashes + np.uint64(77)), WINDOW)[left]
+            hashes = windows(words.hashes, WINDOW)[left]
+            start, upto = np.concatenate([begin, left]), np.concatenate([end, left + WINDOW])
+            owner = np.searchsorted(words.first, start, "right") - 1
+            off = at[first + owner] - words.first[owner]
+            blank = np.zeros(len(begin), np.uint64)
+            for column, v in zip(out, (doc[first + owner], start + off, upto + off, np.concatenate([blank, hashes]), np.concatenate([blank, second])), strict=True):
+                column.append(v)
         empty = np.zeros(0, np.int64)
         a, b, c, g, h = (np.concatenate([empty, *(x.view(np.int64) for x in column)]) if column else empty for column in out)
         return pa.table({"doc_id": a, "at": b.astype(np.int32), "upto": c.astype(np.int32), "g": g, "h": h})
@@ -206,8 +198,10 @@ def duplicate_spans(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
     found = anchors(rows)
     first = found.groupBy("anchor").agg(F.min("doc_id").alias("block"), F.max("doc_id").alias("last")).filter("block < last").select("anchor", "block")
-    shared = found.join(first, "anchor").groupBy("doc_id").agg(F.collect_list(F.struct("at", "block")).alias("told"))
-    told = written(_parsed(runs(rows, shared)))
+    shared = written(found.join(first, "anchor").groupBy("doc_id").agg(F.collect_list(F.struct("at", "block")).alias("told")))
+    asked = shared.select("doc_id", F.explode("told").alias("t")).filter("t.block < doc_id").groupBy("t.block").agg(F.count("*").alias("n"))
+    salts = asked.select("block", F.ceil(F.col("n") / SALT).cast("int").alias("salts"))
+    told = written(_parsed(runs(rows, shared), salts))
     lacking = told.filter("g <> 0 or h <> 0")
     between = lacking.groupBy("g", "h").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last")).filter("least < last").select("g", "h", "least")
     later = lacking.join(between, ["g", "h"]).filter("least < doc_id").select("doc_id", "at", "upto")

@@ -117,7 +117,7 @@ def brute_words(texts, ids, n=13):
 
 
 def test_rlz_dedup_equals_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(rlz_dedup, "SALT_BYTES", 2000)
+    monkeypatch.setattr(rlz_dedup, "SALT", 20)
     texts = planted(2)
     random.Random(5).shuffle(texts)
     df = frame(spark, texts)
