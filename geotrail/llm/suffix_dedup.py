@@ -38,7 +38,9 @@ from geotrail.llm.shared import written
 #: Bytes of a duplicate string and of an anchor's gram; the longest period of a gram that is no anchor.
 LENGTH, GRAM, PERIOD = 400, 48, 24
 #: Bytes of suffixes in a sorted run and in a bucket; suffixes of one anchor that are compared pair by pair.
-RUN_BYTES, BUCKET_BYTES, FEW = 16 << 20, 4 << 20, 16
+RUN_BYTES, BUCKET_BYTES, FEW = 16 << 20, 4 << 20, 128
+#: Bytes of text whose grams are hashed at a time; small enough for a core's cache.
+PART = 1 << 17
 
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 _LOW = np.uint64((1 << 24) - 1)
@@ -49,10 +51,16 @@ def _periodic(raw: np.ndarray) -> np.ndarray:
     out = np.zeros(max(0, len(raw) - GRAM + 1), bool)
     for d in range(1, PERIOD + 1):
         same = raw[d:] == raw[:-d]
-        if not (same[: len(same) & ~7].view(np.uint64) == np.uint64(0x0101010101010101)).any():
+        full = same[: len(same) & ~7].view(np.uint64) == np.uint64(0x0101010101010101)
+        both = full[:-1] & full[1:]  # a run of GRAM - PERIOD has two whole words
+        if not both.any():
             continue
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], same.view(np.int8), [0]])))
-        for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], both.view(np.int8), [0]])))
+        for a, b in zip((edge[::2] * 8).tolist(), (edge[1::2] * 8 + 8).tolist(), strict=True):
+            while a > 0 and same[a - 1]:
+                a -= 1
+            while b < len(same) and same[b]:
+                b += 1
             if b - a >= GRAM - d:
                 out[a : b + d - GRAM + 1] = True
     return out
@@ -117,7 +125,7 @@ def anchors(docs: DataFrame) -> DataFrame:
     """(anchor, doc_id, at, lo, hi) of docs (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in parts(batches, 1):
+        for batch, texts in parts(batches, 1, PART):
             owner, key, at, lo, hi = anchors_of(texts)
             ints = [pa.array(x.astype(np.int32)) for x in (at, lo, hi)]
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0).take(pa.array(owner)), *ints], names=["anchor", "doc_id", "at", "lo", "hi"])
@@ -254,16 +262,21 @@ def _sorted_runs(docs: DataFrame, shared: DataFrame, buckets: int) -> DataFrame:
 def duplicates_of(group: list[tuple]) -> Iterator[tuple[int, int, int]]:
     """(doc_id, first byte, end) for suffixes of one anchor, sorted: (common prefix, right, left, doc_id, at, lo, hi)."""
     if len(group) <= FEW:
-        for i, (_, _, left, doc, at, lo, hi) in enumerate(group):
-            reach = 1 << 30
+        reached: list[set[tuple[int, int]]] = [set() for _ in group]  # nearest and farthest distance of shared strings
+        for i, (_, _, left, _, at, lo, hi) in enumerate(group):
+            reach, near, far, own = 1 << 30, at - hi, at - lo, reached[i]
             for j in range(i + 1, len(group)):
-                reach = min(reach, group[j][0])
-                _, _, other, doc_j, at_j, lo_j, hi_j = group[j]
-                low, high = max(LENGTH - reach, at - hi, at_j - hi_j), min(at - lo, at_j - lo_j)
-                if low <= high and (low == 0 or left[:low] == other[:low]):
-                    high = min(high, common_prefix(left, other, max(low, 0)))
-                    yield doc, at - high, at - low + LENGTH
-                    yield doc_j, at_j - high, at_j - low + LENGTH
+                shared, _, other, _, at_j, lo_j, hi_j = group[j]
+                if shared < reach:
+                    reach = shared
+                low, high = max(LENGTH - reach, near, at_j - hi_j), min(far, at_j - lo_j)
+                if low <= high and left[:low] == other[:low]:
+                    found = (low, min(high, common_prefix(left, other, low)))
+                    own.add(found)
+                    reached[j].add(found)
+        for (_, _, _, doc, at, _, _), found in zip(group, reached, strict=True):
+            for low, high in found:
+                yield doc, at - high, at - low + LENGTH
         return
     m = len(group)
     right = np.array([g[0] for g in group])
@@ -323,7 +336,7 @@ def _merged(runs: DataFrame) -> DataFrame:
 def duplicate_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, first, end): byte ranges of ``docs`` (doc_id, text) whose every byte a duplicate string covers."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
-    found = anchors(rows)
+    found = written(anchors(rows))
     twice = found.filter("at >= 0").groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
     alone = found.filter("at < 0").select("doc_id", F.col("lo").alias("first"), (F.col("hi") + LENGTH).alias("end"))
     shared = written(found.filter("at >= 0").join(twice, "anchor").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "at", "lo", "hi")).alias("told")))
