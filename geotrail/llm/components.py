@@ -14,15 +14,24 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     Least labels spread along edges and then jump to their label's label, so rounds grow with the
     logarithm of a component's diameter.  A hub is aggregated before it is shuffled.
     """
-    both = written(edges.filter("a <> b").select("a", "b").union(edges.filter("a <> b").select("b", "a")).distinct())
-    state = written(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("root")))
+    one = edges.filter("a <> b").select("a", "b")
+    both = written(one.union(one.select("b", "a")).distinct())
+    state = both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("root"))
     for _ in range(most):
-        heard = both.join(state.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("m"))
-        told = state.join(heard, "id").select("id", F.col("root").alias("old"), F.least("root", "m").alias("root"))
-        jump = state.select(F.col("id").alias("root"), F.col("root").alias("next"))
-        new = written(told.join(jump, "root", "left").select("id", "old", F.least("root", F.coalesce("next", "root")).alias("root")))
-        changed = new.filter("root <> old").limit(1).count()
+        new = written(_jump(_spread(both, state)))
         state = new.select("id", "root")
-        if not changed:
+        if not new.filter("root <> old").limit(1).count():
             return state
     raise RuntimeError("components did not settle")
+
+
+def _spread(both: DataFrame, state: DataFrame) -> DataFrame:
+    """(id, old, root): the least root among an id and its neighbours."""
+    heard = both.join(state.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("m"))
+    return state.join(heard, "id").select("id", F.col("root").alias("old"), F.least("root", "m").alias("root"))
+
+
+def _jump(told: DataFrame) -> DataFrame:
+    """Each root replaced by its own new root."""
+    jump = told.select(F.col("id").alias("root"), F.col("root").alias("next"))
+    return told.join(jump, "root", "left").select("id", "old", F.least("root", F.coalesce("next", "root")).alias("root"))

@@ -1,9 +1,9 @@
 """N-gram Jaccard join with a MinHash LSH forest.
 
-Each distinct text has a signature of ``TREES`` labels of ``DEPTH`` minhashes.  Sorting a tree's labels is
-a prefix trie: texts that share a prefix stand under one node.  Matching starts at full labels and
-shortens the prefix until the forest finds a pair at the threshold with the target recall
-(``prefix_depth``).  Under each node of that depth
+Each distinct text has a label of minhashes in each of ``TREES`` trees.  A tree is the prefix trie of its
+labels: texts that share a prefix stand under one node.  Matching starts at full labels of ``DEPTH``
+minhashes and shortens the prefix until the forest finds a pair at the threshold with the target recall
+(``prefix_depth``); longer prefixes match fewer unlike texts.  Under each node of that depth
 
 1. every text is compared with the node's least text by signature; what is like enough is joined;
 2. texts of a node that are then still apart are compared with all texts of the node.
@@ -33,13 +33,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from geotrail.llm.components import components
-from geotrail.llm.grams import Words, parts, windows
+from geotrail.llm.grams import Words, mix, parts, powers, windows
 from geotrail.llm.shared import written
 
 #: Words of a shingle and the least similarity of a link.
 WIDTH, THRESHOLD = 5, 0.8
-#: Trees, minhashes of a label, the recall to reach at the threshold.
-TREES, DEPTH, RECALL = 32, 8, 0.999
+#: Trees, minhashes of a full label, the recall to reach at the threshold, minhashes of a sketch.
+TREES, DEPTH, RECALL, SKETCH = 64, 16, 0.999, 256
 #: Share of equal minhashes from which two texts are compared exactly: at the threshold it is 6 standard deviations low.
 LIKE = 0.65
 #: Texts of a block, and shingles that are multiplied at a time.
@@ -58,9 +58,9 @@ def prefix_depth(target: float = RECALL, trees: int = TREES, depth: int = DEPTH,
     return depth
 
 
-def _seeds() -> tuple[np.ndarray, np.ndarray]:
+def _seeds(n: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(20240501)
-    return rng.integers(0, 1 << 31, TREES * DEPTH, np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 1 << 32, TREES * DEPTH, np.uint32)
+    return rng.integers(0, 1 << 31, n, np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 1 << 32, n, np.uint32)
 
 
 def shingles(hashes: np.ndarray, width: int = WIDTH) -> np.ndarray:
@@ -70,76 +70,82 @@ def shingles(hashes: np.ndarray, width: int = WIDTH) -> np.ndarray:
     return np.unique(windows(hashes, min(width, len(hashes))))
 
 
-def signatures(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, digest, labels): digest of the word sequence, TREES labels of DEPTH 16-bit minhashes each."""
+def signatures(docs: DataFrame, depth: int, width: int = WIDTH) -> DataFrame:
+    """(doc_id, digest, nodes, sketch, size) of docs (doc_id, text).
+
+    The digest is the word sequence's, nodes are hashes of each tree's prefix of ``depth`` minhashes, the sketch
+    is SKETCH minhashes of 16 bits, size the number of shingles.
+    """
+    n = TREES * depth
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        times, plus = _seeds()
+        times, plus = _seeds(n)
         for batch, texts in parts(batches, 1):
             words = Words(texts)
-            digests, labels = [], []
             sets = [shingles(words.hashes[a:b], width) for a, b in zip(words.first, words.first[1:], strict=False)]
             full = [k for k, s in enumerate(sets) if len(s)]
-            least = np.empty((TREES * DEPTH, len(full)), np.uint32)
+            least = np.empty((n, len(full)), np.uint32)
             if full:
                 flat = (np.concatenate([sets[k] for k in full]) >> np.uint64(32)).astype(np.uint32)
                 begins = np.cumsum([0, *(len(sets[k]) for k in full[:-1])])
                 for at in range(0, len(full), 256):
                     few = flat[begins[at] : begins[at + 256] if at + 256 < len(full) else None]
                     own = begins[at : at + 256] - begins[at]
-                    for i in range(TREES * DEPTH):
+                    for i in range(n):
                         h = few * times[i]
                         h += plus[i]
                         least[i, at : at + 256] = np.minimum.reduceat(h, own)
-            short = (((least * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(">u2")).T.copy()
+            sketch = ((least[:SKETCH] * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype("<u2").T.copy()
+            weight = powers(depth + 1)[0][1:, None]
+            trees = np.stack([mix((least[t * depth : (t + 1) * depth] * weight).sum(0, dtype=np.uint64) + np.uint64(t)) for t in range(TREES)], 1).view(np.int64)
             place = dict(zip(full, range(len(full)), strict=True))
-            for k in range(len(texts)):
-                if k in place:
-                    digests.append(hashlib.blake2b(b" ".join(texts[k].split()), digest_size=16).digest())
-                    labels.append(short[place[k]].tobytes())
-                else:
-                    digests.append(None)
-                    labels.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(labels, pa.binary())], names=["doc_id", "digest", "labels"])
+            digests = [hashlib.blake2b(b" ".join(t.split()), digest_size=16).digest() if k in place else None for k, t in enumerate(texts)]
+            nodes = pa.array([trees[place[k]] if k in place else None for k in range(len(texts))], pa.list_(pa.int64()))
+            sketches = pa.array([sketch[place[k]].tobytes() if k in place else None for k in range(len(texts))], pa.binary())
+            sizes = pa.array([len(x) for x in sets], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), nodes, sketches, sizes], names=["doc_id", "digest", "nodes", "sketch", "size"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, digest binary, labels binary")
+    return rows.mapInArrow(run, "doc_id long, digest binary, nodes array<long>, sketch binary, size int")
 
 
 def _like(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose signatures agree in LIKE of their minhashes."""
-    left, right = texts.select(F.col("id").alias("a"), F.col("labels").alias("la")), texts.select(F.col("id").alias("b"), F.col("labels").alias("lb"))
+    """Pairs (a, b) whose sketches agree in LIKE of their minhashes."""
+    left, right = texts.select(F.col("id").alias("a"), F.col("sketch").alias("la")), texts.select(F.col("id").alias("b"), F.col("sketch").alias("lb"))
     told = pairs.join(left, "a").join(right, "b").select("a", "b", "la", "lb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), ">u2").reshape(batch.num_rows, -1) for k in (2, 3))
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u2").reshape(batch.num_rows, -1) for k in (2, 3))
             keep = pa.array((x == y).mean(1) >= LIKE)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(keep)
 
     return told.mapInArrow(run, "a long, b long")
 
 
-def _nodes(texts: DataFrame, depth: int) -> DataFrame:
-    """(node, id): the trie nodes of that depth over each text; a node is its tree and prefix."""
-    prefix = lambda t: F.expr(f"substring(labels, {2 * DEPTH * t + 1}, {2 * depth})")
-    each = F.array(*(F.xxhash64(F.lit(t), prefix(t)) for t in range(TREES)))
-    return texts.select("id", F.explode(each).alias("node"))
+def _nodes(texts: DataFrame) -> DataFrame:
+    """(node, id, size): the trie nodes over each text."""
+    return texts.select("id", "size", F.explode("nodes").alias("node"))
 
 
-def candidate_groups(texts: DataFrame, depth: int) -> DataFrame:
-    """(id, root) for texts (id, labels) that are like some other text."""
-    shared = _nodes(texts, depth).groupBy("node").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most").select("node", "least")
-    under = written(_nodes(texts, depth).join(shared, "node"))
+def candidate_groups(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(id, root) for texts (id, nodes, sketch, size) that are like some other text.
+
+    Sets whose sizes differ by more than the threshold can't be that similar, so such pairs aren't made.
+    """
+    shared = _nodes(texts).groupBy("node").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most").select("node", "least")
+    under = written(_nodes(texts).join(shared, "node"))
     stars = under.filter("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
     near = written(_like(stars, texts))
     first = components(near)
-    placed = under.join(first, "id", "left").select("node", "id", F.coalesce("root", "id").alias("root"))
+    placed = under.join(first, "id", "left").select("node", "id", "size", F.coalesce("root", "id").alias("root"))
     size = placed.groupBy("node", "root").agg(F.count("*").alias("n"))
     main = size.groupBy("node").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).filter("roots > 1")
     mixed = placed.join(main, "node")
-    rest = mixed.filter("root <> main").select("node", F.col("id").alias("x"), F.col("root").alias("rx"))
-    pairs = rest.join(mixed.select("node", F.col("id").alias("y"), F.col("root").alias("ry")), "node").filter("rx <> ry and x <> y")
+    rest = mixed.filter("root <> main").select("node", F.col("id").alias("x"), F.col("root").alias("rx"), F.col("size").alias("sx"))
+    all_of = mixed.select("node", F.col("id").alias("y"), F.col("root").alias("ry"), F.col("size").alias("sy"))
+    near_sizes = (F.col("sx") >= threshold * F.col("sy")) & (F.col("sy") >= threshold * F.col("sx"))
+    pairs = rest.join(all_of, "node").filter((F.col("rx") != F.col("ry")) & near_sizes)
     cross = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     return components(near.unionByName(_like(cross, texts)))
 
@@ -189,12 +195,14 @@ def _verified(members: DataFrame, threshold: float) -> DataFrame:
 
 
 def _forest(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Links that span the components of a block pair."""
+    """A star for each component of a block pair's links: its first text with each other one."""
     rows = {int(x): k for k, x in enumerate(left)}
     cols = {int(x): k for k, x in enumerate(right)}
     unseen, out = set(rows) | set(cols), []
     while unseen:
-        todo = [unseen.pop()]
+        todo = [min(unseen)]
+        first = todo[0]
+        unseen.discard(first)
         while todo:
             x = todo.pop()
             near: set[int] = set()
@@ -205,7 +213,7 @@ def _forest(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarr
             near &= unseen
             unseen -= near
             todo.extend(near)
-            out.extend((x, y) for y in near)
+            out.extend((first, y) for y in near)
     return np.array(out, np.int64).reshape(-1, 2)
 
 
@@ -229,10 +237,10 @@ def _shingled(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, *, width: int = WIDTH, threshold: float = THRESHOLD, target: float = RECALL) -> DataFrame:
     """(doc_id, class_id, n_links, n_copies) for each row of ``docs`` (doc_id, text)."""
-    signed = written(signatures(docs, width).withColumn("row", F.monotonically_increasing_id()))
+    signed = written(signatures(docs, prefix_depth(target, similarity=threshold), width).withColumn("row", F.monotonically_increasing_id()))
     known = signed.filter("doc_id is not null and digest is not null")
-    texts = written(known.groupBy("digest").agg(F.min("row").alias("id"), F.min("doc_id").alias("doc_id"), F.count("*").alias("n_copies"), F.first("labels").alias("labels")))
-    groups = candidate_groups(texts.select("id", "labels"), prefix_depth(target, similarity=threshold))
+    texts = written(known.groupBy("digest").agg(F.min("row").alias("id"), F.min("doc_id").alias("doc_id"), F.count("*").alias("n_copies"), F.first("nodes").alias("nodes"), F.first("sketch").alias("sketch"), F.first("size").alias("size")))
+    groups = candidate_groups(texts.select("id", "nodes", "sketch", "size"), threshold)
     sizes = groups.groupBy("root").agg(F.count("*").alias("texts"))
     placed = groups.join(sizes, "root").join(texts.select("id", "doc_id", "digest"), "id")
     blocks = F.ceil(F.col("texts") / BLOCK).cast("int")
