@@ -89,8 +89,8 @@ def _transitions(tokens: DataFrame, weight: str) -> DataFrame:
 
 def labelled_tokens(docs: DataFrame, sample: int, text_col: str = "text") -> DataFrame:
     """Distinct tokens (token, label) of at most ``sample`` documents, and ``sample // 2`` hashes as random ones."""
-    chosen = docs.select(F.col("doc_id"), F.col(text_col).alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = base_spans(chosen)
+    ids = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).distinct()
+    rows = base_spans(docs.select("doc_id", F.col(text_col).alias("text")).join(F.broadcast(ids), "doc_id"))  # at most `sample` ids
     cut = lambda s: F.substring(F.col("__text"), s["value_start"] + 1, s["size"])
     values = F.concat(*(F.transform(f"__{k}", cut) for k in KINDS))
     rows = rows.select("__text", values.alias("random"))
