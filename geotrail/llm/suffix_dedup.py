@@ -14,6 +14,9 @@ equal distances, and only the suffixes that start at anchors are sorted (about o
 4. Suffixes with one anchor stand together.  Two of them hold a duplicate at distance o before the anchor
    if their common prefix is at least LENGTH - o and their common text before the anchor at least o.
 
+Anchors that occur over ``HOT`` times take another exact way, so that no bucket holds them all: the strings that
+they stand for are counted by 128-bit hashes, aggregated before the shuffle, and joined back.
+
 Texts that repeat with a period of at most ``PERIOD`` have no anchor inside: a run of at least a period more
 than LENGTH is its own duplicate, and its first period of starts stands for it elsewhere.
 
@@ -31,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geotrail.llm.grams import as_bytes, parts, windows
+from geotrail.llm.grams import as_bytes, mix, parts, windows
 from geotrail.llm.rlz_dedup import window_anchors
 from geotrail.llm.shared import written
 
@@ -39,6 +42,8 @@ from geotrail.llm.shared import written
 LENGTH, GRAM, PERIOD = 400, 48, 24
 #: Bytes of suffixes in a sorted run and in a bucket; suffixes of one anchor that are compared pair by pair.
 RUN_BYTES, BUCKET_BYTES, FEW = 16 << 20, 4 << 20, 128
+#: Occurrences of an anchor from which its strings are counted by hash.
+HOT = 20_000
 #: Bytes of text whose grams are hashed at a time; small enough for a core's cache.
 PART = 1 << 17
 
@@ -203,21 +208,22 @@ def merge(runs: list[Iterator[tuple[int, bytes, tuple]]]) -> Iterator[tuple[int,
             node //= 2
 
 
-_RUN = "bucket int, doc_id array<long>, at array<int>, lo array<int>, hi array<int>, shared array<int>, rest array<binary>, before array<binary>"
+_RUN = "bucket int, doc_id array<long>, at array<int>, lo array<int>, hi array<int>, shared array<int>, rest array<binary>, before array<binary>, settled array<struct<doc_id:long,lo:int,hi:int>>"
+_SETTLED = pa.list_(pa.struct([("doc_id", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())]))
 
 
 def _sorted_runs(docs: DataFrame, shared: DataFrame, buckets: int) -> DataFrame:
-    """Front-coded sorted runs by bucket; rows of bucket -1 are strings (doc_id, lo, hi) that are settled."""
+    """Front-coded sorted runs by bucket; ``settled`` holds the strings from lo to hi that a run has twice."""
     rows = docs.join(shared, "doc_id").select("doc_id", "text", "told")
     n = np.uint64(buckets)
 
     def coded(found: list[tuple]) -> Iterator[pa.RecordBatch]:
         found.sort(key=lambda x: x[:3])
         out, at = [], 0
-        settled = [[], [], []]
         while at < len(found):
             end = at
             own: list[list] = [[], [], [], [], [], [], []]
+            settled = []
             last = b""
             while end < len(found) and found[end][0] == found[at][0]:
                 bucket, right, left, doc, place, lo, hi = found[end]
@@ -225,20 +231,17 @@ def _sorted_runs(docs: DataFrame, shared: DataFrame, buckets: int) -> DataFrame:
                 while again < len(found) and found[again][:3] == (bucket, right, left):
                     again += 1
                 if again > end + 1:
-                    for x in found[end:again]:
-                        for column, v in zip(settled, (x[3], x[5], x[6]), strict=True):
-                            column.append(v)
+                    settled += [{"doc_id": x[3], "lo": x[5], "hi": x[6]} for x in found[end:again]]
                 n_same = common_prefix(last, right)
                 for column, v in zip(own, (doc, place, lo, hi, n_same, right[n_same:], left), strict=True):
                     column.append(v)
                 last, end = right, again
-            out.append((found[at][0], *own))
+            out.append((found[at][0], *own, settled))
             at = end
-        out.append((-1, settled[0], [-1] * len(settled[0]), *settled[1:], [], [], []))
-        types = (pa.int32(), pa.list_(pa.int64()), *[pa.list_(pa.int32())] * 4, *[pa.list_(pa.binary())] * 2)
+        types = (pa.int32(), pa.list_(pa.int64()), *[pa.list_(pa.int32())] * 4, *[pa.list_(pa.binary())] * 2, _SETTLED)
         for few in range(0, len(out), 64):
             columns = zip(*out[few : few + 64], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["bucket", "doc_id", "at", "lo", "hi", "shared", "rest", "before"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["bucket", "doc_id", "at", "lo", "hi", "shared", "rest", "before", "settled"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, size = [], 0
@@ -322,7 +325,11 @@ def _merged(runs: DataFrame) -> DataFrame:
                         column.append(v)
             group.clear()
 
-        players = [_run_items(row) for batch in table.to_batches(1) for row in batch.to_pylist()]
+        rows = [row for batch in table.to_batches(1) for row in batch.to_pylist()]
+        for x in (x for row in rows for x in row["settled"]):
+            for column, v in zip(out, (x["doc_id"], x["lo"], x["hi"] + LENGTH), strict=True):
+                column.append(v)
+        players = [_run_items(row) for row in rows]
         for shared, right, item in merge(players):
             if shared < GRAM:
                 done()
@@ -330,20 +337,45 @@ def _merged(runs: DataFrame) -> DataFrame:
         done()
         return pa.table({"doc_id": pa.array(out[0], pa.int64()), "first": pa.array(out[1], pa.int32()), "end": pa.array(out[2], pa.int32())})
 
-    return runs.filter("bucket >= 0").groupBy("bucket").applyInArrow(run, "doc_id long, first int, end int")
+    return runs.groupBy("bucket").applyInArrow(run, "doc_id long, first int, end int")
+
+
+def _hashed_strings(docs: DataFrame, shared: DataFrame) -> DataFrame:
+    """(g, h, doc_id, first): hashes of all strings that the anchors in ``shared`` stand for."""
+    rows = docs.join(shared, "doc_id").select("doc_id", "text", "told")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in parts(batches, 1, PART):
+            for k, (doc, text) in enumerate(zip(batch.column(0).to_pylist(), texts, strict=True)):
+                told = batch.column(2)[k].values
+                for lo, hi in zip(told.field("lo").to_pylist(), told.field("hi").to_pylist(), strict=True):
+                    if hi + LENGTH <= len(text):
+                        raw = np.frombuffer(text[lo : hi + LENGTH], np.uint8).astype(np.uint64) + np.uint64(1)
+                        g, h = windows(raw, LENGTH).view(np.int64), windows(mix(raw), LENGTH).view(np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(h), pa.array(np.full(len(g), doc)), pa.array(np.arange(lo, hi + 1, dtype=np.int32))], names=["g", "h", "doc_id", "first"])
+
+    return rows.mapInArrow(run, "g long, h long, doc_id long, first int")
+
+
+def _by_hash(docs: DataFrame, shared: DataFrame) -> DataFrame:
+    """(doc_id, first, end) of the strings of hot anchors that occur twice."""
+    found = _hashed_strings(docs, shared)
+    twice = found.groupBy("g", "h").agg(F.count("*").alias("n")).filter("n > 1").select("g", "h")
+    return found.join(twice, ["g", "h"]).select("doc_id", "first", (F.col("first") + LENGTH).alias("end"))
 
 
 def duplicate_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, first, end): byte ranges of ``docs`` (doc_id, text) whose every byte a duplicate string covers."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
     found = written(anchors(rows))
-    twice = found.filter("at >= 0").groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
+    twice = found.filter("at >= 0").groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1")
     alone = found.filter("at < 0").select("doc_id", F.col("lo").alias("first"), (F.col("hi") + LENGTH).alias("end"))
-    shared = written(found.filter("at >= 0").join(twice, "anchor").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "at", "lo", "hi")).alias("told")))
-    size = shared.agg(F.sum(F.aggregate("told", F.lit(0).cast("long"), lambda a, x: a + x["hi"] - x["lo"] + LENGTH))).first()[0] or 0
-    runs = written(_sorted_runs(rows, shared, max(1, -(-size // BUCKET_BYTES))))
-    settled = runs.filter("bucket < 0").select(F.explode(F.arrays_zip("doc_id", "lo", "hi")).alias("x")).select("x.doc_id", F.col("x.lo").alias("first"), (F.col("x.hi") + LENGTH).alias("end"))
-    return _merged(runs).unionByName(settled).unionByName(alone)
+    shared = found.filter("at >= 0").join(twice, "anchor").withColumn("hot", F.col("n") > HOT)
+    shared = written(shared.groupBy("doc_id", "hot").agg(F.collect_list(F.struct("anchor", "at", "lo", "hi")).alias("told")))
+    few, many = shared.filter("not hot").drop("hot"), shared.filter("hot").drop("hot")
+    size = few.agg(F.sum(F.aggregate("told", F.lit(0).cast("long"), lambda a, x: a + x["hi"] - x["lo"] + LENGTH))).first()[0] or 0
+    spans = _merged(_sorted_runs(rows, few, max(1, -(-size // BUCKET_BYTES)))).unionByName(alone)
+    return spans.unionByName(_by_hash(rows, many)) if many.limit(1).count() else spans
 
 
 def remove(docs: DataFrame, spans: DataFrame) -> DataFrame:

@@ -63,6 +63,9 @@ def test_suffix_dedup_equals_brute_force(spark, monkeypatch):
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want, (i, want, r)
     assert len(got) == len(texts) + 1 and sum(r.n_removed > 0 for r in got.values()) > 40
     assert suffix_dedup.duplicate_spans(df.limit(0)).count() == 0
+    monkeypatch.setattr(suffix_dedup, "HOT", 3)
+    again = {r.doc_id: r for r in suffix_dedup.digest(suffix_dedup.remove(df, suffix_dedup.duplicate_spans(df))).collect()}
+    assert again == got
 
 
 def test_suffix_merge_and_groups():
