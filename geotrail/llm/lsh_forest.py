@@ -147,7 +147,13 @@ def candidate_groups(texts: DataFrame, threshold: float = THRESHOLD) -> DataFram
     near_sizes = (F.col("sx") >= threshold * F.col("sy")) & (F.col("sy") >= threshold * F.col("sx"))
     pairs = rest.join(all_of, "node").filter((F.col("rx") != F.col("ry")) & near_sizes)
     cross = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    return components(near.unionByName(_like(cross, texts)))
+    late = written(_like(cross, texts))
+    root_of = lambda end: first.select(F.col("id").alias(end), F.col("root").alias(f"r{end}"))
+    lifted = late.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).distinct()
+    above = components(lifted).select(F.col("id").alias("root"), F.col("root").alias("top"))
+    ends = late.select(F.col("a").alias("id")).union(late.select("b")).distinct()
+    named = first.unionByName(ends.join(first, "id", "left_anti").withColumn("root", F.col("id")))
+    return named.join(above, "root", "left").select("id", F.coalesce("top", "root").alias("root"))
 
 
 def _verified(members: DataFrame, threshold: float) -> DataFrame:
