@@ -111,9 +111,9 @@ feet AS (SELECT *, x0 + t * dx AS foot_x, y0 + t * dy AS foot_y FROM (SELECT *,
 near AS (SELECT *, sqrt((x - foot_x) * (x - foot_x) + (y - foot_y) * (y - foot_y)) * (2e0 * pi() * 6378137e0 / 1048576e0 * cos(radians(lat))) AS distance FROM feet)
 SELECT file, line, round(min(distance), 3) AS distance FROM near WHERE distance <= 30e0 GROUP BY file, line""")
 def j9_near_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nearest edge of each point that doesn't touch the point's own vertex."""
+    """The nearest edge of each point that doesn't touch the point's own vertex: all segments are edges, their far ends below all files."""
     points = ad.tracks(spark, sf_dir)
-    edges = fx.segments(points).filter("line % 10 = 0").select(F.col("file").alias("src"), (F.col("file") * 100000 + F.col("line")).alias("dst"), "x0", "y0", "x1", "y1")
+    edges = fx.segments(points).select(F.col("file").alias("src"), (-(F.col("file") * 100000 + F.col("line"))).alias("dst"), "x0", "y0", "x1", "y1")
     near = match.near_edge(points.withColumn("except_id", F.col("file")), edges, 30.0)
     return near.select("file", "line", F.round("distance", 3).alias("distance"))
 

@@ -168,7 +168,7 @@ i AS (SELECT layer, level, x, y, max(bytes) AS bytes FROM ({ad.INVENTORY}) i GRO
 SELECT layer, level, x, y, status FROM (SELECT layer, level, x, y, {_STATUS} AS status FROM w LEFT JOIN i USING (layer, level, x, y)) q WHERE status IN ('missing', 'refetch')""")
 def j6_fetch_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     inventory = ad.inventory(spark, sf_dir)
-    asked = _wanted(spark, sf_dir, 9).select(F.lit("image").alias("layer"), "level", "x", "y").unionByName(inventory.filter("y % 3 = 0").select("layer", "level", "x", "y"))
+    asked = _wanted(spark, sf_dir, 9).select(F.lit("image").alias("layer"), "level", "x", "y").unionByName(inventory.select("layer", "level", "x", "y"))
     return tl.fetch_plan(asked.withColumn("kind", (F.col("layer") == "height").cast("int")), inventory).select("layer", "level", "x", "y", "status")
 
 
