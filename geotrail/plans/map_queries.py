@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from geotrail.functions import geo
@@ -130,9 +130,12 @@ def m14_m15_utm(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH p AS (SELECT file, list({{'x': x, 'y': y}} ORDER BY line) AS p FROM ({ad.PLACED}) t WHERE line <= 20 GROUP BY file)
 SELECT file, round(list_sum(list_transform(range(1, len(p) + 1), lambda i: p[i].x * p[i % len(p) + 1].y - p[i % len(p) + 1].x * p[i].y)) / 2e0, 1) + 0e0 AS area FROM p""")
 def m23_polygon_area(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ring = F.transform(F.sort_array(F.collect_list(F.struct("line", "x", "y"))), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
-    rings = ad.tracks(spark, sf_dir).filter("line <= 20").groupBy("file").agg(ring.alias("p"))
-    return rings.select("file", (F.round(geo.polygon_area("p"), 1) + 0.0).alias("area"))
+    """The signed area of each track closed to a ring, summed from the track's first point, where products are small."""
+    w = Window.partitionBy("file").orderBy("line")
+    ends = [end(c).over(w).alias(f"{c}{k}") for c in ("x", "y") for k, end in enumerate((F.first, F.lead))]
+    rings = ad.tracks(spark, sf_dir).select("file", "x", "y", *ends)
+    x, y, x1, y1 = (F.coalesce(c, o) - F.col(o) for c, o in (("x", "x0"), ("y", "y0"), ("x1", "x0"), ("y1", "y0")))
+    return rings.groupBy("file").agg((F.round(F.sum(x * y1 - x1 * y) / 2, 1) + 0.0).alias("area"))
 
 
 @query(f"SELECT name, round(lon, 6) AS lon, round(lat, 6) AS lat FROM ({ad.LANDMARKS}) l WHERE lon BETWEEN 126e0 AND 129e0 AND lat BETWEEN 34e0 AND 38e0")

@@ -1,6 +1,7 @@
 """Queries that must cover whole tables, against brute force on the smallest ones."""
 
 import math
+from fractions import Fraction
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -45,3 +46,13 @@ def test_fetch_plan_asks_for_every_tile(spark):
     want = {tuple(r)[:4]: r.status for r in told.collect()}
     got = {tuple(r)[:4]: r.status for r in QUERIES["j6_fetch_plan"](spark, SF).collect()}
     assert want.items() <= got.items() and "refetch" in want.values() and any(y % 3 for *_, y in want)
+
+
+def test_area_takes_whole_tracks(spark):
+    at = tracks(spark)
+    want = {}
+    for file in np.unique(at[:, 0]):
+        p = [(Fraction(float(x)), Fraction(float(y))) for x, y in at[at[:, 0] == file][:, 2:]]
+        want[int(file)] = float(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(p, p[1:] + p[:1], strict=True)) / 2)
+    got = {r.file: r.area for r in QUERIES["m23_polygon_area"](spark, SF).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 0.0501 for k in got)
