@@ -2,9 +2,13 @@
 
 Text nodes are grouped by their root-to-leaf tag path.  A path's text length and punctuation a node are
 smoothed over the page's sequence of paths, fused by their product and held against a threshold; the
-paths above it are content.  The smallest element with nearly all of their text is the article: its
-blocks are the main text, without elements whose tag, role or class says that they are something else
-(menus, headers, footers, sidebars, notices, adverts, forms, reader comments).
+paths above it are content.  The smallest element with all of them, or the article or main element around
+it, is the article: its blocks are the main text, without elements whose tag, role or class says that they
+are something else (menus, headers, footers, sidebars, notices, adverts, forms, reader comments).
+
+A class or id says nothing of an element with most of the page's text outside links, unless it begins as one of
+reader comments or an article or main element beside it has text, nor when no other text is left.  If only the body holds all content, lists of links before
+the first or after the last content are menus.
 
 Defined cases: a null or empty page, or one without text, gives an empty text; broken markup is read as
 browsers do (tags end with their parents, a paragraph with the next block); equal rows give equal
@@ -43,36 +47,82 @@ OTHER_NAMES = re.compile(
 )
 NAMES = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 PUNCTUATION = re.compile(r"[,.;:!?、。，！？…]")
-#: Width of the smoothing, share of the mean that a path must reach, share of the content in the article.
-SIGMA, LEAST, MASS = 1.0, 0.5, 0.9
+COMMENT_NAMES = re.compile(r"(?:^|\s)(?:comments?|commentlist|disqus|replies|respond)(?:$|[\s_-])", re.I)
+#: Width of the smoothing, share of the mean that a path must reach.
+SIGMA, LEAST = 1.0, 0.5
+#: What an element is told to be: other by tag, role or state, by a name, as reader comments by a name.
+OTHER, NAMED, COMMENTS = 1, 2, 3
 
 
 class Node:
-    __slots__ = ("tag", "parent", "path", "other", "link")
+    """An element; ``other`` holds for all inside, ``marked`` is the nearest element around that a name marks."""
+
+    __slots__ = ("tag", "parent", "path", "other", "kind", "marked", "link")
 
-    def __init__(self, tag: str, parent: Node | None, other: bool):
-        self.tag, self.parent, self.other = tag, parent, other or bool(parent and parent.other)
+    def __init__(self, tag: str, parent: Node | None, kind: int):
+        self.tag, self.parent, self.kind = tag, parent, kind
+        self.other = kind == OTHER or bool(parent and parent.other)
+        self.marked = self if kind in (NAMED, COMMENTS) else parent and parent.marked
         self.path = f"{parent.path}.{tag}" if parent else tag
         self.link = tag == "a" or bool(parent and parent.link)
 
 
-def _is_other(tag: str, attributes: str, open_tags: list[str]) -> bool:
+def _kind(tag: str, attributes: str, open_tags: list[str]) -> int:
     if tag in OTHER_TAGS:
-        return not (tag == "header" and "article" in open_tags)
+        return 0 if tag == "header" and "article" in open_tags else OTHER
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return 0
+    kind = 0
     for name, *value in NAMES.findall(attributes):
         name, value = name.lower(), "".join(value)
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "role" and value.lower() in OTHER_ROLES):
-            return True
-        if name in ("class", "id") and OTHER_NAMES.search(re.sub(r"([a-z])([A-Z])", r"\1-\2", value)):
-            return True
-    return False
+            return OTHER
+        value = re.sub(r"([a-z])([A-Z])", r"\1-\2", value)
+        if name in ("class", "id") and OTHER_NAMES.search(value):
+            kind = max(kind, COMMENTS if COMMENT_NAMES.search(value) else NAMED)
+    return kind
+
+
+def _up(node: Node | None, tags: tuple[str, ...]) -> list[Node]:
+    """The element itself and those around it that have one of the tags, inner ones first."""
+    out = []
+    while node:
+        if node.tag in tags:
+            out.append(node)
+        node = node.parent
+    return out
+
+
+def _marks(told: list[tuple[Node, list[tuple[Node, str]]]]) -> set[Node]:
+    """Elements whose names hold: not those with most of the text outside links and no article beside them, and none if nothing is left."""
+    held: dict[Node, int] = defaultdict(int)
+    whole, articles = 0, set()
+    for _, parts in told:
+        for node, text in parts:
+            if not node.other:
+                size = 0 if node.link else len(text.strip())
+                whole += size
+                if size and not node.marked:
+                    articles |= set(_up(node, ("article", "main"))[:1])
+                at = node.marked
+                while at:
+                    held[at] += size
+                    at = at.parent and at.parent.marked
+    marks = {n for n, size in held.items() if n.kind == COMMENTS or 2 * size <= whole or not articles <= set(_up(n, ("article", "main")))}
+    left = any(text.strip() and not node.link and not _is_other(node, marks) for _, parts in told for node, text in parts)
+    return marks if left or not whole else set()
+
+
+def _is_other(node: Node, marks: set[Node]) -> bool:
+    at = node.marked
+    while at and at not in marks:
+        at = at.parent and at.parent.marked
+    return node.other or bool(at)
 
 
 def blocks(page: str) -> list[tuple[Node, list[tuple[Node, str]]]]:
     """A page's blocks in order, each with its element and its text nodes."""
-    stack, out, told = [Node("html", None, False)], [], []
+    stack, out, told = [Node("html", None, 0)], [], []
 
     def end_block() -> None:
         nonlocal told
@@ -124,7 +174,7 @@ def blocks(page: str) -> list[tuple[Node, list[tuple[Node, str]]]]:
                 end_block()
         if tag in VOID or m[4].endswith("/") and tag not in ("p", "div", "a", "span", "li"):
             continue
-        stack.append(Node(tag, stack[-1], _is_other(tag, m[4], [n.tag for n in stack])))
+        stack.append(Node(tag, stack[-1], _kind(tag, m[4], [n.tag for n in stack])))
     if at < len(page):
         told.append((stack[-1], page[at:]))
     end_block()
@@ -156,10 +206,11 @@ def path_scores(nodes: list[tuple[str, int, int]]) -> dict[str, float]:
 
 def extract(page: str | None) -> str:
     """The main text of one page."""
-    told = []
-    for owner, parts in blocks(page or ""):
-        if not owner.other:
-            text = " ".join(html.unescape("".join(s for n, s in parts if not n.other)).split())
+    told, found = [], blocks(page or "")
+    marks = _marks(found)
+    for owner, parts in found:
+        if not _is_other(owner, marks):
+            text = " ".join(html.unescape("".join(s for n, s in parts if not _is_other(n, marks))).split())
             if text:
                 linked = sum(len(s.strip()) for n, s in parts if n.link)
                 told.append((owner, parts, text, linked / max(1, sum(len(s.strip()) for _, s in parts))))
@@ -171,22 +222,23 @@ def extract(page: str | None) -> str:
     weight = sum(n for _, n, _ in nodes) or 1
     mean = sum(score[p] * n for p, n, _ in nodes) / weight
     content = [k for k, (p, _, _) in enumerate(nodes) if score[p] >= LEAST * mean * min(1.0, len(nodes) / 3)]
-    mass: dict[Node, int] = defaultdict(int)
+    inside: dict[Node, int] = defaultdict(int)
     for k in content:
         node = told[k][0]
         while node:
-            mass[node] += nodes[k][1]
+            inside[node] += 1
             node = node.parent
-    whole = sum(nodes[k][1] for k in content)
     article = told[content[0]][0] if content else told[0][0]
-    while article.parent and (mass[article] < MASS * whole or article.tag not in BOUNDS):
+    while article.parent and (inside[article] < len(content) or article.tag not in BOUNDS):
         article = article.parent
+    article = next(iter(_up(article, ("article",)) or _up(article, ("main",))), article)
+    first, last = (content[0], content[-1]) if content and article.tag in ("html", "body") else (0, len(told))
     out = []
-    for owner, _, text, share in told:
+    for k, (owner, _, text, share) in enumerate(told):
         node = owner
         while node and node is not article:
             node = node.parent
-        if node and not (share > 0.8 and owner.tag in ("li", "ul", "ol", "div")):
+        if node and not (share > 0.8 and owner.tag in ("li", "ul", "ol", "div") and not first <= k <= last):
             out.append(text)
     return " ".join(out)
 
