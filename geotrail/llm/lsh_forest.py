@@ -1,9 +1,10 @@
-"""N-gram Jaccard join with a MinHash LSH forest.
+"""N-gram Jaccard join with MinHash LSH by bands, in place of an LSH forest.
 
-Each distinct text has a label of minhashes in each of ``TREES`` trees.  A tree is the prefix trie of its
-labels: texts that share a prefix stand under one node.  Matching starts at full labels of ``DEPTH``
-minhashes and shortens the prefix until the forest finds a pair at the threshold with the target recall
-(``prefix_depth``); longer prefixes match fewer unlike texts.  Under each node of that depth
+Each distinct text has a prefix of minhashes in each of ``TREES`` trees; texts with equal prefixes in a tree
+stand under one node.  All prefixes have one depth, told once from the threshold and the target recall by a
+formula (``prefix_depth``, at most ``DEPTH``): these are bands of fixed length.  No labels are sorted and no
+prefix is shortened for single texts, as a forest would; the formula gives the expected recall of a pair at the
+threshold, and prefixes of one depth need only joins by equality.  Under each node
 
 1. every text is compared with the node's least text by signature; what is like enough is joined;
 2. texts of a node that are then still apart are compared with all texts of the node.
@@ -52,7 +53,7 @@ def recall(depth: int, trees: int = TREES, similarity: float = THRESHOLD) -> flo
 
 
 def prefix_depth(target: float = RECALL, trees: int = TREES, depth: int = DEPTH, similarity: float = THRESHOLD) -> int:
-    """The longest prefix with the target recall, shortening from full labels."""
+    """The longest prefix of at most ``depth`` minhashes with the target recall, the same for all texts."""
     while depth > 1 and recall(depth, trees, similarity) < target:
         depth -= 1
     return depth
