@@ -120,8 +120,10 @@ def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def stage_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The encoded documents: doc_id, ids and their number, checked by decoding."""
-    return bpe.encode(docs, bpe.load_ranks(f"{TOKENIZERS}/{RANKS}"), PATTERN)
+    """The encoded documents: doc_id, ids, their number and the hex digest of the bytes decoded from them."""
+    ranks = bpe.load_ranks(f"{TOKENIZERS}/{RANKS}")
+    back = bpe.decode(bpe.encode(docs, ranks, PATTERN), ranks, PATTERN)
+    return back.select("doc_id", "ids", "n_tokens", F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
