@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from geotrail.operators import fixes as fx
 from geotrail.operators import graph, match
 from geotrail.plans import adapters as ad
 from geotrail.plans.catalog import query
+from geotrail.plans.fix_queries import scratch
+from geotrail.sources import text
 
 #: Segments, and all pairs of points and other tracks' segments within 30 m, by cells of 8 units around segment boxes.
 _SEG = f"SELECT * FROM (SELECT file, line, x AS x0, y AS y0, lead(x) OVER w AS x1, lead(y) OVER w AS y1 FROM ({ad.PLACED}) p WINDOW w AS (PARTITION BY file ORDER BY line)) q WHERE x1 IS NOT NULL"
@@ -140,5 +144,8 @@ def m23_polygon_area(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT name, round(lon, 6) AS lon, round(lat, 6) AS lat FROM ({ad.LANDMARKS}) l WHERE lon BETWEEN 126e0 AND 129e0 AND lat BETWEEN 34e0 AND 38e0")
 def s5_landmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    told = fx.geofence(ad.landmarks(spark, sf_dir), (126.0, 129.0, 34.0, 38.0))
+    """Landmarks written as text, read again and fenced."""
+    path = f"{scratch(spark)}/{uuid.uuid4().hex}"
+    text.write_landmarks(ad.landmarks(spark, sf_dir), path)
+    told = fx.geofence(text.read_landmarks(spark, path), (126.0, 129.0, 34.0, 38.0))
     return told.select("name", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))

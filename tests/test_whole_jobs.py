@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from geotrail.functions.geo import EQUATOR_M, UNITS
 from geotrail.plans import adapters as ad
 from geotrail.plans.catalog import QUERIES
+from geotrail.sources import text
 
 SF = "/root/testdata/sf0.001"
 
@@ -56,3 +57,10 @@ def test_area_takes_whole_tracks(spark):
         want[int(file)] = float(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(p, p[1:] + p[:1], strict=True)) / 2)
     got = {r.file: r.area for r in QUERIES["m23_polygon_area"](spark, SF).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 0.0501 for k in got)
+
+
+def test_landmarks_pass_through_text(spark, monkeypatch):
+    read = []
+    monkeypatch.setattr(text, "read_landmarks", lambda s, path, f=text.read_landmarks: read.append(f(s, path)) or read[0])
+    told = QUERIES["s5_landmarks"](spark, SF)
+    assert len(read) == 1 and read[0].inputFiles() and read[0].count() == ad.landmarks(spark, SF).count() >= told.count() > 0
