@@ -6,14 +6,20 @@ pre-tokenised alone, neighbours are stitched at the first pre-token boundary tha
 their overlap (from there on both readings agree), and the pieces between two stitches, each made of
 whole pre-tokens, are encoded as separate rows.  Decoding concatenates the tokens' raw bytes.
 
+A boundary counts for stitching only where every edition of the Unicode tables has one (``sure``), as the
+pre-tokeniser here and the encoder needn't have the same: where space follows something else, and between
+letters, numbers and other characters, in any script.
+
 Defined cases: a null text is an empty one and has no tokens; equal rows give equal results, each row
-its own; a text whose chunks never agree inside an overlap (one run longer than the overlap) is
-encoded in one piece; other columns are ignored; an empty table gives an empty result.
+its own; chunks that don't agree inside their overlap (a run longer than the overlap, which is one
+pre-token or made of characters that editions of Unicode tell apart) stay in one piece; other columns are
+ignored but for those named in ``keep``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import base64
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,9 +33,6 @@ CHUNK, OVERLAP = 32768, 1024
 #: A chunk's last boundaries may come from the cut itself: the longest look-ahead is a contraction.
 MARGIN = 4
 
-_ASCII_GAP = frozenset(" ")
-
-
 @lru_cache(maxsize=4)
 def _codec(ranks: bytes, pattern: str):
     import tiktoken
@@ -75,9 +78,21 @@ def boundaries(text: str, pattern: str) -> list[int]:
     return [m.start() for m in regex.finditer(pattern, text)] + [len(text)]
 
 
-def _plain(text: str, at: int) -> bool:
-    """Whether any reading of Unicode has a boundary here: a space before a letter, after a letter."""
-    return 0 < at < len(text) - 1 and text[at] in _ASCII_GAP and text[at - 1 : at + 2 : 2].isascii() and text[at - 1 : at + 2 : 2].isalpha()
+@lru_cache(maxsize=1 << 14)
+def _kind(char: str) -> str:
+    """Z white space, L letter, N number, O other; blank where editions of Unicode may differ, or a contraction may begin."""
+    if char in " \t\n\r":
+        return "Z"
+    first, now = unicodedata.ucd_3_2_0.category(char)[0], unicodedata.category(char)[0]
+    if first != now or now in "ZC" or char == "'":
+        return ""
+    return now if now in "LN" else "O"
+
+
+def sure(text: str, at: int) -> bool:
+    """Whether any reading has a boundary before ``text[at]``: white space begins there, or another kind of characters."""
+    a, b = _kind(text[at - 1]), _kind(text[at])
+    return bool(a and b) and a != b and a != "Z"
 
 
 def _chunks(longs: DataFrame, chunk: int, overlap: int) -> DataFrame:
@@ -102,7 +117,7 @@ def _pretokenised(chunks: DataFrame, overlap: int, chunk: int, pattern: str) ->
         for batch in batches:
             head, tail = [], []
             for k, part, last in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True):
-                at = [b for b in boundaries(part, pattern) if _plain(part, b)]
+                at = [b for b in boundaries(part, pattern) if 0 < b < len(part) and (b < overlap or b >= step) and sure(part, b)]
                 head.append([b for b in at if b < overlap - MARGIN] if k else [])
                 tail.append([] if last else [b - step for b in at if step <= b < chunk - MARGIN])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(head, pa.list_(pa.int32())), pa.array(tail, pa.list_(pa.int32()))], names=["digest", "k", "part", "last", "head", "tail"])
@@ -116,35 +131,35 @@ def _encode_long(longs: DataFrame, shared, pattern: str, chunk: int, overlap: in
     cut = _pretokenised(_chunks(longs, chunk, overlap).repartition("digest", "k"), overlap, chunk, pattern)
     one = Window.partitionBy("digest").orderBy("k")
     meet = F.array_min(F.array_intersect("tail", F.lead("head").over(one)))
-    stitched = cut.withColumn("end", F.when(~F.col("last"), meet)).withColumn("begin", F.when(F.col("k") > 0, F.lag("end").over(one)).otherwise(0))
-    stitched = stitched.withColumn("whole", F.max((~F.col("last") & F.col("end").isNull()).cast("int")).over(Window.partitionBy("digest")))
-    #: `begin` and `end` count from the overlap's start: the chunk's own start, or its last `overlap`.
-    pieces = stitched.filter("whole = 0").select(
-        "digest", "k", F.when(F.col("last"), F.expr("substring(part, begin + 1)")).otherwise(F.expr(f"substring(part, begin + 1, {step} + end - begin)")).alias("piece")
-    )
-    encoded = _encode_column(pieces.repartition("digest", "k"), ["digest", "k"], "piece", shared, pattern)
+    stitched = cut.withColumn("end", F.when(~F.col("last"), meet)).withColumn("begin", F.when(F.col("k") > 0, F.coalesce(F.lag("end").over(one), F.lit(0))).otherwise(0))
+    # `begin` and `end` count from the overlap's start: the chunk's own start, or its last `overlap`; without an end the next chunk goes on.
+    upto = F.when(F.col("last"), F.length("part")).otherwise(step + F.coalesce("end", F.lit(0)))
+    cutout = F.col("part").substr(F.col("begin") + 1, F.greatest(upto - F.col("begin"), F.lit(0)))
+    opens = F.coalesce(F.lag("end").over(one).isNotNull().cast("int"), F.lit(0))
+    pieces = stitched.withColumn("piece", cutout).withColumn("opens", opens).withColumn("n", F.sum("opens").over(one)).select("digest", "n", "k", "piece")
+    whole = pieces.groupBy("digest", "n").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "piece"))), lambda x: x["piece"]), "").alias("piece"))
+    encoded = _encode_column(whole, ["digest", "n"], "piece", shared, pattern)
 
     def joined(table: pa.Table) -> pa.Table:
-        table = table.sort_by("k")
+        table = table.sort_by("n")
         return pa.table({"digest": [table["digest"][0].as_py()], "ids": [b"".join(table["ids"].to_pylist())]})
 
-    parts = encoded.groupBy("digest").applyInArrow(joined, "digest string, ids binary")
-    uncut = longs.join(stitched.filter("whole = 1").select("digest").distinct(), "digest", "left_semi")
-    return parts.unionByName(_encode_column(uncut, ["digest"], "text", shared, pattern))
+    return encoded.groupBy("digest").applyInArrow(joined, "digest string, ids binary")
 
 
-def encode(df: DataFrame, ranks: bytes, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """One row (id, ids binary, n_tokens long) for each row of ``df``; ids are little-endian unsigned 32-bit integers."""
+def encode(df: DataFrame, ranks: bytes, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    """One row (id, the columns of ``keep``, ids binary, n_tokens long) for each row of ``df``; ids are little-endian unsigned 32-bit integers."""
     if not MARGIN < overlap < chunk // 2:
         raise ValueError("overlap must be over 4 and under half a chunk")
     shared = _shared(df.sparkSession, ranks)
-    rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    short = _encode_column(rows.filter(F.length("text") <= chunk), ["id"], "text", shared, pattern)
+    more = F.struct(*(F.col(f"`{c}`").alias(c) for c in keep), F.lit(0).cast("byte").alias("__")).alias("more")
+    rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), more)
+    short = _encode_column(rows.filter(F.length("text") <= chunk), ["id", "more"], "text", shared, pattern)
     longs = rows.filter(F.length("text") > chunk).withColumn("digest", F.sha2("text", 256))
     distinct = longs.groupBy("digest").agg(F.first("text").alias("text"))
-    whole = longs.select("id", "digest").join(_encode_long(distinct, shared, pattern, chunk, overlap), "digest").select("id", "ids")
+    whole = longs.select("id", "more", "digest").join(_encode_long(distinct, shared, pattern, chunk, overlap), "digest").select("id", "more", "ids")
     out = short.unionByName(whole)
-    return out.select(F.col("id").alias(id_col), "ids", _n_tokens("ids").alias("n_tokens"))
+    return out.select(F.col("id").alias(id_col), *(F.col("more")[c].alias(c) for c in keep), "ids", _n_tokens("ids").alias("n_tokens"))
 
 
 def _n_tokens(ids: str) -> Column:

@@ -13,12 +13,14 @@ every document and whole texts.
 Defined cases: a null text is an empty one, of no tokens, whose rate follows its posteriors alike; a
 document labelled twice is labelled by its least label; domains without labelled rows get no mass and
 their weight goes to the others; without labels all documents keep rate 1 and one domain; equal rows get
-equal rates and copies; columns of any other name stay; an empty table gives an empty result.
+equal rates and copies; columns of any other name stay (the operator's own begin with two underscores: rows with
+such columns go through ``shared.packed``); an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 from typing import NamedTuple
 
 import numpy as np
@@ -32,7 +34,7 @@ SPLIT = r"[\x20\x09-\x0D]+"
 SAMPLE, WORDS, ITERATIONS, CLOSE = 8000, 160, 25, 1e-6
 #: Nats by which a word must speak for a domain; steps and penalty of the regression.
 GAIN, STEPS, PENALTY = 8.0, 400, 1e-3
-#: Copies of a document stay below this many a row: more come as a higher count, not as a longer list.
+#: Most domains of a model; a model of more raises an error, as an iteration sums a product for each pair of domains.
 MOST_DOMAINS = 64
 
 
@@ -42,6 +44,17 @@ class Model(NamedTuple):
     evidence: dict[str, list[float]]  # word -> weight for each domain
 
 
+class Fit(NamedTuple):
+    """Steps of projected gradient, and the domains' token totals: wanted, and reached after the last step."""
+
+    steps: list[list[float]]
+    targets: list[float]
+    reached: list[float]
+
+    def met(self) -> bool:
+        return max((abs(a - b) for a, b in zip(self.targets, self.reached, strict=True)), default=0.0) <= CLOSE * max(sum(self.targets), 1.0)
+
+
 def _evidence(text: Column) -> Column:
     """A text's distinct lower-case words, with words for its shape."""
     chars = F.length(text)
@@ -72,10 +85,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, words: int =
     counts = counts.withColumn("all", F.sum("n").over(Window.partitionBy("word")))
     n_domain = F.create_map(*(x for d in domains for x in (F.lit(d), F.lit(float(size[d])))))[F.col("domain")]
     inside, outside = (F.col("n") + 0.5) / (n_domain + 1), (F.col("all") - F.col("n") + 0.5) / (F.lit(float(whole)) - n_domain + 1)
-    ranked = counts.withColumn("gain", F.col("n") * F.log(inside / outside)).filter(F.col("gain") > GAIN)
-    rank = F.row_number().over(Window.partitionBy("domain").orderBy(F.desc("gain"), "word"))
-    best = ranked.withColumn("rank", rank).filter(F.col("rank") <= max(1, words // len(domains))).select("word").distinct()
-    vocabulary = sorted(r.word for r in best.collect())  # at most `words`
+    ranked = written(counts.withColumn("gain", F.col("n") * F.log(inside / outside)).filter(F.col("gain") > GAIN).select("domain", "word", "gain"))
+    best = lambda d: ranked.filter(F.col("domain") == d).orderBy(F.desc("gain"), "word").limit(max(1, words // len(domains)))
+    vocabulary = sorted({r.word for d in domains for r in best(d).collect()})  # at most `words`, each task keeps its own best
     place = F.create_map(*(x for i, w in enumerate(vocabulary) for x in (F.lit(w), F.lit(i)))) if vocabulary else None
     hits = F.transform(F.array_intersect("words", F.array(*(F.lit(w) for w in vocabulary))), lambda w: place[w]) if vocabulary else F.array()
     told = rows.select("domain", hits.alias("hits")).collect()  # at most `sample` rows of at most `words` numbers
@@ -129,26 +141,34 @@ def _rate(steps: list[list[float]]) -> Column:
     return rate
 
 
-def fit(rows: DataFrame, targets: list[float], iterations: int = ITERATIONS) -> list[list[float]]:
-    """The steps of projected gradient over rows (__tokens, __p); targets are token totals of the domains."""
+def fit(rows: DataFrame, targets: list[float], iterations: int = ITERATIONS) -> Fit:
+    """The steps of projected gradient over rows (__tokens, __p); targets are token totals of the domains.
+
+    Targets that nonnegative rates can't reach, or not within ``iterations`` steps, give a warning; ``reached`` says by how much.
+    """
     k = len(targets)
     t, p = F.col("__tokens"), F.col("__p")
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
     steps: list[list[float]] = []
     scale, share, last = max(sum(targets), 1.0), 1.0, math.inf
-    for _ in range(iterations):
+    reached = [0.0] * k
+    for left in range(iterations, -1, -1):
         told = fixed(rows, __rate=_rate(steps))
         rate, free = F.col("__rate"), (F.col("__rate") > 0).cast("int")
         now = told.agg(*(F.sum(rate * t * p[j]).alias(f"s{j}") for j in range(k)), *(F.sum(free * t * p[i] * p[j]).alias(f"g{i}_{j}") for i, j in pairs)).first()
-        miss = np.array([(now[f"s{j}"] or 0.0) - targets[j] for j in range(k)])
-        if np.abs(miss).max() <= CLOSE * scale:
+        reached = [float(now[f"s{j}"] or 0.0) for j in range(k)]
+        miss = np.array(reached) - np.array(targets)
+        if np.abs(miss).max() <= CLOSE * scale or not left:
             break
         share, last = (share / 2 if np.abs(miss).max() > last else min(1.0, share * 1.5)), np.abs(miss).max()
         gram = np.zeros((k, k))
         for i, j in pairs:
             gram[i, j] = gram[j, i] = now[f"g{i}_{j}"] or 0.0
         steps.append([round(float(x), 12) for x in share * (np.linalg.pinv(gram, rcond=1e-9, hermitian=True) @ miss)])
-    return steps
+    out = Fit(steps, list(targets), reached)
+    if not out.met():
+        warnings.warn(f"mixing: targets {[round(x) for x in targets]} missed, reached {[round(x) for x in reached]}", stacklevel=2)
+    return out
 
 
 def weights_to_targets(model: Model, weights: dict[str, float], budget: float) -> list[float]:
@@ -158,9 +178,12 @@ def weights_to_targets(model: Model, weights: dict[str, float], budget: float) -
     return [budget * (w / whole if whole else 1 / len(got)) for w in got]
 
 
-def mix(rows: DataFrame, steps: list[list[float]], model: Model) -> DataFrame:
-    """Rows of ``posteriors`` with ``__rate`` and ``__copies``: the rate rounded up or down by a hash of the id and the posteriors."""
-    rate = F.round(_rate(steps), 9)
+def mix(rows: DataFrame, fit: Fit) -> DataFrame:
+    """Rows of ``posteriors`` with ``__rate`` and ``__copies``: the rate rounded up or down by a hash of the id and the tokens.
+
+    Copies are a count: nothing is repeated, however high a rate is.
+    """
+    rate = F.round(_rate(fit.steps), 9)
     rows = fixed(rows, __rate=rate)
     chance = F.pmod(F.xxhash64("doc_id", "__tokens", F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
     whole = F.floor("__rate")

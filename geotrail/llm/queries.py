@@ -2,22 +2,20 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geotrail.llm import bpe, chat, html, lsh_forest, media, mixing, quality, rlz_dedup, secret_scan, suffix_dedup
-from geotrail.llm.shared import written
+from geotrail.llm.shared import packed, written
 
 __all__ = ["ORACLES", "QUERIES", "written"]
 
-#: Where the rank files are; a parameter of the installation.
-TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
+#: The rank file; its place and the pattern of its pre-tokens come from the installed package of vocabularies.
 RANKS = "byte_bpe_50k.tiktoken"
-#: The published pattern of the rank file's pre-tokens (fixed value).
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+PATTERN = public_tokenizers.PATTERN
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,24 +30,21 @@ def _domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "labels").select("doc_id", F.concat(F.lit("quality "), F.col("quality").cast("string"), F.lit(", toxic "), F.col("toxic").cast("string")).alias("domain"))
 
 
-def _mixed(docs: DataFrame, model: mixing.Model) -> DataFrame:
-    """Documents with posteriors, rates and copies; as many expected tokens as there are, shared out by WEIGHTS."""
+def _mixed(docs: DataFrame, model: mixing.Model, *keep: str) -> DataFrame:
+    """The columns of ``keep`` with __tokens, __p, __rate and __copies; as many expected tokens as there are, shared out by WEIGHTS."""
     scored = mixing.posteriors(docs, model)
-    fitted = written(scored.select("__tokens", "__p"))
-    budget = float(fitted.agg(F.sum("__tokens")).first()[0] or 0)
-    return mixing.mix(scored, mixing.fit(fitted, mixing.weights_to_targets(model, WEIGHTS, budget)), model)
+    told = written(scored.select("doc_id", *keep, "__tokens", "__p"))
+    budget = float(told.agg(F.sum("__tokens")).first()[0] or 0)
+    return mixing.mix(told, mixing.fit(told, mixing.weights_to_targets(model, WEIGHTS, budget)))
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rates of all documents: doc_id, n_tokens, the most likely domain and its posterior, rate, copies."""
-    docs = _table(spark, sf_dir, "documents")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = mixing.train(docs, _domains(spark, sf_dir))
-    scored = written(mixing.posteriors(docs, model).select("doc_id", "__tokens", "__p"))
-    budget = float(scored.agg(F.sum("__tokens")).first()[0] or 0)
-    mixed = mixing.mix(scored, mixing.fit(scored, mixing.weights_to_targets(model, WEIGHTS, budget)), model)
     best = F.array_max("__p")
     names = F.array(*(F.lit(d) for d in model.domains))
-    return mixed.select("doc_id", F.col("__tokens").alias("n_tokens"), F.get(names, F.array_position("__p", best).cast("int") - 1).alias("domain"), F.round(best, 6).alias("posterior"), F.round("__rate", 6).alias("rate"), F.col("__copies").alias("copies"))
+    return _mixed(docs, model).select("doc_id", F.col("__tokens").alias("n_tokens"), F.get(names, F.array_position("__p", best).cast("int") - 1).alias("domain"), F.round(best, 6).alias("posterior"), F.round("__rate", 6).alias("rate"), F.col("__copies").alias("copies"))
 
 
 def op2_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,14 +72,14 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     told = quality.judge(docs, quality.learn(docs, _table(spark, sf_dir, "labels")))
     q = F.col("__quality")
     return told.select("doc_id", *(q[k].alias(k) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")))
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return secret_scan.digest(secret_scan.scan(docs, secret_scan.train(docs)))
 
 
@@ -93,37 +88,67 @@ def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digest(_table(spark, sf_dir, "documents"), bpe.load_ranks(f"{TOKENIZERS}/{RANKS}"), PATTERN)
+    return bpe.digest(_table(spark, sf_dir, "documents"), bpe.load_ranks(public_tokenizers.path(RANKS)), PATTERN)
+
+
+#: What the mixing stage adds to the columns of documents; a column of that name is replaced.
+COPIES = "copies"
 
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that neither the base rules nor the learned list reject."""
-    told = quality.judge(docs, quality.learn(docs, _table(spark, sf_dir, "labels")))
-    return told.filter("__quality.kept").select(*docs.columns)
+    """Documents that neither the base rules nor the learned list reject, as they are.
+
+    A null or empty text is rejected (no words); equal rows get one verdict; other columns, of any name, are
+    kept; an empty table gives an empty result.
+    """
+    told = quality.judge(packed(docs, "doc_id", "text"), quality.learn(docs.select("doc_id", "text"), _table(spark, sf_dir, "labels")))
+    return told.filter("__quality.kept").select("__row.*")
 
 
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each class of near copies."""
+    """One document of each class of near copies, as it is.
+
+    Texts without words are in no class and all stay, as do rows without an id; of repeated rows one stays; other
+    columns, of any name, are kept; an empty table gives an empty result.
+    """
     return lsh_forest.deduplicate(docs)
 
 
 def stage_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, each secret replaced by a mark."""
-    clean = secret_scan.redact(secret_scan.scan(docs, secret_scan.train(docs)))
-    return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """All documents, each secret of their texts replaced by a mark; n_chars follows.
+
+    A null text stays null, with its n_chars; equal rows are changed alike; other columns, of any name, are
+    kept; an empty table gives an empty result.
+    """
+    rows = packed(docs, "doc_id", "text")
+    clean = secret_scan.redact(secret_scan.scan(rows, secret_scan.train(docs.select("doc_id", "text"))))
+    new = {"text": F.col("text"), "n_chars": F.coalesce(F.length("text").cast("long"), F.col("__row")["n_chars"]) if "n_chars" in docs.columns else None}
+    return clean.select(*((F.col("__row")[c] if new.get(c) is None else new[c]).alias(c) for c in docs.columns))
 
 
 def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as its copies say."""
-    mixed = _mixed(docs, mixing.train(docs, _domains(spark, sf_dir)))
-    return mixed.filter("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    """Documents that the mixture takes, as they are, with the number of their copies in a column ``copies``.
+
+    A document is never repeated as a row, however many copies its rate asks for; those of no copies go.  A null
+    or empty text weighs nothing and gets the copies its posteriors give; equal rows get equal copies; other
+    columns, of any name but ``copies``, are kept; an empty table gives an empty result.
+    """
+    rows = packed(docs, "doc_id", "text")
+    mixed = _mixed(rows, mixing.train(docs.select("doc_id", "text"), _domains(spark, sf_dir)), "__row").filter("__copies > 0")
+    return mixed.select(*(F.col("__row")[c].alias(c) for c in docs.columns if c != COPIES), F.col("__copies").alias(COPIES))
 
 
 def stage_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The encoded documents: doc_id, ids, their number and the hex digest of the bytes decoded from them."""
-    ranks = bpe.load_ranks(f"{TOKENIZERS}/{RANKS}")
-    back = bpe.decode(bpe.encode(docs, ranks, PATTERN), ranks, PATTERN)
-    return back.select("doc_id", "ids", "n_tokens", F.sha2("bytes", 256).alias("decoded_sha256"))
+    """The encoded documents: doc_id, copies, ids, their number and the hex digest of the bytes decoded from them.
+
+    Each row is encoded once; copies are 1 where the column isn't there.  A null text has no tokens; equal rows
+    give equal results; other columns are left out; an empty table gives an empty result.
+    """
+    ranks = bpe.load_ranks(public_tokenizers.path(RANKS))
+    copies = F.col(COPIES).cast("long") if COPIES in docs.columns else F.lit(1).cast("long")
+    rows = docs.select("doc_id", "text", copies.alias(COPIES))
+    back = bpe.decode(bpe.encode(rows, ranks, PATTERN, keep=(COPIES,)), ranks, PATTERN)
+    return back.select("doc_id", COPIES, "ids", "n_tokens", F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

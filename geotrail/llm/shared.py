@@ -1,21 +1,28 @@
-"""Intermediate tables in the folder that all machines of a cluster share."""
+"""Intermediate tables in the folder that all machines of a cluster share, and small helpers for plans."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Folders of this machine by application, where none is set and the session runs on this machine alone.
+_LOCAL: dict[str, str] = {}
+#: Where the tables of ``written`` are.
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; one of this machine's only where none is set, as in tests."""
+    """The cluster's ``spark.checkpoint.dir``; where it is unset, a folder of this machine in local mode and an error elsewhere."""
     got = spark.conf.get("spark.checkpoint.dir", None)
-    if not got:
-        got = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", got)
-    return got
+    if got:
+        return got
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir isn't set: it must name a folder that driver and executors share")
+    return _LOCAL.setdefault(spark.sparkContext.applicationId, f"file://{tempfile.mkdtemp(prefix='spark-')}")
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -23,7 +30,16 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables of ``written`` that no later step reads."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(_PATHS.pop(df))
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fixed(df: DataFrame, **columns: Column) -> DataFrame:
@@ -33,3 +49,22 @@ def fixed(df: DataFrame, **columns: Column) -> DataFrame:
     each element.
     """
     return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
+def spread_join(rows: DataFrame, keyed: DataFrame, keys: list[str], by: Column, most: int = 4096, least: int = 4096) -> DataFrame:
+    """``rows`` joined to ``keyed`` (one row a key, with ``n``, its number of rows); a key with many rows is dealt over many tasks.
+
+    Keys with more than 1/``most`` of all rows, fewer than ``most`` by that, are broadcast with their number of
+    parts; their rows go to a part by a hash of ``by``, and their one row on the other side to every part.
+    """
+    limit = max((keyed.agg(F.sum("n")).first()[0] or 0) // most, least)
+    hot = F.broadcast(keyed.filter(F.col("n") > limit).select(*keys, F.ceil(F.col("n") / limit).cast("int").alias("__parts")))
+    parts = F.coalesce("__parts", F.lit(1))
+    left = rows.join(hot, keys, "left").withColumn("__part", F.pmod(F.xxhash64(by), parts).cast("int")).drop("__parts")
+    right = keyed.join(hot, keys, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
+    return left.join(right, [*keys, "__part"]).drop("__part")
+
+
+def packed(df: DataFrame, *names: str) -> DataFrame:
+    """The named columns and ``__row``, a struct of all columns: no other name can clash with an operator's own."""
+    return df.select(*(F.col(f"`{n}`") for n in names), F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("__row"))

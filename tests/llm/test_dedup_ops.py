@@ -180,4 +180,64 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch):
     kept = sorted(r.doc_id for r in lsh_forest.deduplicate(df).filter("doc_id is not null").collect())
     assert kept == sorted({3 * c for c in classes})
     assert lsh_forest.near_duplicates(df.limit(0)).count() == 0
-    assert lsh_forest.recall(lsh_forest.prefix_depth()) >= 0.999
+
+
+def test_forest_walk_tells_ranges_together():
+    """Sorted labels cut at any places give the nodes of the whole trie."""
+    rng = np.random.default_rng(2)
+    label = np.concatenate([np.zeros((900, 1), np.uint8), rng.integers(0, 2, (900, 16)).astype(np.uint8)], 1)
+    label[:300, 1:14] = 1  # a crowd
+    label[:60] = 1
+    label[:60, 0] = 0
+    label = label[np.lexsort(label.T[::-1])]
+    ids = np.arange(900)
+    for crowd in (1, 5, 40):
+        for cuts in ([0, 900], [0, 1, 450, 460, 899, 900], list(range(0, 901, 90))):
+            told, outer, edge = {}, Counter(), defaultdict(list)
+            for a, b in zip(cuts, cuts[1:]):
+                for kind, node, tree, who, depth, size in lsh_forest.walk(label[a:b], ids[a:b], crowd, 4):
+                    for x, i, n in zip(node.tolist(), who.tolist(), size.tolist()):
+                        if kind == 0:
+                            told[i] = depth
+                        elif kind == 1:
+                            edge[i].append((depth, x, n))
+                        else:
+                            outer[x] += n
+            for i, chain in edge.items():
+                assert i not in told
+                told[i] = min(d for d, x, n in chain if outer.get(x, n) <= crowd or d == 16)
+            for i in range(900):
+                under = lambda d: int((label[:, : d + 1] == label[i, : d + 1]).all(1).sum())
+                want = next((d for d in range(4, 17) if under(d) <= crowd), 16)
+                assert told.get(i, 4) == want and (i in told or under(4) == 1), (crowd, cuts, i)
+
+
+def test_forest_recall(spark):
+    """Every tenth text of two similarities just over the threshold, against all: what the forest joins, and what it should."""
+    rng = random.Random(11)
+    texts = []
+    for k in range(150):
+        w = [f"{k}x{rng.random()}" for _ in range(240)]
+        texts += [" ".join(w), " ".join(w[: -rng.randint(18, 22)] + [f"{rng.random()}" for _ in range(rng.randint(2, 4))])]
+    crowd = [f"c{k}" for k in range(200)]
+    for k in range(400):  # a crowd under the threshold, and some over it
+        texts.append(" ".join(crowd[: rng.randint(120, 200)] + [f"{rng.random()}" for _ in range(rng.randint(0, 30))]))
+    got = {r.doc_id: r for r in lsh_forest.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    classes, links = brute_classes(texts)
+    assert sum(got[i].n_links for i in got) >= 0.99 * sum(links)
+    assert sum(got[i].class_id == classes[i] for i in got) >= 0.99 * len(texts) and sum(links) > 200
+
+
+def test_forest_recall_of_the_given_tables(spark):
+    """Ids divisible by 20 against all rows of the given documents, by brute force over shared shingles."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    got = {r.doc_id: r for r in lsh_forest.near_duplicates(docs).collect()}
+    words = {r.doc_id: (r.text or "").split() for r in docs.collect()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in words.items() if w}
+    hit = miss = 0
+    for i in sets:
+        if i % 20 == 0:
+            for j in sets:
+                if i != j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-12:
+                    hit, miss = hit + (got[i].class_id == got[j].class_id), miss + (got[i].class_id != got[j].class_id)
+    assert hit and hit >= 0.99 * (hit + miss)

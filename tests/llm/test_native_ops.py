@@ -91,13 +91,13 @@ def test_mixing(spark):
     df = spark.createDataFrame([(i, int(a), [float(x) for x in b]) for i, (a, b) in enumerate(zip(t, p))], "doc_id long, __tokens long, __p array<double>")
     for share in ([0.6, 0.3, 0.1], [0.05, 0.05, 0.9]):
         targets = [float(t.sum()) * x for x in share]
-        steps = mixing.fit(df, targets)
-        got = {r.doc_id: r for r in mixing.mix(df, steps, None).collect()}
+        fit = mixing.fit(df, targets)
+        got = {r.doc_id: r for r in mixing.mix(df, fit).collect()}
         rate = np.array([got[i]["__rate"] for i in range(400)])
         reached = (rate * t) @ p
         assert (rate >= 0).all() and np.abs(reached - targets).max() < 1e-3 * t.sum()
         brute = np.ones(400)
-        for s in steps:
+        for s in fit.steps:
             brute = np.maximum(0, brute - p @ np.array(s))
         assert np.allclose(brute, rate, atol=1e-6)
         assert all(abs(r["__copies"] - r["__rate"]) < 1 for r in got.values())

@@ -2,17 +2,18 @@ import base64
 import hashlib
 import zlib
 
+import public_tokenizers
 import pytest
 import tiktoken
 
 from geotrail.llm import bpe, chat, media
-from geotrail.llm.queries import PATTERN, RANKS, TOKENIZERS
+from geotrail.llm.queries import PATTERN, RANKS
 
 TEXTS = [None, "", " ", "a", "it's  two\n\n spaces 12 ?!", "é" * 900 + " x" * 700, "x" * 3000, "the cat sat. " * 400 + "\n\n  end", "日本語 🙂 text " * 300, " \n" * 2000]
 
 
 def test_bpe_equals_tiktoken(spark):
-    ranks = bpe.load_ranks(f"{TOKENIZERS}/{RANKS}")
+    ranks = bpe.load_ranks(public_tokenizers.path(RANKS))
     table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
     own = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
     rows = [(i, t, 1) for i, t in enumerate([*TEXTS, TEXTS[7]])] + [(7, TEXTS[7], 2), (None, "null id", 0)]
