@@ -19,7 +19,7 @@ STAGES = [
     ("byte-level BPE encoding and decoding", Q.stage_bpe),
 ]
 
-#: Learned rules and least squares can't be stated in SQL; tests hold the stages against brute force.
+#: Learned rules and least squares can't be stated in SQL; tests/llm/test_stages.py holds every stage against brute force.
 ORACLE_SQL = None
 
 
