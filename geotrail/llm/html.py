@@ -1,24 +1,31 @@
 """Main text of web pages by tag-path ratios.
 
-Text nodes are grouped by their root-to-leaf tag path.  A path's text length and punctuation a node are
-smoothed over the page's sequence of paths, fused by their product and held against a threshold; the
-paths above it are content.  The smallest element with all of them, or the article or main element around
-it, is the article: its blocks are the main text, without elements whose tag, role or class says that they
-are something else (menus, headers, footers, sidebars, notices, adverts, forms, reader comments).
-
-A class or id says nothing of an element with most of the page's text outside links, unless it begins as one of
-reader comments or an article or main element beside it has text, nor when no other text is left.  If only the body holds all content, lists of links before
-the first or after the last content are menus.
-
-Defined cases: a null or empty page, or one without text, gives an empty text; broken markup is read as
-browsers do (tags end with their parents, a paragraph with the next block); equal rows give equal
+Text is grouped by its root-to-leaf tag path, the paths of different containers (div, section, td ...) being different
+paths.  A path's text length outside links and its punctuation, a node each, are
+
+1. smoothed over near paths: those of the same container, of the one around it and of those directly inside, by
+   the length of their text,
+2. fused by their product, with the share of text that isn't linked, and what tags and names say of the path, as factors (``ASSERTED`` inside an article or main
+   element, ``WEAK`` and ``STRONG`` for names of something else),
+3. held against a threshold: the paths above ``LEAST`` of the page's greatest score are content.
+
+Content paths select their blocks.  Blocks of other paths belong to the article only with them: where they stand in
+the smallest element around all content (the article or main element, if one is around it) and nothing names them something
+else, or, if that is the body, between the first and the last content.  Tags and roles (menus, headers, footers, asides, forms,
+dialogs) only veto.
+
+A name counts as a whole word of a class or id, as it is or with a usual companion (``comment-list``, ``site-footer``).
+It says nothing of an element with most of the page's text outside links, unless it names
+reader comments or an article or main element beside it has text, nor when no other text is left.
+
+Defined cases: a null or empty page, or one without text or with links only, gives an empty text; broken markup is read as
+browsers do (tags end with their parents, a paragraph with the next block); paths that tie share their fate; equal rows give equal
 results; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import html
-import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -27,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from geotrail.llm.grams import parts
+
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
     r"|<(script|style|noscript|template|textarea|iframe|svg|math|object|select|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
@@ -38,32 +47,46 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 #: Tags that end an open paragraph, and the tags that end at a sibling.
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "p": {"p"}}
 BOUNDS = frozenset("ul ol dl table article section div main body td th".split())
+CONTAINERS = frozenset("article section div main body td th blockquote details figure".split())
 OTHER_TAGS = frozenset("nav header footer aside form button menu dialog fieldset head".split())
 OTHER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
-OTHER_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|banner|sponsor(?:ed)?|promo(?:tion)?|nav(?:bar|igation)?|menu|breadcrumbs?|sidebar|side|footer|header|masthead"
-    r"|comments?|commentlist|disqus|replies|respond|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|widget|toolbar|pagination|pager)(?:$|[\s_-])",
-    re.I,
+#: Names of something else than the article: surely, and perhaps (fixed values).
+STRONG_NAMES = (
+    "ad ads advert adverts advertisement advertisements advertising sponsor sponsored nav navbar navigation menu breadcrumb breadcrumbs sidebar side footer header masthead "
+    "comment comments commentlist disqus replies respond cookie cookies consent gdpr popup modal overlay signup login toolbar pagination pager"
 )
+WEAK_NAMES = "banner promo promotion notice alert newsletter subscribe share sharing social related recommended widget"
+_WITH = r"(?:(?:site|page|top|bottom|left|right|main|global|primary|secondary|reader|user)-)?(?:{})(?:-(?:list|area|section|box|bar|wrapper|container|block|banner|slot|unit|form|links|buttons|thread|notice|message))?"
+
+
+def _named(words: str) -> re.Pattern[str]:
+    return re.compile(rf"(?:^|\s){_WITH.format('|'.join(words.split()))}(?=$|\s)", re.I)
+
+
+STRONG, WEAK, COMMENT_NAMES = _named(STRONG_NAMES), _named(WEAK_NAMES), _named("comment comments commentlist disqus replies respond")
 NAMES = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PUNCTUATION = re.compile(r"[,.;:!?、。，！？…]")
-COMMENT_NAMES = re.compile(r"(?:^|\s)(?:comments?|commentlist|disqus|replies|respond)(?:$|[\s_-])", re.I)
-#: Width of the smoothing, share of the mean that a path must reach.
-SIGMA, LEAST = 1.0, 0.5
-#: What an element is told to be: other by tag, role or state, by a name, as reader comments by a name.
-OTHER, NAMED, COMMENTS = 1, 2, 3
+#: Share of the greatest score from which a path is content; weights of near paths: of the same container, and around or inside.
+LEAST, SAME, NEAR = 0.1, 0.25, 0.05
+#: Factors of a score: inside an article or main element, weakly and strongly named something else.
+ASSERTED, IF_WEAK, IF_STRONG = 4.0, 0.3, 1e-4
+#: What an element is told to be: other by tag, role or state; by a weak name, by a strong one, reader comments.
+OTHER, MAYBE, NAMED, COMMENTS = 1, 2, 3, 4
 
 
 class Node:
     """An element; ``other`` holds for all inside, ``marked`` is the nearest element around that a name marks."""
 
-    __slots__ = ("tag", "parent", "path", "other", "kind", "marked", "link")
+    __slots__ = ("tag", "parent", "path", "other", "kind", "marked", "link", "container")
 
     def __init__(self, tag: str, parent: Node | None, kind: int):
         self.tag, self.parent, self.kind = tag, parent, kind
         self.other = kind == OTHER or bool(parent and parent.other)
-        self.marked = self if kind in (NAMED, COMMENTS) else parent and parent.marked
-        self.path = f"{parent.path}.{tag}" if parent else tag
+        self.marked = self if kind in (MAYBE, NAMED, COMMENTS) else parent and parent.marked
+        self.container = self if tag in CONTAINERS or not parent else parent.container
+        #: Tags below the container; the container itself stands for those above.
+        self.path = "" if self.container is self else f"{parent.path}.{tag}"
         self.link = tag == "a" or bool(parent and parent.link)
 
 
@@ -77,9 +100,9 @@ def _kind(tag: str, attributes: str, open_tags: list[str]) -> int:
         name, value = name.lower(), "".join(value)
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "role" and value.lower() in OTHER_ROLES):
             return OTHER
-        value = re.sub(r"([a-z])([A-Z])", r"\1-\2", value)
-        if name in ("class", "id") and OTHER_NAMES.search(value):
-            kind = max(kind, COMMENTS if COMMENT_NAMES.search(value) else NAMED)
+        value = re.sub(r"([a-z])([A-Z])", r"\1-\2", value).replace("_", "-")
+        if name in ("class", "id"):
+            kind = max(kind, COMMENTS if COMMENT_NAMES.search(value) else NAMED if STRONG.search(value) else MAYBE if WEAK.search(value) else 0)
     return kind
 
 
@@ -114,10 +137,17 @@ def _marks(told: list[tuple[Node, list[tuple[Node, str]]]]) -> set[Node]:
 
 
 def _is_other(node: Node, marks: set[Node]) -> bool:
-    at = node.marked
-    while at and at not in marks:
+    return node.other or _mark(node, marks) > 0
+
+
+def _mark(node: Node, marks: set[Node]) -> int:
+    """The strongest name that holds for an element: MAYBE, NAMED, COMMENTS or 0."""
+    kind, at = 0, node.marked
+    while at:
+        if at in marks:
+            kind = max(kind, at.kind)
         at = at.parent and at.parent.marked
-    return node.other or bool(at)
+    return kind
 
 
 def blocks(page: str) -> list[tuple[Node, list[tuple[Node, str]]]]:
@@ -181,27 +211,34 @@ def blocks(page: str) -> list[tuple[Node, list[tuple[Node, str]]]]:
     return out
 
 
-def path_scores(nodes: list[tuple[str, int, int]]) -> dict[str, float]:
-    """Fused, smoothed ratios by path, of text nodes (path, length, punctuation)."""
-    total: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0])
-    for path, length, points in nodes:
-        told = total[path]
-        told[0] += 1
-        told[1] += length
-        told[2] += points
-    paths = list(total)
-    length = [total[p][1] / total[p][0] for p in paths]
-    points = [1 + total[p][2] / total[p][0] for p in paths]
-    kernel = [math.exp(-(d * d) / (2 * SIGMA * SIGMA)) for d in range(4)]
+Key = tuple[Node, str]
 
-    def smooth(v: list[float]) -> list[float]:
-        out = []
-        for i in range(len(v)):
-            near = [(kernel[abs(j - i)], v[j]) for j in range(max(0, i - 3), min(len(v), i + 4))]
-            out.append(sum(k * x for k, x in near) / sum(k for k, _ in near))
-        return out
 
-    return {p: a * b for p, a, b in zip(paths, smooth(length), smooth(points), strict=True)}
+def path_scores(texts: list[tuple[Key, int, int, float]]) -> dict[Key, float]:
+    """Fused, smoothed ratios by path, of text nodes (path, length, punctuation, factor)."""
+    total: dict[Key, list[float]] = defaultdict(lambda: [0, 0, 0, 0])
+    for path, length, points, factor in texts:
+        told = total[path]
+        for k, x in enumerate((1, length, points, factor)):
+            told[k] += x
+    # of each container, and of the containers directly inside: text length, and length times either ratio
+    own: dict[Node | None, list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0])
+    inside: dict[Node | None, list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0])
+    part = {}
+    for path, (n, length, points, _) in total.items():
+        part[path] = (length, length * length / n, length * (1 + points / n))
+        up = path[0].parent and path[0].parent.container
+        for sums in (own[path[0]], inside[up]):
+            for k, x in enumerate(part[path]):
+                sums[k] += x
+    out = {}
+    for path, (n, _, _, factor) in total.items():
+        at, up = path[0], path[0].parent and path[0].parent.container
+        around = own[up] if up else (0.0, 0.0, 0.0)
+        near = zip(part[path], own[at], inside[at], around, strict=True)
+        weight, length, points = (x + SAME * (same - x) + NEAR * (below + above) for x, same, below, above in near)
+        out[path] = length * points / (weight * weight) * factor / n if weight > 0 else 0.0
+    return out
 
 
 def extract(page: str | None) -> str:
@@ -209,48 +246,57 @@ def extract(page: str | None) -> str:
     told, found = [], blocks(page or "")
     marks = _marks(found)
     for owner, parts in found:
-        if not _is_other(owner, marks):
-            text = " ".join(html.unescape("".join(s for n, s in parts if not _is_other(n, marks))).split())
-            if text:
-                linked = sum(len(s.strip()) for n, s in parts if n.link)
-                told.append((owner, parts, text, linked / max(1, sum(len(s.strip()) for _, s in parts))))
-    if not told:
+        parts = [(n, s) for n, s in parts if not n.other]
+        said = _mark(owner, marks)
+        # what is named something else inside a block of another kind goes
+        parts = [(n, s) for n, s in parts if _mark(n, marks) <= said]
+        text = " ".join(html.unescape("".join(s for _, s in parts)).split())
+        if text:
+            linked = sum(len(s.strip()) for n, s in parts if n.link)
+            told.append((owner, parts, text, linked / max(1, sum(len(s.strip()) for _, s in parts)), said))
+    texts = []
+    for owner, parts, text, share, said in told:
+        leaf = max(parts, key=lambda x: len(x[1]))[0]
+        asserted = len(_up(owner, ("article", "main"))) > 0
+        factor = (ASSERTED if asserted else 1.0) * (IF_STRONG if said >= NAMED else IF_WEAK if said else 1.0)
+        texts.append(((leaf.container, leaf.path), round(len(text) * (1 - share)), len(PUNCTUATION.findall(text)), factor * (1 - share)))
+    score = path_scores(texts)
+    least = LEAST * max(score.values(), default=0.0)
+    content = [k for k, (path, *_) in enumerate(texts) if score[path] >= least > 0]
+    if not content:
         return ""
-    leaf = lambda parts: max(parts, key=lambda x: len(x[1]))[0].path
-    nodes = [(leaf(parts), round(len(text) * (1 - share)), len(PUNCTUATION.findall(text))) for _, parts, text, share in told]
-    score = path_scores(nodes)
-    weight = sum(n for _, n, _ in nodes) or 1
-    mean = sum(score[p] * n for p, n, _ in nodes) / weight
-    content = [k for k, (p, _, _) in enumerate(nodes) if score[p] >= LEAST * mean * min(1.0, len(nodes) / 3)]
     inside: dict[Node, int] = defaultdict(int)
     for k in content:
         node = told[k][0]
         while node:
             inside[node] += 1
             node = node.parent
-    article = told[content[0]][0] if content else told[0][0]
+    article = told[content[0]][0]
     while article.parent and (inside[article] < len(content) or article.tag not in BOUNDS):
         article = article.parent
-    article = next(iter(_up(article, ("article",)) or _up(article, ("main",))), article)
-    first, last = (content[0], content[-1]) if content and article.tag in ("html", "body") else (0, len(told))
-    out = []
-    for k, (owner, _, text, share) in enumerate(told):
-        node = owner
-        while node and node is not article:
-            node = node.parent
-        if node and not (share > 0.8 and owner.tag in ("li", "ul", "ol", "div") and not first <= k <= last):
-            out.append(text)
+    article = next(iter((_up(article, ("article",)) or _up(article, ("main",)))[-1:]), article)
+    first, last = (content[0], content[-1]) if article.tag in ("html", "body") else (0, len(told))
+    while first and first == content[0] and article.tag in ("html", "body") and told[first - 1][0].tag in HEADINGS:
+        first -= 1
+        content.insert(0, first)
+    chosen = set(content)
+    out = [text for k, (owner, _, text, _, said) in enumerate(told) if k in chosen or (first <= k <= last and not said and _within(owner, article))]
     return " ".join(out)
 
 
+def _within(node: Node | None, outer: Node) -> bool:
+    while node and node is not outer:
+        node = node.parent
+    return node is outer
+
+
 def extract_pages(df: DataFrame, *, html_col: str = "html") -> DataFrame:
     """``page_id``, ``url``, ``text`` and ``n_chars`` of each page."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                text = pa.array([extract(x) for x in part.column(2).to_pylist()], pa.string())
+            for part, pages in parts(iter([batch]), 2):
+                text = pa.array([extract(x.decode("utf-8", "replace")) for x in pages], pa.string())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), text], names=["page_id", "url", "text"])
 
     rows = df.select("page_id", "url", F.col(html_col).cast("string").alias("page"))

@@ -27,3 +27,37 @@ def test_names_dont_empty_a_page():
     assert html.extract('<div class="menu"><a href=1>Home</a></div>') == ""
     assert html.extract(f'<main><h1>Title</h1><div class="layout has-sidebar"><p>{LONG}</p></div></main>') == f"Title {LONG}"
     assert html.extract(f'<article><p>Short text, here.</p></article><div class="ad">{LONG}</div>') == "Short text, here."
+
+
+def test_words_that_only_look_like_names():
+    related = '<div class="related-work"><p>Long related work, told at length, with all that others did before; it was much.</p></div>'
+    shared = '<div class="story-share"><p>Share price rose on Monday, by a third, after the news.</p></div>'
+    got = html.extract(f"<main><h1>Title</h1><p>{LONG}</p>{related}{shared}<p>{LONG}</p></main>")
+    assert got == f"Title {LONG} Long related work, told at length, with all that others did before; it was much. Share price rose on Monday, by a third, after the news. {LONG}"
+    assert html.extract(f'<article><p>{LONG}</p><div class="notice"><p>{LONG}</p></div></article>') == f"{LONG} {LONG}"  # a weak name, the score of an article
+
+
+def test_scores_drop_what_no_word_names():
+    notice, said = "<div><p>Cookies help us, ok?</p></div>", "<div><p>Great read, thanks!</p></div>"
+    assert html.extract(f"<body>{notice}<div><h2>Head</h2><p>{LONG}</p><p>{LONG}</p></div>{said}</body>") == f"Head {LONG} {LONG}"
+    assert html.extract(f"<body>{notice}<article><h1>Title</h1><p>{LONG}</p></article>{said}</body>") == f"Title {LONG}"
+    assert html.extract(f"<body><div>{notice}<main><p>{LONG}</p></main></div><div><ul><li>One<li>Two</ul></div></body>") == LONG
+
+
+def test_results_rest_on_the_scores(monkeypatch, spark):
+    """With scores that tell nothing, notices, comments and the adverts of the given pages come out."""
+    page = f'<body><div><p>Cookies help us, ok?</p></div><div><p>{LONG}</p></div><div class="ad">Buy now.</div></body>'
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("html").collect()]
+    before = [html.extract(x) for x in [page, *pages]]
+    assert before[0] == LONG
+    monkeypatch.setattr(html, "path_scores", lambda texts: {path: 1.0 for path, *_ in texts})
+    after = [html.extract(x) for x in [page, *pages]]
+    assert after[0] == f"Cookies help us, ok? {LONG} Buy now." and sum(a != b for a, b in zip(before, after)) > len(pages) / 2
+
+
+def test_odd_pages(spark):
+    rows = [(1, "u", None, 0), (2, None, "", 0), (None, "u", f"<p>{LONG}</p>", 0), (None, "u", f"<p>{LONG}</p>", 0), (3, "u", f"<article><p>{LONG * 3000}</p></article>", 0), (4, "u", "<div><p>same, same.</p></div><div><p>same, same.</p></div>", 0)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text int").withColumnRenamed("text", "n_chars")
+    got = sorted((str(r.page_id), r.text) for r in html.extract_pages(df).collect())
+    assert got == [("1", ""), ("2", ""), ("3", " ".join((LONG * 3000).split())), ("4", "same, same. same, same."), ("None", LONG), ("None", LONG)]
+    assert html.extract_pages(df.limit(0)).collect() == []
