@@ -8,12 +8,12 @@ block whose texts stand in an array; blocks are written between markers and conc
 * A marker inside a text (or role) gets a backslash after its first character, after all backslashes
   there were doubled, so markers in the output are always the template's and ``unescape`` is exact.
 
-The output keeps ``segments`` (text, loss): their concatenation is the formatted string and ``loss``
-marks the assistant texts, the part a model is trained on.
+The output has ``mask``, the code point ranges of the formatted string that are assistant texts, the part a
+model is trained on, and ``segments`` (text, loss), the pieces that the string was put together from.
 
 Defined cases: a null text or role is an empty one; a null conversation id is a conversation of its
 own; turns that share a number are ordered by role, then text, a null number first; repeated rows are
-repeated turns; other columns are ignored; an empty table gives an empty result.
+repeated turns; other columns, of any name, are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,10 +21,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geotrail.llm.shared import fixed
+from geotrail.llm.shared import block_folds, fixed, folds_before
 
 MARKS = r"(?:/?(?:SYS|INST|TURN)|TEXT|SEP)\]|/?s>"
 OPEN = {"system": "[SYS]", "user": "[INST]", "assistant": "<s>"}
+#: Segments of a block whose lengths are summed before others are.
+SUMS = 64
 CLOSE = {"system": "[/SYS]", "user": "[/INST]", "assistant": "</s>"}
 BLOCK = r"(?s)(\[SYS\]|\[INST\]|<s>|\[TURN\])(.*?)(?:\[/SYS\]|\[/INST\]|</s>|\[/TURN\])"
 
@@ -73,20 +75,24 @@ def merge_turns(df: DataFrame) -> DataFrame:
 
 
 def format_chats(df: DataFrame) -> DataFrame:
-    """(conv_id, formatted string, segments array<struct<text, loss>>) of rows (conv_id, turn, role, text)."""
+    """(conv_id, formatted string, segments array<struct<text, loss>>, mask array<struct<start, end>>) of rows (conv_id, turn, role, text)."""
     blocks = merge_turns(df).withColumn("blocks", F.transform("blocks", lambda b: F.struct(b["role"].alias("role"), F.transform(b["texts"], escape).alias("texts"))))
-    segments = blocks.select("conv_id", F.flatten(F.transform("blocks", _segments)).alias("segments"))
-    return segments.select("conv_id", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"), "segments")
+    told = fixed(blocks.select("conv_id", F.flatten(F.transform("blocks", _segments)).alias("segments")), lengths=F.transform("segments", lambda s: F.length(s["text"])))
+    told = fixed(told, sums=block_folds(F.col("lengths"), SUMS))
+    told = fixed(told, starts=folds_before(F.col("lengths"), F.col("sums"), SUMS))
+    spans = F.transform("segments", lambda s, i: F.struct(F.get("starts", i).alias("start"), (F.get("starts", i) + F.get("lengths", i)).alias("end"), s["loss"].alias("loss")))
+    mask = F.transform(F.filter(spans, lambda s: s["loss"]), lambda s: F.struct(s["start"], s["end"]))
+    return told.select("conv_id", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"), "segments", mask.alias("mask"))
 
 
 def loss_spans(chats: DataFrame) -> DataFrame:
-    """(conv_id, start, end): the loss mask as code point ranges of the formatted string."""
-    from pyspark.sql import Window
+    """(conv_id, start, end): the loss mask, a row for each range."""
+    return chats.select("conv_id", F.inline("mask"))
 
-    one = chats.withColumn("row", F.monotonically_increasing_id()).select("conv_id", "row", F.posexplode("segments").alias("k", "s"))
-    end = F.sum(F.length("s.text")).over(Window.partitionBy("row").orderBy("k"))
-    spans = one.select("conv_id", "s.loss", F.length("s.text").cast("long").alias("n"), end.alias("end"))
-    return spans.filter("loss").select("conv_id", (F.col("end") - F.col("n")).alias("start"), "end")
+
+def masked(formatted: Column, mask: Column) -> Column:
+    """The texts of ``formatted`` under the mask, as they were, with nothing between."""
+    return F.array_join(F.transform(mask, lambda m: unescape(F.substring(formatted, m["start"] + 1, m["end"] - m["start"]))), "")
 
 
 def read_turns(formatted: Column) -> Column:
@@ -105,8 +111,8 @@ def read_turns(formatted: Column) -> Column:
 
 
 def digest(chats: DataFrame) -> DataFrame:
-    """Counts and digests read back from formatted conversations."""
-    back = chats.select("conv_id", "formatted", read_turns(F.col("formatted")).alias("turns"), F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"])), "").alias("loss"))
+    """Counts and digests read back from formatted conversations and their masks."""
+    back = chats.select("conv_id", "formatted", read_turns(F.col("formatted")).alias("turns"), masked(F.col("formatted"), F.col("mask")).alias("loss"))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geotrail.llm.shared import fixed
+from geotrail.llm.shared import block_folds, fixed, folds_before
 
 #: Fixed patterns, the group that holds the value, and its least length, in the order of their kinds.
 KINDS = {
@@ -37,10 +37,6 @@ BLOCK = 64
 _SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
-def _total(numbers: Column) -> Column:
-    return F.aggregate(numbers, F.lit(0), lambda a, x: a + x)
-
-
 def _lengths(a: Column) -> Column:
     return F.transform(a, F.length)
 
@@ -54,17 +50,14 @@ def _with_matches(df: DataFrame, name: str, pattern: str, group: int) -> DataFra
     if not group:
         df = df.withColumn("__v", F.col("__n"))
     df = fixed(df, __s=F.zip_with(F.slice("__g", 1, F.size("__n")), "__n", lambda g, n: g + n))
-    blocks = F.transform(F.sequence(F.lit(0), F.expr(f"(size(__s) - 1) div {BLOCK}")), lambda b: _total(F.slice(F.col("__s"), b * BLOCK + 1, F.lit(BLOCK))))
-    df = fixed(df, __b=F.when(F.size("__s") > 0, blocks))
+    df = fixed(df, __b=block_folds(F.col("__s"), BLOCK))
+    df = fixed(df, __o=folds_before(F.col("__s"), F.col("__b"), BLOCK))
 
     def span(n: Column, i: Column) -> Column:
-        block = F.floor(i / BLOCK).cast("int")
-        before = _total(F.slice(F.col("__b"), F.lit(1), block)) + _total(F.slice(F.col("__s"), block * BLOCK + 1, i - block * BLOCK))
-        start = before + F.get("__g", i)
-        size = F.get("__v", i)
+        start, size = F.get("__o", i) + F.get("__g", i), F.get("__v", i)
         return F.struct(start.alias("start"), (start + n).alias("end"), (start + n - size).alias("value_start"), size.alias("size"))
 
-    return fixed(df, **{name: F.transform("__n", span)}).drop("__n", "__v", "__g", "__s", "__b")
+    return fixed(df, **{name: F.transform("__n", span)}).drop("__n", "__v", "__g", "__s", "__b", "__o")
 
 
 def _at_least(least: int):
@@ -158,10 +151,15 @@ def digest(scanned: DataFrame) -> DataFrame:
 
 def redact(scanned: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """``scanned`` with each span of its texts replaced by ``mark``, touching or nested spans by one; the span columns go."""
+    rows = fixed(scanned, __ends=F.transform("__spans", lambda s: s["end"]))
+    rows = fixed(rows, __upto=block_folds(F.col("__ends"), BLOCK, F.greatest))
+    rows = fixed(rows, __at=folds_before(F.col("__ends"), F.col("__upto"), BLOCK, F.greatest))
     text = F.col(text_col)
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("at"))
-    step = lambda acc, s: F.when(
-        s["end"] <= acc["at"], acc
-    ).otherwise(F.struct(F.concat(acc["out"], F.array(F.when((s["start"] < acc["at"]) , F.lit("")).otherwise(F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))))).alias("out"), s["end"].alias("at")))
-    done = F.aggregate("__spans", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
-    return scanned.withColumn(text_col, F.when(F.size("__spans") > 0, done).otherwise(text)).drop("__base", "__spans")
+
+    def piece(s: Column, i: Column) -> Column:
+        """What stands between the spans before and this one, and the mark; nothing where they overlap."""
+        at = F.get("__at", i)
+        return F.when(s["start"] < at, "").otherwise(F.concat(F.substring(text, at + 1, s["start"] - at), F.lit(mark)))
+
+    done = F.concat(F.array_join(F.transform("__spans", piece), ""), F.substring(text, F.array_max("__ends") + 1, F.length(text)))
+    return rows.withColumn(text_col, F.when(F.size("__spans") > 0, done).otherwise(text)).drop("__base", "__spans", "__ends", "__upto", "__at")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import weakref
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +52,27 @@ def fixed(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
 
 
+def add(x: Column, y: Column) -> Column:
+    return x + y
+
+
+def block_folds(numbers: Column, size: int, fold: Callable[[Column, Column], Column] = add) -> Column:
+    """The fold from 0 of each block of ``size`` numbers of an array."""
+    n = F.floor((F.size(numbers) + size - 1) / size).cast("int")
+    each = F.transform(F.sequence(F.lit(0), n - 1), lambda b: F.aggregate(F.slice(numbers, b * size + 1, F.lit(size)), F.lit(0), fold))
+    return F.when(n > 0, each).otherwise(F.array().cast("array<int>"))
+
+
+def folds_before(numbers: Column, blocks: Column, size: int, fold: Callable[[Column, Column], Column] = add) -> Column:
+    """For each number of an array the fold from 0 of those before it: by whole blocks (``block_folds``), then the rest."""
+
+    def before(_: Column, i: Column) -> Column:
+        whole = F.floor(i / size).cast("int")
+        return F.aggregate(F.slice(numbers, whole * size + 1, i - whole * size), F.aggregate(F.slice(blocks, F.lit(1), whole), F.lit(0), fold), fold)
+
+    return F.transform(numbers, before)
+
+
 def spread_join(rows: DataFrame, keyed: DataFrame, keys: list[str], by: Column, most: int = 4096, least: int = 4096) -> DataFrame:
     """``rows`` joined to ``keyed`` (one row a key, with ``n``, its number of rows); a key with many rows is dealt over many tasks.
 
