@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geotrail.llm.shared import block_folds, fixed, folds_before
+from geotrail.llm.shared import block_folds, fixed, folds_before, larger
 
 #: Fixed patterns, the group that holds the value, and its least length, in the order of their kinds.
 KINDS = {
@@ -152,8 +152,8 @@ def digest(scanned: DataFrame) -> DataFrame:
 def redact(scanned: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """``scanned`` with each span of its texts replaced by ``mark``, touching or nested spans by one; the span columns go."""
     rows = fixed(scanned, __ends=F.transform("__spans", lambda s: s["end"]))
-    rows = fixed(rows, __upto=block_folds(F.col("__ends"), BLOCK, F.greatest))
-    rows = fixed(rows, __at=folds_before(F.col("__ends"), F.col("__upto"), BLOCK, F.greatest))
+    rows = fixed(rows, __upto=block_folds(F.col("__ends"), BLOCK, larger))
+    rows = fixed(rows, __at=folds_before(F.col("__ends"), F.col("__upto"), BLOCK, larger))
     text = F.col(text_col)
 
     def piece(s: Column, i: Column) -> Column:

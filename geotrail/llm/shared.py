@@ -56,6 +56,10 @@ def add(x: Column, y: Column) -> Column:
     return x + y
 
 
+def larger(x: Column, y: Column) -> Column:
+    return F.greatest(x, y)
+
+
 def block_folds(numbers: Column, size: int, fold: Callable[[Column, Column], Column] = add) -> Column:
     """The fold from 0 of each block of ``size`` numbers of an array."""
     n = F.floor((F.size(numbers) + size - 1) / size).cast("int")
