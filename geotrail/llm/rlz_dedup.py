@@ -5,15 +5,15 @@ reference blocks are indexed by anchors: of the short word grams of a window the
 so equal windows have equal anchors.  An anchor's reference block is the first document that has it.
 
 1. Anchors of all documents are counted; those of two documents or more, with their first document, are
-   joined back.  Counting is aggregated before the shuffle, and the join splits skewed keys.
+   joined back.  Counting is aggregated before the shuffle, and the join deals anchors with many places over tasks.
 2. Each document sends the runs of words around its shared anchors to their reference blocks, and as a
    block the runs around the anchors that it has first.  Runs for a much copied block are dealt over
    ``salts`` tasks, each with the block.
 3. A run is parsed greedily into factors of its block: a match at least a window long that goes on as long
    as the block does.  Where a factor ends, the windows across its end are looked up in the block, so that
    what straddles two factors is found.
-4. Windows that their block doesn't hold may still be in a document between the two: they are indexed
-   themselves, by 128-bit hashes, with their first document.
+4. Windows that their block doesn't hold may still be in a document between the two, if their anchor has a third
+   place: these are indexed themselves, by 128-bit hashes, with their first document.
 
 Factors and windows so found are the duplicate spans; ``remove`` takes their words out of the documents.
 Words are compared by 64-bit hashes, inside one block.
@@ -34,10 +34,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geotrail.llm.grams import Words, as_bytes, mix, parts, windows
-from geotrail.llm.shared import written
+from geotrail.llm.shared import spread_join, written
 
-#: Words of a window and of an anchor.
-WINDOW, ANCHOR = 13, 4
+#: Words of a window and of an anchor: long enough that documents rarely share one by chance.
+WINDOW, ANCHOR = 13, 8
 #: Shared anchors whose runs one task parses against a block: some 4 MB of text.
 SALT = 1 << 16
 
@@ -85,38 +85,40 @@ def anchors(docs: DataFrame) -> DataFrame:
 
 
 def runs(docs: DataFrame, shared: DataFrame) -> DataFrame:
-    """(block, doc_id, refers, at, words): what documents send to reference blocks.
+    """(block, doc_id, refers, seek, at, words): what documents send to reference blocks.
 
-    ``shared``: (doc_id, told array<struct<at, block>>).  ``at`` is the first word's number in its document.
+    ``shared``: (doc_id, told array<struct<at, block, more>>), ``more`` for anchors of more than two places; ``seek`` says
+    that what the block lacks may be elsewhere.  ``at`` is the first word's number in its document.
     """
     rows = docs.join(shared, "doc_id").select("doc_id", "text", "told")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in parts(batches, 1):
-            words, out = Words(texts), [[], [], [], [], []]
+            words, out = Words(texts), [[], [], [], [], [], []]
             ids, told = batch.column(0).to_pylist(), batch.column(2)
             for k, doc in enumerate(ids):
                 own = words.hashes[words.first[k] : words.first[k + 1]]
                 anchor = window_anchors(windows(own, ANCHOR), WINDOW, ANCHOR)
                 block = np.full(len(own) + 1, -1, np.int64)
-                known = np.zeros(len(own) + 1, bool)
+                known, more = np.zeros(len(own) + 1, bool), np.zeros(len(own) + 1, bool)
                 pairs = told[k].values
                 at = pairs.field("at").to_numpy()
-                at, ref = at[at < len(own)], pairs.field("block").to_numpy()[at < len(own)]
-                block[at], known[at] = ref, True
+                fits = at < len(own)
+                at = at[fits]
+                block[at], known[at], more[at] = pairs.field("block").to_numpy()[fits], True, pairs.field("more").to_numpy(zero_copy_only=False)[fits]
                 if not len(anchor):
                     continue
-                of, has = block[anchor], known[anchor]
-                edge = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (has[1:] != has[:-1])]))
+                of, has, seek = block[anchor], known[anchor], more[anchor]
+                edge = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (has[1:] != has[:-1]) | (seek[1:] != seek[:-1])]))
                 for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(of)], strict=True):
                     if has[a]:
-                        values = (int(of[a]), doc, int(of[a]) != doc, a, words.text(words.first[k] + a, words.first[k] + b - 1 + WINDOW))
+                        values = (int(of[a]), doc, int(of[a]) != doc, bool(seek[a]), a, words.text(words.first[k] + a, words.first[k] + b - 1 + WINDOW))
                         for column, v in zip(out, values, strict=True):
                             column.append(v)
-            types = (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["block", "doc_id", "refers", "at", "words"])
+            types = (pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["block", "doc_id", "refers", "seek", "at", "words"])
 
-    return rows.mapInArrow(run, "block long, doc_id long, refers boolean, at int, words binary")
+    return rows.mapInArrow(run, "block long, doc_id long, refers boolean, seek boolean, at int, words binary")
 
 
 class Block:
@@ -162,22 +164,23 @@ def parse(words: Words, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 def _parsed(sent: DataFrame, salts: DataFrame) -> DataFrame:
-    """(doc_id, at, upto, g, h): factors as word ranges, and windows that the block lacks with their hashes."""
+    """(doc_id, at, upto, g, h): factors as word ranges, and windows that the block lacks and that are sought, with their hashes."""
     rows = sent.join(salts, "block")
     own = F.pmod(F.xxhash64("doc_id", "at"), F.col("salts")).cast("int")
     salt = F.when(F.col("refers"), F.array(own)).otherwise(F.sequence(F.lit(0), F.col("salts") - 1))
-    dealt = rows.select("block", F.explode(salt).alias("salt"), "doc_id", "refers", "at", "words")
+    dealt = rows.select("block", F.explode(salt).alias("salt"), "doc_id", "refers", "seek", "at", "words")
 
     def run(table: pa.Table) -> pa.Table:
         refers = table["refers"].to_numpy(zero_copy_only=False)
         text = as_bytes(table["words"].combine_chunks())
         block = Block([t for t, r in zip(text, refers, strict=True) if not r])
         mine = np.flatnonzero(refers)
-        doc, at = table["doc_id"].to_numpy()[mine], table["at"].to_numpy()[mine]
+        doc, at, seek = table["doc_id"].to_numpy()[mine], table["at"].to_numpy()[mine], table["seek"].to_numpy(zero_copy_only=False)[mine]
         out: list[list[np.ndarray]] = [[], [], [], [], []]
         for first in range(0, len(mine), 512):
             words = Words([text[k] for k in mine[first : first + 512]])
             begin, end, left = parse(words, block)
+            left = left[seek[first + np.searchsorted(words.first, left, "right") - 1]]
             second = windows(mix(words.hashes + np.uint64(77)), WINDOW)[left]
             hashes = windows(words.hashes, WINDOW)[left]
             start, upto = np.concatenate([begin, left]), np.concatenate([end, left + WINDOW])
@@ -197,14 +200,15 @@ def duplicate_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, at, upto): word ranges of ``docs`` (doc_id, text) that are covered by duplicate windows."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
     found = anchors(rows)
-    first = found.groupBy("anchor").agg(F.min("doc_id").alias("block"), F.max("doc_id").alias("last")).filter("block < last").select("anchor", "block")
-    shared = written(found.join(first, "anchor").groupBy("doc_id").agg(F.collect_list(F.struct("at", "block")).alias("told")))
+    first = written(found.groupBy("anchor").agg(F.min("doc_id").alias("block"), F.max("doc_id").alias("last"), F.count("*").alias("n")).filter("block < last").select("anchor", "block", "n"))
+    joined = spread_join(found, first, ["anchor"], F.xxhash64("doc_id", "at"))
+    shared = written(joined.groupBy("doc_id").agg(F.collect_list(F.struct("at", "block", (F.col("n") > 2).alias("more"))).alias("told")))
     asked = shared.select("doc_id", F.explode("told").alias("t")).filter("t.block < doc_id").groupBy("t.block").agg(F.count("*").alias("n"))
     salts = asked.select("block", F.ceil(F.col("n") / SALT).cast("int").alias("salts"))
     told = written(_parsed(runs(rows, shared), salts))
     lacking = told.filter("g <> 0 or h <> 0")
-    between = lacking.groupBy("g", "h").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last")).filter("least < last").select("g", "h", "least")
-    later = lacking.join(between, ["g", "h"]).filter("least < doc_id").select("doc_id", "at", "upto")
+    between = lacking.groupBy("g", "h").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last"), F.count("*").alias("n")).filter("least < last")
+    later = spread_join(lacking, written(between.select("g", "h", "least", "n")), ["g", "h"], F.xxhash64("doc_id", "at")).filter("least < doc_id").select("doc_id", "at", "upto")
     return told.filter("g = 0 and h = 0").select("doc_id", "at", "upto").unionByName(later)
 
 
