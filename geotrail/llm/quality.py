@@ -25,7 +25,9 @@ from geotrail.llm.shared import fixed, written
 
 SPACES = " \t\n\x0b\x0c\r"
 SPLIT = r"[\x20\x09-\x0D]+"
-SYMBOLS = "#*$%&|<>"
+#: Words of a window; bits of a window's place among the numbers that are sorted.
+WINDOW, PLACE_BITS = 3, 24
+PLACES = (1 << PLACE_BITS) - 1
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_marks")
 #: Labelled rows to fit on, bins of a feature, conditions of a rule, rules of a list, and what a rule must reach.
 SAMPLE, BINS, CONDITIONS, RULES, PRECISION, COVER = 20_000, 16, 3, 8, 0.95, 10
@@ -40,28 +42,51 @@ class Condition(NamedTuple):
 Rule = tuple[Condition, ...]
 
 
-def _without(text: Column, chars: str) -> Column:
-    return F.length(F.translate(text, chars, ""))
+def _count(text: Column, chars: str) -> Column:
+    return F.regexp_count(text, F.lit(chars))
+
+
+def _at(k: Column) -> Column:
+    """The place that a number of ``__sorted`` holds in its low bits."""
+    return k.bitwiseAND(F.lit(PLACES)).cast("int")
+
+
+def _prefix(k: Column) -> Column:
+    return F.shiftright(k, PLACE_BITS)
 
 
 def measure(df: DataFrame, text_col: str = "text", out: str = "__counts") -> DataFrame:
-    """``df`` with a struct of counts of each whole text."""
+    """``df`` with a struct of counts of each whole text.
+
+    Windows are sorted as numbers, the high bits of their hash and their place; where two hashes share only the high
+    bits, or places need more bits, pairs of hash and place are sorted instead.
+    """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    lines = F.filter(F.split(text, "\n", -1), lambda x: _without(x, SPACES) > 0)
+    lines = F.filter(F.split(text, "\n", -1), lambda x: F.ltrim(x, F.lit(SPACES)) != "")
     df = fixed(df, __words=F.array_remove(F.split(text, SPLIT, -1), ""), __lines=lines)
     word = lambda i: F.get("__words", i)
     first = F.slice("__words", 1, F.greatest(F.size("__words") - 2, F.lit(0)))
-    windows = F.sort_array(F.transform(first, lambda w, i: F.struct(F.xxhash64(w, word(i + 1), word(i + 2)).alias("h"), i.alias("i"))))
-    df = fixed(df, __windows=windows)
-    hashed = lambda k: F.get("__windows", k)["h"]
-    twice = F.filter("__windows", lambda x, k: (x["h"] == hashed(k - 1)) | (x["h"] == hashed(k + 1)))
-    repeated = F.size(F.array_distinct(F.flatten(F.transform(twice, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))))
+    df = fixed(df, __hashes=F.transform(first, lambda w, i: F.xxhash64(w, word(i + 1), word(i + 2))))
+    df = fixed(df, __sorted=F.sort_array(F.transform("__hashes", lambda h, i: h.bitwiseAND(F.lit(~PLACES)).bitwiseOR(i.cast("long")))))
+    near = lambda k: _prefix(F.get("__sorted", k))
+    twice = F.filter("__sorted", lambda x, k: (_prefix(x) == near(k - 1)) | (_prefix(x) == near(k + 1)))
+    df = fixed(df, __twice=twice)
+    hashed = lambda k: F.get("__hashes", _at(k))
+    mixed = F.transform("__twice", lambda x, k: (_prefix(x) == _prefix(F.get("__twice", k - 1))) & (hashed(x) != hashed(F.get("__twice", k - 1))))
+    pairs = F.sort_array(F.transform("__hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    own = F.exists(mixed, lambda x: F.coalesce(x, F.lit(False))) | (F.size("__hashes") > PLACES)
+    df = fixed(df, __pairs=F.when(own, pairs))
+    beside = lambda k: F.get("__pairs", k)["h"]
+    exact = F.transform(F.filter("__pairs", lambda x, k: (x["h"] == beside(k - 1)) | (x["h"] == beside(k + 1))), lambda x: x["i"])
+    df = fixed(df, __places=F.sort_array(F.when(F.col("__pairs").isNotNull(), exact).otherwise(F.transform("__twice", _at))))
+    steps = F.transform("__places", lambda i, k: F.least(F.coalesce(F.get("__places", k + 1) - i, F.lit(WINDOW)), F.lit(WINDOW)))
     counts = {
-        "n_words": F.size("__words"), "word_chars": _without(text, SPACES), "n_symbols": F.length(text) - _without(text, SYMBOLS),
-        "n_dup_lines": F.size("__lines") - F.size(F.array_distinct("__lines")), "n_repeat_words": repeated,
-        "n_upper": F.length(text) - _without(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), "n_marks": F.length(text) - _without(text, "!?"),
+        "n_words": F.size("__words"), "word_chars": F.length(text) - _count(text, r"[\x20\x09-\x0D]"), "n_symbols": _count(text, "[#*$%&|<>]"),
+        "n_dup_lines": F.size("__lines") - F.size(F.array_distinct("__lines")), "n_repeat_words": F.aggregate(steps, F.lit(0), lambda a, x: a + x),
+        "n_upper": _count(text, "[A-Z]"), "n_marks": _count(text, "[!?]"),
     }
-    return fixed(df, **{out: F.struct(*(counts[k].cast("long").alias(k) for k in COUNTS))}).drop("__words", "__lines", "__windows")
+    told = fixed(df, **{out: F.struct(*(counts[k].cast("long").alias(k) for k in COUNTS))})
+    return told.drop("__words", "__lines", "__hashes", "__sorted", "__twice", "__pairs", "__places")
 
 
 def base_failed(c: Column) -> Column:

@@ -17,7 +17,7 @@ from tests.llm.test_dedup_ops import brute_classes
 from tests.llm.test_native_ops import brute_base, brute_counts
 
 SF = "/root/testdata/sf0.001"
-OWN = "__p __tokens __text __row __spans __base __counts __quality __words __kept __rows __first __rate id digest node".split()
+OWN = "__p __hashes __places __tokens __text __row __spans __base __counts __quality __words __kept __rows __first __rate id digest node".split()
 
 
 def odd(spark, docs=None):
@@ -112,6 +112,17 @@ def test_quality_list_equals_brute_force(spark):
     assert sorted(tuple(round(r[n], 9) for n in names) for r in rows) == want
 
 
+def test_windows_with_few_bits_of_hash(spark, monkeypatch):
+    """Hashes that share their high bits, and texts of more windows than places, are told apart all the same."""
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()] + ["a b c d " * 60, " ".join(f"w{k % 7}" for k in range(90))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for bits in (54, 5):  # ten bits of hash; 31 places
+        monkeypatch.setattr(quality, "PLACE_BITS", bits)
+        monkeypatch.setattr(quality, "PLACES", (1 << bits) - 1)
+        got = {r.doc_id: r["__counts"].n_repeat_words for r in quality.measure(df).collect()}
+        assert got == {k: brute_counts(t)[4] for k, t in enumerate(texts)}
+
+
 def test_quality_ties_and_clashes(spark):
     """Rows that tie in every feature: no threshold tells them apart, so there is no rule."""
     docs = spark.createDataFrame([(i, " ".join(f"w{k}" for k in range(60))) for i in range(60)], "doc_id long, text string")
