@@ -30,6 +30,12 @@ def haversine_m(lon0, lat0, lon1, lat1) -> Column:
     return 2 * EARTH_M * F.atan2(F.sqrt(a), F.sqrt(F.greatest(1 - a, F.lit(0.0))))
 
 
+def metres(lon0: float, lat0: float, lon1: float, lat1: float) -> float:
+    """``haversine_m`` of two places, for folds inside tasks."""
+    a = math.sin(math.radians(lat1 - lat0) / 2) ** 2 + math.cos(math.radians(lat0)) * math.cos(math.radians(lat1)) * math.sin(math.radians(lon1 - lon0) / 2) ** 2
+    return 2 * EARTH_M * math.atan2(math.sqrt(a), math.sqrt(max(0.0, 1 - a)))
+
+
 def mercator_x(lon) -> Column:
     return (col(lon) + 180.0) / 360.0 * UNITS
 

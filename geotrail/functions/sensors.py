@@ -26,16 +26,27 @@ FORMULAS = {
 }
 
 
-def obd_value(pid, data) -> Column:
-    """An integer reading from a PID (int) and its data in hex; divisions go towards zero, a byte that isn't hex is 0."""
+def obd_numbers(data) -> Column:
+    """struct<v, w>: the first byte and the first two of data in hex; 0 where it isn't hex."""
     number = lambda text, digits: F.coalesce(F.conv(F.nullif(F.regexp_extract(text, rf"^([0-9A-Fa-f]{{{digits}}})", 1), F.lit("")), 16, 10).try_cast("long"), F.lit(0).cast("long"))
-    with_values = {"v": number(col(data), "2"), "w": number(F.replace(col(data), F.lit(" "), F.lit("")), "1,4")}
-    out = with_values["v"]
+    return F.struct(number(col(data), "2").alias("v"), number(F.replace(col(data), F.lit(" "), F.lit("")), "1,4").alias("w"))
+
+
+def obd_reading(pid, v, w) -> Column:
+    """An integer reading from a PID (int) and the numbers of its data; divisions go towards zero."""
+    values = {"v": col(v), "w": col(w)}
+    out = values["v"]
     for formula, pids in FORMULAS.items():
-        out = F.when(col(pid).isin(*(int(p, 16) for p in pids)), _formula(formula, with_values)).otherwise(out)
+        out = F.when(col(pid).isin(*(int(p, 16) for p in pids)), _formula(formula, values)).otherwise(out)
     return out.cast("int")
 
 
+def obd_value(pid, data) -> Column:
+    """``obd_reading`` of data in hex."""
+    n = obd_numbers(data)
+    return obd_reading(pid, n["v"], n["w"])
+
+
 def _formula(text: str, values: dict[str, Column]) -> Column:
     """A formula of one value, whole numbers and + - * /, from left to right; brackets only around the first step."""
     words = text.replace("(", "").replace(")", "").split()
@@ -54,14 +65,28 @@ def _towards_zero(c: Column, n: int) -> Column:
 
 
 def nmea_checksum(body) -> Column:
-    """XOR of a sentence's characters, as an int."""
-    return F.aggregate(F.transform(F.filter(F.split(col(body), ""), lambda c: c != ""), F.ascii), F.lit(0), lambda a, x: a.bitwiseXOR(x))
+    """XOR of a sentence's bytes, as an int: seven bytes at a time as one number, whose bytes are folded at the end."""
+    digits = F.hex(F.encode(col(body), "UTF-8"))
+    whole = F.rpad(digits, F.ceil(F.length(digits) / 14).cast("int") * 14, "0")
+
+    def folded(seven: Column) -> Column:
+        for bits in (32, 16, 8):
+            seven = seven.bitwiseXOR(F.shiftright(seven, bits))
+        return seven.bitwiseAND(F.lit(255)).cast("int")
+
+    return F.aggregate(F.regexp_extract_all(whole, F.lit(".{14}"), F.lit(0)), F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.conv(x, 16, 10).cast("long")), folded)
+
+
+def nmea_parts(raw) -> Column:
+    """struct<body, sent>: what a whole line ``$...*HH`` says, and its checksum in hex; empty for other lines."""
+    part = lambda k: F.regexp_extract(col(raw), r"^\$([^*$]+)\*([0-9A-Fa-f]{2})\s*$", k)
+    return F.struct(part(1).alias("body"), part(2).alias("sent"))
 
 
 def nmea_valid(raw) -> Column:
-    """Whether a line is a whole sentence ``$...*HH`` with the right checksum."""
-    body, sent = F.regexp_extract(col(raw), r"^\$([^*$]+)\*([0-9A-Fa-f]{2})\s*$", 1), F.regexp_extract(col(raw), r"^\$([^*$]+)\*([0-9A-Fa-f]{2})\s*$", 2)
-    return (sent != "") & (nmea_checksum(body) == F.conv(sent, 16, 10).try_cast("int"))
+    """Whether a line is a whole sentence with the right checksum."""
+    told = nmea_parts(raw)
+    return (told["sent"] != "") & (nmea_checksum(told["body"]) == F.conv(told["sent"], 16, 10).try_cast("int"))
 
 
 def nmea_degrees(value, hemisphere) -> Column:

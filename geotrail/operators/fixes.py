@@ -6,10 +6,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from geotrail.functions.geo import BOX, haversine_m
+from geotrail.functions.geo import BOX, haversine_m, metres
 
 #: Metres a second above which a fix is an outlier.
 MAX_MPS = 100.0
@@ -105,35 +108,53 @@ def journeys(df: DataFrame, max_mps: float = MAX_MPS, box: tuple = BOX) -> DataF
     )
 
 
+def _followed(df: DataFrame, max_mps: float, box: tuple, extra: list[str]) -> DataFrame:
+    """The fixes (user_id, day, event_id, t, lon, lat, extra columns) of each user and day in order, with what the rules of ``journeys`` say.
+
+    Adds ``first`` (the day's first time), ``inside`` (accepted, in the box), ``fast`` and ``way``.  Rows come sorted
+    and only the last accepted fix is carried from one to the next, so time grows with the rows and a day of any
+    length needs no memory of its own.  A fix without a time or place is neither accepted nor fast.
+    """
+    tie = F.col("event_id") if "event_id" in df.columns else F.lit(0).cast("long")
+    rows = with_day(df).select("user_id", "day", tie.alias("event_id"), F.unix_micros("ts").alias("t"), F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat"), *extra)
+    order = ["user_id", "day", "t", "event_id", "lon", "lat"]
+    dealt = rows.repartition("user_id", "day").sortWithinPartitions(*order)
+    west, east, south, north = box
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, moved, lon0, lat0, t0, total, first = None, False, 0.0, 0.0, 0, 0.0, 0
+        for batch in batches:
+            told: list[list] = [[], [], [], []]
+            user, day, _, t, lon, lat = (batch.column(k).to_pylist() for k in range(6))
+            for key, at, x, y in zip(zip(user, day, strict=True), t, lon, lat, strict=True):
+                if key != last:
+                    last, moved, lon0, lat0, t0, total, first = key, False, 0.0, 0.0, 0, 0.0, at
+                inside = fast = False
+                if x is not None and y is not None and at is not None and not (x == lon0 and y == lat0):
+                    away = metres(lon0, lat0, x, y) if moved else 0.0
+                    fast = moved and away > max_mps * ((at - t0) / 1e6)
+                    if not fast:
+                        moved, lon0, lat0, t0, total = True, x, y, at, total + away
+                        inside = west <= x <= east and south <= y <= north
+                for column, v in zip(told, (first, inside, fast, total), strict=True):
+                    column.append(v)
+            more = [pa.array(c, kind) for c, kind in zip(told, (pa.int64(), pa.bool_(), pa.bool_(), pa.float64()), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "first", "inside", "fast", "way"])
+
+    kinds = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
+    return dealt.mapInArrow(run, f"{kinds}, first long, inside boolean, fast boolean, way double")
+
+
 def clean_path(df: DataFrame, max_mps: float = MAX_MPS, box: tuple = BOX) -> DataFrame:
     """The accepted fixes inside the box with the way so far: (user_id, day, journey_time_id, event_id, ts, lon, lat, ...)."""
     extra = [c for c in ("speed", "altitude") if c in df.columns]
-    step = _fold(max_mps, box)
-
-    def keep(s: Column, f: Column) -> Column:
-        new = step(s["now"], f)
-        row = F.struct(f["tie"].alias("event_id"), f["t"].alias("t"), f["lon"].alias("lon"), f["lat"].alias("lat"), *(f[c].alias(c) for c in extra), new["total"].alias("way"))
-        return F.struct(new.alias("now"), F.when(new["inside"], F.concat(s["rows"], F.array(row))).otherwise(s["rows"]).alias("rows"))
-
-    days = _days(df, extra)
-    kinds = ",".join(f"{c}:{dict(df.dtypes)[c]}" for c in extra)
-    start = F.struct(_start(F.col("fixes")[0]["t"]).alias("now"), F.array().cast(f"array<struct<event_id:bigint,t:bigint,lon:double,lat:double,{kinds}{',' if kinds else ''}way:double>>").alias("rows"))
-    told = days.select("user_id", "day", F.floor(F.col("fixes")[0]["t"] / 1000).cast("long").alias("journey_time_id"), F.explode(F.aggregate("fixes", start, keep, lambda s: s["rows"])).alias("r"))
-    return told.select("user_id", "day", "journey_time_id", "r.event_id", F.timestamp_micros("r.t").alias("ts"), "r.lon", "r.lat", *(f"r.{c}" for c in extra), "r.way")
+    told = _followed(df, max_mps, box, extra).filter("inside")
+    return told.select("user_id", "day", F.floor(F.col("first") / 1000).cast("long").alias("journey_time_id"), "event_id", F.timestamp_micros("t").alias("ts"), "lon", "lat", *extra, "way")
 
 
 def speed_outliers(df: DataFrame, max_mps: float = MAX_MPS) -> DataFrame:
     """(user_id, day, event_id, outlier): whether a fix is too fast from the last accepted one."""
-    step = _fold(max_mps, (-1e9, 1e9, -1e9, 1e9))
-    days = _days(df, [])
-
-    def keep(s: Column, f: Column) -> Column:
-        new = step(s["now"], f)
-        row = F.struct(f["tie"].alias("event_id"), (new["fast"] > s["now"]["fast"]).alias("outlier"))
-        return F.struct(new.alias("now"), F.concat(s["rows"], F.array(row)).alias("rows"))
-
-    start = F.struct(_start(F.col("fixes")[0]["t"]).alias("now"), F.array().cast("array<struct<event_id:bigint,outlier:boolean>>").alias("rows"))
-    return days.select("user_id", "day", F.inline(F.aggregate("fixes", start, keep, lambda s: s["rows"])))
+    return _followed(df, max_mps, BOX, []).select("user_id", "day", "event_id", F.col("fast").alias("outlier"))
 
 
 def segments(df: DataFrame, columns: tuple = ("x", "y"), key: str = "file", order: str = "line") -> DataFrame:

@@ -2,40 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from geotrail.functions.sensors import nmea_degrees, nmea_time, nmea_valid, obd_value
+from geotrail.functions.plan import fixed
+from geotrail.functions.sensors import nmea_checksum, nmea_degrees, nmea_parts, nmea_time, obd_numbers, obd_reading
 
 #: Metres a second of a knot.
 KNOT = 1852.0 / 3600.0
 
 
+def _checked(df: DataFrame, raw: str) -> DataFrame:
+    """Valid lines with ``__parts`` (body, sent); lines are taken apart once, and only whole ones are summed."""
+    told = fixed(df, __parts=nmea_parts(raw)).filter("__parts.sent <> ''")
+    told = fixed(told, __sum=nmea_checksum("__parts.body"))
+    return told.filter(F.col("__sum") == F.conv("__parts.sent", 16, 10).try_cast("int")).drop("__sum")
+
+
 def valid_sentences(df: DataFrame, raw: str = "raw") -> DataFrame:
     """Whole NMEA lines with the right checksum."""
-    return df.filter(nmea_valid(raw))
+    return _checked(df, raw).drop("__parts")
 
 
 def sentences(df: DataFrame, raw: str = "raw") -> DataFrame:
     """Adds talker, kind and fields (without the address) of valid lines."""
-    fields = F.split(F.regexp_extract(raw, r"^\$([^*]*)\*", 1), ",", -1)
-    told = valid_sentences(df, raw).withColumn("__f", fields)
+    told = fixed(_checked(df, raw), __f=F.split("__parts.body", ",", -1))
     head = F.col("__f")[0]
-    return told.select("*", F.substring(head, 1, 2).alias("talker"), F.substring(head, 3, 3).alias("kind"), F.slice("__f", 2, F.size("__f")).alias("fields")).drop("__f")
+    return fixed(told, talker=F.substring(head, 1, 2), kind=F.substring(head, 3, 3), fields=F.slice("__f", 2, F.size("__f"))).drop("__f", "__parts")
 
 
 def rmc_with_altitude(told: DataFrame, keys: tuple = ()) -> DataFrame:
     """Position, speed and course of RMC sentences, with the altitude of the GGA sentence of the same UTC second.
 
-    ``keys``: columns that tell devices or days apart.  A second with several GGA sentences takes the greatest altitude.
+    ``keys``: columns that tell devices or days apart.  A second with several GGA sentences takes the greatest
+    altitude.  Both kinds go through one shuffle, by second.
     """
     field = lambda i: F.get("fields", i)
-    rmc = told.filter((F.col("kind") == "RMC") & (field(1) == "A")).select(
-        *keys, field(0).alias("utc"), nmea_time(field(8), field(0)).alias("ts"), nmea_degrees(field(4), field(5)).alias("lon"), nmea_degrees(field(2), field(3)).alias("lat"),
-        (field(6).try_cast("double") * KNOT).alias("speed"), field(7).try_cast("double").alias("course"),
+    both = told.filter(((F.col("kind") == "RMC") & (field(1) == "A")) | (F.col("kind") == "GGA"))
+    height = F.when(F.col("kind") == "GGA", field(8).try_cast("double"))
+    seconds = both.select(*keys, "kind", "fields", field(0).alias("utc"), F.max(height).over(Window.partitionBy(*keys, field(0))).alias("altitude")).filter("kind = 'RMC'")
+    return seconds.select(
+        *keys, "utc", nmea_time(field(8), field(0)).alias("ts"), nmea_degrees(field(4), field(5)).alias("lon"), nmea_degrees(field(2), field(3)).alias("lat"),
+        (field(6).try_cast("double") * KNOT).alias("speed"), field(7).try_cast("double").alias("course"), "altitude",
     )
-    gga = told.filter(F.col("kind") == "GGA").groupBy(*keys, field(0).alias("utc")).agg(F.max(field(8).try_cast("double")).alias("altitude"))
-    return rmc.join(gga, [*keys, "utc"], "left")
 
 
 def decode_nmea(raw: DataFrame, keys: tuple = ()) -> DataFrame:
@@ -45,10 +54,10 @@ def decode_nmea(raw: DataFrame, keys: tuple = ()) -> DataFrame:
 
 def decode_obd(raw: DataFrame) -> DataFrame:
     """Readings (ts, pid, value) of reply lines (ts, line); lines without ``41 `` give none."""
-    after = F.regexp_extract("line", r"^.*?41 (.*)$", 1)
-    pid = F.coalesce(F.conv(F.nullif(F.regexp_extract(after, r"^([0-9A-Fa-f]{2})", 1), F.lit("")), 16, 10).try_cast("int"), F.lit(0))
-    told = raw.filter(F.col("line").contains("41 ")).select("ts", pid.alias("pid"), F.expr("substring(regexp_extract(line, '^.*?41 (.*)$', 1), 4)").alias("data"))
-    return told.select("ts", "pid", obd_value("pid", "data").alias("value"))
+    told = fixed(raw.filter(F.col("line").contains("41 ")).select("ts", "line"), after=F.regexp_extract("line", r"^.*?41 (.*)$", 1))
+    pid = F.coalesce(F.conv(F.nullif(F.regexp_extract("after", r"^([0-9A-Fa-f]{2})", 1), F.lit("")), 16, 10).try_cast("int"), F.lit(0))
+    told = fixed(told.select("ts", "after"), pid=pid, n=obd_numbers(F.expr("substring(after, 4)")))
+    return told.select("ts", "pid", obd_reading("pid", "n.v", "n.w").alias("value"))
 
 
 def obd_stats(raw: DataFrame) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from geotrail.functions.geo import BOX, EARTH_M
+from geotrail.functions.geo import BOX
+from geotrail.functions.geo import metres as _haversine
 from geotrail.operators.fixes import MAX_MPS
 from geotrail.operators.tables import upsert_journeys
 
@@ -24,13 +25,6 @@ def fix_stream(spark: SparkSession, source: str, schema: str = FIX, max_files: i
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(source)
 
 
-def _haversine(lon0: float, lat0: float, lon1: float, lat1: float) -> float:
-    from math import atan2, cos, radians, sin, sqrt
-
-    a = sin(radians(lat1 - lat0) / 2) ** 2 + cos(radians(lat0)) * cos(radians(lat1)) * sin(radians(lon1 - lon0) / 2) ** 2
-    return 2 * EARTH_M * atan2(sqrt(a), sqrt(max(0.0, 1 - a)))
-
-
 JOURNEY = "kind string, user_id long, day string, time_id long, event_id long, t long, lon double, lat double, distance double, journey_time double"
 _STATE = "day string, first long, moved boolean, lon double, lat double, t long, total double"
 

@@ -165,12 +165,13 @@ def test_journeys_equal_a_loop(spark):
         lon, lat = 127 + float(rng.integers(0, 4)) * (0.01 if rng.random() < 0.9 else 2.0), 37 + float(rng.integers(0, 3)) * 0.01
         rows.append((int(k % 3), k, t, lon if rng.random() < 0.95 else 50.0, lat))
     df = spark.createDataFrame(rows, "user_id long, event_id long, s long, lon double, lat double").withColumn("ts", F.timestamp_seconds("s"))
-    want = {}
+    want, outlier, path = {}, {}, {}
     for user in range(3):
         last, total, end, counts = None, 0.0, None, [0, 0, 0, 0]
         own = sorted((r for r in rows if r[0] == user), key=lambda r: (r[2], r[1]))
         distance, end = 0.0, own[0][2]
-        for _, _, s, lon, lat in own:
+        for _, event, s, lon, lat in own:
+            outlier[event] = False
             if last and (lon, lat) == last[:2]:
                 counts[1] += 1
                 continue
@@ -178,17 +179,33 @@ def test_journeys_equal_a_loop(spark):
                 away = _haversine(last[0], last[1], lon, lat)
                 if away > 100 * (s - last[2]):
                     counts[2] += 1
+                    outlier[event] = True
                     continue
                 total += away
             last = (lon, lat, s)
             counts[0] += 1
             if 123 <= lon <= 133 and 31 <= lat <= 39:
                 distance, end = total, s
+                path[event] = (round(total, 3), own[0][2] * 1000)
             else:
                 counts[3] += 1
         want[user] = (round(distance, 3), float(end - own[0][2]), *counts)
     got = {r.user_id: (round(r.distance, 3), r.journey_time, r.accepted, r.repeated, r.fast, r.outside) for r in fx.journeys(df).collect()}
     assert got == want
+    assert {r.event_id: r.outlier for r in fx.speed_outliers(df).collect()} == outlier and sum(outlier.values()) > 5
+    assert {r.event_id: (round(r.way, 3), r.journey_time_id) for r in fx.clean_path(df).collect()} == path
+    odd = df.limit(1).select("user_id", "event_id", "s", F.lit(None).cast("double").alias("lon"), "lat", "ts")
+    assert {r.event_id: r.outlier for r in fx.speed_outliers(df.unionByName(odd.withColumn("event_id", F.lit(-1)))).collect()} == {**outlier, -1: False}
+    assert fx.clean_path(df.limit(0)).collect() == [] and fx.speed_outliers(df.limit(0)).collect() == []
+
+
+def test_one_long_day(spark):
+    """A fix a second for a whole day of one user, as every other user's."""
+    day = spark.range(86_400).select(F.lit(1).alias("user_id"), F.col("id").alias("event_id"), F.timestamp_seconds(F.col("id") + 1_700_006_400).alias("ts"), (127 + F.col("id") * 1e-5).alias("lon"), (37 + F.col("id") * 1e-5).alias("lat"))
+    both = day.unionByName(day.filter("event_id % 7 = 0").withColumn("user_id", F.lit(2)))
+    told = {r.user_id: (r.n, r.way) for r in fx.clean_path(both).groupBy("user_id").agg(F.count("*").alias("n"), F.max("way").alias("way")).collect()}
+    assert told[1][0] == 86_400 and told[2][0] == 12_343 and told[1][1] > told[2][1] > 0
+    assert fx.speed_outliers(both).filter("outlier").count() == 0
 
 
 def test_nearest_segments_equal_all_pairs(spark):
