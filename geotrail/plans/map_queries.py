@@ -15,16 +15,37 @@ from geotrail.plans.catalog import query
 from geotrail.plans.fix_queries import scratch
 from geotrail.sources import text
 
-#: Segments, and all pairs of points and other tracks' segments within 30 m, by cells of 8 units around segment boxes.
-_SEG = f"SELECT * FROM (SELECT file, line, x AS x0, y AS y0, lead(x) OVER w AS x1, lead(y) OVER w AS y1 FROM ({ad.PLACED}) p WINDOW w AS (PARTITION BY file ORDER BY line)) q WHERE x1 IS NOT NULL"
-_NEAR = f"""pts AS (SELECT file, line, x, y, degrees(2e0 * atan(exp((y / 1048576e0 - 0.5e0) * 2e0 * pi())) - pi() / 2e0) AS lat FROM ({ad.PLACED}) p),
-seg AS (SELECT * FROM ({_SEG}) s),
-cells AS (SELECT seg.*, cx, cy FROM seg, unnest(range(CAST(floor((least(x0, x1) - 2) / 8) AS BIGINT), CAST(floor((greatest(x0, x1) + 2) / 8) AS BIGINT) + 1)) a(cx), unnest(range(CAST(floor((least(y0, y1) - 2) / 8) AS BIGINT), CAST(floor((greatest(y0, y1) + 2) / 8) AS BIGINT) + 1)) b(cy)),
-pairs AS (SELECT p.file, p.line, p.x, p.y, p.lat, c.file AS seg_file, c.line AS seg_line, x0, y0, x1 - x0 AS dx, y1 - y0 AS dy FROM pts p JOIN cells c ON c.cx = CAST(floor(p.x / 8) AS BIGINT) AND c.cy = CAST(floor(p.y / 8) AS BIGINT) AND c.file <> p.file),
-feet AS (SELECT *, x0 + t * dx AS foot_x, y0 + t * dy AS foot_y FROM (SELECT *, CASE WHEN dx * dx + dy * dy > 0 THEN greatest(0e0, least(1e0, ((x - x0) * dx + (y - y0) * dy) / (dx * dx + dy * dy))) ELSE 0e0 END AS t FROM pairs) q),
-near AS (SELECT * FROM (SELECT *, sqrt((x - foot_x) * (x - foot_x) + (y - foot_y) * (y - foot_y)) * (2e0 * pi() * 6378137e0 / 1048576e0 * cos(radians(lat))) AS distance FROM feet) q WHERE distance <= 30e0),
-best AS (SELECT file, line, any_value(x) AS x, any_value(y) AS y, seg_file, min(distance) AS distance FROM near GROUP BY file, line, seg_file),
-foot AS (SELECT file, line, seg_file, arg_min(foot_x, (round(distance, 6), seg_line)) AS foot_x, arg_min(foot_y, (round(distance, 6), seg_line)) AS foot_y FROM near GROUP BY file, line, seg_file)"""
+#: Places and segments of tracks, each computed once.
+_SEG = f"""placed AS MATERIALIZED ({ad.PLACED}),
+seg AS MATERIALIZED (
+  SELECT * FROM (SELECT file, line, x AS x0, y AS y0, lead(x) OVER w AS x1, lead(y) OVER w AS y1 FROM placed WINDOW w AS (PARTITION BY file ORDER BY line)) q
+  WHERE x1 IS NOT NULL),
+pts AS MATERIALIZED (
+  SELECT file, line, x, y, degrees(2e0 * atan(exp((y / 1048576e0 - 0.5e0) * 2e0 * pi())) - pi() / 2e0) AS lat,
+    CAST(floor(x / 8) AS BIGINT) AS cx, CAST(floor(y / 8) AS BIGINT) AS cy FROM placed)"""
+#: Cells of 8 units that the box around a segment touches, 2 units added on each side.
+_CELLS = """cells AS MATERIALIZED (
+  SELECT seg.*, cx, cy FROM seg,
+    unnest(range(CAST(floor((least(x0, x1) - 2) / 8) AS BIGINT), CAST(floor((greatest(x0, x1) + 2) / 8) AS BIGINT) + 1)) a(cx),
+    unnest(range(CAST(floor((least(y0, y1) - 2) / 8) AS BIGINT), CAST(floor((greatest(y0, y1) + 2) / 8) AS BIGINT) + 1)) b(cy))"""
+#: All pairs of points and other tracks' segments within 30 m; the nearest segment of each other track.
+_NEAR = f"""{_SEG},
+{_CELLS},
+feet AS (
+  SELECT *, x0 + t * dx AS foot_x, y0 + t * dy AS foot_y FROM (
+    SELECT *, CASE WHEN dx * dx + dy * dy > 0 THEN greatest(0e0, least(1e0, ((x - x0) * dx + (y - y0) * dy) / (dx * dx + dy * dy))) ELSE 0e0 END AS t FROM (
+      SELECT p.file, p.line, p.x, p.y, p.lat, c.file AS seg_file, c.line AS seg_line, x0, y0, x1 - x0 AS dx, y1 - y0 AS dy
+      FROM pts p JOIN cells c ON c.cx = p.cx AND c.cy = p.cy AND c.file <> p.file) q) r),
+near AS MATERIALIZED (
+  SELECT file, line, seg_file, seg_line, foot_x, foot_y, distance FROM (
+    SELECT *, sqrt((x - foot_x) * (x - foot_x) + (y - foot_y) * (y - foot_y)) * (2e0 * pi() * 6378137e0 / 1048576e0 * cos(radians(lat))) AS distance FROM feet) q
+  WHERE distance <= 30e0),
+best AS MATERIALIZED (
+  SELECT file, line, seg_file, min(distance) AS distance, arg_min(foot_x, (round(distance, 6), seg_line)) AS foot_x, arg_min(foot_y, (round(distance, 6), seg_line)) AS foot_y
+  FROM near GROUP BY file, line, seg_file),
+mean AS MATERIALIZED (
+  SELECT p.file, p.line, coalesce(n, 0) AS n, (p.x + coalesce(sx, 0e0)) / (coalesce(n, 0) + 1) AS x, (p.y + coalesce(sy, 0e0)) / (coalesce(n, 0) + 1) AS y
+  FROM pts p LEFT JOIN (SELECT file, line, sum(foot_x) AS sx, sum(foot_y) AS sy, count(*) AS n FROM best GROUP BY file, line) f USING (file, line))"""
 
 
 def _near(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -37,82 +58,98 @@ def j2_m16_nearest_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _near(spark, sf_dir)[1].select("file", "line", "seg_file", F.round("distance", 3).alias("distance"))
 
 
-@query(f"""WITH {_NEAR}, c AS (SELECT file, line, sum(foot_x) AS sx, sum(foot_y) AS sy, count(*) AS n FROM foot GROUP BY file, line)
-SELECT p.file, p.line, coalesce(n, 0) AS n, round((p.x + coalesce(sx, 0e0)) / (coalesce(n, 0) + 1), 4) AS x, round((p.y + coalesce(sy, 0e0)) / (coalesce(n, 0) + 1), 4) AS y FROM pts p LEFT JOIN c USING (file, line)""")
+@query(f"WITH {_NEAR} SELECT file, line, n, round(x, 4) AS x, round(y, 4) AS y FROM mean")
 def a12_consensus_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     points, near = _near(spark, sf_dir)
     return match.consensus_points(points, near).select("file", "line", "n", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
 
 
 @query(f"""WITH {_NEAR}, covered AS (SELECT DISTINCT file, line FROM best WHERE seg_file < file),
-f AS (SELECT p.file, p.line, c.file IS NULL AS free FROM pts p LEFT JOIN covered c ON c.file = p.file AND c.line = p.line),
+f AS (SELECT m.*, c.file IS NULL AS free FROM mean m LEFT JOIN covered c USING (file, line)),
 b AS (SELECT *, CAST(free AND NOT coalesce(lag(free) OVER (PARTITION BY file ORDER BY line), false) AS INT) AS begins FROM f),
 r AS (SELECT *, sum(begins) OVER (PARTITION BY file ORDER BY line ROWS UNBOUNDED PRECEDING) AS run FROM b)
-SELECT file, line, CAST(run AS BIGINT) AS run FROM r WHERE free""")
+SELECT file, line, CAST(run AS BIGINT) AS run, round(x, 4) AS x, round(y, 4) AS y FROM r WHERE free""")
 def w5_integrate_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = ad.tracks(spark, sf_dir)
-    return match.integrate_paths(points, fx.segments(points)).select("file", "line", "run")
+    return match.integrate_paths(points, fx.segments(points)).select("file", "line", "run", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
 
 
-_GRID = f"SELECT file, line, x, y, CAST(floor(x / 0.5e0) AS BIGINT) AS gx, CAST(floor(y / 0.5e0) AS BIGINT) AS gy FROM ({ad.PLACED}) p"
-_VERTEX = f"SELECT gx, gy, avg(x) AS px, avg(y) AS pz, count(*) AS acc_cnt FROM ({_GRID}) g GROUP BY gx, gy"
+#: Points with their merge cells, vertices, and edges between cells.
+_GRID = f"grid AS MATERIALIZED (SELECT file, line, x, y, CAST(floor(x / 0.5e0) AS BIGINT) AS gx, CAST(floor(y / 0.5e0) AS BIGINT) AS gy FROM ({ad.PLACED}) p)"
+_VERTEX = f"""{_GRID},
+vertex AS MATERIALIZED (SELECT gx, gy, avg(x) AS px, avg(y) AS pz, count(*) AS acc_cnt FROM grid GROUP BY gx, gy)"""
 
 
-@query(f"SELECT gx, gy, round(px, 5) AS px, round(pz, 5) AS pz, acc_cnt FROM ({_VERTEX}) v")
+@query(f"WITH {_VERTEX} SELECT gx, gy, round(px, 5) AS px, round(pz, 5) AS pz, acc_cnt FROM vertex")
 def a5_merge_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.merge_points(ad.tracks(spark, sf_dir)).select("gx", "gy", F.round("px", 5).alias("px"), F.round("pz", 5).alias("pz"), "acc_cnt")
 
 
-_EDGE = f"""SELECT a_x, a_y, b_x, b_y, count(*) AS cnt FROM (SELECT CASE WHEN o THEN lx ELSE gx END AS a_x, CASE WHEN o THEN ly ELSE gy END AS a_y, CASE WHEN o THEN gx ELSE lx END AS b_x, CASE WHEN o THEN gy ELSE ly END AS b_y FROM (
-SELECT *, lx < gx OR (lx = gx AND ly < gy) AS o FROM (SELECT *, lag(gx) OVER w AS lx, lag(gy) OVER w AS ly FROM ({_GRID}) g WINDOW w AS (PARTITION BY file ORDER BY line)) q WHERE lx IS NOT NULL AND NOT (lx = gx AND ly = gy)) r) s GROUP BY ALL"""
+_EDGE = """step AS (
+  SELECT *, lx < gx OR (lx = gx AND ly < gy) AS o FROM (SELECT *, lag(gx) OVER w AS lx, lag(gy) OVER w AS ly FROM grid WINDOW w AS (PARTITION BY file ORDER BY line)) q
+  WHERE lx IS NOT NULL AND NOT (lx = gx AND ly = gy)),
+edge AS MATERIALIZED (
+  SELECT a_x, a_y, b_x, b_y, count(*) AS cnt FROM (
+    SELECT CASE WHEN o THEN lx ELSE gx END AS a_x, CASE WHEN o THEN ly ELSE gy END AS a_y, CASE WHEN o THEN gx ELSE lx END AS b_x, CASE WHEN o THEN gy ELSE ly END AS b_y FROM step) s
+  GROUP BY a_x, a_y, b_x, b_y)"""
 
 
-@query(_EDGE)
+@query(f"WITH {_GRID}, {_EDGE} SELECT a_x, a_y, b_x, b_y, cnt FROM edge")
 def a6_merge_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = graph.merge_edges(ad.tracks(spark, sf_dir))
     return told.select(F.col("a.gx").alias("a_x"), F.col("a.gy").alias("a_y"), F.col("b.gx").alias("b_x"), F.col("b.gy").alias("b_y"), "cnt")
 
 
-_LEAVES = """WITH f AS (SELECT fx, fy, count(*) AS m FROM ({points}) p GROUP BY fx, fy),
-u AS (SELECT fx, fy, m, l AS level, fx // CAST(pow(2, 15 - l) AS BIGINT) AS x, fy // CAST(pow(2, 15 - l) AS BIGINT) AS y FROM f, (SELECT unnest(range(6, 16))::INT AS l) k),
-n AS (SELECT level, x, y, CAST(sum(m) AS BIGINT) AS n FROM u GROUP BY ALL),
-leaf AS (SELECT fx, fy, min(u.level) AS level FROM u JOIN n USING (level, x, y) WHERE n <= 200 OR u.level = 15 GROUP BY fx, fy)"""
-_TRACK_CELLS = f"SELECT CAST(floor(x / 32e0) AS BIGINT) AS fx, CAST(floor(y / 32e0) AS BIGINT) AS fy FROM ({ad.PLACED}) p"
+#: The coarsest cell with at most 200 points over each finest cell that ``finest`` has.
+_LEAVES = """f AS MATERIALIZED (SELECT fx, fy, count(*) AS m FROM finest GROUP BY fx, fy),
+u AS MATERIALIZED (
+  SELECT fx, fy, m, l AS level, fx // CAST(pow(2, 15 - l) AS BIGINT) AS x, fy // CAST(pow(2, 15 - l) AS BIGINT) AS y
+  FROM f, (SELECT unnest(range(6, 16))::INT AS l) k),
+n AS MATERIALIZED (SELECT level, x, y, CAST(sum(m) AS BIGINT) AS n FROM u GROUP BY level, x, y),
+leaf AS MATERIALIZED (SELECT fx, fy, min(u.level) AS level FROM u JOIN n USING (level, x, y) WHERE n <= 200 OR u.level = 15 GROUP BY fx, fy)"""
 
 
-@query(f"{_LEAVES.format(points=_TRACK_CELLS)} SELECT leaf.fx, leaf.fy, leaf.level, u.x, u.y, n.n FROM leaf JOIN u ON u.fx = leaf.fx AND u.fy = leaf.fy AND u.level = leaf.level JOIN n ON n.level = u.level AND n.x = u.x AND n.y = u.y")
+@query(f"""WITH finest AS (SELECT CAST(floor(x / 32e0) AS BIGINT) AS fx, CAST(floor(y / 32e0) AS BIGINT) AS fy FROM ({ad.PLACED}) p), {_LEAVES}
+SELECT leaf.fx, leaf.fy, leaf.level, u.x, u.y, n.n
+FROM leaf JOIN u ON u.fx = leaf.fx AND u.fy = leaf.fy AND u.level = leaf.level JOIN n ON n.level = u.level AND n.x = u.x AND n.y = u.y""")
 def a8_adaptive_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.adaptive_cells(ad.tracks(spark, sf_dir))
 
 
-_V = f"""{_LEAVES.format(points=f"SELECT CAST(floor(px / 32e0) AS BIGINT) AS fx, CAST(floor(pz / 32e0) AS BIGINT) AS fy FROM ({_VERTEX}) v")},
-v AS (SELECT v.*, leaf.level, leaf.fx // CAST(pow(2, 15 - level) AS BIGINT) AS x, leaf.fy // CAST(pow(2, 15 - level) AS BIGINT) AS y FROM ({_VERTEX}) v JOIN leaf ON leaf.fx = CAST(floor(px / 32e0) AS BIGINT) AND leaf.fy = CAST(floor(pz / 32e0) AS BIGINT)),
-i AS (SELECT *, row_number() OVER (PARTITION BY level, x, y ORDER BY gx, gy) - 1 AS idx FROM v),
-q AS (SELECT *, (idx << 44) | (level::BIGINT << 40) | (y << 20) | x AS qgid FROM i),
-e AS (SELECT least(a.qgid, b.qgid) AS src, greatest(a.qgid, b.qgid) AS dst, cnt, a.px AS ax, a.pz AS az, b.px AS bx, b.pz AS bz, a.qgid < b.qgid AS asis FROM ({_EDGE}) e JOIN q a ON a.gx = e.a_x AND a.gy = e.a_y JOIN q b ON b.gx = e.b_x AND b.gy = e.b_y)"""
+#: The road graph: vertices in their cells, numbered, and edges between their ids.
+_V = f"""{_VERTEX}, {_EDGE},
+placed AS MATERIALIZED (SELECT *, CAST(floor(px / 32e0) AS BIGINT) AS fx, CAST(floor(pz / 32e0) AS BIGINT) AS fy FROM vertex),
+finest AS (SELECT fx, fy FROM placed), {_LEAVES},
+v AS (
+  SELECT p.*, level, p.fx // CAST(pow(2, 15 - level) AS BIGINT) AS x, p.fy // CAST(pow(2, 15 - level) AS BIGINT) AS y FROM placed p JOIN leaf USING (fx, fy)),
+q AS MATERIALIZED (
+  SELECT *, (idx << 44) | (level::BIGINT << 40) | (y << 20) | x AS qgid FROM (
+    SELECT *, row_number() OVER (PARTITION BY level, x, y ORDER BY gx, gy) - 1 AS idx FROM v) i),
+e AS MATERIALIZED (
+  SELECT least(a.qgid, b.qgid) AS src, greatest(a.qgid, b.qgid) AS dst, cnt, a.px AS ax, a.pz AS az, b.px AS bx, b.pz AS bz, a.qgid < b.qgid AS asis
+  FROM edge JOIN q a ON a.gx = a_x AND a.gy = a_y JOIN q b ON b.gx = b_x AND b.gy = b_y)"""
 
 
-@query(f"""{_V}, d AS (SELECT id, count(*) AS tr_cnt FROM (SELECT src AS id FROM e UNION ALL SELECT dst FROM e) s GROUP BY id)
+@query(f"""WITH {_V}, d AS (SELECT id, count(*) AS tr_cnt FROM (SELECT src AS id FROM e UNION ALL SELECT dst FROM e) s GROUP BY id)
 SELECT qgid, level, x, y, idx, round(px, 5) AS px, round(pz, 5) AS pz, acc_cnt, coalesce(tr_cnt, 0) AS tr_cnt FROM q LEFT JOIN d ON id = qgid""")
 def u4_w4_a7_road_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     vertices, _ = graph.build_road_graph(ad.tracks(spark, sf_dir))
     return vertices.select("qgid", "level", "x", "y", F.col("idx").cast("long").alias("idx"), F.round("px", 5).alias("px"), F.round("pz", 5).alias("pz"), "acc_cnt", "tr_cnt")
 
 
-@query(f"""{_V} SELECT src, dst, cnt, round(CASE WHEN asis THEN ax ELSE bx END, 5) AS x0, round(CASE WHEN asis THEN az ELSE bz END, 5) AS y0, round(CASE WHEN asis THEN bx ELSE ax END, 5) AS x1, round(CASE WHEN asis THEN bz ELSE az END, 5) AS y1 FROM e""")
+@query(f"""WITH {_V} SELECT src, dst, cnt, round(CASE WHEN asis THEN ax ELSE bx END, 5) AS x0, round(CASE WHEN asis THEN az ELSE bz END, 5) AS y0,
+  round(CASE WHEN asis THEN bx ELSE ax END, 5) AS x1, round(CASE WHEN asis THEN bz ELSE az END, 5) AS y1 FROM e""")
 def j7_edge_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     vertices, edges = graph.build_road_graph(ad.tracks(spark, sf_dir))
     return graph.edge_geometry(edges, vertices).select("src", "dst", "cnt", *(F.round(c, 5).alias(c) for c in ("x0", "y0", "x1", "y1")))
 
 
-_EDGES10 = f"SELECT file AS src, file * 100000 + line AS dst, x0, y0, x1, y1 FROM ({_SEG}) s WHERE line % 10 = 0"
-
-
-@query(f"""WITH pts AS (SELECT file, line, x, y, degrees(2e0 * atan(exp((y / 1048576e0 - 0.5e0) * 2e0 * pi())) - pi() / 2e0) AS lat FROM ({ad.PLACED}) p),
-cells AS (SELECT e.*, cx, cy FROM ({_EDGES10}) e, unnest(range(CAST(floor((least(x0, x1) - 2) / 8) AS BIGINT), CAST(floor((greatest(x0, x1) + 2) / 8) AS BIGINT) + 1)) a(cx), unnest(range(CAST(floor((least(y0, y1) - 2) / 8) AS BIGINT), CAST(floor((greatest(y0, y1) + 2) / 8) AS BIGINT) + 1)) b(cy)),
-feet AS (SELECT *, x0 + t * dx AS foot_x, y0 + t * dy AS foot_y FROM (SELECT *, greatest(0e0, least(1e0, ((x - x0) * dx + (y - y0) * dy) / (dx * dx + dy * dy))) AS t FROM (
-  SELECT p.file, p.line, p.x, p.y, p.lat, src, dst, x0, y0, x1 - x0 AS dx, y1 - y0 AS dy FROM pts p JOIN cells c ON c.cx = CAST(floor(p.x / 8) AS BIGINT) AND c.cy = CAST(floor(p.y / 8) AS BIGINT) AND c.src <> p.file) q) r),
-near AS (SELECT *, sqrt((x - foot_x) * (x - foot_x) + (y - foot_y) * (y - foot_y)) * (2e0 * pi() * 6378137e0 / 1048576e0 * cos(radians(lat))) AS distance FROM feet)
+@query(f"""WITH {_SEG},
+{_CELLS},
+feet AS (
+  SELECT *, x0 + t * dx AS foot_x, y0 + t * dy AS foot_y FROM (SELECT *, greatest(0e0, least(1e0, ((x - x0) * dx + (y - y0) * dy) / (dx * dx + dy * dy))) AS t FROM (
+    SELECT p.file, p.line, p.x, p.y, p.lat, x0, y0, x1 - x0 AS dx, y1 - y0 AS dy FROM pts p JOIN cells c ON c.cx = p.cx AND c.cy = p.cy AND c.file <> p.file) q) r),
+near AS (SELECT file, line, sqrt((x - foot_x) * (x - foot_x) + (y - foot_y) * (y - foot_y)) * (2e0 * pi() * 6378137e0 / 1048576e0 * cos(radians(lat))) AS distance FROM feet)
 SELECT file, line, round(min(distance), 3) AS distance FROM near WHERE distance <= 30e0 GROUP BY file, line""")
 def j9_near_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest edge of each point that doesn't touch the point's own vertex: all segments are edges, their far ends below all files."""
@@ -131,8 +168,10 @@ def m14_m15_utm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", F.round("g.lon", 7).alias("lon"), F.round("g.lat", 7).alias("lat"), "u.zone", fine.alias("fine"))
 
 
-@query(f"""WITH p AS (SELECT file, list({{'x': x, 'y': y}} ORDER BY line) AS p FROM ({ad.PLACED}) t WHERE line <= 20 GROUP BY file)
-SELECT file, round(list_sum(list_transform(range(1, len(p) + 1), lambda i: p[i].x * p[i % len(p) + 1].y - p[i % len(p) + 1].x * p[i].y)) / 2e0, 1) + 0e0 AS area FROM p""")
+@query(f"""WITH p AS (
+  SELECT file, line, x - first_value(x) OVER w AS x, y - first_value(y) OVER w AS y, lead(x) OVER w - first_value(x) OVER w AS x1, lead(y) OVER w - first_value(y) OVER w AS y1
+  FROM ({ad.PLACED}) t WINDOW w AS (PARTITION BY file ORDER BY line))
+SELECT file, round(sum(x * coalesce(y1, 0e0) - coalesce(x1, 0e0) * y) / 2e0, 1) + 0e0 AS area FROM p GROUP BY file""")
 def m23_polygon_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The signed area of each track closed to a ring, summed from the track's first point, where products are small."""
     w = Window.partitionBy("file").orderBy("line")
