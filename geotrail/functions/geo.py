@@ -79,18 +79,33 @@ def metres_per_unit(lat) -> Column:
     return 2 * math.pi * EQUATOR_M / UNITS * F.cos(F.radians(col(lat)))
 
 
+def foot_share(px, py, ax, ay, bx, by) -> Column:
+    """How far along a segment (0 to 1) the nearest place to a point is; 0 on a segment of no length."""
+    px, py, ax, ay, bx, by = map(col, (px, py, ax, ay, bx, by))
+    dx, dy = bx - ax, by - ay
+    long = F.greatest(dx * dx + dy * dy, F.lit(1e-300))
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((px - ax) * dx + (py - ay) * dy) / long))
+
+
+def along(a, b, share) -> Column:
+    return col(a) + col(share) * (col(b) - col(a))
+
+
+def apart(px, py, x, y, lat) -> Column:
+    """Metres between two near places in units; ``lat`` gives the local scale."""
+    dx, dy = col(px) - col(x), col(py) - col(y)
+    return F.sqrt(dx * dx + dy * dy) * metres_per_unit(lat)
+
+
 def point_segment(px, py, ax, ay, bx, by, lat) -> Column:
     """struct<distance, x, y>: metres from a point to a segment, and the segment's nearest point.
 
-    Coordinates are units; ``lat`` gives the local scale.  The foot is clamped to the segment.
+    Coordinates are units; ``lat`` gives the local scale.  The foot is clamped to the segment.  Joins over many pairs
+    take its three steps one by one, so that each is computed once.
     """
-    px, py, ax, ay, bx, by = map(col, (px, py, ax, ay, bx, by))
-    dx, dy = bx - ax, by - ay
-    long = dx * dx + dy * dy
-    t = F.when(long > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((px - ax) * dx + (py - ay) * dy) / F.when(long > 0, long)))).otherwise(0.0)
-    x, y = ax + t * dx, ay + t * dy
-    away = F.sqrt((px - x) * (px - x) + (py - y) * (py - y)) * metres_per_unit(lat)
-    return F.struct(away.alias("distance"), x.alias("x"), y.alias("y"))
+    share = foot_share(px, py, ax, ay, bx, by)
+    x, y = along(ax, bx, share), along(ay, by, share)
+    return F.struct(apart(px, py, x, y, lat).alias("distance"), x.alias("x"), y.alias("y"))
 
 
 def polygon_area(points) -> Column:

@@ -22,14 +22,34 @@ DEFINITIONS = {
         "x0 BIGINT, y0 BIGINT, x1 BIGINT, y1 BIGINT",
         "20 - greatest(CASE WHEN (x0 ^ x1) = 0 THEN 0 ELSE length(bin(x0 ^ x1)) END, CASE WHEN (y0 ^ y1) = 0 THEN 0 ELSE length(bin(y0 ^ y1)) END)",
     ),
+    "enclosing_tile": (
+        "x0 DOUBLE, y0 DOUBLE, x1 DOUBLE, y1 DOUBLE",
+        "transform(array(named_struct('x0', CAST(floor(x0) AS BIGINT), 'y0', CAST(floor(y0) AS BIGINT), 'x1', CAST(floor(x1) AS BIGINT), 'y1', CAST(floor(y1) AS BIGINT))), r ->"
+        " CASE WHEN least(r.x0, r.y0, r.x1, r.y1) < 0 OR greatest(r.x0, r.y0, r.x1, r.y1) >= 1048576 THEN named_struct('level', -1, 'x', -1L, 'y', -1L) ELSE"
+        " transform(array(greatest(length(ltrim('0', bin(r.x0 ^ r.x1))), length(ltrim('0', bin(r.y0 ^ r.y1))))), up ->"
+        " named_struct('level', 20 - up, 'x', shiftright(r.x0, up), 'y', shiftright(r.y1, up)))[0] END)[0]",
+    ),
+    "tile_unkey": ("key BIGINT", "named_struct('level', CAST(shiftright(key, 48) AS INT), 'x', key & 16777215L, 'y', shiftright(key, 24) & 16777215L)"),
+    "tile_rect": (
+        "level INT, x BIGINT, y BIGINT",
+        "named_struct('left', x * power(2.0D, 20 - level), 'bottom', y * power(2.0D, 20 - level), 'right', (x + 1) * power(2.0D, 20 - level), 'top', (y + 1) * power(2.0D, 20 - level))",
+    ),
     "tile_left": ("level INT, x BIGINT", "x * power(2.0D, 20 - level)"),
     "tile_key": ("level INT, x BIGINT, y BIGINT", "shiftleft(CAST(level AS BIGINT), 48) + shiftleft(y, 24) + x"),
     "flip_y": ("level INT, y BIGINT", "CAST(power(2.0D, level) AS BIGINT) - y - 1"),
 }
 
 
+_TILE = "STRUCT<level: INT, x: BIGINT, y: BIGINT>"
+#: Types of results that aren't doubles.
+RETURNS = {
+    "enclosing_level": "INT", "tile_column": "BIGINT", "tile_row": "BIGINT", "tile_key": "BIGINT", "flip_y": "BIGINT",
+    "enclosing_tile": _TILE, "tile_unkey": _TILE, "tile_rect": "STRUCT<left: DOUBLE, bottom: DOUBLE, right: DOUBLE, top: DOUBLE>",
+}
+
+
 def register_sql(spark: SparkSession) -> list[str]:
     """Makes the functions known to ``spark.sql`` of this session; returns their names."""
     for name, (parameters, body) in DEFINITIONS.items():
-        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS {'INT' if name == 'enclosing_level' else 'BIGINT' if name in ('tile_column', 'tile_row', 'tile_key', 'flip_y') else 'DOUBLE'} RETURN {body}")
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS {RETURNS.get(name, 'DOUBLE')} RETURN {body}")
     return list(DEFINITIONS)

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from geotrail.functions.geo import EQUATOR_M, UNITS, mercator_lat, metres_per_unit
+from geotrail.functions.geo import EQUATOR_M, UNITS, along, apart, foot_share, mercator_lat
 from geotrail.functions.plan import fixed
 
 #: Units of a grid cell; a segment is written to the cells that its band touches, column by column.
@@ -42,17 +42,14 @@ def near_pairs(points: DataFrame, segments: DataFrame, limit_m: float, keep: Col
     s = segments.select(F.col("file").alias("seg_file"), F.col("line").alias("seg_line"), "x0", "y0", "x1", "y1")
     s = fixed(s, grow=_grow(limit_m)).withColumn("c", F.explode(_cells()))
     s = s.select("seg_file", "seg_line", "x0", "y0", "x1", "y1", "c.cx", "c.cy")
-    p = fixed(points.select("file", "line", "x", "y"), cx=F.floor(F.col("x") / CELL), cy=F.floor(F.col("y") / CELL), scale=metres_per_unit(mercator_lat("y")))
+    p = fixed(points.select("file", "line", "x", "y"), cx=F.floor(F.col("x") / CELL), cy=F.floor(F.col("y") / CELL), lat=mercator_lat("y"))
     pairs = p.join(s, ["cx", "cy"])
     if keep is not None:
         pairs = pairs.filter(keep)
-    x, y, x0, y0 = (F.col(c) for c in ("x", "y", "x0", "y0"))
-    dx, dy = F.col("x1") - x0, F.col("y1") - y0
-    long = F.greatest(dx * dx + dy * dy, F.lit(1e-300))
-    pairs = fixed(pairs, t=F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - x0) * dx + (y - y0) * dy) / long)))
-    pairs = fixed(pairs, foot_x=x0 + F.col("t") * dx, foot_y=y0 + F.col("t") * dy)
-    away = F.sqrt((x - F.col("foot_x")) * (x - F.col("foot_x")) + (y - F.col("foot_y")) * (y - F.col("foot_y"))) * F.col("scale")
-    pairs = fixed(pairs, distance=away).filter(F.col("distance") <= limit_m)
+    # the steps of point_segment, each computed once
+    pairs = fixed(pairs, share=foot_share("x", "y", "x0", "y0", "x1", "y1"))
+    pairs = fixed(pairs, foot_x=along("x0", "x1", "share"), foot_y=along("y0", "y1", "share"))
+    pairs = fixed(pairs, distance=apart("x", "y", "foot_x", "foot_y", "lat")).filter(F.col("distance") <= limit_m)
     return pairs.withColumn("at", F.struct("distance", F.col("foot_x").alias("x"), F.col("foot_y").alias("y")))
 
 

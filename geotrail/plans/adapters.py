@@ -35,8 +35,11 @@ SELECT CASE WHEN p_partkey % 2 = 0 THEN 'image' ELSE 'height' END AS layer, CAST
   CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE CAST(floor(p_retailprice * 3e0) AS BIGINT) END AS bytes
 FROM part"""
 
+#: A height map for each part: over the fixes first, then eastwards and northwards of them.
 DEM = """
-SELECT 10 AS level, CAST(873 + p_partkey % 12 AS BIGINT) AS x, CAST(617 + p_partkey % 9 AS BIGINT) AS y, max(p_partkey) AS k FROM part GROUP BY 2, 3"""
+SELECT 10 AS level, CAST((873 + p_partkey % 12 + 12 * CAST(floor(p_partkey / 108e0) AS BIGINT)) % 1024 AS BIGINT) AS x,
+  CAST((617 + CAST(floor(p_partkey / 12e0) AS BIGINT) % 9 + 9 * CAST(floor(p_partkey / 9216e0) AS BIGINT)) % 1024 AS BIGINT) AS y, max(p_partkey) AS k
+FROM part GROUP BY 2, 3"""
 
 LANDMARKS = """
 SELECT s_name AS name, 126e0 + s_suppkey % 30 * 0.1e0 AS lon, 34e0 + s_suppkey % 40 * 0.1e0 AS lat FROM supplier

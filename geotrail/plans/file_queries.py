@@ -1,9 +1,8 @@
-"""Queries that write the library's file formats from the driver's tables and read them again, inside tasks."""
+"""Queries that write the library's file formats from the driver's tables and read them again."""
 
 from __future__ import annotations
 
 import struct
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,29 +12,33 @@ from pyspark.sql import functions as F
 
 from geotrail.plans import adapters as ad
 from geotrail.plans.catalog import query
-from geotrail.plans.fix_queries import _FOLD, scratch, spans
+from geotrail.plans.fix_queries import _FOLD, spans
+from geotrail.plans.scratch import scratch
 from geotrail.sources import binary
 from geotrail.sources.tables import write_tables
 from geotrail.streaming import fixes as live
 
 
-def _encoded(rows: DataFrame, name: Callable, content: Callable) -> DataFrame:
-    """(path, content): a file's bytes for each row."""
+def _written(rows: DataFrame, name: Callable, content: Callable) -> str:
+    """The folder to which a file was written for each row."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             told = list(frame.itertuples())
-            yield pd.DataFrame({"path": [name(r) for r in told], "content": [content(r) for r in told]})
+            yield pd.DataFrame({"file": [name(r) for r in told], "content": [content(r) for r in told]})
 
-    return rows.mapInPandas(run, "path string, content binary")
+    home = scratch(rows.sparkSession)
+    binary.write_files(rows.mapInPandas(run, "file string, content binary"), home)
+    return home
 
 
-@query(f"SELECT 'track' || file AS file, row_number() OVER (PARTITION BY file ORDER BY line) - 1 AS line, CAST(line AS BIGINT) AS ts, CAST(CAST(x AS FLOAT) AS DOUBLE) AS x, 0e0 AS y, CAST(CAST(y AS FLOAT) AS DOUBLE) AS z FROM ({ad.PLACED}) p")
+@query(f"SELECT 'track' || file || '.3dpath' AS file, row_number() OVER (PARTITION BY file ORDER BY line) - 1 AS line, CAST(line AS BIGINT) AS ts, CAST(CAST(x AS FLOAT) AS DOUBLE) AS x, 0e0 AS y, CAST(CAST(y AS FLOAT) AS DOUBLE) AS z FROM ({ad.PLACED}) p")
 def s3_s4_track3d(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tracks as binary 3D files and back; places are 32-bit floats there."""
-    rows = ad.tracks(spark, sf_dir).select(F.concat(F.lit("track"), "file").alias("file"), "line", F.col("line").alias("ts"), F.col("x").cast("float").alias("x"), F.lit(0.0).cast("float").alias("y"), F.col("y").cast("float").alias("z"))
-    files = binary.encode_tracks(rows).select(F.concat(F.lit("/tracks/"), "file").alias("path"), "content")
-    told = binary.decoded(files, binary.decode_track, binary.TRACK3D)
+    rows = ad.tracks(spark, sf_dir).select(F.concat(F.lit("track"), "file", F.lit(".3dpath")).alias("file"), "line", F.col("line").alias("ts"), F.col("x").cast("float").alias("x"), F.lit(0.0).cast("float").alias("y"), F.col("y").cast("float").alias("z"))
+    home = scratch(spark)
+    binary.write_3dpath(rows, home)
+    told = binary.read_3dpath(spark, home)
     return told.select("file", "line", "ts", *(F.col(c).cast("double").alias(c) for c in ("x", "y", "z")))
 
 
@@ -49,8 +52,9 @@ def _map_digest(told: DataFrame) -> DataFrame:
 @query(f"SELECT {_TILE} FROM ({ad.DEM}) d")
 def s8_s10_dem_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Height maps as files and back."""
-    files = binary.encode_dem_tiles(ad.dem(spark, sf_dir)).select(F.concat(F.lit("/map/"), "file").alias("path"), "content")
-    return _map_digest(binary.decoded(files, binary.decode_dem, binary.DEM))
+    home = scratch(spark)
+    binary.write_dem_tiles(ad.dem(spark, sf_dir), home)
+    return _map_digest(binary.read_dem_tiles(spark, home))
 
 
 def _lerc(r) -> bytes:
@@ -74,8 +78,8 @@ def _lerc(r) -> bytes:
 def s9_lerc_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Height maps as compressed elevation tiles, decoded."""
     row = lambda r: (1 << r.level) - r.y - 1
-    files = _encoded(ad.dem(spark, sf_dir), lambda r: f"/map/{r.level}/{row(r):04d}/{row(r):04d}_{r.x:04d}.lerc", _lerc)
-    return _map_digest(binary.decoded(files, binary.decode_lerc, binary.DEM))
+    home = _written(ad.dem(spark, sf_dir), lambda r: f"{r.level}/{row(r):04d}/{row(r):04d}_{r.x:04d}.lerc", _lerc)
+    return _map_digest(binary.read_lerc_tiles(spark, home))
 
 
 @query(f"SELECT CAST(file AS INT) AS num, 3 AS shape_type, count(*) AS n, round(min(x), 6) AS west, round(max(y), 6) AS north, round(arg_max(x, line), 6) AS last_x FROM ({ad.PLACED}) p GROUP BY file")
@@ -89,33 +93,37 @@ def s11_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
         return b"\0" * 100 + struct.pack(">ii", r.file, len(body) // 2) + body
 
     lines = ad.tracks(spark, sf_dir).groupBy("file").agg(F.transform(F.sort_array(F.collect_list(F.struct("line", "x", "y"))), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("points"))
-    told = binary.decoded(_encoded(lines, lambda r: f"/shapes/{r.file}.shp", shape), binary.decode_shapes, binary.SHAPES)
+    told = binary.read_shapes(spark, _written(lines, lambda r: f"{r.file}.shp", shape))
     return told.select("num", "shape_type", F.size("points").cast("long").alias("n"), F.round(F.get("box", F.lit(0)), 6).alias("west"), F.round(F.get("box", F.lit(3)), 6).alias("north"), F.round(F.element_at("points", -1)["x"], 6).alias("last_x"))
 
 
 @query(f"SELECT name AS text, round(lon, 9) AS lon, round(lat, 9) AS lat, CAST(length(name) AS INT) AS font_size FROM ({ad.LANDMARKS}) l")
 def s12_poi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Landmarks as POI tiles of one record each, and back."""
+    """Landmarks as POI tiles of one degree's tenth each, and back."""
     text = lambda s: struct.pack("<H", len(s)) + s.encode()
-    record = lambda r: struct.pack("<Iiddf", 0x02000003, 1, r.lon, r.lat, 5.0) + text("key") + text(r.name) + text("font") + struct.pack("<BBII", len(r.name), 4, 1, 2) + b"image\0\0\0\0\0"
-    told = binary.decoded(_encoded(ad.landmarks(spark, sf_dir), lambda r: f"/poi/{r.name}.poi_base", record), binary.decode_poi, binary.POI)
-    return told.select("text", F.round("lon", 9).alias("lon"), F.round("lat", 9).alias("lat"), "font_size")
+    record = lambda p: struct.pack("<ddf", p["lon"], p["lat"], 5.0) + text("key") + text(p["name"]) + text("font") + struct.pack("<BBII", len(p["name"]), 4, 1, 2) + b"image\0\0\0\0\0"
+    cell = lambda c: F.floor(F.col(c) * 10).alias(f"c{c}")
+    tiles = ad.landmarks(spark, sf_dir).groupBy(cell("lon"), cell("lat")).agg(F.collect_list(F.struct("name", "lon", "lat")).alias("points"))
+    home = _written(tiles, lambda r: f"{r.clon}_{r.clat}.poi_base", lambda r: struct.pack("<Ii", 0x02000003, len(r.points)) + b"".join(map(record, r.points)))
+    return binary.read_poi(spark, home).select("text", F.round("lon", 9).alias("lon"), F.round("lat", 9).alias("lat"), "font_size")
 
 
 @query("SELECT p_name || p_partkey AS key, CAST(p_size % 16 AS INT) AS level, p_partkey % 9 AS x, CAST(p_partkey AS DOUBLE) + 5 AS top FROM part")
 def s13_model_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as model-index tiles of one object each, and back."""
+    """Parts as model-index tiles, 256 neighbouring keys to a row of tiles, and back."""
     text = lambda s: struct.pack("<B", len(s)) + s.encode()
-    tile = lambda r: struct.pack("<iiiiIB", r.p_size % 16, r.p_partkey % 9, 1, 1, 3, 1) + text(f"{r.p_name}{r.p_partkey}") + struct.pack("<ddf6d", 127, 37, 0, *(r.p_partkey + k for k in range(6))) + b"\2" + text("d.xdo") + text("i.jpg")
-    files = _encoded(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name", "p_size"), lambda r: f"/models/{r.p_partkey}.facility_build", tile)
-    told = binary.decoded(files, binary.decode_models, binary.MODELS)
-    return told.select("key", "level", "x", F.get("box", F.lit(5)).alias("top"))
+    model = lambda p: struct.pack("<IB", 3, 1) + text(f"{p['p_name']}{p['p_partkey']}") + struct.pack("<ddf6d", 127, 37, 0, *(p["p_partkey"] + k for k in range(6))) + b"\2" + text("d.xdo") + text("i.jpg")
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    keys = (F.col("p_size") % 16).cast("int").alias("level"), (F.col("p_partkey") % 9).alias("x"), F.floor(F.col("p_partkey") / 256).alias("y")
+    tiles = part.groupBy(*keys).agg(F.collect_list(F.struct("p_partkey", "p_name")).alias("models"))
+    home = _written(tiles, lambda r: f"{r.level}/{r.y}/{r.y}_{r.x}.facility_build", lambda r: struct.pack("<iiii", r.level, r.x, r.y, len(r.models)) + b"".join(map(model, r.models)))
+    return binary.read_model_index(spark, home).select("key", "level", "x", F.get("box", F.lit(5)).alias("top"))
 
 
 @query(f"SELECT name, round(lon, 6) AS lon, round(lat, 6) AS lat FROM ({ad.LANDMARKS}) l UNION ALL SELECT name, round(lon, 6) AS lon, round(lat, 6) AS lat FROM ({ad.LANDMARKS}) l")
 def s6_write_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Landmarks appended twice to a stored table."""
-    home = f"{scratch(spark)}/{uuid.uuid4().hex}"
+    home = scratch(spark)
     for _ in range(2):
         write_tables({"landmarks": ad.landmarks(spark, sf_dir)}, home)
     return spark.read.parquet(f"{home}/landmarks").select("name", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
@@ -125,7 +133,7 @@ def s6_write_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT user_id, CAST(first // 1000 AS BIGINT) AS time_id, round(coalesce(arg_max(total, k) FILTER (inside), 0e0), 3) AS distance FROM s GROUP BY user_id, day, first""")
 def x2_s16_stream_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stream of all fixes into stored tables: journeys as the last batch left them."""
-    home = f"{scratch(spark)}/{uuid.uuid4().hex}"
+    home = scratch(spark)
     rows = ad.fixes(spark, sf_dir)
     for part in spans(rows, 2):
         part.write.mode("append").parquet(f"{home}/in")

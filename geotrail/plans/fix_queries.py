@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +11,8 @@ from geotrail.operators import fixes as fx
 from geotrail.operators.tables import pending_files, upsert_journeys
 from geotrail.plans import adapters as ad
 from geotrail.plans.catalog import query
-from geotrail.sources.text import parse_history_lines, parse_path_lines, path_line
+from geotrail.plans.scratch import scratch
+from geotrail.sources import text
 from geotrail.streaming import fixes as live
 
 _DAY = "CAST(ts AS DATE)"
@@ -147,30 +145,35 @@ def m21_time_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fixes(spark, sf_dir).select("event_id", time_formats("ts").alias("t")).select("event_id", "t.*")
 
 
-@query(f"SELECT event_id, {_ms('ts')} AS ms, round(lon, 6) AS lon, round(lat, 6) AS lat, CASE WHEN event_id % 3 = 0 THEN NULL ELSE speed END AS speed FROM ({ad.FIXES}) f WHERE event_id % 5 > 0")
+@query(f"""SELECT {_ms('ts')} AS ms, round(lon, 6) AS lon, round(lat, 6) AS lat, CASE WHEN event_id % 3 = 0 THEN NULL ELSE speed END AS speed, false AS bad FROM ({ad.FIXES}) f
+UNION ALL SELECT NULL, NULL, NULL, NULL, true FROM events WHERE event_id % 5 = 0""")
 def s1_s2_path_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fixes as log lines of 3 or 5 columns, some of them cut, and read again."""
-    rows = _fixes(spark, sf_dir)
-    three, five = F.col("event_id") % 3 == 0, F.col("event_id") % 5 == 0
-    rows = rows.withColumn("speed", F.when(~three, F.col("speed")))
-    line = F.when(five, F.substring(path_line(rows), 1, 30)).otherwise(path_line(rows))
-    told = parse_path_lines(rows.select(F.lit("log").alias("file"), F.col("event_id").alias("line"), line.alias("value")))
-    return told.filter("_bad is null").select(F.col("line").alias("event_id"), F.unix_millis("ts").alias("ms"), F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"), "speed")
+    """Fixes written as logs of 3 or 5 columns by day, and read again; every fifth stands there once more as a cut line."""
+    rows, home = _fixes(spark, sf_dir), scratch(spark)
+    rows = rows.withColumn("speed", F.when(F.col("event_id") % 3 > 0, F.col("speed")))
+    text.write_path_log(rows, home)
+    cut = F.concat(F.substring(text.path_line(rows), 1, 30), F.lit(","))
+    rows.filter("event_id % 5 = 0").select(cut.alias("value"), F.date_format("ts", "yyyyMMdd").alias("day")).write.mode("append").partitionBy("day").text(home)
+    bad = F.col("_bad").isNotNull()
+    good = lambda c: F.when(~bad, c)
+    told = text.read_path_log(spark, home, keep_bad=True)
+    return told.select(good(F.unix_millis("ts")).alias("ms"), good(F.round("lon", 6)).alias("lon"), good(F.round("lat", 6)).alias("lat"), good(F.col("speed")).alias("speed"), bad.alias("bad"))
 
 
 def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    state = F.when(F.col("o_orderstatus") == "F", "complete").otherwise("processing")
-    value = F.when(F.col("o_orderkey") % 13 == 0, F.concat(F.lit("file"), F.col("o_custkey"))).otherwise(F.concat(F.lit("file"), F.col("o_custkey"), F.lit(", "), state, F.lit(", "), F.col("o_orderkey") % 100))
-    return parse_history_lines(orders.select(F.col("o_orderkey").alias("line"), value.alias("value")))
+    """Orders as a work history of their customers' files, in the order of their keys: written and read again."""
+    orders, home = spark.read.parquet(f"{sf_dir}/orders.parquet"), scratch(spark)
+    rows = orders.select(F.concat(F.lit("file"), "o_custkey").alias("file"), (F.col("o_orderstatus") == "F").alias("is_complete"), (F.col("o_orderkey") % 100).alias("line"), "o_orderkey")
+    text.write_history(rows.repartitionByRange("o_orderkey").sortWithinPartitions("o_orderkey"), home)
+    return text.read_history(spark, home)
 
 
-@query("SELECT 'file' || o_custkey AS file, o_orderstatus = 'F' AS is_complete, CAST(o_orderkey % 100 AS INT) AS line, o_orderkey AS place FROM orders WHERE o_orderkey % 13 <> 0")
+@query("SELECT 'file' || o_custkey AS file, o_orderstatus = 'F' AS is_complete, CAST(o_orderkey % 100 AS INT) AS line FROM orders")
 def s15_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _history(spark, sf_dir)
+    return _history(spark, sf_dir).select("file", "is_complete", "line")
 
 
-@query("""WITH h AS (SELECT 'file' || o_custkey AS file, arg_min(o_orderstatus = 'F', o_orderkey) AS done FROM orders WHERE o_orderkey % 13 <> 0 GROUP BY 1)
+@query("""WITH h AS (SELECT 'file' || o_custkey AS file, arg_min(o_orderstatus = 'F', o_orderkey) AS done FROM orders GROUP BY 1)
 SELECT 'file' || c_custkey AS file FROM customer WHERE 'file' || c_custkey NOT IN (SELECT file FROM h WHERE done)""")
 def j1_pending_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.concat(F.lit("file"), "c_custkey").alias("file"))
@@ -185,11 +188,6 @@ def j10_upsert_journeys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upsert_journeys(row(1).filter("time_id % 3 < 2"), row(2).filter("time_id % 3 > 0")).select("user_id", "time_id", "distance")
 
 
-def scratch(spark: SparkSession) -> str:
-    """The folder that the cluster shares; one of this machine's only where none is set, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-')}"
-
-
 def spans(rows: DataFrame, parts: int = 3) -> list[DataFrame]:
     """Rows in equal spans of time, in order."""
     low, high = rows.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
@@ -201,7 +199,7 @@ def spans(rows: DataFrame, parts: int = 3) -> list[DataFrame]:
 
 def _streamed(spark: SparkSession, rows: DataFrame, build, parts: int = 3) -> DataFrame:
     """Streams rows through ``build`` into a table, a span of time after the other, and reads that."""
-    home = f"{scratch(spark)}/{uuid.uuid4().hex}"
+    home = scratch(spark)
     for part in spans(rows, parts):
         part.write.mode("append").parquet(f"{home}/in")
         out = build(spark.readStream.schema(rows.schema).parquet(f"{home}/in"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +10,7 @@ from geotrail.operators import fixes as fx
 from geotrail.operators import graph, match
 from geotrail.plans import adapters as ad
 from geotrail.plans.catalog import query
-from geotrail.plans.fix_queries import scratch
+from geotrail.plans.scratch import scratch
 from geotrail.sources import text
 
 #: Places and segments of tracks, each computed once.
@@ -58,6 +56,21 @@ def j2_m16_nearest_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _near(spark, sf_dir)[1].select("file", "line", "seg_file", F.round("distance", 3).alias("distance"))
 
 
+@query(f"""WITH p AS (
+  SELECT file, line, x AS ax, y AS ay, lead(x) OVER w AS cx, lead(y) OVER w AS cy, lead(x, 2) OVER w AS x, lead(y, 2) OVER w AS y FROM ({ad.PLACED}) q WINDOW w AS (PARTITION BY file ORDER BY line)),
+t AS (SELECT *, greatest(0e0, least(1e0, ((x - ax) * (cx - ax) + (y - ay) * (cy - ay)) / ((cx - ax) * (cx - ax) + (cy - ay) * (cy - ay)))) AS t FROM p WHERE x IS NOT NULL),
+f AS (SELECT file, line, x, y, ax + t * (cx - ax) AS fx, ay + t * (cy - ay) AS fy FROM t)
+SELECT file, line, round(fx, 4) AS foot_x, round(fy, 4) AS foot_y,
+  round(sqrt((x - fx) * (x - fx) + (y - fy) * (y - fy)) * (2e0 * pi() * 6378137e0 / 1048576e0 * cos(2e0 * atan(exp((y / 1048576e0 - 0.5e0) * 2e0 * pi())) - pi() / 2e0)), 3) AS distance FROM f""")
+def m16_point_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each segment of a track with the point after it."""
+    w = Window.partitionBy("file").orderBy("line")
+    rows = ad.tracks(spark, sf_dir).select("file", "line", *(F.lead(c, k).over(w).alias(f"{c}{k}") for k in range(3) for c in ("x", "y"))).filter("x2 is not null")
+    at = geo.point_segment("x2", "y2", "x0", "y0", "x1", "y1", geo.mercator_lat("y2"))
+    told = rows.select("file", "line", at.alias("p"))
+    return told.select("file", "line", F.round("p.x", 4).alias("foot_x"), F.round("p.y", 4).alias("foot_y"), F.round("p.distance", 3).alias("distance"))
+
+
 @query(f"WITH {_NEAR} SELECT file, line, n, round(x, 4) AS x, round(y, 4) AS y FROM mean")
 def a12_consensus_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     points, near = _near(spark, sf_dir)
@@ -159,13 +172,30 @@ def j9_near_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("file", "line", F.round("distance", 3).alias("distance"))
 
 
-@query(f"SELECT event_id, round(CASE WHEN lon > 180e0 THEN lon - 360e0 ELSE lon END, 7) AS lon, round(lat, 7) AS lat, CAST(floor((lon + 180e0) / 6e0) AS INT) % 60 + 1 AS zone, true AS fine FROM ({ad.FIXES}) f")
+#: Krueger's series in the third flattening of WGS84, as SQL.
+_N = "0.0016792203863837047e0"
+_UTM = f"""z AS (
+  SELECT event_id, lon, lat, CAST(floor((lon + 180e0) / 6e0) AS INT) % 60 + 1 AS zone, sin(radians(lat)) AS s, radians(lon - ((floor((lon + 180e0) / 6e0) % 60 + 1) * 6e0 - 183e0)) AS d FROM ({ad.FIXES}) f),
+c AS (SELECT *, atanh(s) - 0.08181919084262157e0 * atanh(0.08181919084262157e0 * s) AS q FROM z),
+h AS (SELECT *, (exp(q) - exp(-q)) / 2e0 AS t FROM c),
+u AS (SELECT *, atan2(t, cos(d)) AS xi, atanh(sin(d) / sqrt(1e0 + t * t)) AS eta FROM h),
+k AS (SELECT unnest([1, 2, 3, 4]) AS j, unnest([
+  {_N} / 2e0 - 2e0 / 3e0 * pow({_N}, 2) + 5e0 / 16e0 * pow({_N}, 3) + 41e0 / 180e0 * pow({_N}, 4), 13e0 / 48e0 * pow({_N}, 2) - 3e0 / 5e0 * pow({_N}, 3) + 557e0 / 1440e0 * pow({_N}, 4),
+  61e0 / 240e0 * pow({_N}, 3) - 103e0 / 140e0 * pow({_N}, 4), 49561e0 / 161280e0 * pow({_N}, 4)]) AS a),
+p AS (
+  SELECT event_id, any_value(lon) AS lon, any_value(lat) AS lat, any_value(zone) AS zone,
+    any_value(eta) + sum(a * cos(2 * j * xi) * (exp(2 * j * eta) - exp(-2 * j * eta)) / 2e0) AS e, any_value(xi) + sum(a * sin(2 * j * xi) * (exp(2 * j * eta) + exp(-2 * j * eta)) / 2e0) AS n
+  FROM u, k GROUP BY event_id)"""
+
+
+@query(f"""WITH {_UTM} SELECT event_id, round(CASE WHEN lon > 180e0 THEN lon - 360e0 ELSE lon END, 7) AS lon, round(lat, 7) AS lat, zone,
+  round(500000e0 + 0.9996e0 * 6378137e0 / (1e0 + {_N}) * (1e0 + pow({_N}, 2) / 4e0 + pow({_N}, 4) / 64e0) * e, 2) AS easting,
+  round(0.9996e0 * 6378137e0 / (1e0 + {_N}) * (1e0 + pow({_N}, 2) / 4e0 + pow({_N}, 4) / 64e0) * n, 2) AS northing FROM p""")
 def m14_m15_utm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Places to UTM and back; ``fine`` says that eastings and northings are inside their ranges."""
+    """Places to UTM and back."""
     rows = ad.fixes(spark, sf_dir).withColumn("u", geo.utm_forward("lat", "lon"))
     rows = rows.withColumn("g", geo.utm_inverse("u.easting", "u.northing", "u.zone", F.col("lat") < 0))
-    fine = F.col("u.easting").between(160000, 840000) & F.col("u.northing").between(0, 1e7)
-    return rows.select("event_id", F.round("g.lon", 7).alias("lon"), F.round("g.lat", 7).alias("lat"), "u.zone", fine.alias("fine"))
+    return rows.select("event_id", F.round("g.lon", 7).alias("lon"), F.round("g.lat", 7).alias("lat"), "u.zone", F.round("u.easting", 2).alias("easting"), F.round("u.northing", 2).alias("northing"))
 
 
 @query(f"""WITH p AS (
@@ -184,7 +214,7 @@ def m23_polygon_area(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT name, round(lon, 6) AS lon, round(lat, 6) AS lat FROM ({ad.LANDMARKS}) l WHERE lon BETWEEN 126e0 AND 129e0 AND lat BETWEEN 34e0 AND 38e0")
 def s5_landmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Landmarks written as text, read again and fenced."""
-    path = f"{scratch(spark)}/{uuid.uuid4().hex}"
+    path = scratch(spark)
     text.write_landmarks(ad.landmarks(spark, sf_dir), path)
     told = fx.geofence(text.read_landmarks(spark, path), (126.0, 129.0, 34.0, 38.0))
     return told.select("name", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))

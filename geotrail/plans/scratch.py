@@ -1,0 +1,21 @@
+"""Folders for what queries write and read again."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import SparkSession
+
+#: Folders of this machine by application, where none is set and the session runs on this machine alone.
+_LOCAL: dict[str, str] = {}
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder below ``spark.checkpoint.dir``; where that is unset, below one of this machine in local mode, an error elsewhere."""
+    home = spark.conf.get("spark.checkpoint.dir", None)
+    if not home:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir isn't set: it must name a folder that driver and executors share")
+        home = _LOCAL.setdefault(spark.sparkContext.applicationId, f"file://{tempfile.mkdtemp(prefix='spark-')}")
+    return f"{home}/{uuid.uuid4().hex}"

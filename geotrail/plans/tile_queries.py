@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geotrail.functions import geo, tiles
-from geotrail.functions.sql_names import register_sql
+from geotrail.functions.sql_names import DEFINITIONS, register_sql
 from geotrail.operators import terrain
 from geotrail.operators import tiles as tl
 from geotrail.plans import adapters as ad
 from geotrail.plans.catalog import query
-from geotrail.sources.tables import tile_of_path
+from geotrail.plans.scratch import scratch
+from geotrail.sources.binary import write_files
+from geotrail.sources.tables import read_tile_inventory
 
 LONLAT = f"SELECT event_id, lon, lat, {ad.MX.format(lon='lon')} AS x, {ad.MY.format(lat='lat')} AS y FROM ({ad.FIXES}) f"
 
@@ -120,14 +122,27 @@ def m24_request_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.select("p_partkey", key.alias("k")).select("p_partkey", "k.kind", "k.tile", (F.col("k.name") == 0).alias("unnamed"))
 
 
-@query(f"""SELECT event_id, round(6371000e0 * 2e0 * asin(sqrt(pow(sin(radians(37.5e0 - lat) / 2e0), 2) + cos(radians(lat)) * cos(radians(37.5e0)) * pow(sin(radians(127e0 - lon) / 2e0), 2))), 2) AS metres,
-round(x, 4) AS mx, {_at('x', 12)} AS c, {_at('y', 12)} AS r, (12::BIGINT << 48) + ({_at('y', 12)} << 24) + {_at('x', 12)} AS key, 4096 - {_at('y', 12)} - 1 AS flipped FROM ({LONLAT}) p""")
+@query(f"""WITH p AS (SELECT *, {_at('x', 12)} AS c, {_at('y', 12)} AS r, CAST(floor(x) AS BIGINT) AS ux, CAST(floor(y) AS BIGINT) AS uy FROM ({LONLAT}) f),
+b AS (
+  SELECT *, greatest(CASE WHEN xor(ux, ux + event_id % 5000) = 0 THEN 0 ELSE length(bin(xor(ux, ux + event_id % 5000))) END,
+    CASE WHEN xor(uy, uy + 3) = 0 THEN 0 ELSE length(bin(xor(uy, uy + 3))) END) AS up, ux < 0 OR ux + event_id % 5000 >= 1048576 AS outside FROM p)
+SELECT event_id, round(6371000e0 * 2e0 * asin(sqrt(pow(sin(radians(37.5e0 - lat) / 2e0), 2) + cos(radians(lat)) * cos(radians(37.5e0)) * pow(sin(radians(127e0 - lon) / 2e0), 2))), 2) AS metres,
+  round(x, 4) AS mx, c, r, (12::BIGINT << 48) + (r << 24) + c AS key, 4096 - r - 1 AS flipped, 12 AS l2, c AS c2, r AS r2,
+  c * 256e0 AS west, r * 256e0 AS south, c * 256e0 + 256e0 AS east, r * 256e0 + 256e0 AS north,
+  CAST(CASE WHEN outside THEN -1 ELSE 20 - up END AS INT) AS around, CASE WHEN outside THEN -1 ELSE ux >> up END AS around_x, CASE WHEN outside THEN -1 ELSE uy >> up END AS around_y FROM b""")
 def u5_sql_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The functions by their names in SQL."""
+    """The functions by their names in SQL; they and the table go when the query is analysed."""
+    told = {n: spark.catalog.functionExists(n) for n in DEFINITIONS}
     register_sql(spark)
-    ad.fixes(spark, sf_dir).createOrReplaceTempView("fixes_by_name")
-    return spark.sql("""SELECT event_id, round(haversine_m(lon, lat, 127.0D, 37.5D), 2) AS metres, round(mercator_x(lon), 4) AS mx, tile_column(lon, 12) AS c, tile_row(lat, 12) AS r,
-        tile_key(12, tile_column(lon, 12), tile_row(lat, 12)) AS key, flip_y(12, tile_row(lat, 12)) AS flipped FROM fixes_by_name""")
+    try:
+        return spark.sql("""WITH p AS (SELECT *, tile_column(lon, 12) AS c, tile_row(lat, 12) AS r, mercator_x(lon) AS mx, floor(mercator_x(lon)) AS ux, floor(mercator_y(lat)) AS uy FROM {fixes}),
+        t AS (SELECT *, tile_key(12, c, r) AS key, tile_unkey(tile_key(12, c, r)) AS u, tile_rect(12, c, r) AS b, enclosing_tile(ux, uy + 3, ux + event_id % 5000, uy) AS a FROM p)
+        SELECT event_id, round(haversine_m(lon, lat, 127.0D, 37.5D), 2) AS metres, round(mx, 4) AS mx, c, r, key, flip_y(12, r) AS flipped, u.level AS l2, u.x AS c2, u.y AS r2,
+          b.left AS west, b.bottom AS south, b.right AS east, b.top AS north, a.level AS around, a.x AS around_x, a.y AS around_y FROM t""", fixes=ad.fixes(spark, sf_dir))
+    finally:
+        for name, kept in told.items():
+            if not kept:
+                spark.sql(f"DROP TEMPORARY FUNCTION IF EXISTS {name}")
 
 
 _STATUS = "CASE WHEN bytes IS NULL THEN 'missing' WHEN bytes < CASE WHEN layer = 'image' THEN 3000 ELSE 200 END THEN CASE WHEN level < 15 THEN 'refetch' ELSE 'empty' END ELSE 'ok' END"
@@ -163,7 +178,7 @@ def j4_tile_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tl.tile_neighbors(ad.inventory(spark, sf_dir))
 
 
-@query(f"""WITH w AS (SELECT DISTINCT 'image' AS layer, 9 AS level, {_at('x', 9)} AS x, {_at('y', 9)} AS y FROM ({LONLAT}) p UNION SELECT layer, level, x, y FROM ({ad.INVENTORY}) i WHERE y % 3 = 0),
+@query(f"""WITH w AS (SELECT DISTINCT 'image' AS layer, 9 AS level, {_at('x', 9)} AS x, {_at('y', 9)} AS y FROM ({LONLAT}) p UNION SELECT layer, level, x, y FROM ({ad.INVENTORY}) i),
 i AS (SELECT layer, level, x, y, max(bytes) AS bytes FROM ({ad.INVENTORY}) i GROUP BY ALL)
 SELECT layer, level, x, y, status FROM (SELECT layer, level, x, y, {_STATUS} AS status FROM w LEFT JOIN i USING (layer, level, x, y)) q WHERE status IN ('missing', 'refetch')""")
 def j6_fetch_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,12 +212,15 @@ def o4_cell_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tl.cells_diff(a, b).withColumn("kind", F.lit("diff")).unionByName(tl.cells_common(a, b).withColumn("kind", F.lit("common")))
 
 
-@query(f"SELECT level, x, y, bytes FROM ({ad.INVENTORY}) i WHERE layer = 'image' AND bytes IS NOT NULL")
+@query(f"SELECT layer, level, x, y, max(bytes) AS bytes FROM ({ad.INVENTORY}) i WHERE bytes IS NOT NULL GROUP BY layer, level, x, y")
 def s14_tile_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """File names of the inventory's images, parsed again."""
-    rows = ad.inventory(spark, sf_dir).filter("layer = 'image' and bytes is not null")
-    files = rows.select(F.concat(F.lit("/map/"), tiles.tile_path("image", "level", "x", "y")).alias("path"), F.col("bytes").alias("length"))
-    return tile_of_path(files, True).select("level", "x", "y", "bytes")
+    """The inventory's files, of both layers, written in their sizes and listed again."""
+    known = ad.inventory(spark, sf_dir).filter("bytes is not null").groupBy("layer", "level", "x", "y").agg(F.max("bytes").alias("bytes"))
+    name = F.when(F.col("layer") == "image", tiles.tile_path("image", "level", "x", "y")).otherwise(tiles.tile_path("height", "level", "x", "y"))
+    home = scratch(spark)
+    write_files(known.select(F.concat_ws("/", "layer", name).alias("file"), F.repeat(F.lit("."), F.col("bytes").cast("int")).cast("binary").alias("content")), home)
+    told = [read_tile_inventory(spark, f"{home}/{layer}", layer, tiles.LAYERS[layer][2]) for layer in ("image", "height")]
+    return told[0].unionByName(told[1]).select("layer", "level", "x", "y", "bytes")
 
 
 _DEMS = f"SELECT level, x, y, list_transform(range(0, 256), lambda i: (k * 31 + i * 17) % 4001 - 50) AS z FROM ({ad.DEM}) d"

@@ -6,7 +6,9 @@ no rows; the readers that take ``rejects=True`` return their names instead.
 
 from __future__ import annotations
 
+import re
 import struct
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -100,18 +102,30 @@ def encode_tracks(df: DataFrame) -> DataFrame:
 
 
 def write_files(files: DataFrame, target: str) -> int:
-    """Writes (file, content) rows below a folder that all executors share; returns the number of files."""
+    """Writes (file, content) rows below a folder of any file system that tasks can reach by its address; returns their number.
+
+    ``target`` is a path or an address (file:, hdfs:, s3: ...).  On a cluster it must be shared: a local path then
+    means a mounted one.  A file is written under a name of its own and moved, so a task that is run again replaces
+    it with the same bytes and readers never see a part of it.
+    """
+    place = re.sub(r"^file:/+", "/", target)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import os
+        from pyarrow import fs
 
+        system, home = fs.FileSystem.from_uri(place)
+        made: set[str] = set()
         for frame in frames:
             for name, content in zip(frame["file"], frame["content"], strict=True):
-                out = os.path.join(target, name)
-                os.makedirs(os.path.dirname(out), exist_ok=True)
-                with open(f"{out}.part", "wb") as f:
+                out = f"{home}/{name.lstrip('/')}"
+                folder, _, own = out.rpartition("/")
+                if folder not in made:
+                    system.create_dir(folder, recursive=True)
+                    made.add(folder)
+                part = f"{folder}/_{uuid.uuid4().hex}.part"
+                with system.open_output_stream(part) as f:
                     f.write(content)
-                os.replace(f"{out}.part", out)
+                system.move(part, f"{folder}/{own}")
             yield pd.DataFrame({"n": [len(frame)]})
 
     return files.select("file", "content").mapInPandas(run, "n long").agg(F.sum("n")).first()[0] or 0

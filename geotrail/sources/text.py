@@ -10,9 +10,13 @@ from geotrail.functions.sensors import log_time
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines with their file's name; ``line`` orders a file's lines and needn't be dense."""
+    """Lines with their file's name; ``line`` orders a file's lines and needn't be dense.
+
+    It is the place of the split plus the row's number in its task, which is less than a split has bytes.
+    """
     text = spark.read.text(path)
-    return text.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).alias("file"), (F.col("_metadata.file_block_start") + F.monotonically_increasing_id()).alias("line"), "value")
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return text.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).alias("file"), (F.col("_metadata.file_block_start") + row).alias("line"), "value")
 
 
 def parse_path_lines(lines: DataFrame) -> DataFrame:
@@ -65,15 +69,16 @@ def read_nmea(spark: SparkSession, path: str, stream: bool = False) -> DataFrame
     return (spark.readStream if stream else spark.read).text(path).withColumnRenamed("value", "raw")
 
 
-def parse_history_lines(lines: DataFrame) -> DataFrame:
-    """Lines (file order ``line``, value) ``file, complete|processing[, line]`` as history(file, is_complete, line, place)."""
+def parse_history_lines(lines: DataFrame, place: str = "line") -> DataFrame:
+    """Lines (value, and a column that orders them) ``file, complete|processing[, line]`` as history(file, is_complete, line, place)."""
     told = lines.withColumn("__p", F.transform(F.split("value", ","), lambda c: F.trim(c))).filter(F.size("__p") >= 2)
     part = lambda i: F.get("__p", F.lit(i))
-    return told.select(part(0).alias("file"), (part(1) == "complete").alias("is_complete"), F.coalesce(part(2).try_cast("int"), F.lit(0)).alias("line"), F.col("line").alias("place"))
+    return told.select(part(0).alias("file"), (part(1) == "complete").alias("is_complete"), F.coalesce(part(2).try_cast("int"), F.lit(0)).alias("line"), F.col(place).alias("place"))
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
-    return parse_history_lines(_lines(spark, path))
+    """history(file, is_complete, line, place); several files follow one another in the order of their names."""
+    return parse_history_lines(_lines(spark, path).withColumn("at", F.struct("file", "line")), "at")
 
 
 def write_history(df: DataFrame, path: str) -> None:
