@@ -140,5 +140,14 @@ def x2_s16_stream_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
         source = live.fix_stream(spark, f"{home}/in", schema=", ".join(f"{n} {t}" for n, t in rows.dtypes), max_files=100_000)
         run = live.stream_sink(live.stream_journeys(source), f"{home}/out", f"{home}/check").start()
         run.awaitTermination()
-        last = run.lastProgress["batchId"]
-    return spark.read.parquet(f"{home}/out/journeys/version={last}").select("user_id", "time_id", F.round("distance", 3).alias("distance"))
+    return live.read_journeys(spark, f"{home}/out").select("user_id", "time_id", F.round("distance", 3).alias("distance"))
+
+
+@query(f"SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS date_time, user_id, round(lon, 6) AS lon, round(lat, 6) AS lat FROM ({ad.FIXES}) f")
+def x2_s16_landmark_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of landmarks, one where each fix is, appended to a stored table."""
+    home, rows = scratch(spark), ad.fixes(spark, sf_dir).select("user_id", "ts", "lon", "lat")
+    for part in spans(rows, 2):
+        part.write.mode("append").parquet(f"{home}/in")
+        live.landmark_sink(live.landmark_stream(spark, f"{home}/in", max_files=100_000), f"{home}/out", f"{home}/check").start().awaitTermination()
+    return spark.read.parquet(f"{home}/out").select("date_time", "user_id", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))

@@ -9,41 +9,52 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from geotrail.functions.geo import BOX
-from geotrail.functions.geo import metres as _haversine
+from geotrail.functions.geo import BOX, metres
 from geotrail.operators.fixes import MAX_MPS
 from geotrail.operators.tables import upsert_journeys
 
 FIX = "user_id long, event_id long, ts timestamp, lon double, lat double, speed double, altitude double"
+LANDMARK = "user_id long, ts timestamp, lon double, lat double"
 
 
 def fix_stream(spark: SparkSession, source: str, schema: str = FIX, max_files: int = 1, kafka: dict[str, str] | None = None) -> DataFrame:
-    """Unbounded fixes from a folder of Parquet files, or from a Kafka topic with JSON values where its reader is on the class path."""
+    """Unbounded fixes (or other rows of a schema) from a folder of Parquet files, or from a Kafka topic with JSON values where its reader is on the class path."""
     if kafka:
         raw = spark.readStream.format("kafka").options(**kafka).option("subscribe", source).load()
         return raw.select(F.from_json(F.col("value").cast("string"), schema).alias("f")).select("f.*")
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(source)
 
 
+def landmark_stream(spark: SparkSession, source: str, max_files: int = 1, kafka: dict[str, str] | None = None) -> DataFrame:
+    """Unbounded landmarks that users set, from a folder or topic of their own."""
+    return fix_stream(spark, source, LANDMARK, max_files, kafka)
+
+
 JOURNEY = "kind string, user_id long, day string, time_id long, event_id long, t long, lon double, lat double, distance double, journey_time double"
 _STATE = "day string, first long, moved boolean, lon double, lat double, t long, total double"
+#: Milliseconds after a user's last fix at which the state goes: the day is over then.
+IDLE = 24 * 3600 * 1000
 
 
 def _follow(max_mps: float, box: tuple):
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         day, first, moved, lon, lat, t, total = state.get if state.exists else ("", 0, False, 0.0, 0.0, 0, 0.0)
         rows = pd.concat(list(frames)).sort_values(["t", "event_id", "lon", "lat"])
         out = []
         for f in rows.itertuples():
-            if f.day < day:
-                continue  # a day that has been closed
+            if f.day < day:  # a day that has been closed
+                out.append(("late", key[0], f.day, None, f.event_id, f.t, f.lon, f.lat, None, None))
+                continue
             if f.day != day:
                 day, first, moved, lon, lat, t, total = f.day, f.t, False, 0.0, 0.0, 0, 0.0
                 out.append(("journey", key[0], day, first // 1000, f.event_id, f.t, None, None, 0.0, 0.0))
             if f.lon == lon and f.lat == lat:
                 continue
             if moved:
-                away = _haversine(lon, lat, f.lon, f.lat)
+                away = metres(lon, lat, f.lon, f.lat)
                 if away > max_mps * ((f.t - t) / 1e6):
                     continue
                 total += away
@@ -51,49 +62,92 @@ def _follow(max_mps: float, box: tuple):
             if box[0] <= lon <= box[1] and box[2] <= lat <= box[3]:
                 out.append(("path", key[0], day, first // 1000, f.event_id, f.t, lon, lat, total, (t - first) / 1e6))
         state.update((day, int(first), moved, float(lon), float(lat), int(t), float(total)))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in JOURNEY.split(", ")])
+        state.setTimeoutTimestamp(max(int(rows["t"].max()), int(t)) // 1000 + IDLE)
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in JOURNEY.split(", ")]).astype({"time_id": "Int64"})
 
     return run
 
 
-def stream_journeys(fixes: DataFrame, max_mps: float = MAX_MPS, box: tuple = BOX) -> DataFrame:
+def stream_journeys(fixes: DataFrame, max_mps: float = MAX_MPS, box: tuple = BOX, late: str = "1 hour") -> DataFrame:
     """The rules of ``operators.fixes.journeys`` live: a ``journey`` row where a day begins, a ``path`` row for each accepted fix in the box.
 
-    A path row's distance and journey_time are the journey's so far.  The state is one small row a user; fixes
-    of a batch are put in order, those of a closed day are dropped.
+    A path row's distance and journey_time are the journey's so far.  Fixes of a batch are put in order.  Those of a
+    day that is closed for their user come out as ``late`` rows; those behind the watermark of ``late`` are dropped and counted by
+    the query's progress (numRowsDroppedByWatermark).  The state is one small row a user, and goes a day after the user's last fix.
     """
-    told = fixes.select("user_id", "event_id", F.unix_micros("ts").alias("t"), F.date_format("ts", "yyyy-MM-dd").alias("day"), "lon", "lat")
-    return told.groupBy("user_id").applyInPandasWithState(_follow(max_mps, box), JOURNEY, _STATE, "append", GroupStateTimeout.NoTimeout)
+    told = fixes.withWatermark("ts", late).select("user_id", "event_id", "ts", F.unix_micros("ts").alias("t"), F.date_format("ts", "yyyy-MM-dd").alias("day"), "lon", "lat")
+    return told.groupBy("user_id").applyInPandasWithState(_follow(max_mps, box), JOURNEY, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def journey_updates(rows: DataFrame) -> DataFrame:
     """The last state of each journey among rows of ``stream_journeys``, as journeys(date, user_id, time_id, distance, journey_time)."""
-    last = rows.groupBy("user_id", "time_id").agg(F.max_by(F.struct("day", "distance", "journey_time"), F.struct("t", "distance")).alias("r"))
+    last = rows.filter("kind <> 'late'").groupBy("user_id", "time_id").agg(F.max_by(F.struct("day", "distance", "journey_time"), F.struct("t", "distance")).alias("r"))
     return last.select(F.to_date("r.day").alias("date"), "user_id", "time_id", "r.distance", "r.journey_time")
 
 
 def stream_sink(rows: DataFrame, target: str, checkpoint: str):
-    """A query that appends path rows and upserts journeys below ``target``; each batch once.
+    """A query that appends path and late rows and upserts journeys below ``target``; each batch once.
 
-    Paths go to a folder named by the batch, so a batch that is repeated replaces itself; journeys are written as
-    a new version whose name is the batch's, from the version of the batch before.
+    Paths go to a folder named by the batch, so a batch that is repeated replaces itself.  Journeys are stored by
+    date: a batch writes a new version, named by its number, of the dates that it touches, each from the date's
+    version before, and leaves the others as they are; ``read_journeys`` reads the last version of each date.
     """
 
     def batch(df: DataFrame, number: int) -> None:
         spark = df.sparkSession
         df = df.persist()
         try:
-            df.filter("kind = 'path'").write.mode("overwrite").parquet(f"{target}/path/batch={number}")
-            new = journey_updates(df)
-            if number > 0:
-                new = upsert_journeys(spark.read.parquet(f"{target}/journeys/version={number - 1}"), new)
-            new.write.mode("overwrite").parquet(f"{target}/journeys/version={number}")
+            for kind in ("path", "late"):
+                df.filter(F.col("kind") == kind).write.mode("overwrite").parquet(f"{target}/{kind}/batch={number}")
+            new = journey_updates(df).persist()
+            touched = [str(r.date) for r in new.select("date").distinct().collect()]  # days of one batch
+            if touched:
+                old = read_journeys(spark, target, before=number)
+                if old is not None:
+                    new = upsert_journeys(old.filter(F.col("date").cast("string").isin(touched)), new)
+                told = new.withColumn("version", F.lit(number))
+                told.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date", "version").parquet(f"{target}/journeys")
+                _drop_versions(spark, target, touched, number)
         finally:
             df.unpersist()
 
     return rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
 
+def _versions(spark: SparkSession, target: str) -> dict[str, list[int]]:
+    """The versions of each date that a sink has stored, from the names of folders."""
+    home = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/journeys")
+    system = home.getFileSystem(spark._jsc.hadoopConfiguration())
+    out: dict[str, list[int]] = {}
+    for status in system.globStatus(spark._jvm.org.apache.hadoop.fs.Path(home, "date=*/version=*")) or ():
+        day, version = status.getPath().getParent().getName(), status.getPath().getName()
+        out.setdefault(day.removeprefix("date="), []).append(int(version.removeprefix("version=")))
+    return {day: sorted(v) for day, v in out.items()}
+
+
+def _drop_versions(spark: SparkSession, target: str, days: list[str], number: int) -> None:
+    """Deletes what two later versions of a date have replaced; the last but one stays for readers and repeated batches."""
+    for day, versions in _versions(spark, target).items():
+        for old in [v for v in versions if v < number][:-1] if day in days else []:
+            path = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/journeys/date={day}/version={old}")
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def read_journeys(spark: SparkSession, target: str, before: int | None = None) -> DataFrame | None:
+    """Journeys (date, user_id, time_id, distance, journey_time) that ``stream_sink`` has stored; with ``before`` as an earlier batch left them."""
+    known = {day: [v for v in versions if before is None or v < before] for day, versions in _versions(spark, target).items()}
+    paths = [f"{target}/journeys/date={day}/version={versions[-1]}" for day, versions in known.items() if versions]
+    if not paths:
+        return None
+    return spark.read.option("basePath", f"{target}/journeys").parquet(*paths).select(F.col("date").cast("date").alias("date"), "user_id", "time_id", "distance", "journey_time")
+
+
+def landmark_sink(landmarks: DataFrame, target: str, checkpoint: str):
+    """A query that appends landmarks as landmark(date_time, user_id, lon, lat), by day, each once."""
+    rows = landmarks.select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("date_time"), "user_id", "lon", "lat", F.to_date("ts").alias("day"))
+    return rows.writeStream.format("parquet").partitionBy("day").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+
+
 def stream_daily(fixes: DataFrame, late: str = "1 hour", length: str = "1 day") -> DataFrame:
     """Fixes by user and tumbling window (a day, or a minute for rates); what is later than ``late`` is dropped."""
     told = fixes.withWatermark("ts", late).groupBy("user_id", F.window("ts", length).alias("w")).agg(F.count("*").alias("fixes"))

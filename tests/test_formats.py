@@ -156,7 +156,7 @@ def test_shapes_poi_models(spark, tmp_path):
 
 
 def test_journeys_equal_a_loop(spark):
-    from geotrail.streaming.fixes import _haversine
+    from geotrail.functions.geo import metres as _haversine
 
     rng = np.random.default_rng(2)
     rows, t = [], 0
@@ -228,7 +228,86 @@ def test_stream_sink(spark, tmp_path):
         rows.filter(f"day(ts) {'<=' if k == 0 else '>'} 15").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     source = live.fix_stream(spark, str(tmp_path / "in"), schema=", ".join(f"{n} {t}" for n, t in rows.dtypes))
     live.stream_sink(live.stream_journeys(source), str(tmp_path / "out"), str(tmp_path / "check")).start().awaitTermination()
-    versions = sorted((tmp_path / "out/journeys").iterdir(), key=lambda p: int(p.name.split("=")[1]))
-    got = {(r.user_id, r.time_id): round(r.distance, 3) for r in spark.read.parquet(str(versions[-1])).collect()}
+    got = {(r.user_id, r.time_id): round(r.distance, 3) for r in live.read_journeys(spark, str(tmp_path / "out")).collect()}
     assert got == {(r.user_id, r.time_id): round(r.distance, 3) for r in fx.journeys(rows).collect()}
+    stored = {int(d.name[-2:]): sorted(v.name for v in d.iterdir() if v.is_dir()) for d in (tmp_path / "out/journeys").iterdir() if d.is_dir()}
+    assert len(stored) > 20 and all(v == ["version=0"] if d <= 15 else "version=0" not in v for d, v in stored.items())  # a batch touches its own days only
+    before = live.read_journeys(spark, str(tmp_path / "out"), before=1)
+    assert {r.date.day for r in before.select("date").distinct().collect()} == {d for d in stored if d <= 15}
     assert spark.read.parquet(str(tmp_path / "out/path")).count() == fx.clean_path(rows).count()
+
+
+class State:
+    """What a user's group state holds, without a stream."""
+
+    def __init__(self, timed_out=False):
+        self.kept, self.hasTimedOut, self.due = None, timed_out, None
+
+    exists = property(lambda self: self.kept is not None)
+    get = property(lambda self: self.kept)
+
+    def update(self, value):
+        self.kept = value
+
+    def setTimeoutTimestamp(self, ms):
+        self.due = ms
+
+    def remove(self):
+        self.kept = None
+
+
+def test_live_state_goes_and_late_fixes_are_told():
+    import pandas as pd
+
+    from geotrail.streaming import fixes as live
+
+    follow, state = live._follow(100.0, (123.0, 133.0, 31.0, 39.0)), State()
+    day = lambda d, k, lon: {"user_id": 1, "event_id": k, "t": (d * 86_400 + k) * 1_000_000, "day": f"2024-01-{d:02d}", "lon": lon, "lat": 37.0}
+    told = lambda rows: [(r.kind, r.event_id) for f in follow((1,), iter([pd.DataFrame(rows)]), state) for r in f.itertuples()]
+    assert told([day(3, 1, 127.0), day(3, 2, 127.0001)]) == [("journey", 1), ("path", 1), ("path", 2)]
+    assert state.due == (3 * 86_400 + 2) * 1000 + live.IDLE
+    assert told([day(2, 7, 127.5), day(4, 1, 127.0)]) == [("late", 7), ("journey", 1), ("path", 1)]
+    state.hasTimedOut = True
+    assert list(follow((1,), iter([]), state)) == [] and not state.exists
+
+
+def transverse(lat, lon, zone):
+    """UTM by numerical integration of the meridian arc over complex isometric latitudes."""
+    a, e2 = 6378137.0, (2 - 1 / 298.257223563) / 298.257223563
+    slope = lambda phi: (np.cos(phi) * (1 - e2 * np.sin(phi) ** 2) / (1 - e2), a * np.cos(phi) / np.sqrt(1 - e2 * np.sin(phi) ** 2))
+    at = np.linspace(0, math.radians(lat), 20001)
+    arc = a * (1 - e2) / (1 - e2 * np.sin(at) ** 2) ** 1.5
+    phi, m = complex(at[-1]), complex(((arc[:-1] + arc[1:]) / 2 * np.diff(at)).sum())
+    h = 1j * math.radians(lon - (zone * 6 - 183)) / 400
+    for _ in range(400):
+        p1, m1 = slope(phi)
+        p2, m2 = slope(phi + h / 2 * p1)
+        p3, m3 = slope(phi + h / 2 * p2)
+        p4, m4 = slope(phi + h * p3)
+        phi, m = phi + h / 6 * (p1 + 2 * p2 + 2 * p3 + p4), m + h / 6 * (m1 + 2 * m2 + 2 * m3 + m4)
+    return 500000 + 0.9996 * m.imag, 0.9996 * m.real + (1e7 if lat < 0 else 0)
+
+
+def test_utm_equals_integration(spark):
+    places = [(37.3666554, 128.3933764), (37.5, 127.0), (0.5, 3.0), (-33.9, 18.4), (60.0, 5.3), (71.0, 25.8), (-0.001, -60.0), (45.0, 12.0)]
+    got = spark.createDataFrame(places, "lat double, lon double").select("lat", "lon", geo.utm_forward("lat", "lon").alias("u")).collect()
+    for r in got:
+        east, north = transverse(r.lat, r.lon, r.u.zone)
+        assert abs(r.u.easting - east) < 0.01 and abs(r.u.northing - north) < 0.01, (r, east, north)
+
+
+def test_files_are_written_whole_and_again(spark, tmp_path):
+    files = spark.createDataFrame([("a/b.bin", b"one"), ("c.bin", b"")], "file string, content binary")
+    for target in (str(tmp_path / "x"), f"file://{tmp_path}/x", f"file:{tmp_path}/x"):
+        assert binary.write_files(files, target) == 2
+        assert {p.relative_to(tmp_path / "x").as_posix(): p.read_bytes() for p in (tmp_path / "x").rglob("*") if p.is_file()} == {"a/b.bin": b"one", "c.bin": b""}
+
+
+def test_history_keeps_its_order_over_files(spark, tmp_path):
+    from geotrail.operators.tables import pending_files
+    from geotrail.sources import text
+
+    rows = spark.range(400).select((F.col("id") % 7).cast("string").alias("file"), (F.col("id") == 3).alias("is_complete"), F.col("id").alias("line"))
+    text.write_history(rows.repartitionByRange(5, "line").sortWithinPartitions("line"), str(tmp_path / "h"))
+    files = spark.range(8).select(F.col("id").cast("string").alias("file"))
+    assert sorted(r.file for r in pending_files(files, text.read_history(spark, str(tmp_path / "h"))).collect()) == ["0", "1", "2", "4", "5", "6", "7"]
