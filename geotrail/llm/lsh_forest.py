@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from geotrail.llm.components import components
 from geotrail.llm.grams import Words, mix, parts, windows
-from geotrail.llm.shared import packed, spread_join, written
+from geotrail.llm.shared import packed, spread_join, swept, written
 
 #: Words of a shingle, the least similarity of a link, the chance to meet a pair at it.
 WIDTH, THRESHOLD, RECALL = 5, 0.8, 0.999
@@ -426,31 +426,34 @@ def _shingled(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
 
 def _classified(docs: DataFrame, width: int, threshold: float, target: float) -> DataFrame:
-    """(doc_id, raw, root, n_links, n_copies) for each row of docs; root is null for rows without an id or words."""
-    signed = written(signatures(docs, FIRST, width).withColumn("row", F.monotonically_increasing_id()))
-    known = signed.filter("doc_id is not null and digest is not null")
-    texts = written(known.groupBy("digest").agg(F.min("row").alias("id"), F.min("doc_id").alias("doc_id"), F.count("*").alias("n_copies"), F.first("labels").alias("labels"), F.first("size").alias("size")))
-    nodes = forest_nodes(docs, texts, target, threshold, width)
-    groups = written(candidate_groups(nodes, texts.select("id", F.substring("labels", 1, SKETCH).alias("sketch"), "size"), threshold))
-    sizes = groups.groupBy("root").agg(F.count("*").alias("n"))
-    placed = spread_join(groups, written(sizes), ["root"], F.col("id")).join(texts.select("id", "doc_id", "digest"), "id")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    placed = placed.select("doc_id", "digest", "id", "root", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"))
-    members = _shingled(docs, placed, width).dropDuplicates(["id"])
-    checked = written(_verified(members, threshold))
-    links = checked.filter("n is not null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n_links"))
-    classes = components(checked.filter("n is null").select("a", "b"))
-    told = texts.select("id", "digest", "n_copies").join(classes, "id", "left").join(links, "id", "left")
-    told = told.select("digest", F.col("n_copies").alias("n"), F.coalesce("root", "id").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    rows = spread_join(known.select("doc_id", "raw", "digest", "row"), written(told), ["digest"], F.col("row"))
-    out = rows.select("doc_id", "raw", "root", "n_links", F.col("n").alias("n_copies"))
-    alone = signed.filter("doc_id is null or digest is null")
-    return out.unionByName(alone.select("doc_id", "raw", F.lit(None).cast("long").alias("root"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies")))
+    """(doc_id, raw, root, n_links, n_copies) for each row of docs, written; root is null for rows without an id or words."""
+    with swept(docs.sparkSession) as keep:
+        signed = written(signatures(docs, FIRST, width).withColumn("row", F.monotonically_increasing_id()))
+        known = signed.filter("doc_id is not null and digest is not null")
+        texts = written(known.groupBy("digest").agg(F.min("row").alias("id"), F.min("doc_id").alias("doc_id"), F.count("*").alias("n_copies"), F.first("labels").alias("labels"), F.first("size").alias("size")))
+        with swept(docs.sparkSession) as keep_groups:
+            nodes = forest_nodes(docs, texts, target, threshold, width)
+            groups = keep_groups(written(candidate_groups(nodes, texts.select("id", F.substring("labels", 1, SKETCH).alias("sketch"), "size"), threshold)))
+        sizes = written(groups.groupBy("root").agg(F.count("*").alias("n")))
+        placed = spread_join(groups, sizes, ["root"], F.col("id")).join(texts.select("id", "doc_id", "digest"), "id")
+        blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+        placed = placed.select("doc_id", "digest", "id", "root", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"))
+        members = _shingled(docs, placed, width).dropDuplicates(["id"])
+        checked = written(_verified(members, threshold))
+        links = checked.filter("n is not null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n_links"))
+        classes = components(checked.filter("n is null").select("a", "b"))
+        told = texts.select("id", "digest", "n_copies").join(classes, "id", "left").join(links, "id", "left")
+        told = told.select("digest", F.col("n_copies").alias("n"), F.coalesce("root", "id").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+        rows = spread_join(known.select("doc_id", "raw", "digest", "row"), written(told), ["digest"], F.col("row"))
+        out = rows.select("doc_id", "raw", "root", "n_links", F.col("n").alias("n_copies"))
+        alone = signed.filter("doc_id is null or digest is null")
+        alone = alone.select("doc_id", "raw", F.lit(None).cast("long").alias("root"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
+        return keep(written(out.unionByName(alone)))
 
 
 def near_duplicates(docs: DataFrame, *, width: int = WIDTH, threshold: float = THRESHOLD, target: float = RECALL) -> DataFrame:
     """(doc_id, class_id, n_links, n_copies) for each row of ``docs`` (doc_id, text); a class is named by its least id."""
-    rows = written(_classified(docs, width, threshold, target))
+    rows = _classified(docs, width, threshold, target)
     first = written(rows.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n")))
     told = spread_join(rows.filter("root is not null"), first, ["root"], F.xxhash64("doc_id", "raw")).select("doc_id", "class_id", "n_links", "n_copies")
     return told.unionByName(rows.filter("root is null").select("doc_id", F.col("doc_id").alias("class_id"), "n_links", "n_copies"))

@@ -21,6 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from geotrail.llm.grams import parts
+
+#: Bytes of payloads or files that are worked on at a time.
+PART = 8 << 20
 #: A frame's samples; frames of a block and blocks of a cluster (32 * 8 frames of 12 ms fit a 16-bit time).
 FRAME, LACE, BLOCKS, RATE = 576, 8, 32, 48000
 #: Element ids of the public Matroska specification (RFC 9559); fixed values.
@@ -205,12 +209,9 @@ def mux(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """(id, n_bytes, media): each text's UTF-8 bytes, padded, as a Matroska file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                raw = part.column(1).to_pylist()
-                media = pa.array([mux_payload(pad(x)) for x in raw], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, raw), pa.int64()), media], names=[id_col, "n_bytes", "media"])
+        for part, raw in parts(batches, 1, PART):
+            media = pa.array([mux_payload(pad(x)) for x in raw], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, raw), pa.int64()), media], names=[id_col, "n_bytes", "media"])
 
     rows = df.select(id_col, F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("raw"))
     return rows.mapInArrow(run, f"`{id_col}` {rows.dtypes[0][1]}, n_bytes long, media binary")
@@ -246,16 +247,14 @@ def features(df: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
     """Rows of ``mux`` read back: the payload from the packets' byte ranges, its digests and features."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                payloads, told = [], []
-                for data in part.column(2).to_pylist():
-                    media = parse(data)
-                    payloads.append(b"".join(data[p.offset : p.offset + p.size] for p in media.packets if p.track == 1))
-                    told.append(_feature(np.frombuffer(payloads[-1], np.uint8), media))
-                arrays = [*part.columns, pa.array(payloads, pa.binary()), pa.array([zlib.crc32(x[-32:]) for x in payloads], pa.int64()), pa.array(told, pa.string())]
-                yield pa.RecordBatch.from_arrays(arrays, names=[id_col, "n_bytes", "media", "payload", "tail_crc32", "feature"])
+        for part, files in parts(batches, 2, PART):
+            payloads, told = [], []
+            for data in files:
+                media = parse(data)
+                payloads.append(b"".join(data[p.offset : p.offset + p.size] for p in media.packets if p.track == 1))
+                told.append(_feature(np.frombuffer(payloads[-1], np.uint8), media))
+            arrays = [*part.columns, pa.array(payloads, pa.binary()), pa.array([zlib.crc32(x[-32:]) for x in payloads], pa.int64()), pa.array(told, pa.string())]
+            yield pa.RecordBatch.from_arrays(arrays, names=[id_col, "n_bytes", "media", "payload", "tail_crc32", "feature"])
 
     rows = df.select(id_col, "n_bytes", "media")
     read = rows.mapInArrow(run, f"`{id_col}` {rows.dtypes[0][1]}, n_bytes long, media binary, payload binary, tail_crc32 long, feature string")

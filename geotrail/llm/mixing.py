@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from geotrail.llm.shared import fixed, written
+from geotrail.llm.shared import fixed, forget, written
 
 SPLIT = r"[\x20\x09-\x0D]+"
 #: Labelled rows and words to fit on; iterations and the share of a target by which they may miss it.
@@ -96,6 +96,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, words: int =
         seen[i, [*r.hits, len(vocabulary)]] = 1
         right[i, domains.index(r.domain)] = 1
     weight = _softmax_regression(seen, right)
+    forget(rows, ranked)
     return Model(domains, weight[-1].tolist(), {w: weight[i].tolist() for i, w in enumerate(vocabulary)})
 
 

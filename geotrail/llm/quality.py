@@ -21,7 +21,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geotrail.llm.shared import fixed, written
+from geotrail.llm.shared import fixed, forget, written
 
 SPACES = " \t\n\x0b\x0c\r"
 SPLIT = r"[\x20\x09-\x0D]+"
@@ -167,6 +167,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Rule
     names = [c for c in rows.columns if c not in ("poor", "grow")]
     cuts = _thresholds(rows, names)
     if not any(cuts.values()):
+        forget(rows)
         return []
     rules: list[Rule] = []
     column = {n: F.col(n) for n in names}
@@ -200,6 +201,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Rule
         if poor < max(1, COVER // 3) or poor < PRECISION * (good + poor):
             break
         rules.append(tuple(c for c, _, _ in grown))
+    forget(rows)
     return rules
 
 

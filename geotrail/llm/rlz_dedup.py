@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geotrail.llm.grams import Words, as_bytes, mix, parts, windows
-from geotrail.llm.shared import spread_join, written
+from geotrail.llm.shared import forget, spread_join, written
 
 #: Words of a window and of an anchor: long enough that documents rarely share one by chance.
 WINDOW, ANCHOR = 13, 8
@@ -206,6 +206,7 @@ def duplicate_spans(docs: DataFrame) -> DataFrame:
     asked = shared.select("doc_id", F.explode("told").alias("t")).filter("t.block < doc_id").groupBy("t.block").agg(F.count("*").alias("n"))
     salts = asked.select("block", F.ceil(F.col("n") / SALT).cast("int").alias("salts"))
     told = written(_parsed(runs(rows, shared), salts))
+    forget(first, shared)
     lacking = told.filter("g <> 0 or h <> 0")
     between = lacking.groupBy("g", "h").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last"), F.count("*").alias("n")).filter("least < last")
     later = spread_join(lacking, written(between.select("g", "h", "least", "n")), ["g", "h"], F.xxhash64("doc_id", "at")).filter("least < doc_id").select("doc_id", "at", "upto")

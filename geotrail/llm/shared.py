@@ -5,14 +5,16 @@ from __future__ import annotations
 import tempfile
 import uuid
 import weakref
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Folders of this machine by application, where none is set and the session runs on this machine alone.
 _LOCAL: dict[str, str] = {}
-#: Where the tables of ``written`` are.
+#: Folders of the tables of ``written`` that are still there, and which table is where.
+_FOLDERS: dict[str, None] = {}
 _PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
@@ -33,14 +35,35 @@ def written(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _PATHS[out] = path
+    _FOLDERS[path] = None
     return out
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _FOLDERS.pop(folder, None)
+
+
 def forget(*tables: DataFrame) -> None:
     """Deletes tables of ``written`` that no later step reads."""
     for df in tables:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(_PATHS.pop(df))
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, _PATHS.pop(df))
+
+
+@contextmanager
+def swept(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes at its end the tables of ``written`` made inside, but for those handed to what it gives."""
+    before, kept = set(_FOLDERS), []
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.append(table)
+        return table
+
+    yield keep
+    left = {_PATHS[t] for t in kept}
+    for folder in [f for f in _FOLDERS if f not in before and f not in left]:
+        _delete(spark, folder)
 
 
 def fixed(df: DataFrame, **columns: Column) -> DataFrame:

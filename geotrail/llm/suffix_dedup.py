@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from geotrail.llm.grams import as_bytes, mix, parts, windows
 from geotrail.llm.rlz_dedup import window_anchors
-from geotrail.llm.shared import spread_join, written
+from geotrail.llm.shared import forget, spread_join, written
 
 #: Bytes of a duplicate string and of an anchor's gram; the longest period of a gram that is no anchor.
 LENGTH, GRAM, PERIOD = 400, 48, 24
@@ -372,6 +372,7 @@ def duplicate_spans(docs: DataFrame) -> DataFrame:
     alone = found.filter("at < 0").select("doc_id", F.col("lo").alias("first"), (F.col("hi") + LENGTH).alias("end"))
     shared = spread_join(found.filter("at >= 0"), twice, ["anchor"], F.xxhash64("doc_id", "at")).withColumn("hot", F.col("n") > HOT)
     shared = written(shared.groupBy("doc_id", "hot").agg(F.collect_list(F.struct("anchor", "at", "lo", "hi")).alias("told")))
+    forget(twice)
     few, many = shared.filter("not hot").drop("hot"), shared.filter("hot").drop("hot")
     size = few.agg(F.sum(F.aggregate("told", F.lit(0).cast("long"), lambda a, x: a + x["hi"] - x["lo"] + LENGTH))).first()[0] or 0
     spans = _merged(_sorted_runs(rows, few, max(1, -(-size // BUCKET_BYTES)))).unionByName(alone)

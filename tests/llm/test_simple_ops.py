@@ -30,6 +30,32 @@ def test_bpe_equals_tiktoken(spark):
     assert bpe.encode(df.limit(0), ranks, PATTERN).count() == 0
 
 
+@pytest.mark.parametrize("text", ["Слово за словом, и 12 слов. " * 60, "日本語の文章。漢字とかな、カタカナも。" * 90, "कुछ शब्द और । " * 120, "สวัสดีครับ คำไทย " * 100, "a,b;c-d" * 300, "it's 'll x'd\n\n " * 120])
+def test_chunks_meet_in_every_script(text):
+    """Every overlap has a boundary that both chunks see, and no piece begins inside a pre-token."""
+    import regex
+
+    starts = {m.start() for m in regex.finditer(PATTERN, text)}
+    assert all(at in starts for at in range(1, len(text)) if bpe.sure(text, at))
+    own = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, bpe.load_ranks(public_tokenizers.path(RANKS)).splitlines())}, special_tokens={})
+    cuts = [at for at in range(1, len(text)) if bpe.sure(text, at)]
+    assert len(cuts) > len(text) // 40
+    for at in cuts[:: max(1, len(cuts) // 40)]:
+        assert own.encode_ordinary(text[:at]) + own.encode_ordinary(text[at:]) == own.encode_ordinary(text)
+
+
+def test_unstitched_chunks_stay_together(spark):
+    """A run that no overlap has a boundary in is encoded in one piece, what is around it is not."""
+    ranks = bpe.load_ranks(public_tokenizers.path(RANKS))
+    own = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}, special_tokens={})
+    text = "one two three " * 200 + "x" * 2500 + " four five" * 300
+    df = spark.createDataFrame([(1, text, 7)], "doc_id long, text string, more int")
+    (got,) = bpe.encode(df, ranks, PATTERN, keep=("more",), chunk=400, overlap=60).collect()
+    import numpy as np
+
+    assert np.frombuffer(bytes(got.ids), "<u4").tolist() == own.encode_ordinary(text) and got.more == 7
+
+
 def brute_chat(turns):
     esc = lambda t: __import__("re").sub(r"([\[<])((?:/?(?:SYS|INST|TURN)|TEXT|SEP)\]|/?s>)", r"\1\\\2", t.replace("\\", "\\\\"))
     out, last, close = "", None, ""
@@ -79,6 +105,7 @@ def test_media_round_trip(spark):
         assert (r.media_bytes, r.media_sha256) == (len(file), hashlib.sha256(file).hexdigest())
     assert got[2][1:] == got[9][1:]
     p = media.packets(media.mux(df)).filter("doc_id = 6").orderBy("k").collect()
+    assert media.features(media.mux(df.limit(0))).collect() == [] and media.packets(media.mux(df.limit(0))).collect() == []
     assert len(p) == -(-300000 // 576) and [x.timestamp_ns for x in p] == [12_000_000 * k for k in range(len(p))] and p[0].codec == "A_PCM/INT/LIT"
 
 

@@ -311,13 +311,26 @@ def test_bpe_stage(spark):
     assert queries.stage_bpe(spark, docs.limit(0), SF).collect() == []
 
 
-def test_pipeline(spark):
+def test_pipeline(spark, monkeypatch):
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["quality rules", "n-gram Jaccard join", "secret scans", "mixing sources to target weights", "byte-level BPE encoding and decoding"]
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    want = docs
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        want = queries.written(stage(spark, want, SF))
-        assert set(docs.columns) <= set(want.columns)
-    got = corpus_pipeline.run(spark, SF)
-    assert sorted((r.doc_id, r.copies, r.decoded_sha256) for r in got.collect()) == sorted((r.doc_id, r.copies, hashlib.sha256(r.text.encode()).hexdigest()) for r in want.collect())
+    docs, told = spark.read.parquet(f"{SF}/documents.parquet"), []
+    monkeypatch.setattr(corpus_pipeline, "written", lambda df, f=corpus_pipeline.written: told.append((df.columns, (out := f(df)).collect())) or out)
+    got = corpus_pipeline.run(spark, SF).collect()
+    assert all(set(docs.columns) <= set(columns) for columns, _ in told) and len(told) == 4
+    assert [len(rows) for _, rows in told] == sorted((len(rows) for _, rows in told), reverse=True)
+    assert sorted((r.doc_id, r.copies, r.decoded_sha256) for r in got) == sorted((r.doc_id, r.copies, hashlib.sha256(r.text.encode()).hexdigest()) for r in told[-1][1])
+
+
+def test_tables_go_when_nothing_reads_them(spark):
+    from geotrail.llm import shared
+
+    before = set(shared._FOLDERS)
+    with shared.swept(spark) as keep:
+        kept, gone = keep(shared.written(spark.range(3))), shared.written(spark.range(4))
+    (folder,) = set(shared._FOLDERS) - before
+    assert kept.count() == 3 and shared._PATHS[kept] == folder
+    with pytest.raises(Exception, match="exist"):
+        gone.count()
+    shared.forget(kept)
+    assert set(shared._FOLDERS) == before
