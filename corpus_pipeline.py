@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from geotrail.llm import queries as Q
+from geotrail.llm.shared import forget, swept, written
 
 #: Stage functions by name, in order.
 STAGES = [
@@ -24,10 +25,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``; a stage's rows and its own tables go once the next stage's rows are written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = Q.written(docs)
-    return docs
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        with swept(spark) as keep:
+            new = keep(written(stage(spark, docs, sf_dir)))
+        if k:
+            forget(docs)
+        docs = new
+    return STAGES[-1][1](spark, docs, sf_dir)
