@@ -32,7 +32,8 @@ def _written(rows: DataFrame, name: Callable, content: Callable) -> str:
     return home
 
 
-@query(f"SELECT 'track' || file || '.3dpath' AS file, row_number() OVER (PARTITION BY file ORDER BY line) - 1 AS line, CAST(line AS BIGINT) AS ts, CAST(CAST(x AS FLOAT) AS DOUBLE) AS x, 0e0 AS y, CAST(CAST(y AS FLOAT) AS DOUBLE) AS z FROM ({ad.PLACED}) p")
+@query(f"""SELECT 'track' || file || '.3dpath' AS file, row_number() OVER (PARTITION BY file ORDER BY line) - 1 AS line, CAST(line AS BIGINT) AS ts, CAST(CAST(x AS FLOAT) AS DOUBLE) AS x, 0e0 AS y, CAST(CAST(y AS FLOAT) AS DOUBLE) AS z
+  FROM ({ad.PLACED}) p""")
 def s3_s4_track3d(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tracks as binary 3D files and back; places are 32-bit floats there."""
     rows = ad.tracks(spark, sf_dir).select(F.concat(F.lit("track"), "file", F.lit(".3dpath")).alias("file"), "line", F.col("line").alias("ts"), F.col("x").cast("float").alias("x"), F.lit(0.0).cast("float").alias("y"), F.col("y").cast("float").alias("z"))
@@ -42,7 +43,7 @@ def s3_s4_track3d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("file", "line", "ts", *(F.col(c).cast("double").alias(c) for c in ("x", "y", "z")))
 
 
-_TILE = "level, x, y, 16 AS width, 16 AS height, CAST(list_sum(list_transform(range(0, 256), lambda i: (k * 31 + i * 17) % 4001 - 50)) AS DOUBLE) AS total, CAST((k * 31 + 255 * 17) % 4001 - 50 AS DOUBLE) AS last"
+_TILE = """level, x, y, 16 AS width, 16 AS height, CAST(list_sum(list_transform(range(0, 256), lambda i: (k * 31 + i * 17) % 4001 - 50)) AS DOUBLE) AS total, CAST((k * 31 + 255 * 17) % 4001 - 50 AS DOUBLE) AS last"""
 
 
 def _map_digest(told: DataFrame) -> DataFrame:
@@ -82,7 +83,8 @@ def s9_lerc_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _map_digest(binary.read_lerc_tiles(spark, home))
 
 
-@query(f"SELECT CAST(file AS INT) AS num, 3 AS shape_type, count(*) AS n, round(min(x), 6) AS west, round(max(y), 6) AS north, round(arg_max(x, line), 6) AS last_x FROM ({ad.PLACED}) p GROUP BY file")
+@query(f"""SELECT CAST(file AS INT) AS num, 3 AS shape_type, count(*) AS n, round(min(x), 6) AS west, round(max(y), 6) AS north, round(arg_max(x, line), 6) AS last_x
+  FROM ({ad.PLACED}) p GROUP BY file""")
 def s11_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tracks as polylines of one shape file each, and back."""
 
@@ -120,7 +122,8 @@ def s13_model_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.read_model_index(spark, home).select("key", "level", "x", F.get("box", F.lit(5)).alias("top"))
 
 
-@query(f"SELECT name, round(lon, 6) AS lon, round(lat, 6) AS lat FROM ({ad.LANDMARKS}) l UNION ALL SELECT name, round(lon, 6) AS lon, round(lat, 6) AS lat FROM ({ad.LANDMARKS}) l")
+@query(f"""SELECT name, round(lon, 6) AS lon, round(lat, 6) AS lat FROM ({ad.LANDMARKS}) l UNION ALL SELECT name, round(lon, 6) AS lon, round(lat, 6) AS lat
+  FROM ({ad.LANDMARKS}) l""")
 def s6_write_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Landmarks appended twice to a stored table."""
     home = scratch(spark)
@@ -130,7 +133,8 @@ def s6_write_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{_FOLD}
-SELECT user_id, CAST(first // 1000 AS BIGINT) AS time_id, round(coalesce(arg_max(total, k) FILTER (inside), 0e0), 3) AS distance FROM s GROUP BY user_id, day, first""")
+SELECT user_id, CAST(first // 1000 AS BIGINT) AS time_id, round(coalesce(arg_max(total, k) FILTER (inside), 0e0), 3) AS distance FROM s
+  GROUP BY user_id, day, first""")
 def x2_s16_stream_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stream of all fixes into stored tables: journeys as the last batch left them."""
     home = scratch(spark)

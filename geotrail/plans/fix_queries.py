@@ -33,7 +33,8 @@ s AS (
   SELECT user_id, day, event_id, lon AS flon, lat AS flat, t AS first, t AS ft, k, lon, lat, t, 0e0 AS total, true AS taken, false AS fast,
     lon BETWEEN 123e0 AND 133e0 AND lat BETWEEN 31e0 AND 39e0 AS inside FROM o WHERE k = 1
   UNION ALL
-  SELECT user_id, day, event_id, flon, flat, first, ft, k, CASE WHEN taken THEN flon ELSE lon END, CASE WHEN taken THEN flat ELSE lat END, CASE WHEN taken THEN ft ELSE t END,
+
+    SELECT user_id, day, event_id, flon, flat, first, ft, k, CASE WHEN taken THEN flon ELSE lon END, CASE WHEN taken THEN flat ELSE lat END, CASE WHEN taken THEN ft ELSE t END,
     total + CASE WHEN taken THEN away ELSE 0e0 END, taken, fast, taken AND flon BETWEEN 123e0 AND 133e0 AND flat BETWEEN 31e0 AND 39e0
   FROM (SELECT *, NOT same AND away <= 100e0 * ((ft - t) / 1e6) AS taken, NOT same AND away > 100e0 * ((ft - t) / 1e6) AS fast FROM (
     SELECT s.user_id, s.day, o.event_id, o.lon AS flon, o.lat AS flat, s.first, o.t AS ft, o.k, s.lon, s.lat, s.t, s.total,
@@ -62,7 +63,8 @@ def a1_journeys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{_FOLD}
-SELECT user_id, strftime(day, '%Y-%m-%d') AS day, CAST(first // 1000 AS BIGINT) AS journey_time_id, event_id, CAST(ft // 1000 AS BIGINT) AS ms, round(flon, 6) AS lon, round(flat, 6) AS lat, round(total, 3) AS way FROM s WHERE inside""")
+SELECT user_id, strftime(day, '%Y-%m-%d') AS day, CAST(first // 1000 AS BIGINT) AS journey_time_id, event_id, CAST(ft // 1000 AS BIGINT) AS ms, round(flon, 6) AS lon, round(flat, 6) AS lat, round(total, 3) AS way
+  FROM s WHERE inside""")
 def a2_clean_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = fx.clean_path(_fixes(spark, sf_dir))
     return told.select("user_id", F.col("day").cast("string").alias("day"), "journey_time_id", "event_id", F.unix_millis("ts").alias("ms"), F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"), F.round("way", 3).alias("way"))
@@ -73,7 +75,8 @@ def f1_geofence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.geofence(_fixes(spark, sf_dir)).select("event_id", "user_id", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
 
 
-@query(f"""SELECT event_id, user_id FROM (SELECT *, lag(lon) OVER w AS a, lag(lat) OVER w AS b FROM ({ad.FIXES}) f WINDOW w AS (PARTITION BY user_id, {_DAY} ORDER BY ts, event_id)) q
+@query(f"""SELECT event_id, user_id FROM (SELECT *, lag(lon) OVER w AS a, lag(lat) OVER w AS b FROM ({ad.FIXES}) f
+  WINDOW w AS (PARTITION BY user_id, {_DAY} ORDER BY ts, event_id)) q
 WHERE NOT coalesce(a = lon AND b = lat, false)""")
 def f2_drop_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.drop_repeats(_fixes(spark, sf_dir)).select("event_id", "user_id")
@@ -91,25 +94,30 @@ def f4_drop_short_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""SELECT file, line, round(x0, 6) AS x0, round(y0, 6) AS y0, round(x1, 6) AS x1, round(y1, 6) AS y1 FROM (
-SELECT file, line, x AS x0, y AS y0, lead(x) OVER w AS x1, lead(y) OVER w AS y1 FROM ({ad.PLACED}) p WINDOW w AS (PARTITION BY file ORDER BY line)) q WHERE x1 IS NOT NULL""")
+SELECT file, line, x AS x0, y AS y0, lead(x) OVER w AS x1, lead(y) OVER w AS y1 FROM ({ad.PLACED}) p WINDOW w AS (PARTITION BY file ORDER BY line)) q
+  WHERE x1 IS NOT NULL""")
 def w1_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.segments(ad.tracks(spark, sf_dir)).select("file", "line", *(F.round(c, 6).alias(c) for c in ("x0", "y0", "x1", "y1")))
 
 
 @query(f"""SELECT event_id, round(sum(step) OVER (PARTITION BY user_id, day ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 3) AS way FROM (
-SELECT *, {_DAY} AS day, coalesce({haversine("lag(lon) OVER w", "lag(lat) OVER w", "lon", "lat")}, 0e0) AS step FROM ({ad.FIXES}) f WINDOW w AS (PARTITION BY user_id, {_DAY} ORDER BY ts, event_id)) q""")
+SELECT *, {_DAY} AS day, coalesce({haversine("lag(lon) OVER w", "lag(lat) OVER w", "lon", "lat")}, 0e0) AS step FROM ({ad.FIXES}) f
+  WINDOW w AS (PARTITION BY user_id, {_DAY} ORDER BY ts, event_id)) q""")
 def w2_running_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.running_distance(_fixes(spark, sf_dir)).select("event_id", F.round("way", 3).alias("way"))
 
 
-@query(f"SELECT user_id, event_id, CAST(place AS BIGINT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS place FROM ({ad.FIXES}) f) q WHERE place <= 20")
+@query(f"""SELECT user_id, event_id, CAST(place AS BIGINT) AS place
+  FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS place FROM ({ad.FIXES}) f) q WHERE place <= 20""")
 def w3_last_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.last_positions(_fixes(spark, sf_dir)).select("user_id", "event_id", F.col("place").cast("long").alias("place"))
 
 
 @query(f"""WITH b AS (SELECT *, {_DAY} AS day, atan2(sin(turn) * cos(lat1), cos(lat0) * sin(lat1) - sin(lat0) * cos(lat1) * cos(turn)) AS b FROM (
-  SELECT *, radians(lag(lat) OVER w) AS lat0, radians(lat) AS lat1, radians(lon - lag(lon) OVER w) AS turn FROM ({ad.FIXES}) f WINDOW w AS (PARTITION BY user_id, {_DAY} ORDER BY ts, event_id)) q),
-c AS (SELECT event_id, b, avg(sin(b)) OVER w AS s, avg(cos(b)) OVER w AS c FROM b WINDOW w AS (PARTITION BY user_id, day ORDER BY ts, event_id ROWS 4 PRECEDING))
+ SELECT *, radians(lag(lat) OVER w) AS lat0, radians(lat) AS lat1, radians(lon - lag(lon) OVER w) AS turn FROM ({ad.FIXES}) f
+    WINDOW w AS (PARTITION BY user_id, {_DAY} ORDER BY ts, event_id)) q),
+c AS (SELECT event_id, b, avg(sin(b)) OVER w AS s, avg(cos(b)) OVER w AS c FROM b
+  WINDOW w AS (PARTITION BY user_id, day ORDER BY ts, event_id ROWS 4 PRECEDING))
 SELECT event_id, round(cos(b), 6) AS bearing_cos, CASE WHEN s * s + c * c > 1e-12 THEN round(c / sqrt(s * s + c * c), 5) END AS heading_cos FROM c""")
 def w6_average_heading(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = fx.average_heading(_fixes(spark, sf_dir), 5)
@@ -145,7 +153,8 @@ def m21_time_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fixes(spark, sf_dir).select("event_id", time_formats("ts").alias("t")).select("event_id", "t.*")
 
 
-@query(f"""SELECT {_ms('ts')} AS ms, round(lon, 6) AS lon, round(lat, 6) AS lat, CASE WHEN event_id % 3 = 0 THEN NULL ELSE speed END AS speed, false AS bad FROM ({ad.FIXES}) f
+@query(f"""SELECT {_ms('ts')} AS ms, round(lon, 6) AS lon, round(lat, 6) AS lat, CASE WHEN event_id % 3 = 0 THEN NULL ELSE speed END AS speed, false AS bad
+  FROM ({ad.FIXES}) f
 UNION ALL SELECT NULL, NULL, NULL, NULL, true FROM events WHERE event_id % 5 = 0""")
 def s1_s2_path_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fixes written as logs of 3 or 5 columns by day, and read again; every fifth stands there once more as a cut line."""
@@ -180,7 +189,8 @@ def j1_pending_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pending_files(files, _history(spark, sf_dir))
 
 
-@query("""WITH t AS (SELECT o_custkey AS user_id, o_orderkey AS time_id, o_totalprice AS d FROM orders WHERE o_orderkey % 3 < 2), u AS (SELECT o_custkey AS user_id, o_orderkey AS time_id, o_totalprice * 2 AS d FROM orders WHERE o_orderkey % 3 > 0)
+@query("""WITH t AS (SELECT o_custkey AS user_id, o_orderkey AS time_id, o_totalprice AS d FROM orders WHERE o_orderkey % 3 < 2),
+  u AS (SELECT o_custkey AS user_id, o_orderkey AS time_id, o_totalprice * 2 AS d FROM orders WHERE o_orderkey % 3 > 0)
 SELECT user_id, time_id, coalesce(u.d, t.d) AS distance FROM t FULL JOIN u USING (user_id, time_id)""")
 def j10_upsert_journeys(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
@@ -209,7 +219,8 @@ def _streamed(spark: SparkSession, rows: DataFrame, build, parts: int = 3) -> Da
 
 
 @query(f"""{_FOLD}
-SELECT user_id, CAST(first // 1000 AS BIGINT) AS time_id, round(coalesce(arg_max(total, k) FILTER (inside), 0e0), 3) AS distance, round(coalesce((arg_max(ft, k) FILTER (inside) - first) / 1e6, 0e0), 3) AS journey_time FROM s GROUP BY user_id, day, first""")
+SELECT user_id, CAST(first // 1000 AS BIGINT) AS time_id, round(coalesce(arg_max(total, k) FILTER (inside), 0e0), 3) AS distance, round(coalesce((arg_max(ft, k) FILTER (inside) - first) / 1e6, 0e0), 3) AS journey_time
+  FROM s GROUP BY user_id, day, first""")
 def x1_stream_journeys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Journeys from a stream of all fixes."""
     rows = _streamed(spark, _fixes(spark, sf_dir), live.stream_journeys)
@@ -217,14 +228,17 @@ def x1_stream_journeys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH m AS (SELECT date_trunc('day', max(ts) - INTERVAL 1 HOUR) AS upto FROM events)
-SELECT user_id, CAST(epoch_ms(date_trunc('day', ts)) AS BIGINT) AS start_ms, count(*) AS fixes FROM events, m WHERE date_trunc('day', ts) < upto GROUP BY 1, 2""")
+SELECT user_id, CAST(epoch_ms(date_trunc('day', ts)) AS BIGINT) AS start_ms, count(*) AS fixes FROM events, m WHERE date_trunc('day', ts) < upto
+  GROUP BY 1, 2""")
 def x3_stream_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Closed days of a stream of all fixes: the last day stays open behind the watermark."""
     return _streamed(spark, _fixes(spark, sf_dir), live.stream_daily).select("user_id", F.unix_millis("start").alias("start_ms"), "fixes")
 
 
 @query("""WITH o AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 30 MINUTE, true) AS begins FROM events),
-r AS (SELECT user_id, ts, sum(begins::INT) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM o), m AS (SELECT max(ts) - INTERVAL 1 HOUR AS upto FROM events)
-SELECT user_id, CAST(epoch_us(min(ts)) // 1000 AS BIGINT) AS start_ms, count(*) AS fixes FROM r, m GROUP BY user_id, k, upto HAVING max(ts) + INTERVAL 30 MINUTE <= upto""")
+r AS (SELECT user_id, ts, sum(begins::INT) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM o),
+  m AS (SELECT max(ts) - INTERVAL 1 HOUR AS upto FROM events)
+SELECT user_id, CAST(epoch_us(min(ts)) // 1000 AS BIGINT) AS start_ms, count(*) AS fixes FROM r, m GROUP BY user_id, k, upto
+  HAVING max(ts) + INTERVAL 30 MINUTE <= upto""")
 def x5_stream_drives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _streamed(spark, _fixes(spark, sf_dir), live.stream_drives).select("user_id", F.unix_millis("start").alias("start_ms"), "fixes")

@@ -16,7 +16,8 @@ from geotrail.sources import text
 #: Places and segments of tracks, each computed once.
 _SEG = f"""placed AS MATERIALIZED ({ad.PLACED}),
 seg AS MATERIALIZED (
-  SELECT * FROM (SELECT file, line, x AS x0, y AS y0, lead(x) OVER w AS x1, lead(y) OVER w AS y1 FROM placed WINDOW w AS (PARTITION BY file ORDER BY line)) q
+ SELECT * FROM (SELECT file, line, x AS x0, y AS y0, lead(x) OVER w AS x1, lead(y) OVER w AS y1 FROM placed
+    WINDOW w AS (PARTITION BY file ORDER BY line)) q
   WHERE x1 IS NOT NULL),
 pts AS MATERIALIZED (
   SELECT file, line, x, y, degrees(2e0 * atan(exp((y / 1048576e0 - 0.5e0) * 2e0 * pi())) - pi() / 2e0) AS lat,
@@ -31,18 +32,22 @@ _NEAR = f"""{_SEG},
 {_CELLS},
 feet AS (
   SELECT *, x0 + t * dx AS foot_x, y0 + t * dy AS foot_y FROM (
-    SELECT *, CASE WHEN dx * dx + dy * dy > 0 THEN greatest(0e0, least(1e0, ((x - x0) * dx + (y - y0) * dy) / (dx * dx + dy * dy))) ELSE 0e0 END AS t FROM (
+ SELECT *, CASE WHEN dx * dx + dy * dy > 0 THEN greatest(0e0, least(1e0, ((x - x0) * dx + (y - y0) * dy) / (dx * dx + dy * dy))) ELSE 0e0 END AS t
+      FROM (
       SELECT p.file, p.line, p.x, p.y, p.lat, c.file AS seg_file, c.line AS seg_line, x0, y0, x1 - x0 AS dx, y1 - y0 AS dy
       FROM pts p JOIN cells c ON c.cx = p.cx AND c.cy = p.cy AND c.file <> p.file) q) r),
 near AS MATERIALIZED (
   SELECT file, line, seg_file, seg_line, foot_x, foot_y, distance FROM (
-    SELECT *, sqrt((x - foot_x) * (x - foot_x) + (y - foot_y) * (y - foot_y)) * (2e0 * pi() * 6378137e0 / 1048576e0 * cos(radians(lat))) AS distance FROM feet) q
+ SELECT *, sqrt((x - foot_x) * (x - foot_x) + (y - foot_y) * (y - foot_y)) * (2e0 * pi() * 6378137e0 / 1048576e0 * cos(radians(lat))) AS distance
+      FROM feet) q
   WHERE distance <= 30e0),
 best AS MATERIALIZED (
-  SELECT file, line, seg_file, min(distance) AS distance, arg_min(foot_x, (round(distance, 6), seg_line)) AS foot_x, arg_min(foot_y, (round(distance, 6), seg_line)) AS foot_y
+
+    SELECT file, line, seg_file, min(distance) AS distance, arg_min(foot_x, (round(distance, 6), seg_line)) AS foot_x, arg_min(foot_y, (round(distance, 6), seg_line)) AS foot_y
   FROM near GROUP BY file, line, seg_file),
 mean AS MATERIALIZED (
-  SELECT p.file, p.line, coalesce(n, 0) AS n, (p.x + coalesce(sx, 0e0)) / (coalesce(n, 0) + 1) AS x, (p.y + coalesce(sy, 0e0)) / (coalesce(n, 0) + 1) AS y
+
+    SELECT p.file, p.line, coalesce(n, 0) AS n, (p.x + coalesce(sx, 0e0)) / (coalesce(n, 0) + 1) AS x, (p.y + coalesce(sy, 0e0)) / (coalesce(n, 0) + 1) AS y
   FROM pts p LEFT JOIN (SELECT file, line, sum(foot_x) AS sx, sum(foot_y) AS sy, count(*) AS n FROM best GROUP BY file, line) f USING (file, line))"""
 
 
@@ -57,11 +62,14 @@ def j2_m16_nearest_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH p AS (
-  SELECT file, line, x AS ax, y AS ay, lead(x) OVER w AS cx, lead(y) OVER w AS cy, lead(x, 2) OVER w AS x, lead(y, 2) OVER w AS y FROM ({ad.PLACED}) q WINDOW w AS (PARTITION BY file ORDER BY line)),
-t AS (SELECT *, greatest(0e0, least(1e0, ((x - ax) * (cx - ax) + (y - ay) * (cy - ay)) / ((cx - ax) * (cx - ax) + (cy - ay) * (cy - ay)))) AS t FROM p WHERE x IS NOT NULL),
+ SELECT file, line, x AS ax, y AS ay, lead(x) OVER w AS cx, lead(y) OVER w AS cy, lead(x, 2) OVER w AS x, lead(y, 2) OVER w AS y FROM ({ad.PLACED}) q
+    WINDOW w AS (PARTITION BY file ORDER BY line)),
+t AS (SELECT *, greatest(0e0, least(1e0, ((x - ax) * (cx - ax) + (y - ay) * (cy - ay)) / ((cx - ax) * (cx - ax) + (cy - ay) * (cy - ay)))) AS t FROM p
+  WHERE x IS NOT NULL),
 f AS (SELECT file, line, x, y, ax + t * (cx - ax) AS fx, ay + t * (cy - ay) AS fy FROM t)
 SELECT file, line, round(fx, 4) AS foot_x, round(fy, 4) AS foot_y,
-  round(sqrt((x - fx) * (x - fx) + (y - fy) * (y - fy)) * (2e0 * pi() * 6378137e0 / 1048576e0 * cos(2e0 * atan(exp((y / 1048576e0 - 0.5e0) * 2e0 * pi())) - pi() / 2e0)), 3) AS distance FROM f""")
+  round(sqrt((x - fx) * (x - fx) + (y - fy) * (y - fy)) * (2e0 * pi() * 6378137e0 / 1048576e0 * cos(2e0 * atan(exp((y / 1048576e0 - 0.5e0) * 2e0 * pi())) - pi() / 2e0)), 3) AS distance
+    FROM f""")
 def m16_point_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each segment of a track with the point after it."""
     w = Window.partitionBy("file").orderBy("line")
@@ -99,11 +107,14 @@ def a5_merge_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _EDGE = """step AS (
-  SELECT *, lx < gx OR (lx = gx AND ly < gy) AS o FROM (SELECT *, lag(gx) OVER w AS lx, lag(gy) OVER w AS ly FROM grid WINDOW w AS (PARTITION BY file ORDER BY line)) q
+ SELECT *, lx < gx OR (lx = gx AND ly < gy) AS o FROM (SELECT *, lag(gx) OVER w AS lx, lag(gy) OVER w AS ly FROM grid
+    WINDOW w AS (PARTITION BY file ORDER BY line)) q
   WHERE lx IS NOT NULL AND NOT (lx = gx AND ly = gy)),
 edge AS MATERIALIZED (
   SELECT a_x, a_y, b_x, b_y, count(*) AS cnt FROM (
-    SELECT CASE WHEN o THEN lx ELSE gx END AS a_x, CASE WHEN o THEN ly ELSE gy END AS a_y, CASE WHEN o THEN gx ELSE lx END AS b_x, CASE WHEN o THEN gy ELSE ly END AS b_y FROM step) s
+
+      SELECT CASE WHEN o THEN lx ELSE gx END AS a_x, CASE WHEN o THEN ly ELSE gy END AS a_y, CASE WHEN o THEN gx ELSE lx END AS b_x, CASE WHEN o THEN gy ELSE ly END AS b_y
+      FROM step) s
   GROUP BY a_x, a_y, b_x, b_y)"""
 
 
@@ -134,7 +145,8 @@ _V = f"""{_VERTEX}, {_EDGE},
 placed AS MATERIALIZED (SELECT *, CAST(floor(px / 32e0) AS BIGINT) AS fx, CAST(floor(pz / 32e0) AS BIGINT) AS fy FROM vertex),
 finest AS (SELECT fx, fy FROM placed), {_LEAVES},
 v AS (
-  SELECT p.*, level, p.fx // CAST(pow(2, 15 - level) AS BIGINT) AS x, p.fy // CAST(pow(2, 15 - level) AS BIGINT) AS y FROM placed p JOIN leaf USING (fx, fy)),
+ SELECT p.*, level, p.fx // CAST(pow(2, 15 - level) AS BIGINT) AS x, p.fy // CAST(pow(2, 15 - level) AS BIGINT) AS y FROM placed p
+    JOIN leaf USING (fx, fy)),
 q AS MATERIALIZED (
   SELECT *, (idx << 44) | (level::BIGINT << 40) | (y << 20) | x AS qgid FROM (
     SELECT *, row_number() OVER (PARTITION BY level, x, y ORDER BY gx, gy) - 1 AS idx FROM v) i),
@@ -160,9 +172,12 @@ def j7_edge_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_SEG},
 {_CELLS},
 feet AS (
-  SELECT *, x0 + t * dx AS foot_x, y0 + t * dy AS foot_y FROM (SELECT *, greatest(0e0, least(1e0, ((x - x0) * dx + (y - y0) * dy) / (dx * dx + dy * dy))) AS t FROM (
-    SELECT p.file, p.line, p.x, p.y, p.lat, x0, y0, x1 - x0 AS dx, y1 - y0 AS dy FROM pts p JOIN cells c ON c.cx = p.cx AND c.cy = p.cy AND c.file <> p.file) q) r),
-near AS (SELECT file, line, sqrt((x - foot_x) * (x - foot_x) + (y - foot_y) * (y - foot_y)) * (2e0 * pi() * 6378137e0 / 1048576e0 * cos(radians(lat))) AS distance FROM feet)
+ SELECT *, x0 + t * dx AS foot_x, y0 + t * dy AS foot_y
+    FROM (SELECT *, greatest(0e0, least(1e0, ((x - x0) * dx + (y - y0) * dy) / (dx * dx + dy * dy))) AS t FROM (
+ SELECT p.file, p.line, p.x, p.y, p.lat, x0, y0, x1 - x0 AS dx, y1 - y0 AS dy FROM pts p
+      JOIN cells c ON c.cx = p.cx AND c.cy = p.cy AND c.file <> p.file) q) r),
+near AS (SELECT file, line, sqrt((x - foot_x) * (x - foot_x) + (y - foot_y) * (y - foot_y)) * (2e0 * pi() * 6378137e0 / 1048576e0 * cos(radians(lat))) AS distance
+  FROM feet)
 SELECT file, line, round(min(distance), 3) AS distance FROM near WHERE distance <= 30e0 GROUP BY file, line""")
 def j9_near_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest edge of each point that doesn't touch the point's own vertex: all segments are edges, their far ends below all files."""
@@ -175,7 +190,9 @@ def j9_near_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Krueger's series in the third flattening of WGS84, as SQL.
 _N = "0.0016792203863837047e0"
 _UTM = f"""z AS (
-  SELECT event_id, lon, lat, CAST(floor((lon + 180e0) / 6e0) AS INT) % 60 + 1 AS zone, sin(radians(lat)) AS s, radians(lon - ((floor((lon + 180e0) / 6e0) % 60 + 1) * 6e0 - 183e0)) AS d FROM ({ad.FIXES}) f),
+
+    SELECT event_id, lon, lat, CAST(floor((lon + 180e0) / 6e0) AS INT) % 60 + 1 AS zone, sin(radians(lat)) AS s, radians(lon - ((floor((lon + 180e0) / 6e0) % 60 + 1) * 6e0 - 183e0)) AS d
+    FROM ({ad.FIXES}) f),
 c AS (SELECT *, atanh(s) - 0.08181919084262157e0 * atanh(0.08181919084262157e0 * s) AS q FROM z),
 h AS (SELECT *, (exp(q) - exp(-q)) / 2e0 AS t FROM c),
 u AS (SELECT *, atan2(t, cos(d)) AS xi, atanh(sin(d) / sqrt(1e0 + t * t)) AS eta FROM h),
@@ -199,7 +216,8 @@ def m14_m15_utm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH p AS (
-  SELECT file, line, x - first_value(x) OVER w AS x, y - first_value(y) OVER w AS y, lead(x) OVER w - first_value(x) OVER w AS x1, lead(y) OVER w - first_value(y) OVER w AS y1
+
+    SELECT file, line, x - first_value(x) OVER w AS x, y - first_value(y) OVER w AS y, lead(x) OVER w - first_value(x) OVER w AS x1, lead(y) OVER w - first_value(y) OVER w AS y1
   FROM ({ad.PLACED}) t WINDOW w AS (PARTITION BY file ORDER BY line))
 SELECT file, round(sum(x * coalesce(y1, 0e0) - coalesce(x1, 0e0) * y) / 2e0, 1) + 0e0 AS area FROM p GROUP BY file""")
 def m23_polygon_area(spark: SparkSession, sf_dir: str) -> DataFrame:

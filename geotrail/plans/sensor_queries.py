@@ -12,7 +12,8 @@ from geotrail.plans.catalog import query
 from geotrail.plans.fix_queries import _streamed
 from geotrail.streaming import fixes as live
 
-_PIDS = "SELECT l_orderkey AS k, l_linenumber AS n, ts, l_partkey, q, 4 + l_partkey % 96 AS pid, k % 256 AS v, (k % 256) * 256 + s % 256 AS w FROM (SELECT l_orderkey, l_linenumber, l_shipdate AS ts, l_partkey, l_quantity AS q, l_orderkey AS k, l_suppkey AS s FROM lineitem) t WHERE q < 49"
+_PIDS = """SELECT l_orderkey AS k, l_linenumber AS n, ts, l_partkey, q, 4 + l_partkey % 96 AS pid, k % 256 AS v, (k % 256) * 256 + s % 256 AS w
+  FROM (SELECT l_orderkey, l_linenumber, l_shipdate AS ts, l_partkey, l_quantity AS q, l_orderkey AS k, l_suppkey AS s FROM lineitem) t WHERE q < 49"""
 #: The formulas as DuckDB writes them: // divides towards zero.
 _VALUE = "CASE " + " ".join(f"WHEN pid IN ({', '.join(str(int(p, 16)) for p in pids)}) THEN {formula.replace('/', '//')}" for formula, pids in FORMULAS.items()) + " ELSE v END"
 
@@ -22,7 +23,8 @@ def m22_u2_decode_obd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sn.decode_obd(ad.obd_lines(spark, sf_dir)).select(F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), "pid", "value")
 
 
-@query(f"""SELECT CAST(pid AS INT) AS pid, count(*) AS replies, CAST(min({_VALUE}) AS INT) AS low, round(avg({_VALUE}), 6) AS mean, CAST(max({_VALUE}) AS INT) AS high FROM ({_PIDS}) p GROUP BY pid
+@query(f"""SELECT CAST(pid AS INT) AS pid, count(*) AS replies, CAST(min({_VALUE}) AS INT) AS low, round(avg({_VALUE}), 6) AS mean, CAST(max({_VALUE}) AS INT) AS high
+  FROM ({_PIDS}) p GROUP BY pid
 UNION ALL SELECT -1, count(*) FILTER (l_quantity = 50), NULL, NULL, NULL FROM lineitem""")
 def a11_obd_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sn.obd_stats(ad.obd_lines(spark, sf_dir)).select("pid", "replies", "low", F.round("mean", 6).alias("mean"), "high")
@@ -43,14 +45,16 @@ def nmea_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select(F.col("event_id").alias("device"), F.concat(F.lit("$"), "body", F.lit("*"), F.format_string("%02X", check)).alias("raw"))
 
 
-@query(f"""SELECT event_id AS device, CAST(epoch_us(ts) // 100000 * 100 AS BIGINT) AS ms, round(floor(lon) + {_MIN.format(c='lon')} / 600000e0, 8) AS lon, round(floor(lat) + {_MIN.format(c='lat')} / 600000e0, 8) AS lat FROM ({ad.FIXES}) f WHERE event_id % 7 > 0""")
+@query(f"""SELECT event_id AS device, CAST(epoch_us(ts) // 100000 * 100 AS BIGINT) AS ms, round(floor(lon) + {_MIN.format(c='lon')} / 600000e0, 8) AS lon, round(floor(lat) + {_MIN.format(c='lat')} / 600000e0, 8) AS lat
+  FROM ({ad.FIXES}) f WHERE event_id % 7 > 0""")
 def u1_f6_j8_decode_nmea(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fixes from the sentences of all events; a device is one event."""
     told = sn.decode_nmea(nmea_lines(spark, sf_dir), ("device",))
     return told.filter("altitude is not null").select("device", F.unix_millis("ts").alias("ms"), F.round("lon", 8).alias("lon"), F.round("lat", 8).alias("lat"))
 
 
-@query("SELECT CASE WHEN k = 0 THEN 'RMC' ELSE 'GGA' END AS kind, 'GP' AS talker, count(*) AS n FROM events, (SELECT unnest([0, 1]) AS k) q WHERE event_id % 7 > 0 GROUP BY ALL")
+@query("""SELECT CASE WHEN k = 0 THEN 'RMC' ELSE 'GGA' END AS kind, 'GP' AS talker, count(*) AS n FROM events, (SELECT unnest([0, 1]) AS k) q
+  WHERE event_id % 7 > 0 GROUP BY ALL""")
 def s7_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sn.sentences(nmea_lines(spark, sf_dir)).groupBy("talker", "kind").agg(F.count("*").alias("n"))
 
@@ -62,14 +66,16 @@ def _readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH m AS (SELECT max(ts) - INTERVAL 10 SECOND AS upto FROM events)
-SELECT CAST(epoch_ms(date_trunc('second', ts)) AS BIGINT) AS start_ms, count(*) AS replies FROM events, m GROUP BY 1, date_trunc('second', ts), upto HAVING date_trunc('second', ts) + INTERVAL 1 SECOND <= upto""")
+SELECT CAST(epoch_ms(date_trunc('second', ts)) AS BIGINT) AS start_ms, count(*) AS replies FROM events, m GROUP BY 1, date_trunc('second', ts), upto
+  HAVING date_trunc('second', ts) + INTERVAL 1 SECOND <= upto""")
 def x4_stream_obd_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Closed seconds of a stream of readings."""
     return _streamed(spark, _readings(spark, sf_dir), live.stream_obd_rate).select(F.unix_millis("start").alias("start_ms"), "replies")
 
 
 @query("""WITH m AS (SELECT max(ts) - INTERVAL 10 SECOND AS upto FROM events),
-r AS (SELECT ts, ((event_id % 256) * 256 + event_id * 7 % 256) // 4 AS value, to_timestamp(floor(epoch(ts) / 5) * 5 - 5 * k)::TIMESTAMP AS s FROM events, (SELECT unnest([0, 1]) AS k) q)
+r AS (SELECT ts, ((event_id % 256) * 256 + event_id * 7 % 256) // 4 AS value, to_timestamp(floor(epoch(ts) / 5) * 5 - 5 * k)::TIMESTAMP AS s
+  FROM events, (SELECT unnest([0, 1]) AS k) q)
 SELECT CAST(epoch_ms(s) AS BIGINT) AS start_ms, round(avg(value), 4) AS mean FROM r, m GROUP BY s, upto HAVING s + INTERVAL 10 SECOND <= upto""")
 def x4_stream_obd_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = _streamed(spark, _readings(spark, sf_dir), lambda s: live.stream_obd_mean(s, 12))

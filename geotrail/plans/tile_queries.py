@@ -26,7 +26,8 @@ def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ad.fixes(spark, sf_dir).withColumn("x", geo.mercator_x("lon")).withColumn("y", geo.mercator_y("lat"))
 
 
-@query(f"SELECT event_id, round(x, 5) AS x, round(y, 5) AS y, round(x / 1048576e0 * 360e0 - 180e0, 9) AS lon, round(degrees(2e0 * atan(exp((y / 1048576e0 - 0.5e0) * 2e0 * pi())) - pi() / 2e0), 9) AS lat FROM ({LONLAT}) p")
+@query(f"""SELECT event_id, round(x, 5) AS x, round(y, 5) AS y, round(x / 1048576e0 * 360e0 - 180e0, 9) AS lon, round(degrees(2e0 * atan(exp((y / 1048576e0 - 0.5e0) * 2e0 * pi())) - pi() / 2e0), 9) AS lat
+  FROM ({LONLAT}) p""")
 def m2_m3_mercator(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _points(spark, sf_dir).withColumn("p", geo.mercator_xy("lon", "lat"))
     return rows.withColumn("q", geo.mercator_lonlat("p.x", "p.y")).select("event_id", F.round("p.x", 5).alias("x"), F.round("p.y", 5).alias("y"), F.round("q.lon", 9).alias("lon"), F.round("q.lat", 9).alias("lat"))
@@ -71,13 +72,15 @@ def m9_m11_tile_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", "key", F.col("u.level").alias("l2"), F.col("u.x").alias("x2"), F.col("u.y").alias("y2"), tiles.flip_y("level", "y").alias("flipped"))
 
 
-@query(f"""SELECT event_id, x * pow(2, 20 - level) AS west, y * pow(2, 20 - level) AS south, (x + 1) * pow(2, 20 - level) - 897024e0 AS right_r, (y + 1) * pow(2, 20 - level) - 634880e0 AS top_r FROM ({_KEYED}) t""")
+@query(f"""SELECT event_id, x * pow(2, 20 - level) AS west, y * pow(2, 20 - level) AS south, (x + 1) * pow(2, 20 - level) - 897024e0 AS right_r, (y + 1) * pow(2, 20 - level) - 634880e0 AS top_r
+  FROM ({_KEYED}) t""")
 def m8_tile_rect(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _tiles(spark, sf_dir).withColumn("g", tiles.tile_rect("level", "x", "y")).withColumn("r", tiles.tile_rect("level", "x", "y", "relation"))
     return rows.select("event_id", F.col("g.left").alias("west"), F.col("g.bottom").alias("south"), F.col("r.right").alias("right_r"), F.col("r.top").alias("top_r"))
 
 
-@query(f"""SELECT event_id, CASE WHEN level > 0 THEN x // 2 END AS px, CASE WHEN level > 0 THEN y // 2 END AS py, x * 2 + 1 AS cx, y * 2 AS cy, x * 2 AS dx, y * 2 + 1 AS dy, CAST(level + 1 AS BIGINT) AS n_up, x // CAST(pow(2, level // 2) AS BIGINT) AS ax FROM ({_KEYED}) t""")
+@query(f"""SELECT event_id, CASE WHEN level > 0 THEN x // 2 END AS px, CASE WHEN level > 0 THEN y // 2 END AS py, x * 2 + 1 AS cx, y * 2 AS cy, x * 2 AS dx, y * 2 + 1 AS dy, CAST(level + 1 AS BIGINT) AS n_up, x // CAST(pow(2, level // 2) AS BIGINT) AS ax
+  FROM ({_KEYED}) t""")
 def m10_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _tiles(spark, sf_dir).select("event_id", "level", tiles.parent_tile("level", "x", "y").alias("p"), tiles.child_tiles("level", "x", "y").alias("c"), tiles.ancestor_tiles("level", "x", "y").alias("a"))
     return rows.select(
@@ -93,7 +96,8 @@ def m12_m25_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", tiles.tile_path("image", "level", "x", "y").alias("path"), tiles.tile_url("http://tiles.invalid/%d/%d/%d", "level", "x", "y").alias("url"))
 
 
-@query(f"""SELECT event_id, (i << 44) | (l << 40) | (y << 20) | x AS qgid, i AS idx, l AS level, x AS x2, y AS y2, l = 3 AND x = 7 AND y = 5 AS same FROM (SELECT event_id, event_id % 300 AS i, event_id % 16 AS l, event_id % 977 AS x, event_id % 643 AS y FROM events) q""")
+@query(f"""SELECT event_id, (i << 44) | (l << 40) | (y << 20) | x AS qgid, i AS idx, l AS level, x AS x2, y AS y2, l = 3 AND x = 7 AND y = 5 AS same
+  FROM (SELECT event_id, event_id % 300 AS i, event_id % 16 AS l, event_id % 977 AS x, event_id % 643 AS y FROM events) q""")
 def m13_qgid(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", tiles.qgid_pack(e % 16, e % 977, e % 643, e % 300).alias("qgid")).withColumn("u", tiles.qgid_unpack("qgid"))
@@ -102,7 +106,8 @@ def m13_qgid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""SELECT event_id, round((x - ax * n) / n, 9) AS u1, round(1e0 - (y - ay * n) / n - 1e0 / n, 9) AS v1, round((x - ax * n) / n + 1e0 / n, 9) AS u2, round(1e0 - (y - ay * n) / n, 9) AS v2,
-round((x + 0.25e0) / n - ax, 9) AS pu, round(1e0 - ((y + 1 - 0.75e0) / n - ay), 9) AS pv FROM (SELECT *, floor(x / n) AS ax, floor(y / n) AS ay FROM (SELECT *, pow(2e0, level - level // 2) AS n FROM ({_KEYED}) t) q) r""")
+round((x + 0.25e0) / n - ax, 9) AS pu, round(1e0 - ((y + 1 - 0.75e0) / n - ay), 9) AS pv FROM (SELECT *, floor(x / n) AS ax, floor(y / n) AS ay
+  FROM (SELECT *, pow(2e0, level - level // 2) AS n FROM ({_KEYED}) t) q) r""")
 def m17_m18_uv(spark: SparkSession, sf_dir: str) -> DataFrame:
     half = F.floor(F.col("level") / 2).cast("int")
     rows = _tiles(spark, sf_dir).withColumn("h", half).withColumn("a", F.get(tiles.ancestor_tiles("level", "x", "y"), F.col("level") - F.col("h")))
@@ -111,8 +116,11 @@ def m17_m18_uv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", *(near(f"c.{n}", n) for n in ("u1", "v1", "u2", "v2")), near("p.u", "pu"), near("p.v", "pv"))
 
 
-@query(f"""SELECT p_partkey, layer_id * 100 + 3 AS kind, (level::BIGINT << 48) + (y << 24) + x AS tile, p_partkey % 5 = 0 AS unnamed FROM (SELECT p_partkey, p_partkey % 2 AS layer_id, i.* FROM part JOIN ({ad.INVENTORY}) i ON false
-UNION ALL SELECT p_partkey, p_partkey % 2, '', CAST(p_size % 18 AS INT), CAST(p_partkey * 7919 % CAST(pow(2, p_size % 18) AS BIGINT) AS BIGINT), CAST(p_partkey * 104729 % CAST(pow(2, p_size % 18) AS BIGINT) AS BIGINT), NULL FROM part) q""")
+@query(f"""SELECT p_partkey, layer_id * 100 + 3 AS kind, (level::BIGINT << 48) + (y << 24) + x AS tile, p_partkey % 5 = 0 AS unnamed
+  FROM (SELECT p_partkey, p_partkey % 2 AS layer_id, i.* FROM part JOIN ({ad.INVENTORY}) i ON false
+UNION ALL
+  SELECT p_partkey, p_partkey % 2, '', CAST(p_size % 18 AS INT), CAST(p_partkey * 7919 % CAST(pow(2, p_size % 18) AS BIGINT) AS BIGINT), CAST(p_partkey * 104729 % CAST(pow(2, p_size % 18) AS BIGINT) AS BIGINT), NULL
+  FROM part) q""")
 def m24_request_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
     level = (F.col("p_size") % 18).cast("int")
@@ -129,7 +137,8 @@ b AS (
 SELECT event_id, round(6371000e0 * 2e0 * asin(sqrt(pow(sin(radians(37.5e0 - lat) / 2e0), 2) + cos(radians(lat)) * cos(radians(37.5e0)) * pow(sin(radians(127e0 - lon) / 2e0), 2))), 2) AS metres,
   round(x, 4) AS mx, c, r, (12::BIGINT << 48) + (r << 24) + c AS key, 4096 - r - 1 AS flipped, 12 AS l2, c AS c2, r AS r2,
   c * 256e0 AS west, r * 256e0 AS south, c * 256e0 + 256e0 AS east, r * 256e0 + 256e0 AS north,
-  CAST(CASE WHEN outside THEN -1 ELSE 20 - up END AS INT) AS around, CASE WHEN outside THEN -1 ELSE ux >> up END AS around_x, CASE WHEN outside THEN -1 ELSE uy >> up END AS around_y FROM b""")
+  CAST(CASE WHEN outside THEN -1 ELSE 20 - up END AS INT) AS around, CASE WHEN outside THEN -1 ELSE ux >> up END AS around_x, CASE WHEN outside THEN -1 ELSE uy >> up END AS around_y
+    FROM b""")
 def u5_sql_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The functions by their names in SQL; they and the table go when the query is analysed."""
     told = {n: spark.catalog.functionExists(n) for n in DEFINITIONS}
@@ -145,7 +154,7 @@ def u5_sql_names(spark: SparkSession, sf_dir: str) -> DataFrame:
                 spark.sql(f"DROP TEMPORARY FUNCTION IF EXISTS {name}")
 
 
-_STATUS = "CASE WHEN bytes IS NULL THEN 'missing' WHEN bytes < CASE WHEN layer = 'image' THEN 3000 ELSE 200 END THEN CASE WHEN level < 15 THEN 'refetch' ELSE 'empty' END ELSE 'ok' END"
+_STATUS = """CASE WHEN bytes IS NULL THEN 'missing' WHEN bytes < CASE WHEN layer = 'image' THEN 3000 ELSE 200 END THEN CASE WHEN level < 15 THEN 'refetch' ELSE 'empty' END ELSE 'ok' END"""
 
 
 @query(f"SELECT layer, level, x, y, bytes, {_STATUS} AS status FROM ({ad.INVENTORY}) i")
@@ -162,32 +171,42 @@ def _wanted(spark: SparkSession, sf_dir: str, level: int = 16) -> DataFrame:
 
 @query(f"""WITH w AS ({_WANTED}), t AS (SELECT DISTINCT level, x, y FROM ({ad.INVENTORY}) i)
 SELECT w.level, w.x, w.y, max(t.level) AS found_level, arg_max(t.x, t.level) AS found_x, arg_max(t.y, t.level) AS found_y
-FROM w LEFT JOIN t ON t.level <= 16 AND t.x = w.x // CAST(pow(2, 16 - t.level) AS BIGINT) AND t.y = w.y // CAST(pow(2, 16 - t.level) AS BIGINT) GROUP BY w.level, w.x, w.y""")
+FROM w LEFT JOIN t ON t.level <= 16 AND t.x = w.x // CAST(pow(2, 16 - t.level) AS BIGINT) AND t.y = w.y // CAST(pow(2, 16 - t.level) AS BIGINT)
+  GROUP BY w.level, w.x, w.y""")
 def j3_fallback_tile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tl.fallback_tile(ad.inventory(spark, sf_dir), _wanted(spark, sf_dir))
 
 
 @query(f"""WITH t AS (SELECT DISTINCT level, x, y FROM ({ad.INVENTORY}) i), s AS (SELECT *, pow(2e0, 20 - level) AS n FROM t),
-p AS (SELECT level, x, y, 'north' AS side, x * n AS px, y * n + n + 0.5e0 AS py FROM s UNION ALL SELECT level, x, y, 'south', x * n, y * n - 0.5e0 FROM s
-  UNION ALL SELECT level, x, y, 'west', x * n - 0.5e0, y * n + 0.5e0 FROM s UNION ALL SELECT level, x, y, 'east', x * n + n + 0.5e0, y * n + 0.5e0 FROM s),
-l AS (SELECT p.*, k.level AS kl, CAST(floor(px / pow(2, 20 - k.level)) AS BIGINT) AS kx, CAST(floor(py / pow(2, 20 - k.level)) AS BIGINT) AS ky FROM p, (SELECT unnest(range(0, 21))::INT AS level) k WHERE px >= 0 AND py >= 0 AND px < 1048576 AND py < 1048576),
-f AS (SELECT l.level, l.x, l.y, side, max(kl) AS fl, arg_max(kx, kl) AS fx, arg_max(ky, kl) AS fy FROM l JOIN t ON t.level = kl AND t.x = kx AND t.y = ky GROUP BY ALL)
+p AS (SELECT level, x, y, 'north' AS side, x * n AS px, y * n + n + 0.5e0 AS py FROM s UNION ALL SELECT level, x, y, 'south', x * n, y * n - 0.5e0
+  FROM s
+ UNION ALL SELECT level, x, y, 'west', x * n - 0.5e0, y * n + 0.5e0 FROM s UNION ALL SELECT level, x, y, 'east', x * n + n + 0.5e0, y * n + 0.5e0
+    FROM s),
+l AS (SELECT p.*, k.level AS kl, CAST(floor(px / pow(2, 20 - k.level)) AS BIGINT) AS kx, CAST(floor(py / pow(2, 20 - k.level)) AS BIGINT) AS ky
+  FROM p, (SELECT unnest(range(0, 21))::INT AS level) k WHERE px >= 0 AND py >= 0 AND px < 1048576 AND py < 1048576),
+f AS (SELECT l.level, l.x, l.y, side, max(kl) AS fl, arg_max(kx, kl) AS fx, arg_max(ky, kl) AS fy FROM l
+  JOIN t ON t.level = kl AND t.x = kx AND t.y = ky GROUP BY ALL)
 SELECT p.level, p.x, p.y, p.side, CASE WHEN o THEN fl END AS n_level, CASE WHEN o THEN fx END AS n_x, CASE WHEN o THEN fy END AS n_y FROM (
-SELECT p.*, fl, fx, fy, NOT (fl = p.level AND fx = p.x AND fy = p.y) AS o FROM p LEFT JOIN f ON f.level = p.level AND f.x = p.x AND f.y = p.y AND f.side = p.side) p""")
+SELECT p.*, fl, fx, fy, NOT (fl = p.level AND fx = p.x AND fy = p.y) AS o FROM p LEFT
+  JOIN f ON f.level = p.level AND f.x = p.x AND f.y = p.y AND f.side = p.side) p""")
 def j4_tile_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tl.tile_neighbors(ad.inventory(spark, sf_dir))
 
 
-@query(f"""WITH w AS (SELECT DISTINCT 'image' AS layer, 9 AS level, {_at('x', 9)} AS x, {_at('y', 9)} AS y FROM ({LONLAT}) p UNION SELECT layer, level, x, y FROM ({ad.INVENTORY}) i),
+@query(f"""WITH w AS (SELECT DISTINCT 'image' AS layer, 9 AS level, {_at('x', 9)} AS x, {_at('y', 9)} AS y FROM ({LONLAT}) p UNION SELECT layer, level, x, y
+  FROM ({ad.INVENTORY}) i),
 i AS (SELECT layer, level, x, y, max(bytes) AS bytes FROM ({ad.INVENTORY}) i GROUP BY ALL)
-SELECT layer, level, x, y, status FROM (SELECT layer, level, x, y, {_STATUS} AS status FROM w LEFT JOIN i USING (layer, level, x, y)) q WHERE status IN ('missing', 'refetch')""")
+SELECT layer, level, x, y, status FROM (SELECT layer, level, x, y, {_STATUS} AS status FROM w LEFT JOIN i USING (layer, level, x, y)) q
+  WHERE status IN ('missing', 'refetch')""")
 def j6_fetch_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     inventory = ad.inventory(spark, sf_dir)
     asked = _wanted(spark, sf_dir, 9).select(F.lit("image").alias("layer"), "level", "x", "y").unionByName(inventory.select("layer", "level", "x", "y"))
     return tl.fetch_plan(asked.withColumn("kind", (F.col("layer") == "height").cast("int")), inventory).select("layer", "level", "x", "y", "status")
 
 
-@query(f"""SELECT level, x, y, count(*) AS n FROM (SELECT l AS level, CAST(floor(x / pow(2, 20 - l)) AS BIGINT) AS x, CAST(floor(y / pow(2, 20 - l)) AS BIGINT) AS y FROM ({LONLAT}) p, (SELECT unnest([4, 8, 12, 15])::INT AS l) k) q GROUP BY ALL""")
+@query(f"""SELECT level, x, y, count(*) AS n
+  FROM (SELECT l AS level, CAST(floor(x / pow(2, 20 - l)) AS BIGINT) AS x, CAST(floor(y / pow(2, 20 - l)) AS BIGINT) AS y
+  FROM ({LONLAT}) p, (SELECT unnest([4, 8, 12, 15])::INT AS l) k) q GROUP BY ALL""")
 def a9_cell_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tl.cell_counts(_points(spark, sf_dir), [4, 8, 12, 15])
 
@@ -205,7 +224,8 @@ def o3_distinct_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CELLS = f"SELECT DISTINCT 11 AS level, {_at('x', 11)} AS x, {_at('y', 11)} AS y FROM ({LONLAT}) p WHERE event_id % 2 = {{}}"
 
 
-@query(f"SELECT *, 'diff' AS kind FROM (({_CELLS.format(0)}) EXCEPT ({_CELLS.format(1)})) a UNION ALL SELECT *, 'common' FROM (({_CELLS.format(0)}) INTERSECT ({_CELLS.format(1)})) b")
+@query(f"""SELECT *, 'diff' AS kind FROM (({_CELLS.format(0)}) EXCEPT ({_CELLS.format(1)})) a UNION ALL SELECT *, 'common'
+  FROM (({_CELLS.format(0)}) INTERSECT ({_CELLS.format(1)})) b""")
 def o4_cell_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _points(spark, sf_dir)
     a, b = (tl.distinct_cells(rows.filter(F.col("event_id") % 2 == k), 11) for k in (0, 1))
@@ -237,8 +257,10 @@ def a4_max_height(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _CELL = "CAST(floor(least(greatest({u}, 0e0), 1e0) * 15) AS BIGINT)"
-_HEIGHT = f"""SELECT event_id, x AS px, y AS py, round(z[{_CELL.format(u='1e0 - (y / 1024e0 - ty)')} * 16 + {_CELL.format(u='x / 1024e0 - tx')} + 1] * 0.05e0, 4) AS elevation FROM (
-SELECT p.*, {_at('p.x', 10)} AS tx, {_at('p.y', 10)} AS ty FROM ({LONLAT}) p) p LEFT JOIN (SELECT x AS dx, y AS dy, z FROM ({_DEMS}) d) d ON dx = tx AND dy = ty"""
+_HEIGHT = f"""SELECT event_id, x AS px, y AS py, round(z[{_CELL.format(u='1e0 - (y / 1024e0 - ty)')} * 16 + {_CELL.format(u='x / 1024e0 - tx')} + 1] * 0.05e0, 4) AS elevation
+  FROM (
+SELECT p.*, {_at('p.x', 10)} AS tx, {_at('p.y', 10)} AS ty FROM ({LONLAT}) p) p LEFT JOIN (SELECT x AS dx, y AS dy, z
+  FROM ({_DEMS}) d) d ON dx = tx AND dy = ty"""
 
 
 @query(f"SELECT event_id, elevation FROM ({_HEIGHT}) h")
