@@ -27,7 +27,8 @@ WEIGHTS = {"quality 1, toxic 0": 0.95, "quality 0, toxic 0": 0.03, "quality 1, t
 
 
 def _domains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "labels").select("doc_id", F.concat(F.lit("quality "), F.col("quality").cast("string"), F.lit(", toxic "), F.col("toxic").cast("string")).alias("domain"))
+    name = F.concat(F.lit("quality "), F.col("quality").cast("string"), F.lit(", toxic "), F.col("toxic").cast("string"))
+    return _table(spark, sf_dir, "labels").select("doc_id", name.alias("domain"))
 
 
 def _mixed(docs: DataFrame, model: mixing.Model, *keep: str) -> DataFrame:
@@ -44,7 +45,11 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = mixing.train(docs, _domains(spark, sf_dir))
     best = F.array_max("__p")
     names = F.array(*(F.lit(d) for d in model.domains))
-    return _mixed(docs, model).select("doc_id", F.col("__tokens").alias("n_tokens"), F.get(names, F.array_position("__p", best).cast("int") - 1).alias("domain"), F.round(best, 6).alias("posterior"), F.round("__rate", 6).alias("rate"), F.col("__copies").alias("copies"))
+    likely = F.get(names, F.array_position("__p", best).cast("int") - 1)
+    return _mixed(docs, model).select(
+        "doc_id", F.col("__tokens").alias("n_tokens"), likely.alias("domain"), F.round(best, 6).alias("posterior"),
+        F.round("__rate", 6).alias("rate"), F.col("__copies").alias("copies"),
+    )
 
 
 def op2_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,8 +127,9 @@ def stage_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """
     rows = packed(docs, "doc_id", "text")
     clean = secret_scan.redact(secret_scan.scan(rows, secret_scan.train(docs.select("doc_id", "text"))))
-    new = {"text": F.col("text"), "n_chars": F.coalesce(F.length("text").cast("long"), F.col("__row")["n_chars"]) if "n_chars" in docs.columns else None}
-    return clean.select(*((F.col("__row")[c] if new.get(c) is None else new[c]).alias(c) for c in docs.columns))
+    size = F.coalesce(F.length("text").cast("long"), F.col("__row")["n_chars"]) if "n_chars" in docs.columns else None
+    new = {"text": F.col("text"), "n_chars": size}
+    return clean.select(*(new.get(c, F.col("__row")[c]).alias(c) for c in docs.columns))
 
 
 def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
