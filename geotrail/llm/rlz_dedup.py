@@ -8,7 +8,7 @@ so equal windows have equal anchors.  An anchor's reference block is the first d
    joined back.  Counting is aggregated before the shuffle, and the join deals anchors with many places over tasks.
 2. Each document sends the runs of words around its shared anchors to their reference blocks, and as a
    block the runs around the anchors that it has first.  Runs for a much copied block are dealt over
-   ``salts`` tasks, each with the block.
+   several tasks, each with the block.
 3. A run is parsed greedily into factors of its block: a match at least a window long that goes on as long
    as the block does.  Where a factor ends, the windows across its end are looked up in the block, so that
    what straddles two factors is found.
@@ -38,8 +38,8 @@ from geotrail.llm.shared import forget, spread_join, written
 
 #: Words of a window and of an anchor: long enough that documents rarely share one by chance.
 WINDOW, ANCHOR = 13, 8
-#: Shared anchors whose runs one task parses against a block: some 4 MB of text.
-SALT = 1 << 16
+#: Shared anchors whose runs one task parses against a block: some 0.5 MB of text; most blocks that are parsed in parts.
+SALT, MOST = 1 << 13, 1 << 20
 
 _LOW = np.uint64((1 << 24) - 1)
 
@@ -163,9 +163,15 @@ def parse(words: Words, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return hits[first], hits[last] + WINDOW, starts[place < 0]
 
 
-def _parsed(sent: DataFrame, salts: DataFrame) -> DataFrame:
-    """(doc_id, at, upto, g, h): factors as word ranges, and windows that the block lacks and that are sought, with their hashes."""
-    rows = sent.join(salts, "block")
+def _parsed(sent: DataFrame, asked: DataFrame) -> DataFrame:
+    """(doc_id, at, upto, g, h): factors as word ranges, and windows that the block lacks and that are sought, with their hashes.
+
+    ``asked``: (block, n), the anchors of other documents that refer to a block.  Blocks with over ``SALT``, and over
+    1/``MOST`` of all, are parsed in parts: fewer than MOST by that, so their numbers of parts are broadcast.
+    """
+    limit = max((asked.agg(F.sum("n")).first()[0] or 0) // MOST, SALT)
+    salts = F.broadcast(asked.filter(F.col("n") > limit).select("block", F.ceil(F.col("n") / limit).cast("int").alias("salts")))
+    rows = sent.join(salts, "block", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
     own = F.pmod(F.xxhash64("doc_id", "at"), F.col("salts")).cast("int")
     salt = F.when(F.col("refers"), F.array(own)).otherwise(F.sequence(F.lit(0), F.col("salts") - 1))
     dealt = rows.select("block", F.explode(salt).alias("salt"), "doc_id", "refers", "seek", "at", "words")
@@ -203,10 +209,9 @@ def duplicate_spans(docs: DataFrame) -> DataFrame:
     first = written(found.groupBy("anchor").agg(F.min("doc_id").alias("block"), F.max("doc_id").alias("last"), F.count("*").alias("n")).filter("block < last").select("anchor", "block", "n"))
     joined = spread_join(found, first, ["anchor"], F.xxhash64("doc_id", "at"))
     shared = written(joined.groupBy("doc_id").agg(F.collect_list(F.struct("at", "block", (F.col("n") > 2).alias("more"))).alias("told")))
-    asked = shared.select("doc_id", F.explode("told").alias("t")).filter("t.block < doc_id").groupBy("t.block").agg(F.count("*").alias("n"))
-    salts = asked.select("block", F.ceil(F.col("n") / SALT).cast("int").alias("salts"))
-    told = written(_parsed(runs(rows, shared), salts))
-    forget(first, shared)
+    asked = written(shared.select("doc_id", F.explode("told").alias("t")).filter("t.block < doc_id").groupBy("t.block").agg(F.count("*").alias("n")))
+    told = written(_parsed(runs(rows, shared), asked))
+    forget(first, shared, asked)
     lacking = told.filter("g <> 0 or h <> 0")
     between = lacking.groupBy("g", "h").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last"), F.count("*").alias("n")).filter("least < last")
     later = spread_join(lacking, written(between.select("g", "h", "least", "n")), ["g", "h"], F.xxhash64("doc_id", "at")).filter("least < doc_id").select("doc_id", "at", "upto")
