@@ -138,7 +138,8 @@ def _encode_long(longs: DataFrame, shared, pattern: str, chunk: int, overlap: in
     opens = F.coalesce(F.lag("end").over(one).isNotNull().cast("int"), F.lit(0))
     pieces = stitched.withColumn("piece", cutout).withColumn("opens", opens).withColumn("n", F.sum("opens").over(one)).select("digest", "n", "k", "piece")
     whole = pieces.groupBy("digest", "n").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "piece"))), lambda x: x["piece"]), "").alias("piece"))
-    encoded = _encode_column(whole, ["digest", "n"], "piece", shared, pattern)
+    # dealt anew: a document's pieces stand together after the window
+    encoded = _encode_column(whole.repartition("digest", "n"), ["digest", "n"], "piece", shared, pattern)
 
     def joined(table: pa.Table) -> pa.Table:
         table = table.sort_by("n")
