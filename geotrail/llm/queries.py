@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geotrail.llm import bpe, chat, html, lsh_forest, media, mixing, quality, rlz_dedup, secret_scan, suffix_dedup
+from geotrail.llm import bpe, chat, filter_audit, html, language_id, lexical_search, lsh_forest, media, mixing, quality, rlz_dedup, secret_scan, suffix_dedup
 from geotrail.llm.shared import packed, written
 
 __all__ = ["ORACLES", "QUERIES", "written"]
@@ -96,6 +96,21 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(_table(spark, sf_dir, "documents"), bpe.load_ranks(public_tokenizers.path(RANKS)), PATTERN)
 
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.rank(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    profiles = language_id.learn(docs.filter(~language_id.held_out()))
+    told = language_id.predict(docs, profiles)
+    return told.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op13_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(filter_audit.file_stream(spark, f"{sf_dir}/documents.parquet"), _table(spark, sf_dir, "labels"))
+
+
 #: What the mixing stage adds to the columns of documents; a column of that name is replaced.
 COPIES = "copies"
 
@@ -168,11 +183,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_jaccard": op9_jaccard,
     "op10_bpe": op10_bpe,
+    "op11_search": op11_search,
+    "op12_language": op12_language,
+    "op13_audit": op13_audit,
 }
 
 #: Marks that the chat template escapes, as DuckDB writes them.
 _ESCAPED = r"""regexp_replace(replace(t, '\', '\\'), '([\[<])((?:/?(?:SYS|INST|TURN)|TEXT|SEP)\]|/?s>)', '\1\\\2', 'g')"""
 
+#: Terms of a text, as DuckDB writes them.
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')"
+
 ORACLES: dict[str, str] = {
     "op5_rlz": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -196,4 +217,30 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || t || c
   sum(n + CASE WHEN NOT opens THEN 5 WHEN role = 'system' THEN 11 WHEN role = 'user' THEN 13 WHEN role = 'assistant' THEN 7
     ELSE 19 + length(role) END)::BIGINT AS formatted_chars
 FROM told GROUP BY conv_id""",
+    "op11_search": f"""
+WITH dt AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents),
+it AS (SELECT item_id, unnest({_TERMS}) AS t FROM benchmark),
+q AS (SELECT item_id, t, count(*) AS reps FROM it GROUP BY item_id, t),
+s AS (SELECT count(*) FILTER (len(w) > 0) AS n_docs, sum(len(w))::BIGINT AS total FROM dt),
+tf AS (SELECT r, doc_id, n, t, count(*) AS tf FROM (SELECT r, doc_id, len(w) AS n, unnest(w) AS t FROM dt) u WHERE t IN (SELECT t FROM q) GROUP BY r, doc_id, n, t),
+w AS (SELECT t, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM (SELECT t, count(*) AS df FROM tf GROUP BY t) f, s),
+p AS (SELECT r, doc_id, t, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * n_docs) // total))) AS worth FROM tf JOIN w USING (t), s),
+c AS (SELECT item_id, r, doc_id, sum(reps * worth)::BIGINT AS score FROM p JOIN q USING (t) WHERE item_id IS NOT NULL AND doc_id IS NOT NULL GROUP BY item_id, r, doc_id HAVING sum(reps * worth) > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM c) o WHERE rank <= 10""",
+    "op13_audit": r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT d.doc_id, part, len(w) < 100 AS a, 100 * len(list_distinct(w)) < 80 * len(w) AS b, 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 10 * length(t) AS c,
+  regexp_matches(t, '[#$%&*|]') AS d, coalesce(d.doc_id > min(d.doc_id) OVER (PARTITION BY t), false) AS e FROM d),
+m AS (SELECT part, a::INT + 2 * b::INT + 4 * c::INT + 8 * d::INT + 16 * e::INT AS mask, count(*) AS n, count(*) FILTER (good = 1) AS good, count(*) FILTER (toxic = 1) AS toxic
+  FROM f LEFT JOIN l USING (doc_id) GROUP BY ALL),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest([1, 2, 4, 8, 16]) AS bit),
+o AS (SELECT p.x || q.x || r.x || s.x || t.x AS filter_order, [p.bit, q.bit, r.bit, s.bit, t.bit] AS bits FROM x p, x q, x r, x s, x t WHERE p.bit + q.bit + r.bit + s.bit + t.bit = 31
+  AND p.bit | q.bit | r.bit | s.bit | t.bit = 31),
+k AS (SELECT filter_order, step, bits[step] AS own, list_sum(bits[1:step]) - bits[step] AS before FROM o, (SELECT unnest(range(1, 6)) AS step) i),
+r AS (SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (mask & (own | before)::INT = 0), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (mask & own > 0 AND mask & before::INT = 0), 0)::BIGINT AS removed,
+  coalesce(sum(n) FILTER (mask & own > 0 AND mask & before::INT > 0), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (mask = own), 0)::BIGINT AS unique_fails,
+  coalesce(sum(good) FILTER (mask & own > 0 AND mask & before::INT = 0), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (mask & own > 0 AND mask & before::INT = 0), 0)::BIGINT AS toxic_lost
+  FROM m, k GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) OVER (PARTITION BY part, own)::BIGINT AS shapley FROM r""",
 }
