@@ -10,6 +10,8 @@ from geotrail.operators import sensors as sn
 from geotrail.plans import adapters as ad
 from geotrail.plans.catalog import query
 from geotrail.plans.fix_queries import _streamed
+from geotrail.plans.scratch import scratch
+from geotrail.sources import text
 from geotrail.streaming import fixes as live
 
 _PIDS = """SELECT l_orderkey AS k, l_linenumber AS n, ts, l_partkey, q, 4 + l_partkey % 96 AS pid, k % 256 AS v, (k % 256) * 256 + s % 256 AS w
@@ -30,33 +32,43 @@ def a11_obd_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sn.obd_stats(ad.obd_lines(spark, sf_dir)).select("pid", "replies", "low", F.round("mean", 6).alias("mean"), "high")
 
 
-#: Fixes at whole 1/10000 minutes as RMC and GGA sentences; every 7th sentence has a wrong checksum.
+#: Fixes at whole 1/10000 minutes as GGA and RMC sentences of their user's log, at whole hours of their day, so that clock times recur.
+#: Each 7th event has a GGA and each 11th an RMC sentence with a wrong checksum.
 _MIN = "CAST(floor(({c} - floor({c})) * 600000e0) AS BIGINT)"
 
 
 def nmea_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ad.fixes(spark, sf_dir)
+    rows = ad.fixes(spark, sf_dir).withColumn("ts", F.date_trunc("hour", "ts"))
     part = lambda c, width: F.format_string(f"%0{width}d%02d.%04d", F.floor(c), F.floor((F.col(c) - F.floor(c)) * 600000 / 10000), F.floor((F.col(c) - F.floor(c)) * 600000) % 10000)
     clock = F.date_format("ts", "HHmmss.S")
-    rmc = F.concat(F.lit("GPRMC,"), clock, F.lit(",A,"), part("lat", 2), F.lit(",N,"), part("lon", 3), F.lit(",E,"), F.format_string("%.1f", "speed"), F.lit(",272.0,"), F.date_format("ts", "ddMMyy"), F.lit(",6.0,W,A"))
-    gga = F.concat(F.lit("GPGGA,"), clock, F.lit(","), part("lat", 2), F.lit(",N,"), part("lon", 3), F.lit(",E,1,06,1.1,"), F.format_string("%.1f", F.col("altitude")), F.lit(",M,21.0,M,,"))
-    both = rows.select("event_id", F.explode(F.array(rmc, gga)).alias("body"))
-    check = nmea_checksum("body").bitwiseXOR(F.when(F.col("event_id") % 7 == 0, 1).otherwise(0))
-    return both.select(F.col("event_id").alias("device"), F.concat(F.lit("$"), "body", F.lit("*"), F.format_string("%02X", check)).alias("raw"))
+    rmc = F.concat(F.lit("GPRMC,"), clock, F.lit(",A,"), part("lat", 2), F.lit(",N,"), part("lon", 3), F.lit(",E,"), F.format_string("%.2f", "speed"), F.format_string(",%d.0,", F.col("event_id") % 360), F.date_format("ts", "ddMMyy"), F.lit(",6.0,W,A"))
+    gga = F.concat(F.lit("GPGGA,"), clock, F.lit(","), part("lat", 2), F.lit(",N,"), part("lon", 3), F.lit(",E,1,06,1.1,"), F.format_string("%.2f", F.col("altitude")), F.lit(",M,21.0,M,,"))
+    body = lambda text, line, wrong: F.struct(text.alias("body"), (F.col("event_id") * 2 + line).alias("line"), (F.col("event_id") % wrong == 0).alias("wrong"))
+    both = rows.select("user_id", F.inline(F.array(body(gga, 0, 7), body(rmc, 1, 11))))
+    check = nmea_checksum("body").bitwiseXOR(F.when(F.col("wrong"), 1).otherwise(0))
+    return both.select(F.col("user_id").alias("device"), "line", F.concat(F.lit("$"), "body", F.lit("*"), F.format_string("%02X", check)).alias("raw"))
 
 
-@query(f"""SELECT event_id AS device, CAST(epoch_us(ts) // 100000 * 100 AS BIGINT) AS ms, round(floor(lon) + {_MIN.format(c='lon')} / 600000e0, 8) AS lon, round(floor(lat) + {_MIN.format(c='lat')} / 600000e0, 8) AS lat
-  FROM ({ad.FIXES}) f WHERE event_id % 7 > 0""")
+@query(f"""SELECT user_id AS device, CAST(epoch_ms(date_trunc('hour', ts)) AS BIGINT) AS ms, round(floor(lon) + {_MIN.format(c='lon')} / 600000e0, 8) AS lon, round(floor(lat) + {_MIN.format(c='lat')} / 600000e0, 8) AS lat,
+  round(speed * 1852e0 / 3600e0, 6) AS speed, CAST(event_id % 360 AS DOUBLE) AS course, CASE WHEN event_id % 7 > 0 THEN round(altitude, 2) END AS altitude
+FROM ({ad.FIXES}) f WHERE event_id % 11 > 0""")
 def u1_f6_j8_decode_nmea(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fixes from the sentences of all events; a device is one event."""
+    """Fixes from the logs of all users, a device each, over all days."""
     told = sn.decode_nmea(nmea_lines(spark, sf_dir), ("device",))
-    return told.filter("altitude is not null").select("device", F.unix_millis("ts").alias("ms"), F.round("lon", 8).alias("lon"), F.round("lat", 8).alias("lat"))
+    return told.select("device", F.unix_millis("ts").alias("ms"), F.round("lon", 8).alias("lon"), F.round("lat", 8).alias("lat"), F.round("speed", 6).alias("speed"), "course", "altitude")
 
 
-@query("""SELECT CASE WHEN k = 0 THEN 'RMC' ELSE 'GGA' END AS kind, 'GP' AS talker, count(*) AS n FROM events, (SELECT unnest([0, 1]) AS k) q
-  WHERE event_id % 7 > 0 GROUP BY ALL""")
+@query(f"""SELECT 'GP' AS talker, kind, strftime(date_trunc('hour', ts), '%H%M%S.0') AS utc, printf('%.2f', CASE WHEN kind = 'RMC' THEN speed ELSE altitude END) AS told, user_id % 8 AS log,
+  CASE WHEN kind = 'RMC' THEN 12 ELSE 14 END AS n FROM ({ad.FIXES}) f, (SELECT unnest(['GGA', 'RMC']) AS kind) k
+  WHERE event_id % CASE WHEN kind = 'RMC' THEN 11 ELSE 7 END > 0""")
 def s7_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sn.sentences(nmea_lines(spark, sf_dir)).groupBy("talker", "kind").agg(F.count("*").alias("n"))
+    """Logs written as text and read again: their whole sentences."""
+    home = scratch(spark)
+    lines = nmea_lines(spark, sf_dir).select((F.col("device") % 8).alias("log"), "line", F.col("raw").alias("value"))
+    lines.repartition("log").sortWithinPartitions("log", "line").select("log", "value").write.partitionBy("log").text(home)
+    told = sn.sentences(text.read_nmea(spark, home))
+    value = F.when(F.col("kind") == "RMC", F.get("fields", F.lit(6))).otherwise(F.get("fields", F.lit(8)))
+    return told.select("talker", "kind", F.get("fields", F.lit(0)).alias("utc"), value.alias("told"), F.col("log").cast("long").alias("log"), F.size("fields").alias("n"))
 
 
 def _readings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,14 +9,17 @@ from pyspark.sql import types as T
 from geotrail.functions.sensors import log_time
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines with their file's name; ``line`` orders a file's lines and needn't be dense.
+def _line() -> Column:
+    """A number that orders a file's lines and needn't be dense.
 
     It is the place of the split plus the row's number in its task, which is less than a split has bytes.
     """
-    text = spark.read.text(path)
-    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    return text.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).alias("file"), (F.col("_metadata.file_block_start") + row).alias("line"), "value")
+    return F.col("_metadata.file_block_start") + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines with their file's name and ``line``."""
+    return spark.read.text(path).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).alias("file"), _line().alias("line"), "value")
 
 
 def parse_path_lines(lines: DataFrame) -> DataFrame:
@@ -65,8 +68,11 @@ def write_landmarks(df: DataFrame, path: str) -> None:
 
 
 def read_nmea(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
-    """nmea(raw), in batch or as a stream of files."""
-    return (spark.readStream if stream else spark.read).text(path).withColumnRenamed("value", "raw")
+    """nmea(raw) with the columns that folders name; in batch also ``file``, its address, and ``line``, which orders its lines."""
+    if stream:
+        return spark.readStream.text(path).withColumnRenamed("value", "raw")
+    text = spark.read.text(path)
+    return text.select(*(c for c in text.columns if c != "value"), F.col("_metadata.file_path").alias("file"), _line().alias("line"), F.col("value").alias("raw"))
 
 
 def parse_history_lines(lines: DataFrame, place: str = "line") -> DataFrame:
