@@ -8,11 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from geotrail.functions.geo import BOX, haversine_m, metres
+from geotrail.functions.geo import BOX, haversine_m
+from geotrail.operators.follow import Last, follow
 
 #: Metres a second above which a fix is an outlier.
 MAX_MPS = 100.0
@@ -112,7 +115,7 @@ def _followed(df: DataFrame, max_mps: float, box: tuple, extra: list[str]) -> Da
     """The fixes (user_id, day, event_id, t, lon, lat, extra columns) of each user and day in order, with what the rules of ``journeys`` say.
 
     Adds ``first`` (the day's first time), ``inside`` (accepted, in the box), ``fast`` and ``way``.  Rows come sorted
-    and only the last accepted fix is carried from one to the next, so time grows with the rows and a day of any
+    and only the last accepted fix is carried from one batch to the next, so time grows with the rows and a day of any
     length needs no memory of its own.  A fix without a time or place is neither accepted nor fast.
     """
     tie = F.col("event_id") if "event_id" in df.columns else F.lit(0).cast("long")
@@ -122,29 +125,47 @@ def _followed(df: DataFrame, max_mps: float, box: tuple, extra: list[str]) -> Da
     west, east, south, north = box
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, moved, lon0, lat0, t0, total, first = None, False, 0.0, 0.0, 0, 0.0, 0
+        last, before, first = Last(), None, None
         for batch in batches:
-            told: list[list] = [[], [], [], []]
-            user, day, _, t, lon, lat = (batch.column(k).to_pylist() for k in range(6))
-            for key, at, x, y in zip(zip(user, day, strict=True), t, lon, lat, strict=True):
-                if key != last:
-                    last, moved, lon0, lat0, t0, total, first = key, False, 0.0, 0.0, 0, 0.0, at
-                inside = fast = False
-                if x is not None and y is not None and at is not None and not (x == lon0 and y == lat0):
-                    away = metres(lon0, lat0, x, y) if moved else 0.0
-                    fast = moved and away > max_mps * ((at - t0) / 1e6)
-                    if not fast:
-                        moved, lon0, lat0, t0, total = True, x, y, at, total + away
-                        inside = west <= x <= east and south <= y <= north
-                for column, v in zip(told, (first, inside, fast, total), strict=True):
-                    column.append(v)
-            more = [pa.array(c, kind) for c, kind in zip(told, (pa.int64(), pa.bool_(), pa.bool_(), pa.float64()), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "first", "inside", "fast", "way"])
+            if not batch.num_rows:
+                continue
+            # days are numbered from the one that the batch before ended with, 0
+            edge = np.zeros(batch.num_rows, bool)
+            for key in (batch.column(0), batch.column(1)):
+                edge[1:] |= _differ(key.slice(1), key.slice(0, batch.num_rows - 1))
+            edge[0] = before is None or before != (batch.column(0)[0], batch.column(1)[0])
+            day = np.cumsum(edge)
+            t, lon, lat = (batch.column(k) for k in (3, 4, 5))
+            opening = np.flatnonzero(edge)
+            firsts = t.take(pa.array(opening)).to_pylist()
+            fine = np.flatnonzero(t.is_valid().to_numpy(False) & lon.is_valid().to_numpy(False) & lat.is_valid().to_numpy(False))
+            if edge[0]:
+                last = Last()
+            x, y = lon.to_numpy(False)[fine], lat.to_numpy(False)[fine]
+            taken, fast, step = (np.zeros(batch.num_rows, k) for k in (bool, bool, float))
+            taken[fine], fast[fine], step[fine], _ = follow(np.diff(day[fine], prepend=0) > 0, t.take(pa.array(fine)).to_numpy(), x, y, last, max_mps)
+            so_far = np.cumsum(step)
+            base = np.concatenate([[-last.total], so_far[opening] - step[opening]])
+            way = so_far - base[day]
+            inside = taken.copy()
+            inside[fine] &= (west <= x) & (x <= east) & (south <= y) & (y <= north)
+            since = pa.array([first, *firsts], pa.int64()).take(pa.array(day))
+            yield pa.RecordBatch.from_arrays([*batch.columns, since, pa.array(inside), pa.array(fast), pa.array(way)], names=[*batch.schema.names, "first", "inside", "fast", "way"])
+            before, first = (batch.column(0)[-1], batch.column(1)[-1]), since[-1].as_py()
+            if not len(fine) or day[fine[-1]] < day[-1]:  # the last day here has no whole fix yet
+                last = last if not edge.any() else Last()
+            last.total = float(way[-1])
 
     kinds = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
     return dealt.mapInArrow(run, f"{kinds}, first long, inside boolean, fast boolean, way double")
 
 
+def _differ(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """Where two arrays aren't equal; nulls are equal to each other."""
+    null = pc.xor(a.is_null(), b.is_null()).to_numpy(False)
+    return pc.fill_null(pc.not_equal(a, b), False).to_numpy(False) | null
+
+
 def clean_path(df: DataFrame, max_mps: float = MAX_MPS, box: tuple = BOX) -> DataFrame:
     """The accepted fixes inside the box with the way so far: (user_id, day, journey_time_id, event_id, ts, lon, lat, ...)."""
     extra = [c for c in ("speed", "altitude") if c in df.columns]
