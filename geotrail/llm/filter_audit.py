@@ -167,11 +167,12 @@ class LeastIds(StatefulProcessor):
         pass
 
 
-#: How the state is kept: on disk in RocksDB, whose memory is bounded for all stores of an executor.
+#: How the state is kept: on disk in RocksDB, whose memory is bounded for all stores of an executor, and no space taken in advance.
 _STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "300",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
