@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from geotrail.plans import adapters as ad
 from geotrail.plans.catalog import query
-from geotrail.plans.fix_queries import _FOLD, spans
+from geotrail.plans.fix_queries import _FOLD, closed, spans
 from geotrail.plans.scratch import scratch
 from geotrail.sources import binary
 from geotrail.sources.tables import write_tables
@@ -138,20 +138,22 @@ SELECT user_id, CAST(first // 1000 AS BIGINT) AS time_id, round(coalesce(arg_max
 def x2_s16_stream_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stream of all fixes into stored tables: journeys as the last batch left them."""
     home = scratch(spark)
-    rows = ad.fixes(spark, sf_dir)
+    rows = closed(ad.fixes(spark, sf_dir))
     for part in spans(rows, 2):
         part.write.mode("append").parquet(f"{home}/in")
         source = live.fix_stream(spark, f"{home}/in", schema=", ".join(f"{n} {t}" for n, t in rows.dtypes), max_files=100_000)
-        run = live.stream_sink(live.stream_journeys(source), f"{home}/out", f"{home}/check").start()
-        run.awaitTermination()
+        live.start(live.stream_sink(live.stream_journeys(source), f"{home}/out", f"{home}/check"), spark).awaitTermination()
     return live.read_journeys(spark, f"{home}/out").select("user_id", "time_id", F.round("distance", 3).alias("distance"))
 
 
-@query(f"SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS date_time, user_id, round(lon, 6) AS lon, round(lat, 6) AS lat FROM ({ad.FIXES}) f")
+@query(f"""SELECT strftime(f.ts, '%Y-%m-%d %H:%M:%S') AS date_time, f.user_id, event_type AS name, round(lon, 6) AS lon, round(lat, 6) AS lat, CASE WHEN f.event_id % 3 > 0 THEN props END AS address, 'event ' || f.event_id AS comment
+  FROM ({ad.FIXES}) f JOIN events USING (event_id)""")
 def x2_s16_landmark_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stream of landmarks, one where each fix is, appended to a stored table."""
-    home, rows = scratch(spark), ad.fixes(spark, sf_dir).select("user_id", "ts", "lon", "lat")
+    home, events = scratch(spark), spark.read.parquet(f"{sf_dir}/events.parquet")
+    told = events.select("event_id", F.col("event_type").alias("name"), F.when(F.col("event_id") % 3 > 0, F.col("props")).alias("address"), F.concat(F.lit("event "), "event_id").alias("comment"))
+    rows = ad.fixes(spark, sf_dir).join(told, "event_id").select("user_id", "ts", "name", "lon", "lat", "address", "comment")
     for part in spans(rows, 2):
         part.write.mode("append").parquet(f"{home}/in")
         live.landmark_sink(live.landmark_stream(spark, f"{home}/in", max_files=100_000), f"{home}/out", f"{home}/check").start().awaitTermination()
-    return spark.read.parquet(f"{home}/out").select("date_time", "user_id", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
+    return spark.read.parquet(f"{home}/out").select("date_time", "user_id", "name", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"), "address", "comment")

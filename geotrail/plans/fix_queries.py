@@ -198,23 +198,31 @@ def j10_upsert_journeys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upsert_journeys(row(1).filter("time_id % 3 < 2"), row(2).filter("time_id % 3 > 0")).select("user_id", "time_id", "distance")
 
 
-def spans(rows: DataFrame, parts: int = 3) -> list[DataFrame]:
-    """Rows in equal spans of time, in order."""
-    low, high = rows.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+def spans(rows: DataFrame, parts: int = 3, shuffled_s: int = 0) -> list[DataFrame]:
+    """Rows in equal spans of time, in order; or of arrival, up to ``shuffled_s`` seconds after their time."""
+    arrival = F.unix_micros("ts") + (F.pmod(F.xxhash64("event_id"), F.lit(shuffled_s)) * 1_000_000 if shuffled_s else F.lit(0))
+    low, high = rows.agg(F.min(arrival), F.max(arrival)).first()
     if low is None:
         return [rows]
-    part = F.least(F.floor((F.unix_micros("ts") - low) / max(1.0, (high - low) / parts)), F.lit(parts - 1))
+    part = F.least(F.floor((arrival - low) / max(1.0, (high - low) / parts)), F.lit(parts - 1))
     return [rows.filter(part == k) for k in range(parts)]
 
 
-def _streamed(spark: SparkSession, rows: DataFrame, build, parts: int = 3) -> DataFrame:
-    """Streams rows through ``build`` into a table, a span of time after the other, and reads that."""
+def closed(rows: DataFrame) -> DataFrame:
+    """Fixes and one of user -1, two days after the last: a stream's watermark passes all others."""
+    end = rows.agg(F.max("ts").alias("ts")).filter("ts is not null")
+    last = end.select(*(F.col("ts") + F.expr("interval 2 days") if c == "ts" else F.lit(0.0 if t == "double" else -1).cast(t).alias(c) for c, t in rows.dtypes))
+    return rows.unionByName(last.toDF(*rows.columns))
+
+
+def _streamed(spark: SparkSession, rows: DataFrame, build, parts: int = 3, shuffled_s: int = 0) -> DataFrame:
+    """Streams rows through ``build`` into a table, a span after the other, and reads that."""
     home = scratch(spark)
-    for part in spans(rows, parts):
+    for part in spans(rows, parts, shuffled_s):
         part.write.mode("append").parquet(f"{home}/in")
         out = build(spark.readStream.schema(rows.schema).parquet(f"{home}/in"))
-        run = out.writeStream.format("parquet").option("checkpointLocation", f"{home}/check").option("path", f"{home}/out").outputMode("append").trigger(availableNow=True).start()
-        run.awaitTermination()
+        writer = out.writeStream.format("parquet").option("checkpointLocation", f"{home}/check").option("path", f"{home}/out").outputMode("append").trigger(availableNow=True)
+        live.start(writer, spark).awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{home}/out")
 
 
@@ -222,8 +230,11 @@ def _streamed(spark: SparkSession, rows: DataFrame, build, parts: int = 3) -> Da
 SELECT user_id, CAST(first // 1000 AS BIGINT) AS time_id, round(coalesce(arg_max(total, k) FILTER (inside), 0e0), 3) AS distance, round(coalesce((arg_max(ft, k) FILTER (inside) - first) / 1e6, 0e0), 3) AS journey_time
   FROM s GROUP BY user_id, day, first""")
 def x1_stream_journeys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Journeys from a stream of all fixes."""
-    rows = _streamed(spark, _fixes(spark, sf_dir), live.stream_journeys)
+    """Journeys from a stream of all fixes, which come in five batches up to 50 minutes after their time.
+
+    A last fix of no user's, two days on, moves the watermark over all others.
+    """
+    rows = _streamed(spark, closed(_fixes(spark, sf_dir)), live.stream_journeys, 5, 3000)
     return live.journey_updates(rows).select("user_id", "time_id", F.round("distance", 3).alias("distance"), F.round("journey_time", 3).alias("journey_time"))
 
 

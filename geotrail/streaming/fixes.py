@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from geotrail.functions.geo import BOX, metres
+from geotrail.functions.geo import BOX
 from geotrail.operators.fixes import MAX_MPS
+from geotrail.operators.follow import Last, follow
 from geotrail.operators.tables import upsert_journeys
 
 FIX = "user_id long, event_id long, ts timestamp, lon double, lat double, speed double, altitude double"
-LANDMARK = "user_id long, ts timestamp, lon double, lat double"
+LANDMARK = "user_id long, ts timestamp, name string, lon double, lat double, address string, comment string"
 
 
 def fix_stream(spark: SparkSession, source: str, schema: str = FIX, max_files: int = 1, kafka: dict[str, str] | None = None) -> DataFrame:
@@ -31,120 +35,233 @@ def landmark_stream(spark: SparkSession, source: str, max_files: int = 1, kafka:
 
 
 JOURNEY = "kind string, user_id long, day string, time_id long, event_id long, t long, lon double, lat double, distance double, journey_time double"
-_STATE = "day string, first long, moved boolean, lon double, lat double, t long, total double"
+_PENDING = "event_id long, t long, day string, lon double, lat double"
+_LAST = "day string, first long, moved boolean, lon double, lat double, t long, total double"
 #: Milliseconds after a user's last fix at which the state goes: the day is over then.
 IDLE = 24 * 3600 * 1000
-
-
-def _follow(max_mps: float, box: tuple):
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
+#: How the state is kept: on disk, without taking space in advance.
+STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
+
+
+def start(writer: DataStreamWriter, spark: SparkSession) -> StreamingQuery:
+    """Starts a query with its state in ``STORE``; the session's own settings stay as they are."""
+    before = {k: spark.conf.get(k, None) for k in STORE}
+    for k, v in STORE.items():
+        spark.conf.set(k, v)
+    try:
+        return writer.start()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def released(rows: pd.DataFrame, user, last: tuple | None, max_mps: float, box: tuple) -> tuple[pd.DataFrame, tuple]:
+    """The journey and path rows of one user's fixes (event_id, t, day, lon, lat), in order, after a state; and the state after them."""
+    rows = rows.sort_values(["t", "event_id", "lon", "lat"], ignore_index=True)
+    day, first, moved, lon, lat, t, total = last or ("", 0, False, 0.0, 0.0, 0, 0.0)
+    days, at = rows["day"].to_numpy(), rows["t"].to_numpy(np.int64)
+    opens = np.concatenate([[days[0] != day], days[1:] != days[:-1]])
+    state = Last(moved, lon, lat, t, total)
+    x, y = rows["lon"].to_numpy(float), rows["lat"].to_numpy(float)
+    taken, _, step, _ = follow(opens, at, x, y, state, max_mps)
+    opening = np.flatnonzero(opens)
+    number = np.cumsum(opens)
+    way = np.cumsum(step)
+    way -= np.concatenate([[-total], way[opening] - step[opening]])[number]
+    begun = np.concatenate([[first], at[opening]])[number]
+    inside = taken & (box[0] <= x) & (x <= box[1]) & (box[2] <= y) & (y <= box[3])
+
+    def told(kind: str, pick: np.ndarray, place: bool) -> pd.DataFrame:
+        none = np.full(len(pick), np.nan)
+        return pd.DataFrame({
+            "kind": kind, "user_id": user, "day": days[pick], "time_id": begun[pick] // 1000, "event_id": rows["event_id"].to_numpy()[pick], "t": at[pick], "lon": x[pick] if place else none, "lat": y[pick] if place else none,
+            "distance": way[pick] if place else 0.0, "journey_time": (at[pick] - begun[pick]) / 1e6 if place else 0.0,
+        })
+
+    out = pd.concat([told("journey", opening, False), told("path", np.flatnonzero(inside), True)])
+    return out, (str(days[-1]), int(begun[-1]), state.moved, state.lon, state.lat, int(state.t), float(way[-1]))
+
+
+class Journeys(StatefulProcessor):
+    """State of a user: fixes that the watermark hasn't passed, and the last accepted fix of those that it has."""
+
+    def __init__(self, max_mps: float, box: tuple):
+        self.max_mps, self.box = max_mps, box
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.pending, self.last = handle.getListState("pending", _PENDING), handle.getValueState("last", _LAST)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        """Keeps the fixes, and sets a timer for the earliest."""
+        earliest = None
+        for frame in rows:
+            self.pending.appendList([(int(e), int(t), d, float(x), float(y)) for e, t, d, x, y in zip(frame["event_id"], frame["t"], frame["day"], frame["lon"], frame["lat"], strict=True)])
+            least = int(frame["t"].min())
+            earliest = least if earliest is None else min(earliest, least)
+        self.handle.registerTimer(-(-earliest // 1000))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """Releases what the watermark has passed; no fix that comes later can be earlier.  Sets a timer for what is left, or for the state's end."""
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        kept = list(self.pending.get())
+        due, rest = [p for p in kept if p[1] <= passed], [p for p in kept if p[1] > passed]
+        last = self.last.get() if self.last.exists() else None
+        if due:
+            frame = pd.DataFrame(due, columns=[c.split()[0] for c in _PENDING.split(", ")])
+            out, last = released(frame, key[0], last, self.max_mps, self.box)
+            self.last.update(last)
+            yield out
+        if rest:
+            self.pending.put(rest)
+            self.handle.registerTimer(-(-min(p[1] for p in rest) // 1000))
             return
-        day, first, moved, lon, lat, t, total = state.get if state.exists else ("", 0, False, 0.0, 0.0, 0, 0.0)
-        rows = pd.concat(list(frames)).sort_values(["t", "event_id", "lon", "lat"])
-        out = []
-        for f in rows.itertuples():
-            if f.day < day:  # a day that has been closed
-                out.append(("late", key[0], f.day, None, f.event_id, f.t, f.lon, f.lat, None, None))
-                continue
-            if f.day != day:
-                day, first, moved, lon, lat, t, total = f.day, f.t, False, 0.0, 0.0, 0, 0.0
-                out.append(("journey", key[0], day, first // 1000, f.event_id, f.t, None, None, 0.0, 0.0))
-            if f.lon == lon and f.lat == lat:
-                continue
-            if moved:
-                away = metres(lon, lat, f.lon, f.lat)
-                if away > max_mps * ((f.t - t) / 1e6):
-                    continue
-                total += away
-            moved, lon, lat, t = True, f.lon, f.lat, f.t
-            if box[0] <= lon <= box[1] and box[2] <= lat <= box[3]:
-                out.append(("path", key[0], day, first // 1000, f.event_id, f.t, lon, lat, total, (t - first) / 1e6))
-        state.update((day, int(first), moved, float(lon), float(lat), int(t), float(total)))
-        state.setTimeoutTimestamp(max(int(rows["t"].max()), int(t)) // 1000 + IDLE)
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in JOURNEY.split(", ")]).astype({"time_id": "Int64"})
-
-    return run
+        self.pending.clear()
+        if last is not None:
+            over = last[5] // 1000 + IDLE
+            if over <= passed // 1000:
+                self.last.clear()
+            else:
+                self.handle.registerTimer(over)
+
+    def close(self) -> None:
+        pass
 
 
 def stream_journeys(fixes: DataFrame, max_mps: float = MAX_MPS, box: tuple = BOX, late: str = "1 hour") -> DataFrame:
     """The rules of ``operators.fixes.journeys`` live: a ``journey`` row where a day begins, a ``path`` row for each accepted fix in the box.
 
-    A path row's distance and journey_time are the journey's so far.  Fixes of a batch are put in order.  Those of a
-    day that is closed for their user come out as ``late`` rows; those behind the watermark of ``late`` are dropped and counted by
-    the query's progress (numRowsDroppedByWatermark).  The state is one small row a user, and goes a day after the user's last fix.
+    A path row's distance and journey_time are the journey's so far.  Fixes may come in any order within ``late``: each user's
+    wait in the state until the watermark passes them and are then taken in order, so that the rows are those of the
+    batch operators.  Fixes behind the watermark are dropped and counted by the query's progress
+    (numRowsDroppedByWatermark), as are those without a user, time or place by nobody.  The state is what a user sends
+    within ``late`` and one row, which goes a day after the user's last fix.  Start its queries with ``start``.
     """
-    told = fixes.withWatermark("ts", late).select("user_id", "event_id", "ts", F.unix_micros("ts").alias("t"), F.date_format("ts", "yyyy-MM-dd").alias("day"), "lon", "lat")
-    return told.groupBy("user_id").applyInPandasWithState(_follow(max_mps, box), JOURNEY, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    told = fixes.filter("user_id is not null and ts is not null and lon is not null and lat is not null").withWatermark("ts", late)
+    told = told.select("user_id", F.coalesce("event_id", F.lit(0)).alias("event_id"), "ts", F.unix_micros("ts").alias("t"), F.date_format("ts", "yyyy-MM-dd").alias("day"), F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat"))
+    return told.groupBy("user_id").transformWithStateInPandas(Journeys(max_mps, box), JOURNEY, "Append", "EventTime")
 
 
 def journey_updates(rows: DataFrame) -> DataFrame:
     """The last state of each journey among rows of ``stream_journeys``, as journeys(date, user_id, time_id, distance, journey_time)."""
-    last = rows.filter("kind <> 'late'").groupBy("user_id", "time_id").agg(F.max_by(F.struct("day", "distance", "journey_time"), F.struct("t", "distance")).alias("r"))
+    last = rows.groupBy("user_id", "time_id").agg(F.max_by(F.struct("day", "distance", "journey_time"), F.struct("t", "distance")).alias("r"))
     return last.select(F.to_date("r.day").alias("date"), "user_id", "time_id", "r.distance", "r.journey_time")
 
 
 def stream_sink(rows: DataFrame, target: str, checkpoint: str):
-    """A query that appends path and late rows and upserts journeys below ``target``; each batch once.
+    """A query that appends path rows and upserts journeys below ``target``; each batch once, and whole or not at all for readers.
 
-    Paths go to a folder named by the batch, so a batch that is repeated replaces itself.  Journeys are stored by
-    date: a batch writes a new version, named by its number, of the dates that it touches, each from the date's
-    version before, and leaves the others as they are; ``read_journeys`` reads the last version of each date.
+    Journeys are stored by date: a batch writes a new version, named by its number, of the dates that it touches, each from
+    the date's live version, opens no other date, and then commits.  A commit is one small file that names the live version of
+    each date; ``read_journeys`` and ``read_paths`` go by the last one.  A batch that is repeated before its commit writes the
+    same folders again, and does nothing after it.
     """
 
     def batch(df: DataFrame, number: int) -> None:
         spark = df.sparkSession
+        log = CommitLog(spark, f"{target}/journeys/_log")
+        live = log.read(before=number)
+        if log.last() == number:
+            return
         df = df.persist()
         try:
-            for kind in ("path", "late"):
-                df.filter(F.col("kind") == kind).write.mode("overwrite").parquet(f"{target}/{kind}/batch={number}")
+            df.filter("kind = 'path'").write.mode("overwrite").parquet(f"{target}/path/batch={number}")
             new = journey_updates(df).persist()
-            touched = [str(r.date) for r in new.select("date").distinct().collect()]  # days of one batch
+            touched = sorted(str(r.date) for r in new.select("date").distinct().collect())  # days of one batch
             if touched:
-                old = read_journeys(spark, target, before=number)
-                if old is not None:
-                    new = upsert_journeys(old.filter(F.col("date").cast("string").isin(touched)), new)
-                told = new.withColumn("version", F.lit(number))
+                old = _stored(spark, target, {day: live[day] for day in touched if day in live})
+                told = (new if old is None else upsert_journeys(old, new)).withColumn("version", F.lit(number))
                 told.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date", "version").parquet(f"{target}/journeys")
-                _drop_versions(spark, target, touched, number)
+            log.write(number, live | dict.fromkeys(touched, number))
+            _drop_versions(log, target, number)
+            new.unpersist()
         finally:
             df.unpersist()
 
     return rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
 
-def _versions(spark: SparkSession, target: str) -> dict[str, list[int]]:
-    """The versions of each date that a sink has stored, from the names of folders."""
-    home = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/journeys")
-    system = home.getFileSystem(spark._jsc.hadoopConfiguration())
-    out: dict[str, list[int]] = {}
-    for status in system.globStatus(spark._jvm.org.apache.hadoop.fs.Path(home, "date=*/version=*")) or ():
-        day, version = status.getPath().getParent().getName(), status.getPath().getName()
-        out.setdefault(day.removeprefix("date="), []).append(int(version.removeprefix("version=")))
-    return {day: sorted(v) for day, v in out.items()}
+class CommitLog:
+    """Commits of a table: small files named by number, each with the live version of each of its parts."""
 
+    #: Commits that stay, for readers that have begun with an earlier one.
+    KEPT = 3
 
-def _drop_versions(spark: SparkSession, target: str, days: list[str], number: int) -> None:
-    """Deletes what two later versions of a date have replaced; the last but one stays for readers and repeated batches."""
-    for day, versions in _versions(spark, target).items():
-        for old in [v for v in versions if v < number][:-1] if day in days else []:
-            path = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/journeys/date={day}/version={old}")
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    def __init__(self, spark: SparkSession, home: str):
+        self.jvm = spark._jvm
+        self.home = self.path(home)
+        self.files = self.home.getFileSystem(spark._jsc.hadoopConfiguration())
 
+    def path(self, *names):
+        return self.jvm.org.apache.hadoop.fs.Path(*names)
 
-def read_journeys(spark: SparkSession, target: str, before: int | None = None) -> DataFrame | None:
-    """Journeys (date, user_id, time_id, distance, journey_time) that ``stream_sink`` has stored; with ``before`` as an earlier batch left them."""
-    known = {day: [v for v in versions if before is None or v < before] for day, versions in _versions(spark, target).items()}
-    paths = [f"{target}/journeys/date={day}/version={versions[-1]}" for day, versions in known.items() if versions]
+    def numbers(self) -> list[int]:
+        found = self.files.globStatus(self.path(self.home, "*.json")) or ()
+        return sorted(int(f.getPath().getName().removesuffix(".json")) for f in found)
+
+    def last(self) -> int | None:
+        return max(self.numbers(), default=None)
+
+    def read(self, before: int | None = None) -> dict[str, int]:
+        """The live versions by the last commit, or by the last before a number."""
+        known = [n for n in self.numbers() if before is None or n < before]
+        if not known:
+            return {}
+        stream = self.files.open(self.path(self.home, f"{known[-1]}.json"))
+        try:
+            return json.loads(self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def write(self, number: int, live: dict[str, int]) -> None:
+        """Written aside and renamed, so that a commit is there as a whole or not at all."""
+        aside = self.path(self.home, f"_{number}.new")
+        stream = self.files.create(aside, True)
+        try:
+            stream.write(bytearray(json.dumps(live, sort_keys=True).encode()))
+        finally:
+            stream.close()
+        if not self.files.rename(aside, self.path(self.home, f"{number}.json")):
+            raise OSError(f"commit {number} wasn't written")
+
+
+def _drop_versions(log: CommitLog, target: str, number: int) -> None:
+    """Deletes the commits that are no longer kept, and the versions that only they name."""
+    known = [n for n in log.numbers() if n <= number]
+    named = {(day, v) for n in known[-log.KEPT :] for day, v in log.read(before=n + 1).items()}
+    for n in known[: -log.KEPT]:
+        for day, v in log.read(before=n + 1).items():
+            if (day, v) not in named:
+                log.files.delete(log.path(f"{target}/journeys/date={day}/version={v}"), True)
+        log.files.delete(log.path(log.home, f"{n}.json"), False)
+
+
+def _stored(spark: SparkSession, target: str, live: dict[str, int]) -> DataFrame | None:
+    paths = [f"{target}/journeys/date={day}/version={version}" for day, version in live.items()]
     if not paths:
         return None
-    return spark.read.option("basePath", f"{target}/journeys").parquet(*paths).select(F.col("date").cast("date").alias("date"), "user_id", "time_id", "distance", "journey_time")
+    schema = "user_id long, time_id long, distance double, journey_time double, date date, version int"
+    return spark.read.schema(schema).option("basePath", f"{target}/journeys").parquet(*paths).select("date", "user_id", "time_id", "distance", "journey_time")
+
+
+def read_journeys(spark: SparkSession, target: str, before: int | None = None) -> DataFrame | None:
+    """Journeys (date, user_id, time_id, distance, journey_time) that ``stream_sink`` has committed; with ``before`` as an earlier batch left them."""
+    return _stored(spark, target, CommitLog(spark, f"{target}/journeys/_log").read(before))
+
+
+def read_paths(spark: SparkSession, target: str) -> DataFrame | None:
+    """The path rows of all committed batches."""
+    last = CommitLog(spark, f"{target}/journeys/_log").last()
+    return None if last is None else spark.read.parquet(f"{target}/path").filter(F.col("batch") <= last).drop("batch", "kind")
 
 
 def landmark_sink(landmarks: DataFrame, target: str, checkpoint: str):
-    """A query that appends landmarks as landmark(date_time, user_id, lon, lat), by day, each once."""
-    rows = landmarks.select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("date_time"), "user_id", "lon", "lat", F.to_date("ts").alias("day"))
+    """A query that appends landmarks as landmark(date_time, user_id, name, lon, lat, address, comment), by day, each once."""
+    rows = landmarks.select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("date_time"), "user_id", "name", "lon", "lat", "address", "comment", F.to_date("ts").alias("day"))
     return rows.writeStream.format("parquet").partitionBy("day").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
 

@@ -219,58 +219,6 @@ def test_nearest_segments_equal_all_pairs(spark):
     assert got == {(r.file, r.line, r.sf): round(r.d, 6) for r in want} and len(got) > 200
 
 
-def test_stream_sink(spark, tmp_path):
-    from geotrail.plans.adapters import fixes
-    from geotrail.streaming import fixes as live
-
-    rows = fixes(spark, "/root/testdata/sf0.001").select("user_id", "event_id", "ts", "lon", "lat", "speed", "altitude").withColumn("user_id", F.col("user_id").cast("long"))
-    for k in range(2):
-        rows.filter(f"day(ts) {'<=' if k == 0 else '>'} 15").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    source = live.fix_stream(spark, str(tmp_path / "in"), schema=", ".join(f"{n} {t}" for n, t in rows.dtypes))
-    live.stream_sink(live.stream_journeys(source), str(tmp_path / "out"), str(tmp_path / "check")).start().awaitTermination()
-    got = {(r.user_id, r.time_id): round(r.distance, 3) for r in live.read_journeys(spark, str(tmp_path / "out")).collect()}
-    assert got == {(r.user_id, r.time_id): round(r.distance, 3) for r in fx.journeys(rows).collect()}
-    stored = {int(d.name[-2:]): sorted(v.name for v in d.iterdir() if v.is_dir()) for d in (tmp_path / "out/journeys").iterdir() if d.is_dir()}
-    assert len(stored) > 20 and all(v == ["version=0"] if d <= 15 else "version=0" not in v for d, v in stored.items())  # a batch touches its own days only
-    before = live.read_journeys(spark, str(tmp_path / "out"), before=1)
-    assert {r.date.day for r in before.select("date").distinct().collect()} == {d for d in stored if d <= 15}
-    assert spark.read.parquet(str(tmp_path / "out/path")).count() == fx.clean_path(rows).count()
-
-
-class State:
-    """What a user's group state holds, without a stream."""
-
-    def __init__(self, timed_out=False):
-        self.kept, self.hasTimedOut, self.due = None, timed_out, None
-
-    exists = property(lambda self: self.kept is not None)
-    get = property(lambda self: self.kept)
-
-    def update(self, value):
-        self.kept = value
-
-    def setTimeoutTimestamp(self, ms):
-        self.due = ms
-
-    def remove(self):
-        self.kept = None
-
-
-def test_live_state_goes_and_late_fixes_are_told():
-    import pandas as pd
-
-    from geotrail.streaming import fixes as live
-
-    follow, state = live._follow(100.0, (123.0, 133.0, 31.0, 39.0)), State()
-    day = lambda d, k, lon: {"user_id": 1, "event_id": k, "t": (d * 86_400 + k) * 1_000_000, "day": f"2024-01-{d:02d}", "lon": lon, "lat": 37.0}
-    told = lambda rows: [(r.kind, r.event_id) for f in follow((1,), iter([pd.DataFrame(rows)]), state) for r in f.itertuples()]
-    assert told([day(3, 1, 127.0), day(3, 2, 127.0001)]) == [("journey", 1), ("path", 1), ("path", 2)]
-    assert state.due == (3 * 86_400 + 2) * 1000 + live.IDLE
-    assert told([day(2, 7, 127.5), day(4, 1, 127.0)]) == [("late", 7), ("journey", 1), ("path", 1)]
-    state.hasTimedOut = True
-    assert list(follow((1,), iter([]), state)) == [] and not state.exists
-
-
 def transverse(lat, lon, zone):
     """UTM by numerical integration of the meridian arc over complex isometric latitudes."""
     a, e2 = 6378137.0, (2 - 1 / 298.257223563) / 298.257223563
