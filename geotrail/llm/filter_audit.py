@@ -137,7 +137,7 @@ class LeastIds(StatefulProcessor):
             for r in told:
                 add(r.mask, (r.part, r.good, r.toxic), r.least)
         else:
-            m, old = told[0].mask, self.state.get() if self.state.exists() else None
+            m, old = told[0].mask, self.state.get()
             least = min(r.doc_id for r in told)
             passing: dict[tuple, int] = {}
             if old is not None and old[0] <= least:
