@@ -1,17 +1,31 @@
-"""Points against segments of tracks, in Mercator units."""
+"""Points against segments of tracks, in Mercator units.
+
+Pairs of points and segments are never rows.  Space is cut into cells of a quadtree, as coarse as they may be for at most ``PAIRS``
+pairs each; a task gets a cell's points and segments and keeps the nearest.  A finest cell with more pairs, a car park or a
+crossing, is dealt over tasks in blocks of points and of segments; a track with many rows there has blocks of its own, which
+are never paired with each other.
+"""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from geotrail.functions.geo import EQUATOR_M, UNITS, along, apart, foot_share, mercator_lat
+from geotrail.functions.geo import EQUATOR_M, UNITS, mercator_lat
 from geotrail.functions.plan import fixed
+from geotrail.sources.scratch import written
 
-#: Units of a grid cell; a segment is written to the cells that its band touches, column by column.
+#: Units of a finest cell; a segment is written to the cells that its band touches, column by column.
 CELL = 3.0
+#: Levels of cells above the finest, each 4 x 4 cells of the last; pairs of a cell at most, points or segments of a dealt cell's block.
+LEVELS, PAIRS, BLOCK = 5, 1 << 22, 1 << 11
+#: Segments that the kernel boxes together.
+_BOX = 32
 
 
 def _grow(limit_m: float) -> Column:
@@ -37,49 +51,163 @@ def _cells() -> Column:
     return F.flatten(F.transform(columns, rows))
 
 
-def near_pairs(points: DataFrame, segments: DataFrame, limit_m: float, keep: Column | None = None) -> DataFrame:
-    """Points (file, line, x, y) with segments (file, line, x0, y0, x1, y1) at most ``limit_m`` away: an equi-join on cells."""
-    s = segments.select(F.col("file").alias("seg_file"), F.col("line").alias("seg_line"), "x0", "y0", "x1", "y1")
-    s = fixed(s, grow=_grow(limit_m)).withColumn("c", F.explode(_cells()))
-    s = s.select("seg_file", "seg_line", "x0", "y0", "x1", "y1", "c.cx", "c.cy")
-    p = fixed(points.select("file", "line", "x", "y"), cx=F.floor(F.col("x") / CELL), cy=F.floor(F.col("y") / CELL), lat=mercator_lat("y"))
-    pairs = p.join(s, ["cx", "cy"])
-    if keep is not None:
-        pairs = pairs.filter(keep)
-    # the steps of point_segment, each computed once
-    pairs = fixed(pairs, share=foot_share("x", "y", "x0", "y0", "x1", "y1"))
-    pairs = fixed(pairs, foot_x=along("x0", "x1", "share"), foot_y=along("y0", "y1", "share"))
-    pairs = fixed(pairs, distance=apart("x", "y", "foot_x", "foot_y", "lat")).filter(F.col("distance") <= limit_m)
-    return pairs.withColumn("at", F.struct("distance", F.col("foot_x").alias("x"), F.col("foot_y").alias("y")))
-
+def nearest(points: tuple, segments: tuple, group: np.ndarray, limit_m: float, apart: Callable[[np.ndarray, slice], np.ndarray | None]) -> tuple[np.ndarray, ...]:
+    """(point, segment, distance, foot_x, foot_y): for each point and group of segments the nearest within the limit.
 
-def nearest_segments(points: DataFrame, segments: DataFrame, limit_m: float = 30.0, keep: Column | None = None) -> DataFrame:
+    points: arrays x, y and metres a unit; segments: x0, y0, x1, y1, sorted by group; of equally near ones (to a micrometre)
+    the first counts.  ``apart`` tells for some points and a slice of one group's segments which pairs count; None: all.
+    A group's segments are boxed, all and by ``_BOX``; a point meets the boxes that are near enough.
+    """
+    px, py, unit = points
+    x0, y0, x1, y1 = segments
+    reach = limit_m * (1 + 1e-9) / unit
+    out: list[list[np.ndarray]] = [[], [], [], [], []]
+    edges = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]])) if len(group) else np.zeros(1, np.int64)
+    low_x, high_x, low_y, high_y = np.minimum(x0, x1), np.maximum(x0, x1), np.minimum(y0, y1), np.maximum(y0, y1)
+
+    def inside(some: np.ndarray, own: slice) -> np.ndarray:
+        x, y, r = px[some], py[some], reach[some]
+        return some[(x >= low_x[own].min() - r) & (x <= high_x[own].max() + r) & (y >= low_y[own].min() - r) & (y <= high_y[own].max() + r)]
+
+    everyone = np.arange(len(px))
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        near = inside(everyone, slice(a, b))
+        if not len(near):
+            continue
+        best = np.full(len(px), np.inf)
+        which = np.zeros(len(px), np.int64)
+        at = np.zeros((2, len(px)))
+        exact = np.zeros(len(px))
+        for c in range(a, b, _BOX):
+            own = slice(c, min(b, c + _BOX))
+            some = inside(near, own)
+            if not len(some):
+                continue
+            x, y = px[some][:, None], py[some][:, None]
+            dx, dy = x1[own] - x0[own], y1[own] - y0[own]
+            share = np.clip(((x - x0[own]) * dx + (y - y0[own]) * dy) / np.maximum(dx * dx + dy * dy, 1e-300), 0.0, 1.0)
+            fx, fy = x0[own] + share * dx, y0[own] + share * dy
+            away = np.sqrt((x - fx) ** 2 + (y - fy) ** 2) * unit[some][:, None]
+            counts = apart(some, own)
+            if counts is not None:
+                away = np.where(counts, away, np.inf)
+            rounded = np.round(away, 6)
+            k = np.argmin(rounded, axis=1)
+            row = np.arange(len(some))
+            less = (rounded[row, k] < best[some]) & (away[row, k] <= limit_m)
+            hit, k, row = some[less], k[less], row[less]
+            best[hit], which[hit], exact[hit] = rounded[row, k], c + k, away[row, k]
+            at[0, hit], at[1, hit] = fx[row, k], fy[row, k]
+        found = near[np.isfinite(best[near])]
+        for column, v in zip(out, (found, which[found], exact[found], at[0, found], at[1, found]), strict=True):
+            column.append(v)
+    kinds = (np.int64, np.int64, float, float, float)
+    return tuple(np.concatenate([np.zeros(0, k), *column]) for column, k in zip(out, kinds, strict=True))
+
+
+def _leaves(p: DataFrame, s: DataFrame) -> DataFrame:
+    """(cx, cy, level, pairs): for each finest cell with points and segments the coarsest cell above that has few enough pairs; level -1 for none."""
+    count = lambda df, name: df.groupBy("cx", "cy").agg(F.count("*").alias(name))
+    fine = count(p, "points").join(count(s, "segments"), ["cx", "cy"])
+    above = F.array(*(F.struct(F.lit(k).alias("level"), F.shiftright("cx", 2 * k).alias("x"), F.shiftright("cy", 2 * k).alias("y")) for k in range(LEVELS + 1)))
+    each = fine.select("cx", "cy", "points", "segments", F.inline(above))
+    sums = each.groupBy("level", "x", "y").agg(F.sum("points").cast("double").alias("p"), F.sum("segments").cast("double").alias("s"))
+    fits = sums.filter((F.col("p") * F.col("s") <= PAIRS) | (F.col("level") == 0)).withColumn("fits", F.when(F.col("p") * F.col("s") <= PAIRS, F.col("level")).otherwise(-1))
+    return each.select("cx", "cy", "level", "x", "y").join(fits, ["level", "x", "y"]).groupBy("cx", "cy").agg(F.max("fits").alias("level"))
+
+
+def _blocks(rows: DataFrame, owner: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of dealt cells with their block (track, part), and the blocks (cx, cy, track, part): a track with many rows in a cell has blocks of its own."""
+    each = rows.groupBy("cx", "cy", owner).agg(F.count("*").alias("n"))
+    many = F.col("n") > BLOCK
+    each = each.withColumn("rest", F.sum(F.when(~many, F.col("n"))).over(Window.partitionBy("cx", "cy")))
+    each = each.select("cx", "cy", owner, many.alias("many"), F.ceil(F.when(many, F.col("n")).otherwise(F.col("rest")) / BLOCK).cast("int").alias("parts"))
+    track = F.when(F.col("many"), F.xxhash64(owner))
+    part = F.pmod(F.when(F.col("many"), F.xxhash64(owner, "line")).otherwise(F.xxhash64(owner)), F.col("parts")).cast("int")
+    dealt = rows.join(each, ["cx", "cy", owner]).withColumn("track", F.coalesce(track, F.lit(0).cast("long"))).withColumn("part", part).drop("many", "parts")
+    kinds = each.select("cx", "cy", F.coalesce(track, F.lit(0).cast("long")).alias("track"), "parts").distinct()
+    return dealt, kinds.select("cx", "cy", "track", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+
+
+NEAR = "file long, line long, x double, y double, seg_file long, seg_line long, distance double, foot_x double, foot_y double"
+
+
+def _near(points: DataFrame, segments: DataFrame, limit_m: float, tracks: bool) -> DataFrame:
+    """``NEAR`` of points (file, line, x, y, own) and segments (file, line, x0, y0, x1, y1), numbers all.
+
+    With ``tracks`` the nearest segment of each track but a point's own; else one segment, neither end of which is ``own``.
+    """
+    s = segments.select(F.col("file").cast("long").alias("seg_file"), F.col("line").cast("long").alias("line"), "x0", "y0", "x1", "y1")
+    s = fixed(s, grow=_grow(limit_m)).withColumn("c", F.explode(_cells())).select("seg_file", "line", "x0", "y0", "x1", "y1", "c.cx", "c.cy")
+    p = points.select(F.col("file").cast("long").alias("file"), F.col("line").cast("long").alias("line"), "x", "y", F.col("own").cast("long").alias("own"))
+    p = p.withColumn("cx", F.floor(F.col("x") / CELL)).withColumn("cy", F.floor(F.col("y") / CELL))
+    leaves = written(_leaves(p, s))
+    key = ["level", "cx", "cy", "a", "b"]
+    zero = F.lit(0).cast("long")
+
+    def kernel(left: pa.Table, right: pa.Table) -> pa.Table:
+        file, line, x, y, own = (left[c].fill_null(0).to_numpy() for c in ("file", "line", "x", "y", "own"))
+        has_own = left["own"].is_valid().to_numpy()
+        seg = [right[c].to_numpy() for c in ("seg_file", "line", "x0", "y0", "x1", "y1")]
+        order = np.lexsort((seg[1], seg[0]))
+        order = order[np.concatenate([[True], (np.diff(seg[0][order]) != 0) | (np.diff(seg[1][order]) != 0)])] if len(order) else order  # a segment comes once for each finest cell
+        sf, sl, *ends = (c[order] for c in seg)
+        unit = 2 * math.pi * EQUATOR_M / UNITS * np.cos(2 * np.arctan(np.exp((y / UNITS - 0.5) * (2 * math.pi))) - math.pi / 2)
+        if tracks:
+            group, apart = sf, lambda some, own_: (file[some] != sf[own_.start])[:, None]
+        else:
+            group = np.zeros(len(sf), np.int64)
+            apart = lambda some, own_: ~has_own[some][:, None] | ((own[some][:, None] != sf[own_]) & (own[some][:, None] != sl[own_]))
+        i, k, away, fx, fy = nearest((x, y, unit), tuple(ends), group, limit_m, apart)
+        return pa.table({"file": file[i], "line": line[i], "x": x[i], "y": y[i], "seg_file": sf[k], "seg_line": sl[k], "distance": away, "foot_x": fx, "foot_y": fy})
+
+    def met(left: DataFrame, right: DataFrame) -> DataFrame:
+        own = lambda df: df.select(*(F.col(c).alias(c) for c in df.columns)).groupBy(*key)  # noqa: E731  both sides read the same table
+        return own(left).cogroup(own(right)).applyInArrow(kernel, NEAR)
+
+    def placed(rows: DataFrame) -> DataFrame:
+        up = lambda c: F.expr(f"shiftright({c}, 2 * level)")
+        return rows.join(leaves.filter("level >= 0"), ["cx", "cy"]).withColumn("cx", up("cx")).withColumn("cy", up("cy")).withColumn("a", zero).withColumn("b", zero)
+
+    found = met(placed(p), placed(s))
+    hot = leaves.filter("level < 0")
+    if hot.isEmpty():
+        return found
+    left, lefts = _blocks(p.join(hot, ["cx", "cy"]), "file")
+    right, rights = _blocks(s.join(hot, ["cx", "cy"]), "seg_file")
+    name = lambda df, n: df.withColumn(n, F.xxhash64("track", "part")).drop("part").withColumnRenamed("track", f"track_{n}")
+    pairs = name(lefts, "a").join(name(rights, "b"), ["cx", "cy"])
+    if tracks:
+        pairs = pairs.filter("track_a = 0 or track_a <> track_b")
+    pairs = pairs.select("cx", "cy", "a", "b")
+    dealt = met(name(left, "a").join(pairs, ["cx", "cy", "a"]), name(right, "b").join(pairs, ["cx", "cy", "b"]))
+    least = F.min_by(F.struct("x", "y", "seg_file", "seg_line", "distance", "foot_x", "foot_y"), F.struct(F.round("distance", 6), "seg_file", "seg_line"))
+    best = dealt.groupBy("file", "line", *(["seg_file"] if tracks else [])).agg(least.alias("n"))
+    return found.unionByName(best.select("file", "line", "n.*"))
+
+
+def nearest_segments(points: DataFrame, segments: DataFrame, limit_m: float = 30.0) -> DataFrame:
     """For each point and each other track its nearest segment within the limit; of equally near ones (to a micrometre) the first.
 
-    (file, line, x, y, seg_file, seg_line, distance, foot_x, foot_y).  ``keep`` may narrow the pairs further.
+    (file, line, x, y, seg_file, seg_line, distance, foot_x, foot_y) of points (file, line, x, y) and segments (file, line, x0, y0, x1, y1).
     """
-    other = F.col("seg_file") != F.col("file")
-    pairs = near_pairs(points, segments, limit_m, other if keep is None else other & keep)
-    best = pairs.groupBy("file", "line", "seg_file").agg(F.min_by(F.struct("x", "y", "seg_line", "at"), F.struct(F.round("at.distance", 6), "seg_line")).alias("b"))
-    return best.select("file", "line", "b.x", "b.y", "seg_file", "b.seg_line", F.col("b.at.distance").alias("distance"), F.col("b.at.x").alias("foot_x"), F.col("b.at.y").alias("foot_y"))
+    return _near(points.withColumn("own", F.lit(None).cast("long")), segments, limit_m, True)
 
 
 def near_edge(points: DataFrame, edges: DataFrame, distance_m: float) -> DataFrame:
     """The nearest edge (src, dst, x0, y0, x1, y1) of each point (file, line, x, y, except_id) that doesn't touch ``except_id``."""
     ends = edges.select(F.col("src").alias("file"), F.col("dst").alias("line"), "x0", "y0", "x1", "y1")
-    pairs = near_pairs(points, ends, distance_m).join(points.select("file", "line", "except_id"), ["file", "line"])
-    free = F.col("except_id").isNull() | ((F.col("seg_file") != F.col("except_id")) & (F.col("seg_line") != F.col("except_id")))
-    best = pairs.filter(free).groupBy("file", "line").agg(F.min_by(F.struct("seg_file", "seg_line", "at"), F.struct("at.distance", "seg_file", "seg_line")).alias("b"))
-    return best.select("file", "line", F.col("b.seg_file").alias("src"), F.col("b.seg_line").alias("dst"), F.col("b.at.distance").alias("distance"))
+    near = _near(points.select("file", "line", "x", "y", F.col("except_id").alias("own")), ends, distance_m, False)
+    return near.select("file", "line", F.col("seg_file").alias("src"), F.col("seg_line").alias("dst"), "distance")
 
 
 def consensus_points(points: DataFrame, near: DataFrame) -> DataFrame:
-    """Each point averaged with its feet on near tracks (rows of ``nearest_segments``); ``n`` is their number."""
-    feet = near.groupBy("file", "line").agg(F.sum("foot_x").alias("sx"), F.sum("foot_y").alias("sy"), F.count("*").alias("n"))
+    """Each point averaged with its feet on near tracks (rows of ``nearest_segments``); ``n`` is their number, ``covered`` whether one is of an earlier track."""
+    feet = near.groupBy("file", "line").agg(F.sum("foot_x").alias("sx"), F.sum("foot_y").alias("sy"), F.count("*").alias("n"), F.bool_or(F.col("seg_file") < F.col("file")).alias("covered"))
     told = points.select("file", "line", "x", "y").join(feet, ["file", "line"], "left")
     n = F.coalesce("n", F.lit(0))
     mean = lambda c, s: (F.col(c) + F.coalesce(s, F.lit(0.0))) / (n + 1)
-    return told.select("file", "line", mean("x", "sx").alias("x"), mean("y", "sy").alias("y"), n.cast("long").alias("n"))
+    return told.select("file", "line", mean("x", "sx").alias("x"), mean("y", "sy").alias("y"), n.cast("long").alias("n"), F.coalesce("covered", F.lit(False)).alias("covered"))
 
 
 def integrate_paths(points: DataFrame, segments: DataFrame, limit_m: float = 30.0) -> DataFrame:
@@ -87,10 +215,8 @@ def integrate_paths(points: DataFrame, segments: DataFrame, limit_m: float = 30.
 
     (file, line, run, x, y): runs are numbered from 1 within a file.
     """
-    near = nearest_segments(points, segments, limit_m)
-    covered = near.filter("seg_file < file").select("file", "line").distinct().withColumn("covered", F.lit(True))
     w = Window.partitionBy("file").orderBy("line")
-    told = consensus_points(points, near).join(covered, ["file", "line"], "left").withColumn("free", F.col("covered").isNull())
+    told = consensus_points(points, nearest_segments(points, segments, limit_m)).withColumn("free", ~F.col("covered"))
     begins = (F.col("free") & ~F.coalesce(F.lag("free").over(w), F.lit(False))).cast("int")
     told = told.withColumn("begins", begins).withColumn("run", F.sum("begins").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     return told.filter("free").select("file", "line", "run", "x", "y")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from geotrail.plans import adapters as ad
 from geotrail.plans.catalog import query
 from geotrail.plans.fix_queries import _FOLD, closed, spans
-from geotrail.plans.scratch import scratch
+from geotrail.sources.scratch import scratch
 from geotrail.sources import binary
 from geotrail.sources.tables import write_tables
 from geotrail.streaming import fixes as live

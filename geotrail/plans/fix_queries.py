@@ -11,7 +11,7 @@ from geotrail.operators import fixes as fx
 from geotrail.operators.tables import pending_files, upsert_journeys
 from geotrail.plans import adapters as ad
 from geotrail.plans.catalog import query
-from geotrail.plans.scratch import scratch
+from geotrail.sources.scratch import scratch
 from geotrail.sources import text
 from geotrail.streaming import fixes as live
 

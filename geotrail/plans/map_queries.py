@@ -10,7 +10,7 @@ from geotrail.operators import fixes as fx
 from geotrail.operators import graph, match
 from geotrail.plans import adapters as ad
 from geotrail.plans.catalog import query
-from geotrail.plans.scratch import scratch
+from geotrail.sources.scratch import scratch
 from geotrail.sources import text
 
 #: Places and segments of tracks, each computed once.

@@ -10,7 +10,7 @@ from geotrail.operators import sensors as sn
 from geotrail.plans import adapters as ad
 from geotrail.plans.catalog import query
 from geotrail.plans.fix_queries import _streamed
-from geotrail.plans.scratch import scratch
+from geotrail.sources.scratch import scratch
 from geotrail.sources import text
 from geotrail.streaming import fixes as live
 

@@ -11,7 +11,7 @@ from geotrail.operators import terrain
 from geotrail.operators import tiles as tl
 from geotrail.plans import adapters as ad
 from geotrail.plans.catalog import query
-from geotrail.plans.scratch import scratch
+from geotrail.sources.scratch import scratch
 from geotrail.sources.binary import write_files
 from geotrail.sources.tables import read_tile_inventory
 

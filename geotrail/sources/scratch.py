@@ -1,11 +1,11 @@
-"""Folders for what queries write and read again."""
+"""Folders for what queries and operators write and read again."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Folders of this machine by application, where none is set and the session runs on this machine alone.
 _LOCAL: dict[str, str] = {}
@@ -19,3 +19,10 @@ def scratch(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir isn't set: it must name a folder that driver and executors share")
         home = _LOCAL.setdefault(spark.sparkContext.applicationId, f"file://{tempfile.mkdtemp(prefix='spark-')}")
     return f"{home}/{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet into the shared folder and read again: computed once, its lineage ends there."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
