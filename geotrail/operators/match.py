@@ -1,7 +1,7 @@
 """Points against segments of tracks, in Mercator units.
 
 Pairs of points and segments are never rows.  Space is cut into cells of a quadtree, as coarse as they may be for at most ``PAIRS``
-pairs each; a task gets a cell's points and segments and keeps the nearest.  A finest cell with more pairs, a car park or a
+pairs and ``ROWS`` rows each; a task gets a cell's points and segments and keeps the nearest.  A finest cell with more pairs, a car park or a
 crossing, is dealt over tasks in blocks of points and of segments; a track with many rows there has blocks of its own, which
 are never paired with each other.
 """
@@ -22,10 +22,10 @@ from geotrail.sources.scratch import written
 
 #: Units of a finest cell; a segment is written to the cells that its band touches, column by column.
 CELL = 3.0
-#: Levels of cells above the finest, each 4 x 4 cells of the last; pairs of a cell at most, points or segments of a dealt cell's block.
-LEVELS, PAIRS, BLOCK = 5, 1 << 22, 1 << 11
-#: Segments that the kernel boxes together.
-_BOX = 32
+#: Levels of cells above the finest, each 4 x 4 cells of the last; pairs and rows of a cell at most, points or segments of a dealt cell's block.
+LEVELS, PAIRS, ROWS, BLOCK = 4, 1 << 26, 1 << 19, 1 << 13
+#: Segments that the kernel boxes together; pairs that it may have in memory at a time.
+_BOX, _AT_ONCE = 8, 1 << 20
 
 
 def _grow(limit_m: float) -> Column:
@@ -51,69 +51,64 @@ def _cells() -> Column:
     return F.flatten(F.transform(columns, rows))
 
 
-def nearest(points: tuple, segments: tuple, group: np.ndarray, limit_m: float, apart: Callable[[np.ndarray, slice], np.ndarray | None]) -> tuple[np.ndarray, ...]:
+def nearest(points: tuple, segments: tuple, group: np.ndarray, limit_m: float, apart: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, ...]:
     """(point, segment, distance, foot_x, foot_y): for each point and group of segments the nearest within the limit.
 
     points: arrays x, y and metres a unit; segments: x0, y0, x1, y1, sorted by group; of equally near ones (to a micrometre)
-    the first counts.  ``apart`` tells for some points and a slice of one group's segments which pairs count; None: all.
-    A group's segments are boxed, all and by ``_BOX``; a point meets the boxes that are near enough.
+    the first counts.  ``apart`` tells which pairs of a point and a segment count.  A group's segments are boxed by
+    ``_BOX``, and only those of boxes near enough are compared, some points at a time.
     """
     px, py, unit = points
     x0, y0, x1, y1 = segments
-    reach = limit_m * (1 + 1e-9) / unit
-    out: list[list[np.ndarray]] = [[], [], [], [], []]
-    edges = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]])) if len(group) else np.zeros(1, np.int64)
-    low_x, high_x, low_y, high_y = np.minimum(x0, x1), np.maximum(x0, x1), np.minimum(y0, y1), np.maximum(y0, y1)
-
-    def inside(some: np.ndarray, own: slice) -> np.ndarray:
-        x, y, r = px[some], py[some], reach[some]
-        return some[(x >= low_x[own].min() - r) & (x <= high_x[own].max() + r) & (y >= low_y[own].min() - r) & (y <= high_y[own].max() + r)]
-
-    everyone = np.arange(len(px))
-    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        near = inside(everyone, slice(a, b))
-        if not len(near):
-            continue
-        best = np.full(len(px), np.inf)
-        which = np.zeros(len(px), np.int64)
-        at = np.zeros((2, len(px)))
-        exact = np.zeros(len(px))
-        for c in range(a, b, _BOX):
-            own = slice(c, min(b, c + _BOX))
-            some = inside(near, own)
-            if not len(some):
+    out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0)], [np.zeros(0)]]
+    if len(group) and len(px):
+        reach = limit_m * (1 + 1e-9) / unit
+        place = np.arange(len(group))
+        begins = np.concatenate([[True], group[1:] != group[:-1]])
+        opens = np.flatnonzero(begins | ((place - np.maximum.accumulate(np.where(begins, place, 0))) % _BOX == 0))
+        size = np.diff(opens, append=len(group))
+        low_x, low_y = (np.minimum.reduceat(np.minimum(a, b), opens) for a, b in ((x0, x1), (y0, y1)))
+        high_x, high_y = (np.maximum.reduceat(np.maximum(a, b), opens) for a, b in ((x0, x1), (y0, y1)))
+        step = max(1, _AT_ONCE // len(group))
+        for at in range(0, len(px), step):
+            x, y, r = (c[at : at + step, None] for c in (px, py, reach))
+            p, box = np.nonzero((x >= low_x - r) & (x <= high_x + r) & (y >= low_y - r) & (y <= high_y + r))
+            n = size[box]
+            s = np.arange(n.sum()) + np.repeat(opens[box] - np.cumsum(n) + n, n)
+            p = np.repeat(p + at, n)
+            mine = apart(p, s)
+            p, s = p[mine], s[mine]
+            dx, dy = x1[s] - x0[s], y1[s] - y0[s]
+            share = np.clip(((px[p] - x0[s]) * dx + (py[p] - y0[s]) * dy) / np.maximum(dx * dx + dy * dy, 1e-300), 0.0, 1.0)
+            fx, fy = x0[s] + share * dx, y0[s] + share * dy
+            away = np.sqrt((px[p] - fx) ** 2 + (py[p] - fy) ** 2) * unit[p]
+            near = np.flatnonzero(away <= limit_m)
+            if not len(near):
                 continue
-            x, y = px[some][:, None], py[some][:, None]
-            dx, dy = x1[own] - x0[own], y1[own] - y0[own]
-            share = np.clip(((x - x0[own]) * dx + (y - y0[own]) * dy) / np.maximum(dx * dx + dy * dy, 1e-300), 0.0, 1.0)
-            fx, fy = x0[own] + share * dx, y0[own] + share * dy
-            away = np.sqrt((x - fx) ** 2 + (y - fy) ** 2) * unit[some][:, None]
-            counts = apart(some, own)
-            if counts is not None:
-                away = np.where(counts, away, np.inf)
-            rounded = np.round(away, 6)
-            k = np.argmin(rounded, axis=1)
-            row = np.arange(len(some))
-            less = (rounded[row, k] < best[some]) & (away[row, k] <= limit_m)
-            hit, k, row = some[less], k[less], row[less]
-            best[hit], which[hit], exact[hit] = rounded[row, k], c + k, away[row, k]
-            at[0, hit], at[1, hit] = fx[row, k], fy[row, k]
-        found = near[np.isfinite(best[near])]
-        for column, v in zip(out, (found, which[found], exact[found], at[0, found], at[1, found]), strict=True):
-            column.append(v)
-    kinds = (np.int64, np.int64, float, float, float)
-    return tuple(np.concatenate([np.zeros(0, k), *column]) for column, k in zip(out, kinds, strict=True))
+            # pairs come by point, group and segment: the first of the least in each run
+            p, s, fx, fy, away = (c[near] for c in (p, s, fx, fy, away))
+            rounded, g = np.round(away, 6), group[s]
+            runs = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (g[1:] != g[:-1])]))
+            least = np.flatnonzero(rounded == np.repeat(np.minimum.reduceat(rounded, runs), np.diff(runs, append=len(p))))
+            best = least[np.searchsorted(least, runs)]
+            for column, v in zip(out, (p, s, away, fx, fy), strict=True):
+                column.append(v[best])
+    return tuple(np.concatenate(column) for column in out)
 
 
 def _leaves(p: DataFrame, s: DataFrame) -> DataFrame:
-    """(cx, cy, level, pairs): for each finest cell with points and segments the coarsest cell above that has few enough pairs; level -1 for none."""
-    count = lambda df, name: df.groupBy("cx", "cy").agg(F.count("*").alias(name))
-    fine = count(p, "points").join(count(s, "segments"), ["cx", "cy"])
-    above = F.array(*(F.struct(F.lit(k).alias("level"), F.shiftright("cx", 2 * k).alias("x"), F.shiftright("cy", 2 * k).alias("y")) for k in range(LEVELS + 1)))
-    each = fine.select("cx", "cy", "points", "segments", F.inline(above))
-    sums = each.groupBy("level", "x", "y").agg(F.sum("points").cast("double").alias("p"), F.sum("segments").cast("double").alias("s"))
-    fits = sums.filter((F.col("p") * F.col("s") <= PAIRS) | (F.col("level") == 0)).withColumn("fits", F.when(F.col("p") * F.col("s") <= PAIRS, F.col("level")).otherwise(-1))
-    return each.select("cx", "cy", "level", "x", "y").join(fits, ["level", "x", "y"]).groupBy("cx", "cy").agg(F.max("fits").alias("level"))
+    """(cx, cy, level): for each finest cell with points and segments the coarsest cell above that has few enough pairs; level -1 for none.
+
+    Points and segments are counted by finest cell before they are shuffled; a coarsest cell has at most 4 ** (2 * LEVELS)
+    of these, so its counts are summed up level by level in one task.
+    """
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    both = p.select("cx", "cy", one.alias("p"), none.alias("s")).union(s.select("cx", "cy", none, one))
+    fine = both.groupBy("cx", "cy").agg(F.sum("p").alias("p"), F.sum("s").alias("s")).filter("p > 0 and s > 0")
+    up = lambda k: [F.shiftright(c, 2 * k) for c in ("cx", "cy")]
+    total = lambda c, k: F.sum(F.col(c).cast("double")).over(Window.partitionBy(*up(LEVELS), *up(k)))
+    fits = lambda k: (total("p", k) * total("s", k) <= PAIRS) & (total("p", k) + total("s", k) <= ROWS)
+    return fine.select("cx", "cy", F.greatest(*(F.when(fits(k), k).otherwise(-1) for k in range(LEVELS + 1))).alias("level"))
 
 
 def _blocks(rows: DataFrame, owner: str) -> tuple[DataFrame, DataFrame]:
@@ -154,10 +149,9 @@ def _near(points: DataFrame, segments: DataFrame, limit_m: float, tracks: bool)
         sf, sl, *ends = (c[order] for c in seg)
         unit = 2 * math.pi * EQUATOR_M / UNITS * np.cos(2 * np.arctan(np.exp((y / UNITS - 0.5) * (2 * math.pi))) - math.pi / 2)
         if tracks:
-            group, apart = sf, lambda some, own_: (file[some] != sf[own_.start])[:, None]
+            group, apart = sf, lambda p, s: file[p] != sf[s]
         else:
-            group = np.zeros(len(sf), np.int64)
-            apart = lambda some, own_: ~has_own[some][:, None] | ((own[some][:, None] != sf[own_]) & (own[some][:, None] != sl[own_]))
+            group, apart = np.zeros(len(sf), np.int64), lambda p, s: ~has_own[p] | ((own[p] != sf[s]) & (own[p] != sl[s]))
         i, k, away, fx, fy = nearest((x, y, unit), tuple(ends), group, limit_m, apart)
         return pa.table({"file": file[i], "line": line[i], "x": x[i], "y": y[i], "seg_file": sf[k], "seg_line": sl[k], "distance": away, "foot_x": fx, "foot_y": fy})
 
