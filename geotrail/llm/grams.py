@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,11 +43,36 @@ def _ranges(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
 
 
 def windows(values: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of all windows of n values."""
+    """Hashes of all windows of n values; n is far under 1,000, from where on sequences over two values can be made that collide."""
     at = np.arange(max(0, len(values) - n + 1))
     return _ranges(values, at, at + n)
 
 
+#: Bytes of a word from which it is hashed as a whole; a word's first bytes that are kept, by its length.
+LONG = 1024
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
+
+
+def eights(flat: bytes) -> np.ndarray:
+    """The eight bytes from each place of ``flat`` on as numbers, zeros past its end."""
+    return np.ndarray((len(flat),), "<u8", flat + bytes(8), strides=(1,))
+
+
+def word_hashes(flat: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of flat[start:end]: eight bytes after the other are mixed in, so that words of any length collide by chance only."""
+    chunks, left = eights(flat), ends - starts
+    out = mix(left.astype(np.uint64) * _R)
+    some, at = np.flatnonzero(left <= LONG), 0
+    while len(some):
+        told = chunks[starts[some] + at] & _FIRST[np.minimum(left[some] - at, 8)]
+        out[some] = mix((out[some] ^ told) * _R)
+        at += 8
+        some = some[left[some] > at]
+    for k in np.flatnonzero(left > LONG).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(flat[starts[k] : ends[k]], digest_size=8).digest(), "little")
+    return out
+
+
 class Words:
     """The words ([^\\x20\\x09-\\x0D]+) of some texts, hashed; texts by number."""
 
@@ -57,7 +83,7 @@ class Words:
         space[1:-1] = (raw == 32) | ((raw >= 9) & (raw <= 13))
         edge = np.flatnonzero(space[1:] != space[:-1])
         self.starts, self.ends = edge[::2], edge[1::2]
-        self.hashes = _ranges(raw.astype(np.uint64) + np.uint64(1), self.starts, self.ends)
+        self.hashes = word_hashes(self.flat, self.starts, self.ends)
         begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
         #: Words of text k: first[k]:first[k + 1].
         self.first = np.searchsorted(self.starts, begins)

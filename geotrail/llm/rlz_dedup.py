@@ -9,18 +9,18 @@ so equal windows have equal anchors.  An anchor's reference block is the first d
 2. Each document sends the runs of words around its shared anchors to their reference blocks, and as a
    block the runs around the anchors that it has first.  Runs for a much copied block are dealt over
    several tasks, each with the block.
-3. A run is parsed greedily into factors of its block: a match at least a window long that goes on as long
-   as the block does.  Where a factor ends, the windows across its end are looked up in the block, so that
-   what straddles two factors is found.
+3. A run is parsed greedily into factors of its block: from the first window that the block has, the longest
+   match there, by the block's sorted suffixes where a window stands in it more than once; the next factor begins
+   after it.  Only the windows across a factor's end are looked up as well, so that what straddles two factors is found.
 4. Windows that their block doesn't hold may still be in a document between the two, if their anchor has a third
    place: these are indexed themselves, by 128-bit hashes, with their first document.
 
 Factors and windows so found are the duplicate spans; ``remove`` takes their words out of the documents.
-Words are compared by 64-bit hashes, inside one block.
+Words are met by hashes and then compared themselves, but for step 4.  Rows are told apart by id and text.
 
 Defined cases: a null text has no words; ids that repeat are one document in several rows: rows of one id
-don't make duplicates of each other; rows without an id neither give nor get duplicates; other columns are
-ignored; an empty table gives an empty result.
+don't make duplicates of each other, and each has its own spans; rows without an id neither give nor get
+duplicates; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -60,11 +60,16 @@ def window_anchors(grams: np.ndarray, window: int, gram: int) -> np.ndarray:
     return (at + (((least[:n] & _LOW) - at) & _LOW)).astype(np.int64)
 
 
+def by_row(docs: DataFrame) -> DataFrame:
+    """(doc_id, row, text): ``row`` tells rows of one id apart by their text."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("row"), "text")
+
+
 def anchors(docs: DataFrame) -> DataFrame:
-    """(anchor, doc_id, at): each document's anchors and the words where they start."""
+    """(anchor, doc_id, row, at): the anchors of rows (doc_id, row, text) and the words where they start."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in parts(batches, 1):
+        for batch, texts in parts(batches, 2):
             words = Words(texts)
             if len(words.hashes) < WINDOW:
                 continue
@@ -77,94 +82,149 @@ def anchors(docs: DataFrame) -> DataFrame:
             owner = np.repeat(np.arange(len(texts)), n)
             place = np.unique(at[inside])
             doc = owner[place]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(grams[place].view(np.int64)), batch.column(0).take(pa.array(doc)), pa.array((place - words.first[doc]).astype(np.int32))], names=["anchor", "doc_id", "at"]
-            )
+            ids = [batch.column(k).take(pa.array(doc)) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(grams[place].view(np.int64)), *ids, pa.array((place - words.first[doc]).astype(np.int32))], names=["anchor", "doc_id", "row", "at"])
 
-    return docs.mapInArrow(run, "anchor long, doc_id long, at int")
+    return docs.mapInArrow(run, "anchor long, doc_id long, row long, at int")
 
 
 def runs(docs: DataFrame, shared: DataFrame) -> DataFrame:
-    """(block, doc_id, refers, seek, at, words): what documents send to reference blocks.
+    """(block, doc_id, row, refers, seek, at, words): what rows (doc_id, row, text) send to reference blocks.
 
-    ``shared``: (doc_id, told array<struct<at, block, more>>), ``more`` for anchors of more than two places; ``seek`` says
-    that what the block lacks may be elsewhere.  ``at`` is the first word's number in its document.
+    ``shared``: (doc_id, row, told array<struct<at, block, more>>), ``more`` for anchors of more than two places; ``seek`` says
+    that what the block lacks may be elsewhere.  ``at`` is the first word's number in its text.
     """
-    rows = docs.join(shared, "doc_id").select("doc_id", "text", "told")
+    rows = docs.join(shared, ["doc_id", "row"]).select("doc_id", "row", "text", "told")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in parts(batches, 1):
-            words, out = Words(texts), [[], [], [], [], [], []]
-            ids, told = batch.column(0).to_pylist(), batch.column(2)
-            for k, doc in enumerate(ids):
+        for batch, texts in parts(batches, 2):
+            words, out = Words(texts), [[], [], [], [], [], [], []]
+            ids, keys, told = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3)
+            for k, (doc, key) in enumerate(zip(ids, keys, strict=True)):
                 own = words.hashes[words.first[k] : words.first[k + 1]]
                 anchor = window_anchors(windows(own, ANCHOR), WINDOW, ANCHOR)
-                block = np.full(len(own) + 1, -1, np.int64)
-                known, more = np.zeros(len(own) + 1, bool), np.zeros(len(own) + 1, bool)
-                pairs = told[k].values
-                at = pairs.field("at").to_numpy()
-                fits = at < len(own)
-                at = at[fits]
-                block[at], known[at], more[at] = pairs.field("block").to_numpy()[fits], True, pairs.field("more").to_numpy(zero_copy_only=False)[fits]
                 if not len(anchor):
                     continue
+                block = np.full(len(own), -1, np.int64)
+                known, more = np.zeros(len(own), bool), np.zeros(len(own), bool)
+                pairs = told[k].values
+                at = pairs.field("at").to_numpy()
+                block[at], known[at], more[at] = pairs.field("block").to_numpy(), True, pairs.field("more").to_numpy(zero_copy_only=False)
                 of, has, seek = block[anchor], known[anchor], more[anchor]
                 edge = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (has[1:] != has[:-1]) | (seek[1:] != seek[:-1])]))
                 for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(of)], strict=True):
                     if has[a]:
-                        values = (int(of[a]), doc, int(of[a]) != doc, bool(seek[a]), a, words.text(words.first[k] + a, words.first[k] + b - 1 + WINDOW))
+                        values = (int(of[a]), doc, key, int(of[a]) != doc, bool(seek[a]), a, words.text(words.first[k] + a, words.first[k] + b - 1 + WINDOW))
                         for column, v in zip(out, values, strict=True):
                             column.append(v)
-            types = (pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["block", "doc_id", "refers", "seek", "at", "words"])
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["block", "doc_id", "row", "refers", "seek", "at", "words"])
+
+    return rows.mapInArrow(run, "block long, doc_id long, row long, refers boolean, seek boolean, at int, words binary")
 
-    return rows.mapInArrow(run, "block long, doc_id long, refers boolean, seek boolean, at int, words binary")
+
+def _alike(a: np.ndarray, b: np.ndarray) -> int:
+    """How many first items of two arrays are equal."""
+    n, at, step = min(len(a), len(b)), 0, 64
+    while at < n:
+        same = a[at : at + step] == b[at : min(n, at + step)] if at + step <= n else a[at:n] == b[at:n]
+        if not same.all():
+            return at + int(np.argmin(same))
+        at, step = at + step, step * 4
+    return n
 
 
 class Block:
-    """An indexed reference block: word hashes of some runs, and the places of all their windows."""
+    """An indexed reference block: the words of some runs, the windows that start in them, and their sorted suffixes."""
 
     def __init__(self, texts: list[bytes]):
-        words = Words(texts)
-        grams, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for a, b in zip(words.first, words.first[1:], strict=False):
-            grams.append(windows(words.hashes[a:b], WINDOW))
-            places.append(np.arange(a, a + len(grams[-1])))
-        gram, place = np.concatenate(grams), np.concatenate(places)
-        order = np.argsort(gram, kind="stable")
-        self.grams, self.places = gram[order], place[order]
-
-    def lookup(self, grams: np.ndarray) -> np.ndarray:
-        """The first place of each window in the block, or -1."""
-        if not len(self.grams):
-            return np.full(len(grams), -1)
-        at = np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)
-        return np.where(self.grams[at] == grams, self.places[at], -1)
-
-
-def parse(words: Words, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Factors (first word, end) of runs against a block, and the windows that it lacks; places over all runs.
-
-    From each window that the block holds the factor goes on as long as the block goes on with it.  The windows
-    across its end that the block holds at another place begin factors of their own.
+        self.words = Words(texts)
+        self.hashes = self.words.hashes
+        first = self.words.first
+        #: For each word the end of its run.
+        self.ends = np.repeat(first[1:], np.diff(first))
+        grams = windows(self.hashes, WINDOW)
+        fits = np.flatnonzero(np.arange(len(grams)) + WINDOW <= self.ends[: len(grams)])
+        #: A place of each window, and the windows with more than one.
+        self.place = dict(zip(grams[fits].tolist(), fits.tolist(), strict=True))
+        some, count = np.unique(grams[fits], return_counts=True)
+        self.many = set(some[count > 1].tolist())
+        self._sorted: np.ndarray | None = None
+
+    def suffixes(self) -> np.ndarray:
+        """All places, sorted by the words from there to the end of their run: prefixes of doubling length are ranked."""
+        if self._sorted is None:
+            n = len(self.hashes)
+            at, k = np.arange(n), 1
+            rank = np.unique(self.hashes, return_inverse=True)[1] + 1
+            while k < n:
+                after = np.where(at + k < self.ends, rank[np.minimum(at + k, n - 1)], 0)
+                told, rank = np.unique(rank * (n + 2) + after, return_inverse=True)
+                rank += 1
+                if len(told) == n or k > int((self.ends - at).max()):
+                    break
+                k *= 2
+            self._sorted = np.argsort(rank, kind="stable")
+        return self._sorted
+
+    def longest(self, run: np.ndarray, gram: int) -> tuple[int, int]:
+        """(length, place) of the longest match with the start of ``run``, whose first window the block has."""
+        p = self.place[gram]
+        if gram not in self.many:
+            return _alike(run, self.hashes[p : self.ends[p]]), p
+        order = self.suffixes()
+        low, high, best = 0, len(order), (0, 0)
+        while low < high:
+            middle = (low + high) // 2
+            p = int(order[middle])
+            own = self.hashes[p : self.ends[p]]
+            n = _alike(run, own)
+            best = max(best, (n, p))
+            if n == len(run):
+                break
+            if n == len(own) or own[n] < run[n]:
+                low = middle + 1
+            else:
+                high = middle
+        return best
+
+
+def parse(words: Words, block: Block) -> tuple[list[tuple[int, int]], list[int], list[int], int]:
+    """(factors, found, lacking, lookups) of runs against a block, places over all runs.
+
+    factors: (first word, end), in order and apart; found: first words of windows across a factor's end that the block holds
+    too; lacking: first words of all other windows.  Lookups are far fewer than windows where runs are copied.
     """
-    grams = windows(words.hashes, WINDOW)
-    inside = np.zeros(len(grams) + WINDOW + 1, np.int64)
-    long = np.flatnonzero(np.diff(words.first) >= WINDOW)
-    np.add.at(inside, words.first[:-1][long], 1)
-    np.add.at(inside, words.first[1:][long] - WINDOW + 1, -1)
-    starts = np.flatnonzero(np.cumsum(inside)[: len(grams)] > 0)
-    place = block.lookup(grams[starts])
-    hits, at = starts[place >= 0], place[place >= 0]
-    begins = np.ones(len(hits), bool)
-    begins[1:] = (hits[1:] != hits[:-1] + 1) | (at[1:] != at[:-1] + 1)
-    first = np.flatnonzero(begins)
-    last = np.concatenate([first[1:], [len(hits)]]) - 1 if len(first) else first
-    return hits[first], hits[last] + WINDOW, starts[place < 0]
+    grams = windows(words.hashes, WINDOW).tolist()
+    place, compared = block.place, block.words
+    factors, found, lacking, lookups = [], [], [], 0
+    for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
+        i, looked = a, a  # windows before ``looked`` have been looked up
+        while i + WINDOW <= b:
+            lookups += 1
+            gram = grams[i]
+            n = 0
+            if gram in place:
+                n, p = block.longest(words.hashes[i:b], gram)
+                if words.text(i, i + n) != compared.text(p, p + n):  # words that differ but share a hash
+                    n = next((k for k in range(n) if words.text(i + k, i + k + 1) != compared.text(p + k, p + k + 1)), n)
+            if n < WINDOW:
+                if i >= looked:
+                    lacking.append(i)
+                i += 1
+                continue
+            factors.append((i, i + n))
+            looked = min(i + n, b - WINDOW + 1)
+            for k in range(i + n - WINDOW + 1, looked):
+                lookups += 1
+                p = place.get(grams[k])
+                (found if p is not None and words.text(k, k + WINDOW) == compared.text(p, p + WINDOW) else lacking).append(k)
+            i += n
+    return factors, found, lacking, lookups
 
 
 def _parsed(sent: DataFrame, asked: DataFrame) -> DataFrame:
-    """(doc_id, at, upto, g, h): factors as word ranges, and windows that the block lacks and that are sought, with their hashes.
+    """(doc_id, row, at, upto, g, h): factors as word ranges, and windows that the block lacks and that are sought, with their hashes.
 
     ``asked``: (block, n), the anchors of other documents that refer to a block.  Blocks with over ``SALT``, and over
     1/``MOST`` of all, are parsed in parts: fewer than MOST by that, so their numbers of parts are broadcast.
@@ -172,56 +232,58 @@ def _parsed(sent: DataFrame, asked: DataFrame) -> DataFrame:
     limit = max((asked.agg(F.sum("n")).first()[0] or 0) // MOST, SALT)
     salts = F.broadcast(asked.filter(F.col("n") > limit).select("block", F.ceil(F.col("n") / limit).cast("int").alias("salts")))
     rows = sent.join(salts, "block", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
-    own = F.pmod(F.xxhash64("doc_id", "at"), F.col("salts")).cast("int")
+    own = F.pmod(F.xxhash64("doc_id", "row", "at"), F.col("salts")).cast("int")
     salt = F.when(F.col("refers"), F.array(own)).otherwise(F.sequence(F.lit(0), F.col("salts") - 1))
-    dealt = rows.select("block", F.explode(salt).alias("salt"), "doc_id", "refers", "seek", "at", "words")
+    dealt = rows.select("block", F.explode(salt).alias("salt"), "doc_id", "row", "refers", "seek", "at", "words")
 
     def run(table: pa.Table) -> pa.Table:
         refers = table["refers"].to_numpy(zero_copy_only=False)
         text = as_bytes(table["words"].combine_chunks())
-        block = Block([t for t, r in zip(text, refers, strict=True) if not r])
         mine = np.flatnonzero(refers)
-        doc, at, seek = table["doc_id"].to_numpy()[mine], table["at"].to_numpy()[mine], table["seek"].to_numpy(zero_copy_only=False)[mine]
-        out: list[list[np.ndarray]] = [[], [], [], [], []]
+        doc, row, at, seek = (table[c].to_numpy(zero_copy_only=False)[mine] for c in ("doc_id", "row", "at", "seek"))
+        out: list[list[np.ndarray]] = [[], [], [], [], [], []]
+        block = Block([t for t, r in zip(text, refers, strict=True) if not r]) if len(mine) else None
         for first in range(0, len(mine), 512):
             words = Words([text[k] for k in mine[first : first + 512]])
-            begin, end, left = parse(words, block)
-            left = left[seek[first + np.searchsorted(words.first, left, "right") - 1]]
-            second = windows(mix(words.hashes + np.uint64(77)), WINDOW)[left]
-            hashes = windows(words.hashes, WINDOW)[left]
-            start, upto = np.concatenate([begin, left]), np.concatenate([end, left + WINDOW])
+            factors, found, lacking, _ = parse(words, block)
+            spans = np.array(factors + [(k, k + WINDOW) for k in found], np.int64).reshape(-1, 2)
+            left = np.array(lacking, np.int64)
+            left = left[seek[first + np.searchsorted(words.first, left, "right") - 1].astype(bool)]
+            second = windows(mix(words.hashes + np.uint64(77)), WINDOW)[left] if len(left) else np.zeros(0, np.uint64)
+            hashes = windows(words.hashes, WINDOW)[left] if len(left) else np.zeros(0, np.uint64)
+            start, upto = np.concatenate([spans[:, 0], left]), np.concatenate([spans[:, 1], left + WINDOW])
             owner = np.searchsorted(words.first, start, "right") - 1
             off = at[first + owner] - words.first[owner]
-            blank = np.zeros(len(begin), np.uint64)
-            for column, v in zip(out, (doc[first + owner], start + off, upto + off, np.concatenate([blank, hashes]), np.concatenate([blank, second])), strict=True):
+            blank = np.zeros(len(spans), np.uint64)
+            for column, v in zip(out, (doc[first + owner], row[first + owner], start + off, upto + off, np.concatenate([blank, hashes]), np.concatenate([blank, second])), strict=True):
                 column.append(v)
         empty = np.zeros(0, np.int64)
-        a, b, c, g, h = (np.concatenate([empty, *(x.view(np.int64) for x in column)]) if column else empty for column in out)
-        return pa.table({"doc_id": a, "at": b.astype(np.int32), "upto": c.astype(np.int32), "g": g, "h": h})
+        ids, rows_, a, b, g, h = (np.concatenate([empty, *(x.view(np.int64) for x in column)]) if column else empty for column in out)
+        return pa.table({"doc_id": ids, "row": rows_, "at": a.astype(np.int32), "upto": b.astype(np.int32), "g": g, "h": h})
 
-    return dealt.groupBy("block", "salt").applyInArrow(run, "doc_id long, at int, upto int, g long, h long")
+    return dealt.groupBy("block", "salt").applyInArrow(run, "doc_id long, row long, at int, upto int, g long, h long")
 
 
 def duplicate_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, at, upto): word ranges of ``docs`` (doc_id, text) that are covered by duplicate windows."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
+    """(doc_id, row, at, upto): word ranges of ``docs`` (doc_id, text) that are covered by duplicate windows."""
+    rows = by_row(docs).filter("doc_id is not null")
     found = anchors(rows)
     first = written(found.groupBy("anchor").agg(F.min("doc_id").alias("block"), F.max("doc_id").alias("last"), F.count("*").alias("n")).filter("block < last").select("anchor", "block", "n"))
-    joined = spread_join(found, first, ["anchor"], F.xxhash64("doc_id", "at"))
-    shared = written(joined.groupBy("doc_id").agg(F.collect_list(F.struct("at", "block", (F.col("n") > 2).alias("more"))).alias("told")))
+    joined = spread_join(found, first, ["anchor"], F.xxhash64("doc_id", "row", "at"))
+    shared = written(joined.groupBy("doc_id", "row").agg(F.collect_set(F.struct("at", "block", (F.col("n") > 2).alias("more"))).alias("told")))
     asked = written(shared.select("doc_id", F.explode("told").alias("t")).filter("t.block < doc_id").groupBy("t.block").agg(F.count("*").alias("n")))
     told = written(_parsed(runs(rows, shared), asked))
     forget(first, shared, asked)
     lacking = told.filter("g <> 0 or h <> 0")
     between = lacking.groupBy("g", "h").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last"), F.count("*").alias("n")).filter("least < last")
-    later = spread_join(lacking, written(between.select("g", "h", "least", "n")), ["g", "h"], F.xxhash64("doc_id", "at")).filter("least < doc_id").select("doc_id", "at", "upto")
-    return told.filter("g = 0 and h = 0").select("doc_id", "at", "upto").unionByName(later)
+    later = spread_join(lacking, written(between.select("g", "h", "least", "n")), ["g", "h"], F.xxhash64("doc_id", "row", "at")).filter("least < doc_id").select("doc_id", "row", "at", "upto")
+    return told.filter("g = 0 and h = 0").select("doc_id", "row", "at", "upto").unionByName(later)
 
 
 def remove(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): the words of ``docs`` outside their spans, joined by one space."""
-    each = spans.groupBy("doc_id").agg(F.collect_list(F.struct("at", "upto")).alias("spans"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(each, "doc_id", "left").select("doc_id", "text", "spans")
+    each = spans.groupBy("doc_id", "row").agg(F.collect_list(F.struct("at", "upto")).alias("spans"))
+    rows = by_row(docs).join(each, ["doc_id", "row"], "left").select("doc_id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -231,8 +293,8 @@ def remove(docs: DataFrame, spans: DataFrame) -> DataFrame:
                 out = np.zeros(len(word) + 1, np.int64)
                 if batch.column(2)[k].is_valid:
                     pairs = batch.column(2)[k].values
-                    np.add.at(out, np.minimum(pairs.field("at").to_numpy(), len(word)), 1)
-                    np.add.at(out, np.minimum(pairs.field("upto").to_numpy(), len(word)), -1)
+                    np.add.at(out, pairs.field("at").to_numpy(), 1)
+                    np.add.at(out, pairs.field("upto").to_numpy(), -1)
                 gone = np.cumsum(out)[:-1] > 0
                 total.append(len(word))
                 removed.append(int(gone.sum()))

@@ -15,14 +15,16 @@ equal distances, and only the suffixes that start at anchors are sorted (about o
    if their common prefix is at least LENGTH - o and their common text before the anchor at least o.
 
 Anchors that occur over ``HOT`` times take another exact way, so that no bucket holds them all: the strings that
-they stand for are counted by 128-bit hashes, aggregated before the shuffle, and joined back.
+they stand for are counted by 128-bit hashes of mixed eights of bytes, aggregated before the shuffle, and joined back.
 
 Texts that repeat with a period of at most ``PERIOD`` have no anchor inside: a run of at least a period more
 than LENGTH is its own duplicate, and its first period of starts stands for it elsewhere.
 
-Defined cases: a null text is an empty one; rows that share an id are read as one document's, and each has
-the spans of all; equal rows are duplicates of each other; rows without an id neither give nor get
-duplicates; other columns are ignored; an empty table gives an empty result.
+Rows are told apart by id and text.
+
+Defined cases: a null text is an empty one; each of several rows of one id has its own spans; equal rows are
+duplicates of each other; rows without an id neither give nor get duplicates; other columns are ignored; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,8 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geotrail.llm.grams import as_bytes, mix, parts, windows
-from geotrail.llm.rlz_dedup import window_anchors
+from geotrail.llm.grams import as_bytes, eights, mix, parts, windows
+from geotrail.llm.rlz_dedup import by_row, window_anchors
 from geotrail.llm.shared import forget, spread_join, written
 
 #: Bytes of a duplicate string and of an anchor's gram; the longest period of a gram that is no anchor.
@@ -127,15 +129,16 @@ def anchors_of(texts: list[bytes]) -> tuple[np.ndarray, ...]:
 
 
 def anchors(docs: DataFrame) -> DataFrame:
-    """(anchor, doc_id, at, lo, hi) of docs (doc_id, text)."""
+    """(anchor, doc_id, row, at, lo, hi) of rows (doc_id, row, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in parts(batches, 1, PART):
+        for batch, texts in parts(batches, 2, PART):
             owner, key, at, lo, hi = anchors_of(texts)
             ints = [pa.array(x.astype(np.int32)) for x in (at, lo, hi)]
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0).take(pa.array(owner)), *ints], names=["anchor", "doc_id", "at", "lo", "hi"])
+            ids = [batch.column(k).take(pa.array(owner)) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *ids, *ints], names=["anchor", "doc_id", "row", "at", "lo", "hi"])
 
-    return docs.mapInArrow(run, "anchor long, doc_id long, at int, lo int, hi int")
+    return docs.mapInArrow(run, "anchor long, doc_id long, row long, at int, lo int, hi int")
 
 
 def common_prefix(a: bytes, b: bytes, n: int = 0) -> int:
@@ -208,13 +211,14 @@ def merge(runs: list[Iterator[tuple[int, bytes, tuple]]]) -> Iterator[tuple[int,
             node //= 2
 
 
-_RUN = "bucket int, doc_id array<long>, at array<int>, lo array<int>, hi array<int>, shared array<int>, rest array<binary>, before array<binary>, settled array<struct<doc_id:long,lo:int,hi:int>>"
-_SETTLED = pa.list_(pa.struct([("doc_id", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())]))
+_RUN = "bucket int, doc_id array<long>, row array<long>, at array<int>, lo array<int>, hi array<int>, shared array<int>, rest array<binary>, before array<binary>, settled array<struct<doc_id:long,row:long,lo:int,hi:int>>"
+_SETTLED = pa.list_(pa.struct([("doc_id", pa.int64()), ("row", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())]))
+_SPAN = "doc_id long, row long, first int, end int"
 
 
 def _sorted_runs(docs: DataFrame, shared: DataFrame, buckets: int) -> DataFrame:
     """Front-coded sorted runs by bucket; ``settled`` holds the strings from lo to hi that a run has twice."""
-    rows = docs.join(shared, "doc_id").select("doc_id", "text", "told")
+    rows = docs.join(shared, ["doc_id", "row"]).select("doc_id", "row", "text", "told")
     n = np.uint64(buckets)
 
     def coded(found: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -222,36 +226,36 @@ def _sorted_runs(docs: DataFrame, shared: DataFrame, buckets: int) -> DataFrame:
         out, at = [], 0
         while at < len(found):
             end = at
-            own: list[list] = [[], [], [], [], [], [], []]
+            own: list[list] = [[], [], [], [], [], [], [], []]
             settled = []
             last = b""
             while end < len(found) and found[end][0] == found[at][0]:
-                bucket, right, left, doc, place, lo, hi = found[end]
+                bucket, right, left, doc, row, place, lo, hi = found[end]
                 again = end + 1
                 while again < len(found) and found[again][:3] == (bucket, right, left):
                     again += 1
                 if again > end + 1:
-                    settled += [{"doc_id": x[3], "lo": x[5], "hi": x[6]} for x in found[end:again]]
+                    settled += [{"doc_id": x[3], "row": x[4], "lo": x[6], "hi": x[7]} for x in found[end:again]]
                 n_same = common_prefix(last, right)
-                for column, v in zip(own, (doc, place, lo, hi, n_same, right[n_same:], left), strict=True):
+                for column, v in zip(own, (doc, row, place, lo, hi, n_same, right[n_same:], left), strict=True):
                     column.append(v)
                 last, end = right, again
             out.append((found[at][0], *own, settled))
             at = end
-        types = (pa.int32(), pa.list_(pa.int64()), *[pa.list_(pa.int32())] * 4, *[pa.list_(pa.binary())] * 2, _SETTLED)
+        types = (pa.int32(), *[pa.list_(pa.int64())] * 2, *[pa.list_(pa.int32())] * 4, *[pa.list_(pa.binary())] * 2, _SETTLED)
         for few in range(0, len(out), 64):
             columns = zip(*out[few : few + 64], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["bucket", "doc_id", "at", "lo", "hi", "shared", "rest", "before", "settled"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["bucket", "doc_id", "row", "at", "lo", "hi", "shared", "rest", "before", "settled"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, size = [], 0
-        for batch, texts in parts(batches, 1):
-            for k, (doc, text) in enumerate(zip(batch.column(0).to_pylist(), texts, strict=True)):
-                told = batch.column(2)[k].values
+        for batch, texts in parts(batches, 2):
+            for k, (doc, row, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts, strict=True)):
+                told = batch.column(3)[k].values
                 bucket = (told.field("anchor").to_numpy().view(np.uint64) % n).astype(np.int64).tolist()
                 for b, at, lo, hi in zip(bucket, *(told.field(c).to_pylist() for c in ("at", "lo", "hi")), strict=True):
                     if hi + LENGTH <= len(text):
-                        found.append((b, text[at : hi + LENGTH], text[lo:at][::-1], doc, at, lo, hi))
+                        found.append((b, text[at : hi + LENGTH], text[lo:at][::-1], doc, row, at, lo, hi))
                         size += hi - lo + LENGTH
             if size > RUN_BYTES:
                 yield from coded(found)
@@ -262,8 +266,8 @@ def _sorted_runs(docs: DataFrame, shared: DataFrame, buckets: int) -> DataFrame:
     return rows.mapInArrow(run, _RUN)
 
 
-def duplicates_of(group: list[tuple]) -> Iterator[tuple[int, int, int]]:
-    """(doc_id, first byte, end) for suffixes of one anchor, sorted: (common prefix, right, left, doc_id, at, lo, hi)."""
+def duplicates_of(group: list[tuple]) -> Iterator[tuple]:
+    """(document, first byte, end) for suffixes of one anchor, sorted: (common prefix, right, left, document, at, lo, hi)."""
     if len(group) <= FEW:
         reached: list[set[tuple[int, int]]] = [set() for _ in group]  # nearest and farthest distance of shared strings
         for i, (_, _, left, _, at, lo, hi) in enumerate(group):
@@ -306,28 +310,29 @@ def duplicates_of(group: list[tuple]) -> Iterator[tuple[int, int, int]]:
 
 def _run_items(row: dict) -> Iterator[tuple[int, bytes, tuple]]:
     last = b""
-    for shared, rest, *item in zip(row["shared"], row["rest"], row["before"], row["doc_id"], row["at"], row["lo"], row["hi"], strict=True):
+    documents = zip(row["doc_id"], row["row"], strict=True)
+    for shared, rest, *item in zip(row["shared"], row["rest"], row["before"], documents, row["at"], row["lo"], row["hi"], strict=True):
         last = last[:shared] + rest
         yield shared, last, tuple(item)
 
 
 def _merged(runs: DataFrame) -> DataFrame:
-    """(doc_id, first, end) of the duplicates that a bucket's runs hold."""
+    """(doc_id, row, first, end) of the duplicates that a bucket's runs hold."""
 
     def run(table: pa.Table) -> pa.Table:
-        out: list[list[int]] = [[], [], []]
+        out: list[list[int]] = [[], [], [], []]
         group: list[tuple] = []
 
         def done() -> None:
             if len(group) > 1:
-                for values in duplicates_of(group):
-                    for column, v in zip(out, values, strict=True):
+                for document, first, end in duplicates_of(group):
+                    for column, v in zip(out, (*document, first, end), strict=True):
                         column.append(v)
             group.clear()
 
         rows = [row for batch in table.to_batches(1) for row in batch.to_pylist()]
         for x in (x for row in rows for x in row["settled"]):
-            for column, v in zip(out, (x["doc_id"], x["lo"], x["hi"] + LENGTH), strict=True):
+            for column, v in zip(out, (x["doc_id"], x["row"], x["lo"], x["hi"] + LENGTH), strict=True):
                 column.append(v)
         players = [_run_items(row) for row in rows]
         for shared, right, item in merge(players):
@@ -335,43 +340,49 @@ def _merged(runs: DataFrame) -> DataFrame:
                 done()
             group.append((shared, right, *item))
         done()
-        return pa.table({"doc_id": pa.array(out[0], pa.int64()), "first": pa.array(out[1], pa.int32()), "end": pa.array(out[2], pa.int32())})
+        kinds = {"doc_id": pa.int64(), "row": pa.int64(), "first": pa.int32(), "end": pa.int32()}
+        return pa.table({name: pa.array(column, kind) for (name, kind), column in zip(kinds.items(), out, strict=True)})
 
-    return runs.groupBy("bucket").applyInArrow(run, "doc_id long, first int, end int")
+    return runs.groupBy("bucket").applyInArrow(run, _SPAN)
 
 
 def _hashed_strings(docs: DataFrame, shared: DataFrame) -> DataFrame:
-    """(g, h, doc_id, first): hashes of all strings that the anchors in ``shared`` stand for."""
-    rows = docs.join(shared, "doc_id").select("doc_id", "text", "told")
+    """(g, h, doc_id, row, first): hashes of all strings that the anchors in ``shared`` stand for.
+
+    Bytes go in by eights from each place on, mixed: a plain polynomial over bytes has strings of two letters that
+    collide by their build.
+    """
+    rows = docs.join(shared, ["doc_id", "row"]).select("doc_id", "row", "text", "told")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in parts(batches, 1, PART):
-            for k, (doc, text) in enumerate(zip(batch.column(0).to_pylist(), texts, strict=True)):
-                told = batch.column(2)[k].values
+        for batch, texts in parts(batches, 2, PART):
+            for k, (doc, row, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts, strict=True)):
+                told = batch.column(3)[k].values
                 for lo, hi in zip(told.field("lo").to_pylist(), told.field("hi").to_pylist(), strict=True):
                     if hi + LENGTH <= len(text):
-                        raw = np.frombuffer(text[lo : hi + LENGTH], np.uint8).astype(np.uint64) + np.uint64(1)
-                        g, h = windows(raw, LENGTH).view(np.int64), windows(mix(raw), LENGTH).view(np.int64)
-                        yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(h), pa.array(np.full(len(g), doc)), pa.array(np.arange(lo, hi + 1, dtype=np.int32))], names=["g", "h", "doc_id", "first"])
+                        each = eights(text[lo : hi + LENGTH])[: hi - lo + LENGTH - 7]
+                        g, h = (windows(mix(each + np.uint64(n)), LENGTH - 7).view(np.int64) for n in (1, 77))
+                        ids = [pa.array(np.full(len(g), x)) for x in (doc, row)]
+                        yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(h), *ids, pa.array(np.arange(lo, hi + 1, dtype=np.int32))], names=["g", "h", "doc_id", "row", "first"])
 
-    return rows.mapInArrow(run, "g long, h long, doc_id long, first int")
+    return rows.mapInArrow(run, "g long, h long, doc_id long, row long, first int")
 
 
 def _by_hash(docs: DataFrame, shared: DataFrame) -> DataFrame:
-    """(doc_id, first, end) of the strings of hot anchors that occur twice."""
+    """(doc_id, row, first, end) of the strings of hot anchors that occur twice."""
     found = _hashed_strings(docs, shared)
     twice = found.groupBy("g", "h").agg(F.count("*").alias("n")).filter("n > 1").select("g", "h")
-    return found.join(twice, ["g", "h"]).select("doc_id", "first", (F.col("first") + LENGTH).alias("end"))
+    return found.join(twice, ["g", "h"]).select("doc_id", "row", "first", (F.col("first") + LENGTH).alias("end"))
 
 
 def duplicate_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, first, end): byte ranges of ``docs`` (doc_id, text) whose every byte a duplicate string covers."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
+    """(doc_id, row, first, end): byte ranges of ``docs`` (doc_id, text) whose every byte a duplicate string covers."""
+    rows = by_row(docs).filter("doc_id is not null")
     found = written(anchors(rows))
     twice = written(found.filter("at >= 0").groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1"))
-    alone = found.filter("at < 0").select("doc_id", F.col("lo").alias("first"), (F.col("hi") + LENGTH).alias("end"))
-    shared = spread_join(found.filter("at >= 0"), twice, ["anchor"], F.xxhash64("doc_id", "at")).withColumn("hot", F.col("n") > HOT)
-    shared = written(shared.groupBy("doc_id", "hot").agg(F.collect_list(F.struct("anchor", "at", "lo", "hi")).alias("told")))
+    alone = found.filter("at < 0").select("doc_id", "row", F.col("lo").alias("first"), (F.col("hi") + LENGTH).alias("end"))
+    shared = spread_join(found.filter("at >= 0"), twice, ["anchor"], F.xxhash64("doc_id", "row", "at")).withColumn("hot", F.col("n") > HOT)
+    shared = written(shared.groupBy("doc_id", "row", "hot").agg(F.collect_set(F.struct("anchor", "at", "lo", "hi")).alias("told")))
     forget(twice)
     few, many = shared.filter("not hot").drop("hot"), shared.filter("hot").drop("hot")
     size = few.agg(F.sum(F.aggregate("told", F.lit(0).cast("long"), lambda a, x: a + x["hi"] - x["lo"] + LENGTH))).first()[0] or 0
@@ -381,8 +392,8 @@ def duplicate_spans(docs: DataFrame) -> DataFrame:
 
 def remove(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept binary): the bytes of ``docs`` outside their spans."""
-    each = spans.groupBy("doc_id").agg(F.collect_list(F.struct("first", "end")).alias("spans"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(each, "doc_id", "left").select("doc_id", "text", "spans")
+    each = spans.groupBy("doc_id", "row").agg(F.collect_list(F.struct("first", "end")).alias("spans"))
+    rows = by_row(docs).join(each, ["doc_id", "row"], "left").select("doc_id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -396,8 +407,8 @@ def remove(docs: DataFrame, spans: DataFrame) -> DataFrame:
                     continue
                 pairs = batch.column(2)[k].values
                 step = np.zeros(len(text) + 1, np.int32)
-                np.add.at(step, np.minimum(pairs.field("first").to_numpy(), len(text)), 1)
-                np.add.at(step, np.minimum(pairs.field("end").to_numpy(), len(text)), -1)
+                np.add.at(step, pairs.field("first").to_numpy(), 1)
+                np.add.at(step, pairs.field("end").to_numpy(), -1)
                 gone = np.cumsum(step)[:-1] > 0
                 removed.append(int(gone.sum()))
                 n_spans.append(int(np.count_nonzero(gone & ~np.concatenate([[False], gone[:-1]]))))
