@@ -11,8 +11,9 @@ paths.  A path's text length outside links and its punctuation, a node each, are
 
 Content paths select their blocks.  Blocks of other paths belong to the article only with them: where they stand in
 the smallest element around all content (the article or main element, if one is around it) and nothing names them something
-else, or, if that is the body, between the first and the last content.  Tags and roles (menus, headers, footers, asides, forms,
-dialogs) only veto.
+else, or, if that is the body, between the first and the last content.  Of several article elements side by side all that nothing
+names something else belong to it.  Tags, roles and states (menus, headers, footers, asides, forms, dialogs, what is
+hidden) only veto.
 
 A name counts as a whole word of a class or id, as it is or with a usual companion (``comment-list``, ``site-footer``).
 It says nothing of an element with most of the page's text outside links, unless it names
@@ -56,15 +57,18 @@ STRONG_NAMES = (
     "comment comments commentlist disqus replies respond cookie cookies consent gdpr popup modal overlay signup login toolbar pagination pager"
 )
 WEAK_NAMES = "banner promo promotion notice alert newsletter subscribe share sharing social related recommended widget"
-_WITH = r"(?:(?:site|page|top|bottom|left|right|main|global|primary|secondary|reader|user)-)?(?:{})(?:-(?:list|area|section|box|bar|wrapper|container|block|banner|slot|unit|form|links|buttons|thread|notice|message))?"
+_WITH = r"(?:(?:site|page|top|bottom|left|right|main|global|primary|secondary|reader|user)-)?(?:{})(?:-(?:list|area|section|box|bar|wrapper|container|block|banner|slot|unit|form|links|buttons|thread|notice|message{}))?"
 
 
-def _named(words: str) -> re.Pattern[str]:
-    return re.compile(rf"(?:^|\s){_WITH.format('|'.join(words.split()))}(?=$|\s)", re.I)
+def _named(words: str, more: str = "") -> re.Pattern[str]:
+    return re.compile(rf"(?:^|\s){_WITH.format('|'.join(words.split()), more)}(?=$|\s)", re.I)
 
 
-STRONG, WEAK, COMMENT_NAMES = _named(STRONG_NAMES), _named(WEAK_NAMES), _named("comment comments commentlist disqus replies respond")
-NAMES = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+STRONG, WEAK, COMMENT_NAMES = _named(STRONG_NAMES), _named(WEAK_NAMES), _named("comment comments commentlist disqus replies respond reply", "|body|text|content|item|entry|author|meta")
+#: Names that inside an article are its title's.
+TITLE_NAMES = _named("header masthead")
+HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+NAMES = re.compile(r"(?:^|\s)(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PUNCTUATION = re.compile(r"[,.;:!?、。，！？…]")
 #: Share of the greatest score from which a path is content; weights of near paths: of the same container, and around or inside.
@@ -91,18 +95,22 @@ class Node:
 
 
 def _kind(tag: str, attributes: str, open_tags: list[str]) -> int:
+    """What an element is by its tag and attributes; a main element can only be hidden, of another role, or a reader's comment."""
+    inside = "article" in open_tags or "main" in open_tags
     if tag in OTHER_TAGS:
-        return 0 if tag == "header" and "article" in open_tags else OTHER
-    if not attributes or tag in ("html", "body", "article", "main"):
+        return 0 if tag == "header" and inside else OTHER
+    if not attributes or tag in ("html", "body"):
         return 0
     kind = 0
     for name, *value in NAMES.findall(attributes):
         name, value = name.lower(), "".join(value)
-        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "role" and value.lower() in OTHER_ROLES):
+        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "role" and value.lower() in OTHER_ROLES) or (name == "style" and HIDDEN.search(value)):
             return OTHER
-        value = re.sub(r"([a-z])([A-Z])", r"\1-\2", value).replace("_", "-")
         if name in ("class", "id"):
-            kind = max(kind, COMMENTS if COMMENT_NAMES.search(value) else NAMED if STRONG.search(value) else MAYBE if WEAK.search(value) else 0)
+            value = re.sub(r"([a-z])([A-Z])", r"\1-\2", value).replace("_", "-")
+            value = TITLE_NAMES.sub(" ", value) if inside else value
+            said = COMMENTS if COMMENT_NAMES.search(value) else 0
+            kind = max(kind, said or (0 if tag == "main" else NAMED if STRONG.search(value) else MAYBE if WEAK.search(value) else 0))
     return kind
 
 
@@ -280,10 +288,15 @@ def extract(page: str | None) -> str:
         first -= 1
         content.insert(0, first)
     chosen = set(content)
-    out = [text for k, (owner, _, text, _, said) in enumerate(told) if k in chosen or (first <= k <= last and not said and _within(owner, article))]
+    out = [text for k, (owner, _, text, _, said) in enumerate(told) if k in chosen or (not said and (first <= k <= last and _within(owner, article) or _beside(owner, article)))]
     return " ".join(out)
 
 
+def _beside(node: Node, article: Node) -> bool:
+    """Whether an element is in an article element that stands beside the article, one of several on a page."""
+    return article.tag == "article" and any(x.parent is article.parent for x in _up(node, ("article",)))
+
+
 def _within(node: Node | None, outer: Node) -> bool:
     while node and node is not outer:
         node = node.parent

@@ -61,3 +61,33 @@ def test_odd_pages(spark):
     got = sorted((str(r.page_id), r.text) for r in html.extract_pages(df).collect())
     assert got == [("1", ""), ("2", ""), ("3", " ".join((LONG * 3000).split())), ("4", "same, same. same, same."), ("None", LONG), ("None", LONG)]
     assert html.extract_pages(df.limit(0)).collect() == []
+
+
+def test_articles_that_are_no_articles():
+    comment = f'<article class="comment-body"><p>{LONG}</p></article>'
+    assert html.extract(f"<body><article><p>{LONG} One.</p></article>{comment}</body>") == f"{LONG} One."
+    assert html.extract(f'<body><article><p>{LONG} One.</p></article><div id="comments">{comment}{comment}</div></body>') == f"{LONG} One."
+    assert html.extract(comment) == LONG  # all there is
+    for state in ("hidden", 'aria-hidden="true"', 'style="color: red; display: none"', 'role="dialog"'):
+        for tag in ("article", "main", "div"):
+            assert html.extract(f"<body><{tag} {state}><p>{LONG} {LONG}</p></{tag}><div><p>{LONG}</p></div></body>") == LONG, (state, tag)
+
+
+def test_titles_and_several_articles():
+    for tag in ("article", "main"):
+        for head in ('<div class="header"><h1>Title</h1></div>', "<header><h1>Title</h1></header>", '<div class="page-header"><h1>Title</h1></div>'):
+            assert html.extract(f"<{tag}>{head}<p>{LONG}</p></{tag}>") == f"Title {LONG}", head
+    assert html.extract(f'<body><div class="header"><h1>Site</h1></div><article><p>{LONG}</p></article></body>') == LONG
+    assert html.extract(f"<body><article><p>{LONG}</p></article><article><p>Short, too.</p></article></body>") == f"{LONG} Short, too."
+    assert html.extract(f'<body><article><p>{LONG}</p></article><article class="related"><p>Short, too.</p></article><aside><article>Aside.</article></aside></body>') == LONG
+
+
+def test_smoothing_decides(monkeypatch):
+    """A short path inside the text's own container is carried by it, one as long elsewhere isn't."""
+    text = ("Some words, here; " * 10).strip()
+    near, far = "<div><div><p>Near words, here; and more, here.</p></div></div>", "<div><p>Far words, here; and more, here;</p></div>"
+    page = f"<body><div><p>Top, here;</p>{near}<div><p>{text}</p></div></div>{far}</body>"
+    assert html.extract(page) == f"Top, here; Near words, here; and more, here. {text}"
+    monkeypatch.setattr(html, "SAME", 0)
+    monkeypatch.setattr(html, "NEAR", 0)
+    assert html.extract(page) == text
