@@ -145,30 +145,45 @@ def _rate(steps: list[list[float]]) -> Column:
 def fit(rows: DataFrame, targets: list[float], iterations: int = ITERATIONS) -> Fit:
     """The steps of projected gradient over rows (__tokens, __p); targets are token totals of the domains.
 
-    Targets that nonnegative rates can't reach, or not within ``iterations`` steps, give a warning; ``reached`` says by how much.
+    A step moves every rate against the gradient of the squared misses and cuts it at 0.  It is scaled by the curvature over the
+    rates above 0 first; where that doesn't bring the totals nearer, by the curvature over all, which always does when the
+    step is small enough.  Only steps that come nearer are kept.  Targets that nonnegative rates can't reach, or not
+    within ``iterations`` steps, give a warning; ``reached`` says by how much.
     """
     k = len(targets)
     t, p = F.col("__tokens"), F.col("__p")
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    steps: list[list[float]] = []
-    scale, share, last = max(sum(targets), 1.0), 1.0, math.inf
-    reached = [0.0] * k
+    scale = max(sum(targets), 1.0)
+    best: tuple[float, list[list[float]], list[float]] = (math.inf, [], [0.0] * k)
+    trial: list[list[float]] = []
+    miss, free_gram, whole_gram = np.zeros(k), np.zeros((k, k)), np.zeros((k, k))
+    bold, share, careful = True, 1.0, 1.0
     for left in range(iterations, -1, -1):
-        told = fixed(rows, __rate=_rate(steps))
+        told = fixed(rows, __rate=_rate(trial))
         rate, free = F.col("__rate"), (F.col("__rate") > 0).cast("int")
         now = told.agg(*(F.sum(rate * t * p[j]).alias(f"s{j}") for j in range(k)), *(F.sum(free * t * p[i] * p[j]).alias(f"g{i}_{j}") for i, j in pairs)).first()
         reached = [float(now[f"s{j}"] or 0.0) for j in range(k)]
-        miss = np.array(reached) - np.array(targets)
+        off = np.array(reached) - np.array(targets)
+        if float(off @ off) < best[0]:
+            best, miss, free_gram = (float(off @ off), trial, reached), off, np.zeros((k, k))
+            for i, j in pairs:
+                free_gram[i, j] = free_gram[j, i] = now[f"g{i}_{j}"] or 0.0
+            whole_gram = free_gram if not trial else whole_gram  # all rates are 1 at first
+            share, careful, bold = (min(1.0, share * 2), careful, True) if bold else (share, careful * 2, True)
+        elif bold:
+            share, bold = share / 4, False
+        else:
+            careful /= 4
         if np.abs(miss).max() <= CLOSE * scale or not left:
             break
-        share, last = (share / 2 if np.abs(miss).max() > last else min(1.0, share * 1.5)), np.abs(miss).max()
-        gram = np.zeros((k, k))
-        for i, j in pairs:
-            gram[i, j] = gram[j, i] = now[f"g{i}_{j}"] or 0.0
-        steps.append([round(float(x), 12) for x in share * (np.linalg.pinv(gram, rcond=1e-9, hermitian=True) @ miss)])
-    out = Fit(steps, list(targets), reached)
+        if bold:
+            step = share * (np.linalg.pinv(free_gram, rcond=1e-9, hermitian=True) @ miss)
+        else:
+            step = careful * miss / max(float(np.linalg.eigvalsh(whole_gram).max()), 1e-9)
+        trial = [*best[1], [round(float(x), 12) for x in step]]
+    out = Fit(best[1], list(targets), best[2])
     if not out.met():
-        warnings.warn(f"mixing: targets {[round(x) for x in targets]} missed, reached {[round(x) for x in reached]}", stacklevel=2)
+        warnings.warn(f"mixing: targets {[round(x) for x in targets]} missed, reached {[round(x) for x in out.reached]}", stacklevel=2)
     return out
 
 
