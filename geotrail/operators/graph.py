@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from geotrail.functions.geo import UNIT_LEVEL
 from geotrail.functions.tiles import qgid_pack
+from geotrail.sources.scratch import written
 
 #: Units of a merge cell; coarsest and finest level of adaptive cells (4 bits hold a level), points of a cell.
 MERGE, START_LEVEL, LAST_LEVEL, CAP = 0.5, 6, 15, 200
@@ -42,19 +43,23 @@ def vertex_degree(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataF
 def adaptive_cells(points: DataFrame, start: int = START_LEVEL, cap: int = CAP, last: int = LAST_LEVEL) -> DataFrame:
     """Leaves (level, x, y, n) over the points' finest cells (fx, fy): the coarsest cell with at most ``cap`` points.
 
-    (fx, fy, level, x, y, n).  Points are counted once, at the finest level; the counts are rolled up.
+    (fx, fy, level, x, y, n).  Points are counted once, at the finest level, before they are shuffled; a coarsest cell has at
+    most 4 ** (last - start) finest ones, whose counts are summed up level by level in one task.
     """
     size = float(1 << (UNIT_LEVEL - last))
     fine = points.groupBy(F.floor(F.col("x") / size).alias("fx"), F.floor(F.col("y") / size).alias("fy")).agg(F.count("*").alias("m"))
-    up = F.array(*(F.struct(F.lit(k).alias("level"), F.floor(F.col("fx") / (1 << (last - k))).alias("x"), F.floor(F.col("fy") / (1 << (last - k))).alias("y")) for k in range(start, last + 1)))
-    each = fine.select("fx", "fy", "m", F.explode(up).alias("c")).select("fx", "fy", "m", "c.level", "c.x", "c.y")
-    counts = each.groupBy("level", "x", "y").agg(F.sum("m").alias("n")).filter((F.col("n") <= cap) | (F.col("level") == last))
-    fits = each.select("fx", "fy", "level", "x", "y").join(counts, ["level", "x", "y"])
-    return fits.groupBy("fx", "fy").agg(F.min_by(F.struct("level", "x", "y", "n"), "level").alias("c")).select("fx", "fy", "c.level", "c.x", "c.y", "c.n")
+    up = lambda k: [F.shiftright(c, last - k) for c in ("fx", "fy")]
+    total = lambda k: F.sum("m").over(Window.partitionBy(*up(start), *up(k)))
+    leaf = lambda k: F.struct(F.lit(k).alias("level"), up(k)[0].alias("x"), up(k)[1].alias("y"), total(k).alias("n"))
+    picked = F.coalesce(*(F.when(total(k) <= cap, leaf(k)) for k in range(start, last)), leaf(last))
+    return fine.select("fx", "fy", picked.alias("c")).select("fx", "fy", "c.level", "c.x", "c.y", "c.n")
 
 
 def vertex_index(vertices: DataFrame) -> DataFrame:
-    """Adds ``idx``, a vertex's number inside its cell (level, x, y), and ``qgid``."""
+    """Adds ``idx``, a vertex's number inside its cell (level, x, y), and ``qgid``.
+
+    A cell has ``CAP`` vertices, or, at the last level, no more than merge cells: 4,096 of half a unit.
+    """
     w = Window.partitionBy("level", "x", "y").orderBy("gx", "gy")
     return vertices.withColumn("idx", F.row_number().over(w) - 1).withColumn("qgid", qgid_pack("level", "x", "y", "idx"))
 
@@ -65,16 +70,25 @@ def edge_geometry(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     return edges.join(end("src", "x0", "y0"), "src").join(end("dst", "x1", "y1"), "dst").select("src", "dst", "cnt", "x0", "y0", "x1", "y1")
 
 
-def build_road_graph(track: DataFrame, cell: float = MERGE, cap: int = CAP) -> tuple[DataFrame, DataFrame]:
-    """(vertices, edges) of tracks: vertices with their adaptive cell and qgid, edges by qgid, degrees included."""
-    merged = merge_points(track, cell)
+def assemble(merged: DataFrame, steps: DataFrame, cap: int = CAP) -> tuple[DataFrame, DataFrame]:
+    """(vertices, edges) from rows of ``merge_points`` and of ``merge_edges``: vertices with their adaptive cell, qgid and degree, edges by qgid.
+
+    Vertices and edges are written once below the session's shared folder, as each is read several times.
+    """
     size = float(1 << (UNIT_LEVEL - LAST_LEVEL))
+    merged = written(merged)
     placed = merged.withColumn("fx", F.floor(F.col("px") / size)).withColumn("fy", F.floor(F.col("pz") / size))
     leaves = adaptive_cells(merged.select(F.col("px").alias("x"), F.col("pz").alias("y")), cap=cap)
-    vertices = vertex_index(placed.join(leaves.select("fx", "fy", "level", "x", "y"), ["fx", "fy"]))
+    vertices = written(vertex_index(placed.join(leaves.select("fx", "fy", "level", "x", "y"), ["fx", "fy"])))
     ids = vertices.select(F.struct("gx", "gy").alias("cell"), "qgid")
     name = lambda end, key: ids.select(F.col("cell").alias(end), F.col("qgid").alias(key))
-    edges = merge_edges(track, cell).join(name("a", "src"), "a").join(name("b", "dst"), "b").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "cnt")
+    edges = steps.join(name("a", "src"), "a").join(name("b", "dst"), "b").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "cnt")
+    edges = written(edges)
     degree = vertex_degree(edges).withColumnRenamed("id", "qgid")
     told = vertices.join(degree, "qgid", "left").select("qgid", "level", "x", "y", "idx", "px", "pz", "acc_cnt", F.coalesce("tr_cnt", F.lit(0)).cast("long").alias("tr_cnt"))
     return told, edges
+
+
+def build_road_graph(track: DataFrame, cell: float = MERGE, cap: int = CAP) -> tuple[DataFrame, DataFrame]:
+    """(vertices, edges) of tracks, as ``assemble`` has them; the tracks are read twice."""
+    return assemble(merge_points(track, cell), merge_edges(track, cell), cap)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from geotrail.functions import geo
 from geotrail.operators import fixes as fx
 from geotrail.operators import graph, match
+from geotrail.operators.graph_store import GraphStore
 from geotrail.plans import adapters as ad
 from geotrail.plans.catalog import query
 from geotrail.sources.scratch import scratch
@@ -96,14 +97,14 @@ def w5_integrate_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Points with their merge cells, vertices, and edges between cells.
-_GRID = f"grid AS MATERIALIZED (SELECT file, line, x, y, CAST(floor(x / 0.5e0) AS BIGINT) AS gx, CAST(floor(y / 0.5e0) AS BIGINT) AS gy FROM ({ad.PLACED}) p)"
+_GRID = f"grid AS MATERIALIZED (SELECT file, line, x, y, CAST(floor(x / 0.5e0) AS BIGINT) AS gx, CAST(floor(y / 0.5e0) AS BIGINT) AS gy FROM ({ad.ROADS}) p)"
 _VERTEX = f"""{_GRID},
 vertex AS MATERIALIZED (SELECT gx, gy, avg(x) AS px, avg(y) AS pz, count(*) AS acc_cnt FROM grid GROUP BY gx, gy)"""
 
 
 @query(f"WITH {_VERTEX} SELECT gx, gy, round(px, 5) AS px, round(pz, 5) AS pz, acc_cnt FROM vertex")
 def a5_merge_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.merge_points(ad.tracks(spark, sf_dir)).select("gx", "gy", F.round("px", 5).alias("px"), F.round("pz", 5).alias("pz"), "acc_cnt")
+    return graph.merge_points(ad.roads(spark, sf_dir)).select("gx", "gy", F.round("px", 5).alias("px"), F.round("pz", 5).alias("pz"), "acc_cnt")
 
 
 _EDGE = """step AS (
@@ -120,7 +121,7 @@ edge AS MATERIALIZED (
 
 @query(f"WITH {_GRID}, {_EDGE} SELECT a_x, a_y, b_x, b_y, cnt FROM edge")
 def a6_merge_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    told = graph.merge_edges(ad.tracks(spark, sf_dir))
+    told = graph.merge_edges(ad.roads(spark, sf_dir))
     return told.select(F.col("a.gx").alias("a_x"), F.col("a.gy").alias("a_y"), F.col("b.gx").alias("b_x"), F.col("b.gy").alias("b_y"), "cnt")
 
 
@@ -128,7 +129,7 @@ def a6_merge_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LEAVES = """f AS MATERIALIZED (SELECT fx, fy, count(*) AS m FROM finest GROUP BY fx, fy),
 u AS MATERIALIZED (
   SELECT fx, fy, m, l AS level, fx // CAST(pow(2, 15 - l) AS BIGINT) AS x, fy // CAST(pow(2, 15 - l) AS BIGINT) AS y
-  FROM f, (SELECT unnest(range(6, 16))::INT AS l) k),
+  FROM f, (VALUES (6), (7), (8), (9), (10), (11), (12), (13), (14), (15)) k(l)),
 n AS MATERIALIZED (SELECT level, x, y, CAST(sum(m) AS BIGINT) AS n FROM u GROUP BY level, x, y),
 leaf AS MATERIALIZED (SELECT fx, fy, min(u.level) AS level FROM u JOIN n USING (level, x, y) WHERE n <= 200 OR u.level = 15 GROUP BY fx, fy)"""
 
@@ -155,17 +156,41 @@ e AS MATERIALIZED (
   FROM edge JOIN q a ON a.gx = a_x AND a.gy = a_y JOIN q b ON b.gx = b_x AND b.gy = b_y)"""
 
 
-@query(f"""WITH {_V}, d AS (SELECT id, count(*) AS tr_cnt FROM (SELECT src AS id FROM e UNION ALL SELECT dst FROM e) s GROUP BY id)
-SELECT qgid, level, x, y, idx, round(px, 5) AS px, round(pz, 5) AS pz, acc_cnt, coalesce(tr_cnt, 0) AS tr_cnt FROM q LEFT JOIN d ON id = qgid""")
-def u4_w4_a7_road_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vertices, _ = graph.build_road_graph(ad.tracks(spark, sf_dir))
+#: Each vertex with its degree: the edges that begin and those that end there.
+_DEGREES = f"""WITH {_V},
+s AS (SELECT src AS qgid, count(*) AS n FROM e GROUP BY src), t AS (SELECT dst AS qgid, count(*) AS n FROM e GROUP BY dst)
+SELECT q.qgid, level, x, y, idx, round(px, 5) AS px, round(pz, 5) AS pz, acc_cnt, coalesce(s.n, 0) + coalesce(t.n, 0) AS tr_cnt FROM q LEFT JOIN s ON s.qgid = q.qgid LEFT JOIN t ON t.qgid = q.qgid"""
+
+
+def _vertices(vertices: DataFrame) -> DataFrame:
     return vertices.select("qgid", "level", "x", "y", F.col("idx").cast("long").alias("idx"), F.round("px", 5).alias("px"), F.round("pz", 5).alias("pz"), "acc_cnt", "tr_cnt")
 
 
+@query(_DEGREES)
+def u4_w4_a7_road_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _vertices(graph.build_road_graph(ad.roads(spark, sf_dir))[0])
+
+
+@query(_DEGREES)
+def u4_j1_s15_grown_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same graph from a store that grows by a third of the files at a time; files that come again are pending no more."""
+    store, tracks = GraphStore(spark, scratch(spark)), ad.roads(spark, sf_dir)
+    for k in range(3):
+        store.add(tracks.filter(F.col("file") % 3 <= k))
+    return _vertices(store.graph()[0])
+
+
+@query(f"""WITH {_GRID}, {_EDGE} SELECT gx, gy, CAST(sum(n) AS BIGINT) AS tr_cnt FROM (
+  SELECT a_x AS gx, a_y AS gy, count(*) AS n FROM edge GROUP BY a_x, a_y UNION ALL SELECT b_x, b_y, count(*) FROM edge GROUP BY b_x, b_y) d GROUP BY gx, gy""")
+def a7_vertex_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = graph.vertex_degree(graph.merge_edges(ad.roads(spark, sf_dir)), "a", "b")
+    return told.select("id.gx", "id.gy", "tr_cnt")
+
+
 @query(f"""WITH {_V} SELECT src, dst, cnt, round(CASE WHEN asis THEN ax ELSE bx END, 5) AS x0, round(CASE WHEN asis THEN az ELSE bz END, 5) AS y0,
   round(CASE WHEN asis THEN bx ELSE ax END, 5) AS x1, round(CASE WHEN asis THEN bz ELSE az END, 5) AS y1 FROM e""")
 def j7_edge_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vertices, edges = graph.build_road_graph(ad.tracks(spark, sf_dir))
+    vertices, edges = graph.build_road_graph(ad.roads(spark, sf_dir))
     return graph.edge_geometry(edges, vertices).select("src", "dst", "cnt", *(F.round(c, 5).alias(c) for c in ("x0", "y0", "x1", "y1")))
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +15,7 @@ from geotrail.functions.geo import BOX
 from geotrail.operators.fixes import MAX_MPS
 from geotrail.operators.follow import Last, follow
 from geotrail.operators.tables import upsert_journeys
+from geotrail.sources.commits import CommitLog
 
 FIX = "user_id long, event_id long, ts timestamp, lon double, lat double, speed double, altitude double"
 LANDMARK = "user_id long, ts timestamp, name string, lon double, lat double, address string, comment string"
@@ -177,7 +177,7 @@ def stream_sink(rows: DataFrame, target: str, checkpoint: str):
                 told = (new if old is None else upsert_journeys(old, new)).withColumn("version", F.lit(number))
                 told.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date", "version").parquet(f"{target}/journeys")
             log.write(number, live | dict.fromkeys(touched, number))
-            _drop_versions(log, target, number)
+            log.drop(lambda day, version: f"{target}/journeys/date={day}/version={version}")
             new.unpersist()
         finally:
             df.unpersist()
@@ -185,61 +185,6 @@ def stream_sink(rows: DataFrame, target: str, checkpoint: str):
     return rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
 
-class CommitLog:
-    """Commits of a table: small files named by number, each with the live version of each of its parts."""
-
-    #: Commits that stay, for readers that have begun with an earlier one.
-    KEPT = 3
-
-    def __init__(self, spark: SparkSession, home: str):
-        self.jvm = spark._jvm
-        self.home = self.path(home)
-        self.files = self.home.getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def path(self, *names):
-        return self.jvm.org.apache.hadoop.fs.Path(*names)
-
-    def numbers(self) -> list[int]:
-        found = self.files.globStatus(self.path(self.home, "*.json")) or ()
-        return sorted(int(f.getPath().getName().removesuffix(".json")) for f in found)
-
-    def last(self) -> int | None:
-        return max(self.numbers(), default=None)
-
-    def read(self, before: int | None = None) -> dict[str, int]:
-        """The live versions by the last commit, or by the last before a number."""
-        known = [n for n in self.numbers() if before is None or n < before]
-        if not known:
-            return {}
-        stream = self.files.open(self.path(self.home, f"{known[-1]}.json"))
-        try:
-            return json.loads(self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
-
-    def write(self, number: int, live: dict[str, int]) -> None:
-        """Written aside and renamed, so that a commit is there as a whole or not at all."""
-        aside = self.path(self.home, f"_{number}.new")
-        stream = self.files.create(aside, True)
-        try:
-            stream.write(bytearray(json.dumps(live, sort_keys=True).encode()))
-        finally:
-            stream.close()
-        if not self.files.rename(aside, self.path(self.home, f"{number}.json")):
-            raise OSError(f"commit {number} wasn't written")
-
-
-def _drop_versions(log: CommitLog, target: str, number: int) -> None:
-    """Deletes the commits that are no longer kept, and the versions that only they name."""
-    known = [n for n in log.numbers() if n <= number]
-    named = {(day, v) for n in known[-log.KEPT :] for day, v in log.read(before=n + 1).items()}
-    for n in known[: -log.KEPT]:
-        for day, v in log.read(before=n + 1).items():
-            if (day, v) not in named:
-                log.files.delete(log.path(f"{target}/journeys/date={day}/version={v}"), True)
-        log.files.delete(log.path(log.home, f"{n}.json"), False)
-
-
 def _stored(spark: SparkSession, target: str, live: dict[str, int]) -> DataFrame | None:
     paths = [f"{target}/journeys/date={day}/version={version}" for day, version in live.items()]
     if not paths:
