@@ -118,7 +118,8 @@ def w3_last_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     WINDOW w AS (PARTITION BY user_id, {_DAY} ORDER BY ts, event_id)) q),
 c AS (SELECT event_id, b, avg(sin(b)) OVER w AS s, avg(cos(b)) OVER w AS c FROM b
   WINDOW w AS (PARTITION BY user_id, day ORDER BY ts, event_id ROWS 4 PRECEDING))
-SELECT event_id, round(cos(b), 6) AS bearing_cos, CASE WHEN s * s + c * c > 1e-12 THEN round(c / sqrt(s * s + c * c), 5) END AS heading_cos FROM c""")
+SELECT event_id, round(cos(b), 6) + 0e0 AS bearing_cos, round(sin(b), 6) + 0e0 AS bearing_sin, CASE WHEN s * s + c * c > 1e-12 THEN round(c / sqrt(s * s + c * c), 5) + 0e0 END AS heading_cos,
+  CASE WHEN s * s + c * c > 1e-12 THEN round(s / sqrt(s * s + c * c), 5) + 0e0 END AS heading_sin FROM c""")
 def w6_average_heading(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = fx.average_heading(_fixes(spark, sf_dir), 5)
     day = fx.with_day(told)
@@ -127,7 +128,11 @@ def w6_average_heading(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("user_id", "day").orderBy("ts", "event_id").rowsBetween(-4, 0)
     b = F.radians("bearing")
     length = F.avg(F.sin(b)).over(w) * F.avg(F.sin(b)).over(w) + F.avg(F.cos(b)).over(w) * F.avg(F.cos(b)).over(w)
-    return day.select("event_id", F.round(F.cos(b), 6).alias("bearing_cos"), F.when(length > 1e-12, F.round(F.cos(F.radians("heading")), 5)).alias("heading_cos"))
+    heading, whole = F.radians("heading"), lambda c, digits: F.round(c, digits) + 0.0
+    return day.select(
+        "event_id", whole(F.cos(b), 6).alias("bearing_cos"), whole(F.sin(b), 6).alias("bearing_sin"),
+        *(F.when(length > 1e-12, whole(f(heading), 5)).alias(n) for f, n in ((F.cos, "heading_cos"), (F.sin, "heading_sin"))),
+    )
 
 
 @query(f"SELECT file, line, round(x, 6) AS x, round(y, 6) AS y FROM ({ad.PLACED}) p")
@@ -246,6 +251,15 @@ def x3_stream_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _streamed(spark, _fixes(spark, sf_dir), live.stream_daily).select("user_id", F.unix_millis("start").alias("start_ms"), "fixes")
 
 
+@query("""WITH m AS (SELECT max(ts) - INTERVAL 1 HOUR AS upto FROM events)
+SELECT user_id, CAST(epoch_ms(date_trunc('minute', ts)) AS BIGINT) AS start_ms, count(*) AS fixes FROM events, m WHERE date_trunc('minute', ts) + INTERVAL 1 MINUTE <= upto
+  GROUP BY 1, 2""")
+def x3_stream_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates by closed minute, of fixes that come up to 50 minutes after their time."""
+    rows = _streamed(spark, _fixes(spark, sf_dir), lambda s: live.stream_daily(s, length="1 minute"), 3, 3000)
+    return rows.select("user_id", F.unix_millis("start").alias("start_ms"), "fixes")
+
+
 @query("""WITH o AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 30 MINUTE, true) AS begins FROM events),
 r AS (SELECT user_id, ts, sum(begins::INT) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM o),
   m AS (SELECT max(ts) - INTERVAL 1 HOUR AS upto FROM events)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from geotrail.functions import geo, tiles
@@ -116,18 +116,18 @@ def m17_m18_uv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", *(near(f"c.{n}", n) for n in ("u1", "v1", "u2", "v2")), near("p.u", "pu"), near("p.v", "pv"))
 
 
-@query(f"""SELECT p_partkey, layer_id * 100 + 3 AS kind, (level::BIGINT << 48) + (y << 24) + x AS tile, p_partkey % 5 = 0 AS unnamed
-  FROM (SELECT p_partkey, p_partkey % 2 AS layer_id, i.* FROM part JOIN ({ad.INVENTORY}) i ON false
-UNION ALL
-  SELECT p_partkey, p_partkey % 2, '', CAST(p_size % 18 AS INT), CAST(p_partkey * 7919 % CAST(pow(2, p_size % 18) AS BIGINT) AS BIGINT), CAST(p_partkey * 104729 % CAST(pow(2, p_size % 18) AS BIGINT) AS BIGINT), NULL
-  FROM part) q""")
+@query(f"""SELECT p_partkey, layer_id * 100 + 3 AS kind, (level::BIGINT << 48) + (y << 24) + x AS tile, named IS NULL AS unnamed, min(p_partkey) OVER (PARTITION BY named) AS first_of_name FROM (
+  SELECT p_partkey, p_partkey % 2 AS layer_id, CASE WHEN p_partkey % 5 > 0 THEN p_brand || p_partkey % 7 END AS named, CAST(p_size % 18 AS INT) AS level,
+    CAST(p_partkey * 7919 % CAST(pow(2, p_size % 18) AS BIGINT) AS BIGINT) AS x, CAST(p_partkey * 104729 % CAST(pow(2, p_size % 18) AS BIGINT) AS BIGINT) AS y FROM part) q""")
 def m24_request_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of a request for each part; hashes are compared by the parts that share one: those that share a file's name."""
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
     level = (F.col("p_size") % 18).cast("int")
     n = F.pow(F.lit(2.0), level).cast("long")
-    name = F.when(F.col("p_partkey") % 5 > 0, F.col("p_name"))
+    name = F.when(F.col("p_partkey") % 5 > 0, F.concat("p_brand", (F.col("p_partkey") % 7).cast("string")))
     key = tiles.request_key(F.col("p_partkey") % 2, F.lit(3), name, level, F.col("p_partkey") * 7919 % n, F.col("p_partkey") * 104729 % n)
-    return part.select("p_partkey", key.alias("k")).select("p_partkey", "k.kind", "k.tile", (F.col("k.name") == 0).alias("unnamed"))
+    first = F.min("p_partkey").over(Window.partitionBy("k.name"))
+    return part.select("p_partkey", key.alias("k")).select("p_partkey", "k.kind", "k.tile", (F.col("k.name") == 0).alias("unnamed"), first.alias("first_of_name"))
 
 
 @query(f"""WITH p AS (SELECT *, {_at('x', 12)} AS c, {_at('y', 12)} AS r, CAST(floor(x) AS BIGINT) AS ux, CAST(floor(y) AS BIGINT) AS uy FROM ({LONLAT}) f),

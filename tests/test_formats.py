@@ -89,6 +89,24 @@ def test_landmarks_history_tables(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "tables/landmarks")).count() == 4
 
 
+def test_tables_of_a_database(spark, tmp_path):
+    """Appended through JDBC to Derby, which comes with Spark."""
+    address, driver = f"jdbc:derby:{tmp_path}/db;create=true", {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    marks = spark.createDataFrame([("Home", 127.5, 37.25), ("Work", 127.0, 37.5)], text.LANDMARK)
+    for _ in range(2):
+        write_tables({"landmarks": marks}, address, driver)
+    got = spark.read.jdbc(address, "landmarks", properties=driver)
+    assert sorted(map(tuple, got.collect())) == sorted(2 * [tuple(r) for r in marks.collect()])
+
+
+def test_heading_tells_east_from_west(spark):
+    rows = [(1, k, 100 + k, 127 + k * 0.01, 37.0) for k in range(4)] + [(2, k, 100 + k, 127 - k * 0.01, 37.0) for k in range(4)] + [(3, k, 100 + k, 127.0, 37 - k * 0.01) for k in range(4)]
+    df = spark.createDataFrame(rows, "user_id long, event_id long, s long, lon double, lat double").withColumn("ts", F.timestamp_seconds("s"))
+    last = {r.user_id: (r.bearing, r.heading) for r in fx.average_heading(df, 3).filter("event_id = 3").collect()}
+    for user, want in ((1, 90), (2, 270), (3, 180)):
+        assert last[user] == pytest.approx((want, want), abs=0.02)
+
+
 def test_binary_tracks_and_maps(spark, tmp_path):
     rows = [(f"f{k % 2}.3dpath", k, 1000 + k, k * 0.5, 1.0, -2.0) for k in range(10)]
     df = spark.createDataFrame(rows, "file string, line long, ts long, x float, y float, z float")
