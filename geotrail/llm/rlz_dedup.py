@@ -270,7 +270,7 @@ def duplicate_spans(docs: DataFrame) -> DataFrame:
     found = anchors(rows)
     first = written(found.groupBy("anchor").agg(F.min("doc_id").alias("block"), F.max("doc_id").alias("last"), F.count("*").alias("n")).filter("block < last").select("anchor", "block", "n"))
     joined = spread_join(found, first, ["anchor"], F.xxhash64("doc_id", "row", "at"))
-    shared = written(joined.groupBy("doc_id", "row").agg(F.collect_set(F.struct("at", "block", (F.col("n") > 2).alias("more"))).alias("told")))
+    shared = written(joined.groupBy("doc_id", "row").agg(F.collect_list(F.struct("at", "block", (F.col("n") > 2).alias("more"))).alias("told")))
     asked = written(shared.select("doc_id", F.explode("told").alias("t")).filter("t.block < doc_id").groupBy("t.block").agg(F.count("*").alias("n")))
     told = written(_parsed(runs(rows, shared), asked))
     forget(first, shared, asked)

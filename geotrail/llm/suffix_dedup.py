@@ -33,10 +33,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geotrail.llm.grams import as_bytes, eights, mix, parts, windows
+from geotrail.llm.grams import eights, mix, parts, windows
 from geotrail.llm.rlz_dedup import by_row, window_anchors
 from geotrail.llm.shared import forget, spread_join, written
 
@@ -46,8 +47,8 @@ LENGTH, GRAM, PERIOD = 400, 48, 24
 RUN_BYTES, BUCKET_BYTES, FEW = 16 << 20, 4 << 20, 128
 #: Occurrences of an anchor from which its strings are counted by hash.
 HOT = 20_000
-#: Bytes of text whose grams are hashed at a time; small enough for a core's cache.
-PART = 1 << 17
+#: Bytes of text whose grams are hashed at a time, small enough for a core's cache; bytes of texts cut at a time.
+PART, KEPT_BYTES = 1 << 17, 1 << 22
 
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 _LOW = np.uint64((1 << 24) - 1)
@@ -330,18 +331,17 @@ def _merged(runs: DataFrame) -> DataFrame:
                         column.append(v)
             group.clear()
 
-        rows = [row for batch in table.to_batches(1) for row in batch.to_pylist()]
-        for x in (x for row in rows for x in row["settled"]):
-            for column, v in zip(out, (x["doc_id"], x["row"], x["lo"], x["hi"] + LENGTH), strict=True):
-                column.append(v)
-        players = [_run_items(row) for row in rows]
+        players = [_run_items(row) for batch in table.drop_columns(["settled"]).to_batches(1) for row in batch.to_pylist()]
         for shared, right, item in merge(players):
             if shared < GRAM:
                 done()
             group.append((shared, right, *item))
         done()
         kinds = {"doc_id": pa.int64(), "row": pa.int64(), "first": pa.int32(), "end": pa.int32()}
-        return pa.table({name: pa.array(column, kind) for (name, kind), column in zip(kinds.items(), out, strict=True)})
+        merged = pa.table({name: pa.array(column, kind) for (name, kind), column in zip(kinds.items(), out, strict=True)})
+        settled = [chunk.flatten() for chunk in table["settled"].chunks]
+        own = [pa.table({"doc_id": x.field("doc_id"), "row": x.field("row"), "first": x.field("lo"), "end": pc.add(x.field("hi"), pa.scalar(LENGTH, pa.int32()))}) for x in settled]
+        return pa.concat_tables([merged, *own])
 
     return runs.groupBy("bucket").applyInArrow(run, _SPAN)
 
@@ -382,7 +382,7 @@ def duplicate_spans(docs: DataFrame) -> DataFrame:
     twice = written(found.filter("at >= 0").groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1"))
     alone = found.filter("at < 0").select("doc_id", "row", F.col("lo").alias("first"), (F.col("hi") + LENGTH).alias("end"))
     shared = spread_join(found.filter("at >= 0"), twice, ["anchor"], F.xxhash64("doc_id", "row", "at")).withColumn("hot", F.col("n") > HOT)
-    shared = written(shared.groupBy("doc_id", "row", "hot").agg(F.collect_set(F.struct("anchor", "at", "lo", "hi")).alias("told")))
+    shared = written(shared.groupBy("doc_id", "row", "hot").agg(F.collect_list(F.struct("anchor", "at", "lo", "hi")).alias("told")))
     forget(twice)
     few, many = shared.filter("not hot").drop("hot"), shared.filter("hot").drop("hot")
     size = few.agg(F.sum(F.aggregate("told", F.lit(0).cast("long"), lambda a, x: a + x["hi"] - x["lo"] + LENGTH))).first()[0] or 0
@@ -396,9 +396,9 @@ def remove(docs: DataFrame, spans: DataFrame) -> DataFrame:
     rows = by_row(docs).join(each, ["doc_id", "row"], "left").select("doc_id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch, texts in parts(batches, 1, KEPT_BYTES):
             total, removed, n_spans, kept = [], [], [], []
-            for k, text in enumerate(as_bytes(batch.column(1))):
+            for k, text in enumerate(texts):
                 total.append(len(text))
                 if not batch.column(2)[k].is_valid:
                     removed.append(0)
