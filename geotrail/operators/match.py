@@ -9,7 +9,7 @@ are never paired with each other.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,49 +51,71 @@ def _cells() -> Column:
     return F.flatten(F.transform(columns, rows))
 
 
-def nearest(points: tuple, segments: tuple, group: np.ndarray, limit_m: float, apart: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, ...]:
-    """(point, segment, distance, foot_x, foot_y): for each point and group of segments the nearest within the limit.
+def compared(points: tuple, segments: tuple, group: np.ndarray, limit_m: float, apart: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Parts of (point, segment, distance, foot_x, foot_y): all pairs within the limit, by point and then segment.
 
-    points: arrays x, y and metres a unit; segments: x0, y0, x1, y1, sorted by group; of equally near ones (to a micrometre)
-    the first counts.  ``apart`` tells which pairs of a point and a segment count.  A group's segments are boxed by
-    ``_BOX``, and only those of boxes near enough are compared, some points at a time.
+    points: arrays x, y and metres a unit; segments: x0, y0, x1, y1, sorted by group.  ``apart`` tells which pairs of a point
+    and a segment count.  A group's segments are boxed by ``_BOX``, and only those of boxes near enough are compared, some
+    points at a time.
     """
     px, py, unit = points
     x0, y0, x1, y1 = segments
-    out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0)], [np.zeros(0)]]
-    if len(group) and len(px):
-        reach = limit_m * (1 + 1e-9) / unit
-        place = np.arange(len(group))
-        begins = np.concatenate([[True], group[1:] != group[:-1]])
-        opens = np.flatnonzero(begins | ((place - np.maximum.accumulate(np.where(begins, place, 0))) % _BOX == 0))
-        size = np.diff(opens, append=len(group))
-        low_x, low_y = (np.minimum.reduceat(np.minimum(a, b), opens) for a, b in ((x0, x1), (y0, y1)))
-        high_x, high_y = (np.maximum.reduceat(np.maximum(a, b), opens) for a, b in ((x0, x1), (y0, y1)))
-        step = max(1, _AT_ONCE // len(group))
-        for at in range(0, len(px), step):
-            x, y, r = (c[at : at + step, None] for c in (px, py, reach))
-            p, box = np.nonzero((x >= low_x - r) & (x <= high_x + r) & (y >= low_y - r) & (y <= high_y + r))
-            n = size[box]
-            s = np.arange(n.sum()) + np.repeat(opens[box] - np.cumsum(n) + n, n)
-            p = np.repeat(p + at, n)
-            mine = apart(p, s)
-            p, s = p[mine], s[mine]
-            dx, dy = x1[s] - x0[s], y1[s] - y0[s]
-            share = np.clip(((px[p] - x0[s]) * dx + (py[p] - y0[s]) * dy) / np.maximum(dx * dx + dy * dy, 1e-300), 0.0, 1.0)
-            fx, fy = x0[s] + share * dx, y0[s] + share * dy
-            away = np.sqrt((px[p] - fx) ** 2 + (py[p] - fy) ** 2) * unit[p]
-            near = np.flatnonzero(away <= limit_m)
-            if not len(near):
-                continue
-            # pairs come by point, group and segment: the first of the least in each run
-            p, s, fx, fy, away = (c[near] for c in (p, s, fx, fy, away))
-            rounded, g = np.round(away, 6), group[s]
-            runs = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (g[1:] != g[:-1])]))
-            least = np.flatnonzero(rounded == np.repeat(np.minimum.reduceat(rounded, runs), np.diff(runs, append=len(p))))
-            best = least[np.searchsorted(least, runs)]
-            for column, v in zip(out, (p, s, away, fx, fy), strict=True):
-                column.append(v[best])
-    return tuple(np.concatenate(column) for column in out)
+    if not len(group) or not len(px):
+        return
+    reach = limit_m * (1 + 1e-9) / unit
+    place = np.arange(len(group))
+    begins = np.concatenate([[True], group[1:] != group[:-1]])
+    opens = np.flatnonzero(begins | ((place - np.maximum.accumulate(np.where(begins, place, 0))) % _BOX == 0))
+    size = np.diff(opens, append=len(group))
+    low_x, low_y = (np.minimum.reduceat(np.minimum(a, b), opens) for a, b in ((x0, x1), (y0, y1)))
+    high_x, high_y = (np.maximum.reduceat(np.maximum(a, b), opens) for a, b in ((x0, x1), (y0, y1)))
+    step = max(1, _AT_ONCE // len(group))
+    for at in range(0, len(px), step):
+        x, y, r = (c[at : at + step, None] for c in (px, py, reach))
+        p, box = np.nonzero((x >= low_x - r) & (x <= high_x + r) & (y >= low_y - r) & (y <= high_y + r))
+        n = size[box]
+        s = np.arange(n.sum()) + np.repeat(opens[box] - np.cumsum(n) + n, n)
+        p = np.repeat(p + at, n)
+        mine = apart(p, s)
+        p, s = p[mine], s[mine]
+        dx, dy = x1[s] - x0[s], y1[s] - y0[s]
+        share = np.clip(((px[p] - x0[s]) * dx + (py[p] - y0[s]) * dy) / np.maximum(dx * dx + dy * dy, 1e-300), 0.0, 1.0)
+        fx, fy = x0[s] + share * dx, y0[s] + share * dy
+        away = np.sqrt((px[p] - fx) ** 2 + (py[p] - fy) ** 2) * unit[p]
+        near = np.flatnonzero(away <= limit_m)
+        if len(near):
+            yield tuple(c[near] for c in (p, s, away, fx, fy))
+
+
+def _joined(parts: Iterator[tuple[np.ndarray, ...]], kinds: tuple) -> tuple[np.ndarray, ...]:
+    columns = list(zip(*parts, strict=True))
+    return tuple(np.concatenate(c) for c in columns) if columns else tuple(np.zeros(0, k) for k in kinds)
+
+
+def nearest(pairs: Iterator[tuple[np.ndarray, ...]], group: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of parts of ``compared`` the nearest of each point and group; of equally near ones (to a micrometre) the first."""
+
+    def best(part: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+        p, s, away, *_ = part
+        rounded, g = np.round(away, 6), group[s]
+        runs = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (g[1:] != g[:-1])]))
+        least = np.flatnonzero(rounded == np.repeat(np.minimum.reduceat(rounded, runs), np.diff(runs, append=len(p))))
+        first = least[np.searchsorted(least, runs)]
+        return tuple(c[first] for c in part)
+
+    return _joined(map(best, pairs), (np.int64, np.int64, float, float, float))
+
+
+def ranges(pairs: Iterator[tuple[np.ndarray, ...]], group: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(point, first segment, last segment) of parts of ``compared``: a point's segments of a group whose numbers follow one another."""
+
+    def run(part: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+        p, s, *_ = part
+        begins = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (group[s[1:]] != group[s[:-1]]) | (number[s[1:]] != number[s[:-1]] + 1)]))
+        ends = np.append(begins[1:], len(p)) - 1
+        return p[begins], s[begins], s[ends]
+
+    return _joined(map(run, pairs), (np.int64,) * 3)
 
 
 def _leaves(p: DataFrame, s: DataFrame) -> DataFrame:
@@ -125,13 +147,13 @@ def _blocks(rows: DataFrame, owner: str) -> tuple[DataFrame, DataFrame]:
 
 
 NEAR = "file long, line long, x double, y double, seg_file long, seg_line long, distance double, foot_x double, foot_y double"
+COVER = "file long, line long, seg_file long, first long, last long"
+#: What is kept of the pairs: the nearest segment of each other track; one segment, neither end of which is ``own``; all of earlier tracks, as ranges.
+TRACKS, EDGE, EARLIER = "tracks", "edge", "earlier"
 
 
-def _near(points: DataFrame, segments: DataFrame, limit_m: float, tracks: bool) -> DataFrame:
-    """``NEAR`` of points (file, line, x, y, own) and segments (file, line, x0, y0, x1, y1), numbers all.
-
-    With ``tracks`` the nearest segment of each track but a point's own; else one segment, neither end of which is ``own``.
-    """
+def _near(points: DataFrame, segments: DataFrame, limit_m: float, keep: str) -> DataFrame:
+    """``NEAR``, or for EARLIER ``COVER``, of points (file, line, x, y, own) and segments (file, line, x0, y0, x1, y1), numbers all."""
     s = segments.select(F.col("file").cast("long").alias("seg_file"), F.col("line").cast("long").alias("line"), "x0", "y0", "x1", "y1")
     s = fixed(s, grow=_grow(limit_m)).withColumn("c", F.explode(_cells())).select("seg_file", "line", "x0", "y0", "x1", "y1", "c.cx", "c.cy")
     p = points.select(F.col("file").cast("long").alias("file"), F.col("line").cast("long").alias("line"), "x", "y", F.col("own").cast("long").alias("own"))
@@ -148,16 +170,22 @@ def _near(points: DataFrame, segments: DataFrame, limit_m: float, tracks: bool)
         order = order[np.concatenate([[True], (np.diff(seg[0][order]) != 0) | (np.diff(seg[1][order]) != 0)])] if len(order) else order  # a segment comes once for each finest cell
         sf, sl, *ends = (c[order] for c in seg)
         unit = 2 * math.pi * EQUATOR_M / UNITS * np.cos(2 * np.arctan(np.exp((y / UNITS - 0.5) * (2 * math.pi))) - math.pi / 2)
-        if tracks:
-            group, apart = sf, lambda p, s: file[p] != sf[s]
-        else:
-            group, apart = np.zeros(len(sf), np.int64), lambda p, s: ~has_own[p] | ((own[p] != sf[s]) & (own[p] != sl[s]))
-        i, k, away, fx, fy = nearest((x, y, unit), tuple(ends), group, limit_m, apart)
+        alone = np.zeros(len(sf), np.int64)
+        group, apart = {
+            TRACKS: (sf, lambda p, s: file[p] != sf[s]),
+            EDGE: (alone, lambda p, s: ~has_own[p] | ((own[p] != sf[s]) & (own[p] != sl[s]))),
+            EARLIER: (sf, lambda p, s: sf[s] < file[p]),
+        }[keep]
+        pairs = compared((x, y, unit), tuple(ends), group, limit_m, apart)
+        if keep == EARLIER:
+            i, a, b = ranges(pairs, sf, sl)
+            return pa.table({"file": file[i], "line": line[i], "seg_file": sf[a], "first": sl[a], "last": sl[b]})
+        i, k, away, fx, fy = nearest(pairs, group)
         return pa.table({"file": file[i], "line": line[i], "x": x[i], "y": y[i], "seg_file": sf[k], "seg_line": sl[k], "distance": away, "foot_x": fx, "foot_y": fy})
 
     def met(left: DataFrame, right: DataFrame) -> DataFrame:
         own = lambda df: df.select(*(F.col(c).alias(c) for c in df.columns)).groupBy(*key)  # noqa: E731  both sides read the same table
-        return own(left).cogroup(own(right)).applyInArrow(kernel, NEAR)
+        return own(left).cogroup(own(right)).applyInArrow(kernel, COVER if keep == EARLIER else NEAR)
 
     def placed(rows: DataFrame) -> DataFrame:
         up = lambda c: F.expr(f"shiftright({c}, 2 * level)")
@@ -171,12 +199,14 @@ def _near(points: DataFrame, segments: DataFrame, limit_m: float, tracks: bool)
     right, rights = _blocks(s.join(hot, ["cx", "cy"]), "seg_file")
     name = lambda df, n: df.withColumn(n, F.xxhash64("track", "part")).drop("part").withColumnRenamed("track", f"track_{n}")
     pairs = name(lefts, "a").join(name(rights, "b"), ["cx", "cy"])
-    if tracks:
+    if keep != EDGE:
         pairs = pairs.filter("track_a = 0 or track_a <> track_b")
     pairs = pairs.select("cx", "cy", "a", "b")
     dealt = met(name(left, "a").join(pairs, ["cx", "cy", "a"]), name(right, "b").join(pairs, ["cx", "cy", "b"]))
+    if keep == EARLIER:
+        return found.unionByName(dealt)
     least = F.min_by(F.struct("x", "y", "seg_file", "seg_line", "distance", "foot_x", "foot_y"), F.struct(F.round("distance", 6), "seg_file", "seg_line"))
-    best = dealt.groupBy("file", "line", *(["seg_file"] if tracks else [])).agg(least.alias("n"))
+    best = dealt.groupBy("file", "line", *(["seg_file"] if keep == TRACKS else [])).agg(least.alias("n"))
     return found.unionByName(best.select("file", "line", "n.*"))
 
 
@@ -185,13 +215,13 @@ def nearest_segments(points: DataFrame, segments: DataFrame, limit_m: float = 30
 
     (file, line, x, y, seg_file, seg_line, distance, foot_x, foot_y) of points (file, line, x, y) and segments (file, line, x0, y0, x1, y1).
     """
-    return _near(points.withColumn("own", F.lit(None).cast("long")), segments, limit_m, True)
+    return _near(points.withColumn("own", F.lit(None).cast("long")), segments, limit_m, TRACKS)
 
 
 def near_edge(points: DataFrame, edges: DataFrame, distance_m: float) -> DataFrame:
     """The nearest edge (src, dst, x0, y0, x1, y1) of each point (file, line, x, y, except_id) that doesn't touch ``except_id``."""
     ends = edges.select(F.col("src").alias("file"), F.col("dst").alias("line"), "x0", "y0", "x1", "y1")
-    near = _near(points.select("file", "line", "x", "y", F.col("except_id").alias("own")), ends, distance_m, False)
+    near = _near(points.select("file", "line", "x", "y", F.col("except_id").alias("own")), ends, distance_m, EDGE)
     return near.select("file", "line", F.col("seg_file").alias("src"), F.col("seg_line").alias("dst"), "distance")
 
 
@@ -214,3 +244,36 @@ def integrate_paths(points: DataFrame, segments: DataFrame, limit_m: float = 30.
     begins = (F.col("free") & ~F.coalesce(F.lag("free").over(w), F.lit(False))).cast("int")
     told = told.withColumn("begins", begins).withColumn("run", F.sum("begins").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     return told.filter("free").select("file", "line", "run", "x", "y")
+
+
+def integrate_in_order(points: DataFrame, segments: DataFrame, limit_m: float = 30.0) -> DataFrame:
+    """``integrate_paths`` by the tracks integrated so far, one after the other (lesser file first): exact, in rounds.
+
+    A point is dropped if a segment of an earlier track is near whose ends are both kept.  A round decides the points
+    whose answer no longer depends on open ones: dropped, when such a segment is kept; kept, when all are gone.
+    So tracks that aren't near each other are decided at once, and there are at most as many rounds as tracks.  A
+    point's near segments are ranges of its neighbours' tracks, asked by running counts, and each round is a written table.
+    """
+    w = Window.partitionBy("file").orderBy("line")
+    numbered = points.select(F.col("file").cast("long").alias("file"), F.col("line").cast("long").alias("line"), "x", "y").withColumn("k", F.row_number().over(w).cast("long"))
+    ordered = segments.withColumn("line", F.row_number().over(w).cast("long"))  # a segment has the number of its first point
+    cover = written(_near(numbered.withColumn("own", F.lit(None).cast("long")).withColumn("line", F.col("k")), ordered, limit_m, EARLIER).withColumnRenamed("line", "k"))
+    begun = cover.select("file", "k").distinct().withColumn("open", F.lit(True))
+    state = written(numbered.select("file", "k").join(begun, ["file", "k"], "left").select("file", "k", F.when(F.col("open"), F.lit(None)).otherwise(F.lit(True)).cast("boolean").alias("kept")))
+    while not state.filter("kept is null").isEmpty():
+        by = Window.partitionBy("file").orderBy("k")
+        after = F.lead("kept").over(by)
+        gone = (F.col("kept") == F.lit(False)) | (after == F.lit(False)) | (F.lead("k").over(by).isNull())
+        steps = state.select("file", "k", (F.col("kept") & after).alias("whole"), F.coalesce(gone, F.lit(False)).alias("gone"))
+        counts = steps.select("file", "k", *(F.sum(F.coalesce(c, F.lit(False)).cast("long")).over(by).alias(n) for c, n in ((F.col("whole"), "n_whole"), (~F.col("gone"), "n_open"))), F.coalesce("whole", F.lit(False)).cast("long").alias("whole"), (~F.col("gone")).cast("long").alias("left"))
+        end = lambda name, more: counts.select(F.col("file").alias("seg_file"), F.col("k").alias(name), *more)
+        asked = cover.join(state.filter("kept is null").select("file", "k"), ["file", "k"], "left_semi")
+        told = asked.join(end("last", ["n_whole", "n_open"]), ["seg_file", "last"]).join(end("first", [(F.col("n_whole") - F.col("whole")).alias("whole_before"), (F.col("n_open") - F.col("left")).alias("open_before")]), ["seg_file", "first"])
+        decided = told.groupBy("file", "k").agg(F.max(F.col("n_whole") > F.col("whole_before")).alias("drop"), F.max(F.col("n_open") > F.col("open_before")).alias("wait"))
+        verdict = F.when(F.col("drop"), False).when(~F.col("wait"), True)
+        state = written(state.join(decided, ["file", "k"], "left").select("file", "k", F.coalesce("kept", verdict).alias("kept")))
+    near = nearest_segments(points, segments, limit_m)
+    told = consensus_points(points, near).join(numbered.select("file", "line", "k"), ["file", "line"]).join(state, ["file", "k"])
+    begins = (F.col("kept") & ~F.coalesce(F.lag("kept").over(w), F.lit(False))).cast("int")
+    told = told.withColumn("begins", begins).withColumn("run", F.sum("begins").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return told.filter("kept").select("file", "line", "run", "x", "y")

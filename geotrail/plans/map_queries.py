@@ -96,6 +96,13 @@ def w5_integrate_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.integrate_paths(points, fx.segments(points)).select("file", "line", "run", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
 
 
+@query()
+def w5_integrate_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points that the tracks integrated so far leave; each track depends on all before it, which SQL can't say."""
+    points = ad.tracks(spark, sf_dir)
+    return match.integrate_in_order(points, fx.segments(points)).select("file", "line", "run", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
+
+
 #: Points with their merge cells, vertices, and edges between cells.
 _GRID = f"grid AS MATERIALIZED (SELECT file, line, x, y, CAST(floor(x / 0.5e0) AS BIGINT) AS gx, CAST(floor(y / 0.5e0) AS BIGINT) AS gy FROM ({ad.ROADS}) p)"
 _VERTEX = f"""{_GRID},

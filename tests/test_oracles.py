@@ -17,8 +17,12 @@ def db():
     return con
 
 
+#: Queries that SQL can't express, with brute-force tests elsewhere.
+WITHOUT_SQL = {"w5_integrate_in_order"}
+
+
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) - WITHOUT_SQL == set(ORACLES)
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))

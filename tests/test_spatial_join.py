@@ -106,3 +106,44 @@ def test_no_rows(spark):
     assert match.nearest_segments(points, fx.segments(points.limit(0))).count() == 0
     told = match.integrate_paths(points, fx.segments(points))
     assert told.count() == len(scenes("far")) and told.select("run").distinct().count() == 1
+
+
+def in_order(rows, limit=30.0):
+    """(file, line) kept when each track is held against the kept segments of those before it."""
+    kept, segments = set(), np.zeros((0, 4))
+    for f in sorted({r[0] for r in rows}):
+        own = sorted(r for r in rows if r[0] == f)
+        fine = []
+        for _, _, x, y in own:
+            a, b = segments[:, :2], segments[:, 2:]
+            d = b - a
+            t = np.clip(((x - a[:, 0]) * d[:, 0] + (y - a[:, 1]) * d[:, 1]) / np.maximum((d * d).sum(1), 1e-300), 0, 1)
+            unit = 2 * math.pi * EQUATOR_M / UNITS * math.cos(2 * math.atan(math.exp((y / UNITS - 0.5) * 2 * math.pi)) - math.pi / 2)
+            away = np.hypot(x - a[:, 0] - t * d[:, 0], y - a[:, 1] - t * d[:, 1]) * unit
+            fine.append(not (away <= limit).any())
+        kept |= {r[:2] for r, ok in zip(own, fine, strict=True) if ok}
+        new = [(*p[2:], *q[2:]) for p, q, i, j in zip(own, own[1:], fine, fine[1:], strict=False) if i and j]
+        segments = np.concatenate([segments, np.array(new).reshape(-1, 4)])
+    return kept
+
+
+@pytest.mark.parametrize("limits", ["coarse", "dealt"])
+@pytest.mark.parametrize("scene", ["streets", "parked"])
+def test_integration_in_order(spark, monkeypatch, scene, limits):
+    for name, v in LIMITS[limits].items():
+        monkeypatch.setattr(match, name, v)
+    rows = [(f, k * 3 + 1, x, y) for f, k, x, y in scenes(scene)[:: 1 if scene == "streets" else 4]]
+    points = spark.createDataFrame(rows, "file long, line long, x double, y double")
+    got = {(r.file, r.line) for r in match.integrate_in_order(points, fx.segments(points)).collect()}
+    assert got == in_order(rows) and 0 < len(got) < len(rows)
+
+
+def test_integration_of_given_tracks_in_order(spark):
+    from geotrail.plans import adapters as ad
+    from geotrail.plans.catalog import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    want = in_order([tuple(r) for r in ad.tracks(spark, sf).select("file", "line", "x", "y").collect()])
+    got = {(r.file, r.line) for r in QUERIES["w5_integrate_in_order"](spark, sf).collect()}
+    assert got == want and len(want) > 3000
+    print("kept", len(want))
