@@ -6,21 +6,26 @@ no rows; the readers that take ``rejects=True`` return their names instead.
 
 from __future__ import annotations
 
-import re
 import struct
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from geotrail.sources.scratch import written
+from geotrail.sources.tracks import SPLIT, TRACK, TrackFiles, place
 
 MOST_CELLS = 10_000_000
-TRACK = np.dtype([("ts", "<u8"), ("x", "<f4"), ("y", "<f4"), ("z", "<f4"), ("pad", "<f4")])
+#: Rows and bytes of decoded files that make a batch.
+BATCH_ROWS, BATCH_BYTES = 1 << 16, 32 << 20
 POI_VERSIONS = (0x02000000, 0x02000001, 0x02000002, 0x02000003)
 LERC_TAG = b"CntZImage "
-TRACK3D = "file string, line long, ts long, x float, y float, z float"
 DEM = "level int, x long, y long, width int, height int, z array<float>"
 SHAPES = "file string, num int, shape_type int, box array<double>, parts array<int>, points array<struct<x:double,y:double>>"
 POI = "file string, lon double, lat double, altitude float, key string, text string, font_name string, font_size int, font_weight int, font_color long, font_color_outer long, img_key string"
@@ -52,40 +57,45 @@ def _files(spark: SparkSession, path: str, suffix: str) -> DataFrame:
     return files.select("path", "content")
 
 
-def decoded(files: DataFrame, decode: Callable[[str, bytes], Iterator[tuple]], schema: str, rejects: bool = False) -> DataFrame:
-    """Rows of all files; with ``rejects`` the names of those that can't be decoded."""
-    names = [c.split()[0] for c in schema.split(", ")]
+def decoded(files: DataFrame, decode: Callable[[str, bytes], list | None], schema: str, rejects: bool = False) -> DataFrame:
+    """Rows of all files; with ``rejects`` the names of those that can't be decoded.
+
+    ``decode`` gives a file's columns, as lists or Arrow arrays; the columns of many files make a batch.
+    """
+    kinds = to_arrow_schema(T.StructType.fromDDL(schema))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for path, content in zip(frame["path"], frame["content"], strict=True):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows, size, bad = [], 0, 0, []
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 try:
-                    rows = list(decode(path, bytes(content)))
-                    bad = False
+                    columns = decode(path, content.as_py())
                 except (ValueError, struct.error, IndexError):
-                    rows, bad = [], True
-                if rejects and bad:
-                    yield pd.DataFrame({"path": [path]})
-                elif rows and not rejects:
-                    yield pd.DataFrame(dict(zip(names, map(list, zip(*rows, strict=True)), strict=True)))
-
-    return files.mapInPandas(run, "path string" if rejects else schema)
+                    bad.append(path)
+                    continue
+                if rejects:
+                    continue
+                held.append(pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k.type) for c, k in zip(columns, kinds, strict=True)], schema=kinds))
+                rows, size = rows + held[-1].num_rows, size + held[-1].nbytes
+                if rows >= BATCH_ROWS or size >= BATCH_BYTES:
+                    yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                    held, rows, size = [], 0, 0
+        if rejects:
+            yield pa.RecordBatch.from_arrays([pa.array(bad, pa.string())], names=["path"])
+        elif held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+    return files.mapInArrow(run, "path string" if rejects else schema)
 
 
 def _name(path: str) -> str:
     return path.rsplit("/", 1)[-1]
 
 
-def decode_track(path: str, data: bytes) -> Iterator[tuple]:
-    (n,) = struct.unpack_from("<I", data)
-    rows = np.frombuffer(data, TRACK, count=n, offset=4)
-    for k, r in enumerate(rows):
-        yield _name(path), k, int(r["ts"]), float(r["x"]), float(r["y"]), float(r["z"])
-
-
-def read_3dpath(spark: SparkSession, path: str) -> DataFrame:
-    """track3d(file, line, ts long, x, y, z)."""
-    return decoded(_files(spark, path, ".3dpath"), decode_track, TRACK3D)
+def read_3dpath(spark: SparkSession, path: str, split: int = SPLIT) -> DataFrame:
+    """track3d(file, line, ts long, x, y, z); ``split``: bytes that a task reads. A file that is cut off gives no rows."""
+    spark.dataSource.register(TrackFiles)
+    return spark.read.format(TrackFiles.name()).option("split", split).load(path)
 
 
 def encode_tracks(df: DataFrame) -> DataFrame:
@@ -105,30 +115,46 @@ def write_files(files: DataFrame, target: str) -> int:
     """Writes (file, content) rows below a folder of any file system that tasks can reach by its address; returns their number.
 
     ``target`` is a path or an address (file:, hdfs:, s3: ...).  On a cluster it must be shared: a local path then
-    means a mounted one.  A file is written under a name of its own and moved, so a task that is run again replaces
-    it with the same bytes and readers never see a part of it.
+    means a mounted one.  All files are written into a folder aside first; once all are there, tasks move them to their
+    places, so that a job that breaks off while it computes and writes leaves nothing.  A task that is run again writes or moves the same.
     """
-    place = re.sub(r"^file:/+", "/", target)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    aside = f"_{uuid.uuid4().hex}.parts"
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, home = place(target)
+        for batch in batches:
+            parts = [f"{aside}/{uuid.uuid4().hex}" for _ in range(batch.num_rows)]
+            for part, content in zip(parts, batch.column(1), strict=True):
+                system.create_dir(f"{home}/{aside}", recursive=True)
+                with system.open_output_stream(f"{home}/{part}") as f:
+                    f.write(content.as_buffer() or b"")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(parts, pa.string())], names=["file", "part"])
+
+    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        system, home = fs.FileSystem.from_uri(place)
+        system, home = place(target)
         made: set[str] = set()
-        for frame in frames:
-            for name, content in zip(frame["file"], frame["content"], strict=True):
+        for batch in batches:
+            for name, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 out = f"{home}/{name.lstrip('/')}"
-                folder, _, own = out.rpartition("/")
+                folder = out.rpartition("/")[0]
                 if folder not in made:
                     system.create_dir(folder, recursive=True)
                     made.add(folder)
-                part = f"{folder}/_{uuid.uuid4().hex}.part"
-                with system.open_output_stream(part) as f:
-                    f.write(content)
-                system.move(part, f"{folder}/{own}")
-            yield pd.DataFrame({"n": [len(frame)]})
+                if system.get_file_info(f"{home}/{part}").type != fs.FileType.NotFound:  # else an earlier run has moved it
+                    system.move(f"{home}/{part}", out)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    try:
+        there = written(files.select("file", F.col("content").cast("binary").alias("content")).mapInArrow(write, "file string, part string"))
+        return there.mapInArrow(move, "n long").agg(F.sum("n")).first()[0] or 0
+    finally:
+        from pyarrow import fs
 
-    return files.select("file", "content").mapInPandas(run, "n long").agg(F.sum("n")).first()[0] or 0
+        system, home = place(target)
+        if system.get_file_info(f"{home}/{aside}").type == fs.FileType.Directory:
+            system.delete_dir(f"{home}/{aside}")
 
 
 def write_3dpath(df: DataFrame, target: str) -> int:
@@ -142,14 +168,19 @@ def _tile(path: str) -> tuple[int, int, int]:
     return int(level), int(column), (1 << int(level)) - int(row) - 1
 
 
-def decode_dem(path: str, data: bytes) -> Iterator[tuple]:
+def _one_map(path: str, width: int, height: int, z: np.ndarray) -> list:
+    level, x, y = _tile(path)
+    return [[level], [x], [y], [width], [height], pa.ListArray.from_arrays(pa.array([0, len(z)], pa.int32()), pa.array(z.astype(np.float32)))]
+
+
+def decode_dem(path: str, data: bytes) -> list:
     b = Bytes(data)
     if b.take(3) != b"dem":
         raise ValueError("not a height map")
     width, height = b.read("II")
     if width * height > MOST_CELLS:
         raise ValueError("too large")
-    yield *_tile(path), width, height, np.frombuffer(b.take(4 * width * height), "<f4")
+    return _one_map(path, width, height, np.frombuffer(b.take(4 * width * height), "<f4"))
 
 
 def read_dem_tiles(spark: SparkSession, path: str, rejects: bool = False) -> DataFrame:
@@ -159,16 +190,16 @@ def read_dem_tiles(spark: SparkSession, path: str, rejects: bool = False) -> Dat
 def encode_dem_tiles(df: DataFrame) -> DataFrame:
     """(file, content) of height maps in the layout that ``read_dem_tiles`` reads."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             names, contents = [], []
-            for r in frame.itertuples():
-                row = (1 << r.level) - r.y - 1
-                names.append(f"{r.level}/{row:04d}/{row:04d}_{r.x:04d}.dem")
-                contents.append(b"dem" + struct.pack("<II", r.width, r.height) + np.asarray(r.z, "<f4").tobytes())
-            yield pd.DataFrame({"file": names, "content": contents})
+            for level, x, y, width, height, z in zip(*(c.to_pylist() for c in batch.columns[:5]), batch.column(5), strict=True):
+                row = (1 << level) - y - 1
+                names.append(f"{level}/{row:04d}/{row:04d}_{x:04d}.dem")
+                contents.append(b"dem" + struct.pack("<II", width, height) + z.values.to_numpy().astype("<f4").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(contents, pa.binary())], names=["file", "content"])
 
-    return df.select("level", "x", "y", "width", "height", "z").mapInPandas(run, "file string, content binary")
+    return df.select("level", "x", "y", "width", "height", "z").mapInArrow(run, "file string, content binary")
 
 
 def write_dem_tiles(df: DataFrame, target: str) -> int:
@@ -209,7 +240,7 @@ def _z_block(b: Bytes, shape: tuple[int, int], error: float, top: float) -> np.n
     return np.minimum(np.float32(offset) + _unpack(b).reshape(shape) * (2 * error), top).astype(np.float32)
 
 
-def decode_lerc(path: str, data: bytes) -> Iterator[tuple]:
+def decode_lerc(path: str, data: bytes) -> list:
     """A tile of the first LERC format: version 11, type 8, with a constant count part."""
     b = Bytes(data)
     if b.take(len(LERC_TAG)) != LERC_TAG:
@@ -228,15 +259,20 @@ def decode_lerc(path: str, data: bytes) -> Iterator[tuple]:
     for i0, i1 in steps(height, down):
         for j0, j1 in steps(width, across):
             z[i0:i1, j0:j1] = _z_block(b, (i1 - i0, j1 - j0), error, top)
-    yield *_tile(path), width, height, z.ravel()
+    return _one_map(path, width, height, z.ravel())
 
 
 def read_lerc_tiles(spark: SparkSession, path: str, rejects: bool = False) -> DataFrame:
     return decoded(_files(spark, path, ".lerc"), decode_lerc, DEM, rejects)
 
 
-def decode_shapes(path: str, data: bytes) -> Iterator[tuple]:
-    at = 100
+def _lists(values: list[np.ndarray], kind: np.dtype) -> tuple[pa.Array, np.ndarray]:
+    """The offsets of lists, and all their values."""
+    return pa.array(np.cumsum([0, *map(len, values)]), pa.int32()), np.concatenate([np.zeros(0, kind), *values])
+
+
+def decode_shapes(path: str, data: bytes) -> list:
+    numbers, kinds, boxes, parts, points, at = [], [], [], [], [], 100
     while at + 8 <= len(data):
         number, words = struct.unpack_from(">ii", data, at)
         b = Bytes(data[at + 8 : at + 8 + 2 * words])
@@ -244,11 +280,18 @@ def decode_shapes(path: str, data: bytes) -> Iterator[tuple]:
         (kind,) = b.read("i")
         if kind not in (3, 5):
             continue
-        box = list(b.read("4d"))
+        box = np.frombuffer(b.take(32), "<f8")
         n_parts, n_points = b.read("ii")
-        parts = list(b.read(f"{n_parts}i"))
-        flat = b.read(f"{2 * n_points}d")
-        yield _name(path), number, kind, box, parts, [{"x": x, "y": y} for x, y in zip(flat[::2], flat[1::2], strict=True)]
+        parts.append(np.frombuffer(b.take(4 * n_parts), "<i4"))
+        points.append(np.frombuffer(b.take(16 * n_points), "<f8").reshape(-1, 2))
+        numbers.append(number)
+        kinds.append(kind)
+        boxes.append(box)
+    at_box, box = _lists(boxes, np.float64)
+    at_part, part = _lists(parts, np.int32)
+    at_point, point = pa.array(np.cumsum([0, *map(len, points)]), pa.int32()), np.concatenate([np.zeros((0, 2)), *points])
+    places = pa.StructArray.from_arrays([pa.array(point[:, 0].copy()), pa.array(point[:, 1].copy())], names=["x", "y"])
+    return [[_name(path)] * len(numbers), numbers, kinds, pa.ListArray.from_arrays(at_box, pa.array(box)), pa.ListArray.from_arrays(at_part, pa.array(part)), pa.ListArray.from_arrays(at_point, places)]
 
 
 def read_shapes(spark: SparkSession, path: str) -> DataFrame:
@@ -256,40 +299,50 @@ def read_shapes(spark: SparkSession, path: str) -> DataFrame:
     return decoded(_files(spark, path, ".shp"), decode_shapes, SHAPES)
 
 
-def decode_poi(path: str, data: bytes) -> Iterator[tuple]:
+def _columns(rows: Iterator[tuple], width: int) -> list:
+    """Rows of varying length, which must be read one after the other, as columns; what follows a cut one is left out."""
+    out: list[list] = [[] for _ in range(width)]
+    try:
+        for row in rows:
+            for column, v in zip(out, row, strict=True):
+                column.append(v)
+    except ValueError:
+        pass
+    return out
+
+
+def decode_poi(path: str, data: bytes) -> list:
     b = Bytes(data)
     version, n = b.read("Ii")
     if version not in POI_VERSIONS:
         raise ValueError("unknown version")
-    for _ in range(n):
-        try:
-            lon, lat, altitude = b.read("ddf")
-            key, text, font = b.text("H", 15), b.text("H", 63), b.text("H", 15)
-            size, weight, color, outer = b.read("BBII")
-            image = b.take(10).split(b"\0")[0].decode("utf-8", "replace")
-        except ValueError:
-            return
-        yield _name(path), lon, lat, altitude, key, text, font, size, weight, color, outer, image
+
+    def row() -> tuple:
+        place = b.read("ddf")
+        texts = b.text("H", 15), b.text("H", 63), b.text("H", 15)
+        return _name(path), *place, *texts, *b.read("BBII"), b.take(10).split(b"\0")[0].decode("utf-8", "replace")
+
+    return _columns((row() for _ in range(n)), 12)
 
 
 def read_poi(spark: SparkSession, path: str) -> DataFrame:
     return decoded(_files(spark, path, ".poi_*"), decode_poi, POI)
 
 
-def decode_models(path: str, data: bytes) -> Iterator[tuple]:
+def decode_models(path: str, data: bytes) -> list:
     b = Bytes(data)
     level, x, y, n = b.read("iiii")
     if not 0 <= level < 16:
         raise ValueError("unknown level")
-    for _ in range(n):
-        try:
-            version, kind = b.read("IB")
-            key = b.text("B", 63)
-            lon, lat, altitude, *box = b.read("ddf6d")
-            (image_level,) = b.read("B")
-            yield level, x, y, version, kind, key, lon, lat, altitude, box, image_level, b.text("B", 63), b.text("B", 63)
-        except ValueError:
-            return
+
+    def row() -> tuple:
+        version, kind = b.read("IB")
+        key = b.text("B", 63)
+        lon, lat, altitude, *box = b.read("ddf6d")
+        (image_level,) = b.read("B")
+        return level, x, y, version, kind, key, lon, lat, altitude, box, image_level, b.text("B", 63), b.text("B", 63)
+
+    return _columns((row() for _ in range(n)), 13)
 
 
 def read_model_index(spark: SparkSession, path: str) -> DataFrame:

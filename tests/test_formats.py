@@ -277,3 +277,42 @@ def test_history_keeps_its_order_over_files(spark, tmp_path):
     text.write_history(rows.repartitionByRange(5, "line").sortWithinPartitions("line"), str(tmp_path / "h"))
     files = spark.range(8).select(F.col("id").cast("string").alias("file"))
     assert sorted(r.file for r in pending_files(files, text.read_history(spark, str(tmp_path / "h"))).collect()) == ["0", "1", "2", "4", "5", "6", "7"]
+
+
+def test_large_tracks_are_split_and_small_ones_share_a_task(spark, tmp_path):
+    from geotrail.sources.tracks import TRACK, TrackReader
+
+    rng = np.random.default_rng(5)
+    for k in range(40):
+        n = 9000 if k == 7 else k
+        rows = np.zeros(n, TRACK)
+        rows["ts"], rows["x"] = np.arange(n) + k * 100_000, rng.random(n)
+        folder = tmp_path / f"d{k % 3}"
+        folder.mkdir(exist_ok=True)
+        (folder / f"t{k}.3dpath").write_bytes(struct.pack("<I", n) + rows.tobytes() + b"more"[: k % 4])
+    (tmp_path / "cut.3dpath").write_bytes(struct.pack("<I", 9) + bytes(100))
+    (tmp_path / "empty.3dpath").write_bytes(b"")
+    parts = TrackReader(str(tmp_path), 24 * 1000).partitions()
+    assert 9 <= len(parts) <= 12 and max(sum(e - a for *_, a, e in p.pieces) for p in parts) <= 1000 and max(len(p.pieces) for p in parts) > 15
+    for split in (24 * 1000, 1 << 26):
+        told = binary.read_3dpath(spark, str(tmp_path), split)
+        got = {r.file: (r.n, r.least, r.last) for r in told.groupBy("file").agg(F.count("*").alias("n"), F.min("ts").alias("least"), F.max(F.col("ts") - F.col("line")).alias("last")).collect()}
+        assert got == {f"t{k}.3dpath": (9000 if k == 7 else k, k * 100_000, k * 100_000) for k in range(1, 40)}
+    assert binary.read_3dpath(spark, f"{tmp_path}/d1/t7.3dpath").count() == 9000
+    (tmp_path / "none").mkdir()
+    assert binary.read_3dpath(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_a_job_that_breaks_off_leaves_no_files(spark, tmp_path):
+    files = spark.range(20).repartition(4).select(F.concat(F.lit("a/"), F.col("id").cast("string")).alias("file"), F.when(F.col("id") == 13, F.raise_error(F.lit("lost"))).otherwise(F.lit("x")).cast("binary").alias("content"))
+    with pytest.raises(Exception, match="lost"):
+        binary.write_files(files, str(tmp_path / "out"))
+    assert not (tmp_path / "out").exists() or not list((tmp_path / "out").rglob("*"))
+    assert binary.write_files(files.filter("id <> 13"), str(tmp_path / "out")) == 19 and len(list((tmp_path / "out").rglob("*"))) == 20
+
+
+def test_many_files_make_one_batch(spark, tmp_path):
+    dem = spark.range(200).select(F.lit(8).alias("level"), F.col("id").alias("x"), F.lit(3).cast("long").alias("y"), F.lit(2).alias("width"), F.lit(1).alias("height"), F.array(F.col("id").cast("float"), F.lit(1.0).cast("float")).alias("z"))
+    assert binary.write_dem_tiles(dem, str(tmp_path)) == 200
+    sizes = binary.read_dem_tiles(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in sizes) == 200 and sorted(r.x for r in binary.read_dem_tiles(spark, str(tmp_path)).collect()) == list(range(200))
