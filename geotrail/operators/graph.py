@@ -34,6 +34,47 @@ def merge_edges(track: DataFrame, cell: float = MERGE) -> DataFrame:
     return pairs.select(F.least("last", "here").alias("a"), F.greatest("last", "here").alias("b")).groupBy("a", "b").agg(F.count("*").alias("cnt"))
 
 
+def merge_by_radius(track: DataFrame, radius: float = MERGE) -> tuple[DataFrame, DataFrame]:
+    """Vertices and the vertex of each point, merged within a radius instead of by grid cells: (vertices, members).
+
+    vertices: (id, px, pz, acc_cnt), the mean place and number of a leader's points; members: (file, line, id).  Leaders are
+    elected: going by least place (x, then y), a place leads unless an earlier leader is within the radius, and then it belongs to the
+    nearest leader (of equally near ones the first).  That is decided in rounds: a place is decided once all earlier places
+    near it are, so far ones are decided at once.  The result doesn't depend on a grid, nor on the points' order; points
+    at one place are one.  Neighbours are sought in cells of the radius, which, once places are distinct, a join
+    may still fill with many: a street of many lanes, not a parked vehicle.
+    """
+    places = written(track.groupBy("x", "y").agg(F.count("*").alias("n")))
+    cell = lambda c, off=0: (F.floor(F.col(c) / radius) + off).cast("long")
+    around = F.array(*(F.struct(cell("x", i).alias("cx"), cell("y", j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
+    left = places.select("x", "y", cell("x").alias("cx"), cell("y").alias("cy"))
+    right = places.select(F.col("x").alias("ox"), F.col("y").alias("oy"), F.inline(around))
+    away = (F.col("x") - F.col("ox")) * (F.col("x") - F.col("ox")) + (F.col("y") - F.col("oy")) * (F.col("y") - F.col("oy"))
+    earlier = (F.col("ox") < F.col("x")) | ((F.col("ox") == F.col("x")) & (F.col("oy") < F.col("y")))
+    near = written(left.join(right, ["cx", "cy"]).filter((away <= radius * radius) & earlier).select("x", "y", "ox", "oy", away.alias("away")))
+    waits = near.select("x", "y").distinct().withColumn("waits", F.lit(True))
+    state = written(places.join(waits, ["x", "y"], "left").select("x", "y", F.when(F.col("waits").isNull(), True).alias("leads")))
+    while not state.filter("leads is null").isEmpty():
+        other = state.select(F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("leads").alias("theirs"))
+        asked = near.join(state.filter("leads is null").select("x", "y"), ["x", "y"], "left_semi").join(other, ["ox", "oy"])
+        told = asked.groupBy("x", "y").agg(F.max(F.coalesce("theirs", F.lit(False))).alias("taken"), F.max(F.col("theirs").isNull()).alias("open"))
+        verdict = F.when(F.col("taken"), False).when(~F.col("open"), True)
+        state = written(state.join(told, ["x", "y"], "left").select("x", "y", F.coalesce("leads", verdict).alias("leads")))
+    leaders = state.filter("leads").select("x", "y")
+    owner = near.join(leaders.select(F.col("x").alias("ox"), F.col("y").alias("oy")), ["ox", "oy"]).groupBy("x", "y").agg(F.min_by(F.struct("ox", "oy"), F.struct("away", "ox", "oy")).alias("of"))
+    id_of = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    owned = state.join(owner, ["x", "y"], "left").select("x", "y", F.when(F.col("leads"), id_of("x", "y")).otherwise(id_of("of.ox", "of.oy")).alias("id"))
+    owned = written(owned.join(places, ["x", "y"]))
+    vertices = owned.groupBy("id").agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("px"), (F.sum(F.col("y") * F.col("n")) / F.sum("n")).alias("pz"), F.sum("n").alias("acc_cnt"))
+    return vertices, track.select("file", "line", "x", "y").join(owned.select("x", "y", "id"), ["x", "y"]).select("file", "line", "id")
+
+
+def member_edges(members: DataFrame) -> DataFrame:
+    """Undirected edges (a, b, cnt) between the vertices of consecutive points of a file, from ``merge_by_radius``'s members."""
+    here = members.withColumn("last", F.lag("id").over(Window.partitionBy("file").orderBy("line"))).filter("last is not null and last <> id")
+    return here.select(F.least("last", "id").alias("a"), F.greatest("last", "id").alias("b")).groupBy("a", "b").agg(F.count("*").alias("cnt"))
+
+
 def vertex_degree(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(id, tr_cnt): the number of different vertices that each vertex has an edge to."""
     ends = edges.select(F.col(src).alias("id"), F.col(dst).alias("other")).union(edges.select(F.col(dst), F.col(src)))

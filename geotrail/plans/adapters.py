@@ -29,10 +29,10 @@ PLACED = f"""
 SELECT file, CAST(line AS BIGINT) AS line, lon, lat, {MX.format(lon="lon")} AS x, {MY.format(lat="lat")} AS y
 FROM (SELECT file, line, 127e0 + line * 0.0002e0 AS lon, 33e0 + file * 0.0003e0 + q * 0.000004e0 AS lat FROM ({TRACKS}) t) p"""
 
-#: Tracks along 20 roads, each driven by many: their points meet in merge cells.
+#: Five tracks along each road: their points meet in merge cells.
 ROADS = f"""
 SELECT file, CAST(line AS BIGINT) AS line, lon, lat, {MX.format(lon="lon")} AS x, {MY.format(lat="lat")} AS y
-FROM (SELECT file, line, 127e0 + line * 0.0002e0 AS lon, 33e0 + file % 20 * 0.0003e0 + q * 0.000001e0 AS lat FROM ({TRACKS}) t) p"""
+FROM (SELECT file, line, 127e0 + line * 0.0002e0 AS lon, 33e0 + floor(file / 5e0) * 0.0003e0 + q * 0.000001e0 AS lat FROM ({TRACKS}) t) p"""
 
 INVENTORY = """
 SELECT CASE WHEN p_partkey % 2 = 0 THEN 'image' ELSE 'height' END AS layer, CAST(p_size % 18 AS INT) AS level,
@@ -79,7 +79,7 @@ def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def roads(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sql(spark, sf_dir, TRACKS)
-    rows = rows.select("file", F.col("line").cast("long").alias("line"), (127 + F.col("line") * 0.0002).alias("lon"), (33 + F.col("file") % 20 * 0.0003 + F.col("q") * 0.000001).alias("lat"))
+    rows = rows.select("file", F.col("line").cast("long").alias("line"), (127 + F.col("line") * 0.0002).alias("lon"), (33 + F.floor(F.col("file") / 5) * 0.0003 + F.col("q") * 0.000001).alias("lat"))
     return rows.withColumn("x", mercator_x("lon")).withColumn("y", mercator_y("lat"))
 
 

@@ -132,6 +132,15 @@ def a6_merge_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select(F.col("a.gx").alias("a_x"), F.col("a.gy").alias("a_y"), F.col("b.gx").alias("b_x"), F.col("b.gy").alias("b_y"), "cnt")
 
 
+@query()
+def a5_a6_merge_by_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vertices merged within half a unit, with their degrees; leaders are elected one after the other, which SQL can't say."""
+    vertices, members = graph.merge_by_radius(ad.roads(spark, sf_dir))
+    degree = graph.vertex_degree(graph.member_edges(members), "a", "b")
+    told = vertices.join(degree, "id", "left")
+    return told.select(F.round("id.x", 6).alias("x"), F.round("id.y", 6).alias("y"), F.round("px", 5).alias("px"), F.round("pz", 5).alias("pz"), "acc_cnt", F.coalesce("tr_cnt", F.lit(0)).cast("long").alias("tr_cnt"))
+
+
 #: The coarsest cell with at most 200 points over each finest cell that ``finest`` has.
 _LEAVES = """f AS MATERIALIZED (SELECT fx, fy, count(*) AS m FROM finest GROUP BY fx, fy),
 u AS MATERIALIZED (
