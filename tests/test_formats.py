@@ -1,4 +1,4 @@
-"""Round trips of files and of scalar functions, and samples of the logs' formats."""
+"""Round trips of files and of scalar functions, and samples of the logs' formats: recorded sentences and lines are sample data, as they are."""
 
 import math
 import struct
