@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -146,29 +147,45 @@ def _blocks(rows: DataFrame, owner: str) -> tuple[DataFrame, DataFrame]:
     return dealt, kinds.select("cx", "cy", "track", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
 
 
-NEAR = "file long, line long, x double, y double, seg_file long, seg_line long, distance double, foot_x double, foot_y double"
-COVER = "file long, line long, seg_file long, first long, last long"
+#: Columns of the nearest segments and of ranges of segments; a track's name may be of any type.
+NEAR = "file {file}, line long, x double, y double, seg_file {seg_file}, seg_line long, distance double, foot_x double, foot_y double"
+COVER = "file {file}, line long, seg_file {seg_file}, first long, last long"
 #: What is kept of the pairs: the nearest segment of each other track; one segment, neither end of which is ``own``; all of earlier tracks, as ranges.
 TRACKS, EDGE, EARLIER = "tracks", "edge", "earlier"
 
 
+def _codes(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers for the values of two arrays, in the order of the values."""
+    told = pa.concat_arrays([a, b]).dictionary_encode()
+    rank = np.empty(len(told.dictionary), np.int64)
+    rank[pc.array_sort_indices(told.dictionary).to_numpy()] = np.arange(len(rank))
+    code = np.append(rank, -1)[told.indices.fill_null(-1).to_numpy()]
+    return code[: len(a)], code[len(a) :]
+
+
 def _near(points: DataFrame, segments: DataFrame, limit_m: float, keep: str) -> DataFrame:
-    """``NEAR``, or for EARLIER ``COVER``, of points (file, line, x, y, own) and segments (file, line, x0, y0, x1, y1), numbers all."""
-    s = segments.select(F.col("file").cast("long").alias("seg_file"), F.col("line").cast("long").alias("line"), "x0", "y0", "x1", "y1")
+    """``NEAR``, or for EARLIER ``COVER``, of points (file, line, x, y, own) and segments (file, line, x0, y0, x1, y1); lines are numbers."""
+    types = {"file": dict(points.dtypes)["file"], "seg_file": dict(segments.dtypes)["file"]}
+    schema = (COVER if keep == EARLIER else NEAR).format(**types)
+    s = segments.select(F.col("file").alias("seg_file"), F.col("line").cast("long").alias("line"), "x0", "y0", "x1", "y1")
     s = fixed(s, grow=_grow(limit_m)).withColumn("c", F.explode(_cells())).select("seg_file", "line", "x0", "y0", "x1", "y1", "c.cx", "c.cy")
-    p = points.select(F.col("file").cast("long").alias("file"), F.col("line").cast("long").alias("line"), "x", "y", F.col("own").cast("long").alias("own"))
+    p = points.select("file", F.col("line").cast("long").alias("line"), "x", "y", F.col("own").cast("long").alias("own"))
     p = p.withColumn("cx", F.floor(F.col("x") / CELL)).withColumn("cy", F.floor(F.col("y") / CELL))
     leaves = written(_leaves(p, s))
     key = ["level", "cx", "cy", "a", "b"]
     zero = F.lit(0).cast("long")
 
     def kernel(left: pa.Table, right: pa.Table) -> pa.Table:
-        file, line, x, y, own = (left[c].fill_null(0).to_numpy() for c in ("file", "line", "x", "y", "own"))
+        names, seg_names = (t[c].combine_chunks() for t, c in ((left, "file"), (right, "seg_file")))
+        line, x, y, own = (left[c].fill_null(0).to_numpy() for c in ("line", "x", "y", "own"))
         has_own = left["own"].is_valid().to_numpy()
-        seg = [right[c].to_numpy() for c in ("seg_file", "line", "x0", "y0", "x1", "y1")]
-        order = np.lexsort((seg[1], seg[0]))
-        order = order[np.concatenate([[True], (np.diff(seg[0][order]) != 0) | (np.diff(seg[1][order]) != 0)])] if len(order) else order  # a segment comes once for each finest cell
-        sf, sl, *ends = (c[order] for c in seg)
+        file, sf = (names, seg_names) if keep == EDGE else _codes(names, seg_names)
+        sl, *ends = (right[c].to_numpy() for c in ("line", "x0", "y0", "x1", "y1"))
+        sf = sf.to_numpy() if keep == EDGE else sf
+        order = np.lexsort((sl, sf))
+        order = order[np.concatenate([[True], (np.diff(sf[order]) != 0) | (np.diff(sl[order]) != 0)])] if len(order) else order  # a segment comes once for each finest cell
+        sf, sl, *ends = (c[order] for c in (sf, sl, *ends))
+        seg_names = seg_names.take(pa.array(order))
         unit = 2 * math.pi * EQUATOR_M / UNITS * np.cos(2 * np.arctan(np.exp((y / UNITS - 0.5) * (2 * math.pi))) - math.pi / 2)
         alone = np.zeros(len(sf), np.int64)
         group, apart = {
@@ -179,13 +196,13 @@ def _near(points: DataFrame, segments: DataFrame, limit_m: float, keep: str) ->
         pairs = compared((x, y, unit), tuple(ends), group, limit_m, apart)
         if keep == EARLIER:
             i, a, b = ranges(pairs, sf, sl)
-            return pa.table({"file": file[i], "line": line[i], "seg_file": sf[a], "first": sl[a], "last": sl[b]})
+            return pa.table({"file": names.take(pa.array(i)), "line": line[i], "seg_file": seg_names.take(pa.array(a)), "first": sl[a], "last": sl[b]})
         i, k, away, fx, fy = nearest(pairs, group)
-        return pa.table({"file": file[i], "line": line[i], "x": x[i], "y": y[i], "seg_file": sf[k], "seg_line": sl[k], "distance": away, "foot_x": fx, "foot_y": fy})
+        return pa.table({"file": names.take(pa.array(i)), "line": line[i], "x": x[i], "y": y[i], "seg_file": seg_names.take(pa.array(k)), "seg_line": sl[k], "distance": away, "foot_x": fx, "foot_y": fy})
 
     def met(left: DataFrame, right: DataFrame) -> DataFrame:
         own = lambda df: df.select(*(F.col(c).alias(c) for c in df.columns)).groupBy(*key)  # noqa: E731  both sides read the same table
-        return own(left).cogroup(own(right)).applyInArrow(kernel, COVER if keep == EARLIER else NEAR)
+        return own(left).cogroup(own(right)).applyInArrow(kernel, schema)
 
     def placed(rows: DataFrame) -> DataFrame:
         up = lambda c: F.expr(f"shiftright({c}, 2 * level)")
@@ -255,7 +272,7 @@ def integrate_in_order(points: DataFrame, segments: DataFrame, limit_m: float =
     point's near segments are ranges of its neighbours' tracks, asked by running counts, and each round is a written table.
     """
     w = Window.partitionBy("file").orderBy("line")
-    numbered = points.select(F.col("file").cast("long").alias("file"), F.col("line").cast("long").alias("line"), "x", "y").withColumn("k", F.row_number().over(w).cast("long"))
+    numbered = points.select("file", F.col("line").cast("long").alias("line"), "x", "y").withColumn("k", F.row_number().over(w).cast("long"))
     ordered = segments.withColumn("line", F.row_number().over(w).cast("long"))  # a segment has the number of its first point
     cover = written(_near(numbered.withColumn("own", F.lit(None).cast("long")).withColumn("line", F.col("k")), ordered, limit_m, EARLIER).withColumnRenamed("line", "k"))
     begun = cover.select("file", "k").distinct().withColumn("open", F.lit(True))

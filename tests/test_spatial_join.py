@@ -147,3 +147,16 @@ def test_integration_of_given_tracks_in_order(spark):
     got = {(r.file, r.line) for r in QUERIES["w5_integrate_in_order"](spark, sf).collect()}
     assert got == want and len(want) > 3000
     print("kept", len(want))
+
+
+def test_tracks_with_names(spark):
+    """Tracks are told apart and ordered by names as by numbers."""
+    rows = scenes("streets")
+    number = spark.createDataFrame(rows, "file long, line long, x double, y double")
+    name = number.withColumn("file", F.format_string("track é %03d.txt", "file"))
+    of = lambda f: int(f[8:11])
+    told = lambda df, file: {(file(r.file), r.line, file(r.seg_file)): r.seg_line for r in match.nearest_segments(df, fx.segments(df)).collect()}
+    assert told(name, of) == told(number, int)
+    for f in (match.integrate_paths, match.integrate_in_order):
+        kept = [{(of(str(r.file)) if isinstance(r.file, str) else r.file, r.line, r.run) for r in f(df, fx.segments(df)).collect()} for df in (name, number)]
+        assert kept[0] == kept[1] and kept[0]
