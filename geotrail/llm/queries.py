@@ -163,12 +163,13 @@ def stage_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The encoded documents: doc_id, copies, ids, their number and the hex digest of the bytes decoded from them.
 
     Each row is encoded once; copies are 1 where the column isn't there.  A null text has no tokens; equal rows
-    give equal results; other columns are left out; an empty table gives an empty result.
+    give equal results; other columns are left out; an empty table gives an empty result.  Ids are written before they
+    are decoded, so that a task has one Python worker at a time.
     """
     ranks = bpe.load_ranks(public_tokenizers.path(RANKS))
     copies = F.col(COPIES).cast("long") if COPIES in docs.columns else F.lit(1).cast("long")
     rows = docs.select("doc_id", "text", copies.alias(COPIES))
-    back = bpe.decode(bpe.encode(rows, ranks, PATTERN, keep=(COPIES,)), ranks, PATTERN)
+    back = bpe.decode(written(bpe.encode(rows, ranks, PATTERN, keep=(COPIES,))), ranks, PATTERN)
     return back.select("doc_id", COPIES, "ids", "n_tokens", F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
