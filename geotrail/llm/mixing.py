@@ -145,43 +145,56 @@ def _rate(steps: list[list[float]]) -> Column:
 def fit(rows: DataFrame, targets: list[float], iterations: int = ITERATIONS) -> Fit:
     """The steps of projected gradient over rows (__tokens, __p); targets are token totals of the domains.
 
-    A step moves every rate against the gradient of the squared misses and cuts it at 0.  It is scaled by the curvature over the
-    rates above 0 first; where that doesn't bring the totals nearer, by the curvature over all, which always does when the
-    step is small enough.  Only steps that come nearer are kept.  Targets that nonnegative rates can't reach, or not
-    within ``iterations`` steps, give a warning; ``reached`` says by how much.
+    A step moves every rate against the gradient of the squared misses and cuts it at 0.  Steps are scaled by the curvature over the
+    rates above 0, and shortened when the totals get farther off.  Where that doesn't meet the targets in ``iterations``
+    steps, as many more go on from the nearest totals so far, each kept only if it comes nearer; where scaled ones don't,
+    plain ones by the curvature over all rates do, if they are small enough.  Targets that can't be reached, or
+    aren't by then, give a warning; ``reached`` says by how much.
     """
     k = len(targets)
     t, p = F.col("__tokens"), F.col("__p")
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    scale = max(sum(targets), 1.0)
-    best: tuple[float, list[list[float]], list[float]] = (math.inf, [], [0.0] * k)
-    trial: list[list[float]] = []
-    miss, free_gram, whole_gram = np.zeros(k), np.zeros((k, k)), np.zeros((k, k))
-    bold, share, careful = True, 1.0, 1.0
-    for left in range(iterations, -1, -1):
-        told = fixed(rows, __rate=_rate(trial))
+    close = CLOSE * max(sum(targets), 1.0)
+
+    def at(steps: list[list[float]]) -> tuple[float, np.ndarray, np.ndarray, list[list[float]]]:
+        """The squared miss, the misses, the curvature over the rates above 0, and the steps."""
+        told = fixed(rows, __rate=_rate(steps))
         rate, free = F.col("__rate"), (F.col("__rate") > 0).cast("int")
         now = told.agg(*(F.sum(rate * t * p[j]).alias(f"s{j}") for j in range(k)), *(F.sum(free * t * p[i] * p[j]).alias(f"g{i}_{j}") for i, j in pairs)).first()
-        reached = [float(now[f"s{j}"] or 0.0) for j in range(k)]
-        off = np.array(reached) - np.array(targets)
-        if float(off @ off) < best[0]:
-            best, miss, free_gram = (float(off @ off), trial, reached), off, np.zeros((k, k))
-            for i, j in pairs:
-                free_gram[i, j] = free_gram[j, i] = now[f"g{i}_{j}"] or 0.0
-            whole_gram = free_gram if not trial else whole_gram  # all rates are 1 at first
+        miss, gram = np.array([float(now[f"s{j}"] or 0.0) for j in range(k)]) - np.array(targets), np.zeros((k, k))
+        for i, j in pairs:
+            gram[i, j] = gram[j, i] = now[f"g{i}_{j}"] or 0.0
+        return float(miss @ miss), miss, gram, steps
+
+    def then(here: tuple, step: np.ndarray) -> list[list[float]]:
+        return [*here[3], [round(float(x), 12) for x in step]]
+
+    def scaled(here: tuple) -> np.ndarray:
+        return np.linalg.pinv(here[2], rcond=1e-9, hermitian=True) @ here[1]
+
+    here = best = at([])
+    whole = max(float(np.linalg.eigvalsh(here[2]).max(initial=0.0)), 1e-9)  # all rates are 1 at first
+    share, last = 1.0, math.inf
+    for _ in range(iterations):
+        off = np.abs(here[1]).max(initial=0.0)
+        if off <= close:
+            break
+        share, last = (share / 2 if off > last else min(1.0, share * 1.5)), off
+        here = at(then(here, share * scaled(here)))
+        best = min(best, here, key=lambda x: x[0])
+    share, careful, bold = 1.0, 1.0, True
+    for _ in range(iterations):
+        if np.abs(best[1]).max(initial=0.0) <= close:
+            break
+        here = at(then(best, share * scaled(best) if bold else careful * best[1] / whole))
+        if here[0] < best[0]:
+            best = here
             share, careful, bold = (min(1.0, share * 2), careful, True) if bold else (share, careful * 2, True)
         elif bold:
             share, bold = share / 4, False
         else:
             careful /= 4
-        if np.abs(miss).max() <= CLOSE * scale or not left:
-            break
-        if bold:
-            step = share * (np.linalg.pinv(free_gram, rcond=1e-9, hermitian=True) @ miss)
-        else:
-            step = careful * miss / max(float(np.linalg.eigvalsh(whole_gram).max()), 1e-9)
-        trial = [*best[1], [round(float(x), 12) for x in step]]
-    out = Fit(best[1], list(targets), best[2])
+    out = Fit(best[3], list(targets), [float(x) for x in best[1] + np.array(targets)])
     if not out.met():
         warnings.warn(f"mixing: targets {[round(x) for x in targets]} missed, reached {[round(x) for x in out.reached]}", stacklevel=2)
     return out
