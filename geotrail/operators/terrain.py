@@ -16,15 +16,18 @@ FACTOR, LEAST_TOP = 0.05, 2.0
 def elevation(points: DataFrame, dem: DataFrame, level: int, factor: float = FACTOR) -> DataFrame:
     """Adds ``elevation`` to points (x, y in units): from the point's own tile, else the nearest above it; null without one.
 
-    Height maps are joined once the tile is known, so they don't travel with the search.
+    Height maps are joined once the tile is known, so they don't travel with the search; only maps that a point falls into
+    are, and they are shuffled, never broadcast: their heights make them larger than a plan can tell.
     """
     size = float(1 << (UNIT_LEVEL - level))
     asked = points.withColumn("__t", tile_at("x", "y", level))
     found = fallback_tile(dem.select("level", "x", "y"), asked.select("__t.level", "__t.x", "__t.y"))
     found = found.filter("found_level is not null").select(F.struct("level", "x", "y").alias("__t"), *(F.col(f"found_{c}").alias(f"__f{c}") for c in ("level", "x", "y")))
     told = asked.join(found, "__t", "left")
+    key = ["__flevel", "__fx", "__fy"]
     maps = dem.select(*(F.col(c).alias(f"__f{c}") for c in ("level", "x", "y")), F.col("width").alias("__w"), F.col("height").alias("__h"), F.col("z").alias("__z"))
-    told = told.join(maps, ["__flevel", "__fx", "__fy"], "left")
+    maps = maps.join(found.select(*key).distinct(), key, "left_semi")
+    told = told.join(maps.hint("merge"), key, "left")
     u, v = F.col("x") / size - F.col("__t.x"), 1 - (F.col("y") / size - F.col("__t.y"))
     uv = uv_in_ancestor("__t.level", "__t.x", "__t.y", u, v, "__flevel", "__fx", "__fy")
     told = told.withColumn("elevation", sample_dem("__z", "__w", "__h", uv["u"], uv["v"], factor))
