@@ -10,7 +10,7 @@ from geotrail.plans.catalog import QUERIES
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["m19_j5_elevation"])
+@pytest.mark.parametrize("name", ["m19_j5_elevation", "u3_tracks_to_3d"])
 def test_height_maps_are_not_broadcast(spark, name):
     """A map has more bytes than a plan can tell: the join that brings them must be shuffled at any size."""
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().sparkPlan().toString()
