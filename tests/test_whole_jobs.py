@@ -59,6 +59,13 @@ def test_area_takes_whole_tracks(spark):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 0.0501 for k in got)
 
 
+def test_edges_of_every_track(spark):
+    cells = [(file, int(x // 0.5), int(y // 0.5)) for file, _, x, y in tracks(spark)]
+    want = {frozenset((a[1:], b[1:])) for a, b in zip(cells, cells[1:], strict=False) if a[0] == b[0] and a != b}
+    got = QUERIES["j7_edge_geometry"](spark, SF).collect()
+    assert len(got) == len(want) and sum(r.cnt for r in got) >= len(want) > 5000
+
+
 def test_landmarks_pass_through_text(spark, monkeypatch):
     read = []
     monkeypatch.setattr(text, "read_landmarks", lambda s, path, f=text.read_landmarks: read.append(f(s, path)) or read[0])
