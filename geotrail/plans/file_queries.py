@@ -3,32 +3,45 @@
 from __future__ import annotations
 
 import struct
+from collections import namedtuple
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geotrail.plans import adapters as ad
 from geotrail.plans.catalog import query
 from geotrail.plans.fix_queries import _FOLD, closed, spans
-from geotrail.sources.scratch import scratch
+from geotrail.sources.scratch import dealt, scratch
 from geotrail.sources import binary
 from geotrail.sources.tables import write_tables
 from geotrail.streaming import fixes as live
 
 
+#: Bytes of rows that are Python's objects at a time.
+_AT_ONCE = 1 << 20
+
+
 def _written(rows: DataFrame, name: Callable, content: Callable) -> str:
-    """The folder to which a file was written for each row."""
+    """The folder to which a file was written for each row; rows are dealt over tasks, their lists of numbers are arrays."""
+
+    def values(column: pa.Array) -> list:
+        if pa.types.is_list(column.type) and not pa.types.is_nested(column.type.value_type):
+            return [v.values.to_numpy(zero_copy_only=False) for v in column]
+        return column.to_pylist()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            told = list(frame.itertuples())
-            yield pd.DataFrame({"file": [name(r) for r in told], "content": [content(r) for r in told]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row = namedtuple("row", batch.schema.names)
+            some = max(1, int(_AT_ONCE * batch.num_rows / max(1, batch.nbytes)))
+            for at in range(0, batch.num_rows, some):
+                told = [row(*r) for r in zip(*map(values, batch.slice(at, some).columns), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([name(r) for r in told], pa.string()), pa.array([content(r) for r in told], pa.binary())], names=["file", "content"])
 
     home = scratch(rows.sparkSession)
-    binary.write_files(rows.mapInPandas(run, "file string, content binary"), home)
+    binary.write_files(dealt(rows, *(c for c, kind in rows.dtypes if not kind.startswith("array"))).mapInArrow(run, "file string, content binary"), home)
     return home
 
 
@@ -89,12 +102,10 @@ def s11_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tracks as polylines of one shape file each, and back."""
 
     def shape(r) -> bytes:
-        points = [v for p in r.points for v in (p["x"], p["y"])]
-        xs, ys = points[::2], points[1::2]
-        body = struct.pack("<i4dii", 3, min(xs), min(ys), max(xs), max(ys), 1, len(xs)) + struct.pack("<i", 0) + struct.pack(f"<{len(points)}d", *points)
+        body = struct.pack("<i4dii", 3, r.x.min(), r.y.min(), r.x.max(), r.y.max(), 1, len(r.x)) + struct.pack("<i", 0) + np.column_stack([r.x, r.y]).astype("<f8").tobytes()
         return b"\0" * 100 + struct.pack(">ii", r.file, len(body) // 2) + body
 
-    lines = ad.tracks(spark, sf_dir).groupBy("file").agg(F.transform(F.sort_array(F.collect_list(F.struct("line", "x", "y"))), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("points"))
+    lines = ad.tracks(spark, sf_dir).groupBy("file").agg(F.sort_array(F.collect_list(F.struct("line", "x", "y"))).alias("p")).select("file", "p.x", "p.y")
     told = binary.read_shapes(spark, _written(lines, lambda r: f"{r.file}.shp", shape))
     return told.select("num", "shape_type", F.size("points").cast("long").alias("n"), F.round(F.get("box", F.lit(0)), 6).alias("west"), F.round(F.get("box", F.lit(3)), 6).alias("north"), F.round(F.element_at("points", -1)["x"], 6).alias("last_x"))
 

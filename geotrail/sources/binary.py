@@ -1,11 +1,12 @@
 """Binary tracks, height maps, shapes, POI and model-index tiles, decoded file by file in tasks.
 
-Files are read as rows by Spark, so a read is dealt over the cluster by size.  Damaged or foreign files give
+Files are listed by tasks and dealt over the cluster by number and size, so the driver never has their names.  Damaged or foreign files give
 no rows; the readers that take ``rejects=True`` return their names instead.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 from collections.abc import Callable, Iterator
@@ -18,12 +19,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from geotrail.sources.scratch import written
+from geotrail.sources.scratch import dealt, written
+from geotrail.sources.tables import list_files
 from geotrail.sources.tracks import SPLIT, TRACK, TrackFiles, place
 
 MOST_CELLS = 10_000_000
 #: Rows and bytes of decoded files that make a batch.
 BATCH_ROWS, BATCH_BYTES = 1 << 16, 32 << 20
+#: Files and their bytes that a task reads.
+TASK_FILES, TASK_BYTES = 2000, 64 << 20
 POI_VERSIONS = (0x02000000, 0x02000001, 0x02000002, 0x02000003)
 LERC_TAG = b"CntZImage "
 DEM = "level int, x long, y long, width int, height int, z array<float>"
@@ -53,23 +57,45 @@ class Bytes:
 
 
 def _files(spark: SparkSession, path: str, suffix: str) -> DataFrame:
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{suffix}").load(path)
-    return files.select("path", "content")
+    """(path, root) of the files below a folder whose names end with ``suffix`` (``*`` stands for any letters), dealt over tasks.
+
+    Patterns and file systems that tasks can't reach by the address come as (path, content) through Spark's reader.
+    """
+    try:
+        place(path)
+        known = not re.search(r"[*?{\[]", path)
+    except ValueError:
+        known = False
+    if not known:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{suffix}").load(path)
+        return files.select("path", "content")
+    files = list_files(spark, path).filter(F.regexp_extract("path", "[^/]*$", 0).rlike("^.*" + re.escape(suffix).replace(r"\*", ".*") + "$"))
+    n, size = files.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    return files.select("path", F.lit(path).alias("root")).repartition(max(1, -(-n // TASK_FILES), -(-size // TASK_BYTES)), "path")
 
 
 def decoded(files: DataFrame, decode: Callable[[str, bytes], list | None], schema: str, rejects: bool = False) -> DataFrame:
-    """Rows of all files; with ``rejects`` the names of those that can't be decoded.
+    """Rows of all files, (path, content) or (path, root) as ``_files`` has them; with ``rejects`` the names of those that can't be decoded.
 
     ``decode`` gives a file's columns, as lists or Arrow arrays; the columns of many files make a batch.
     """
     kinds = to_arrow_schema(T.StructType.fromDDL(schema))
+    whole = "content" in files.columns
+
+    def contents(batch: pa.RecordBatch) -> Iterator[tuple[str, bytes]]:
+        if whole:
+            yield from ((path, content.as_py()) for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True))
+            return
+        for path, root in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            with place(root)[0].open_input_file(path) as f:
+                yield path, f.read()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows, size, bad = [], 0, 0, []
         for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for path, content in contents(batch):
                 try:
-                    columns = decode(path, content.as_py())
+                    columns = decode(path, content)
                 except (ValueError, struct.error, IndexError):
                     bad.append(path)
                     continue
@@ -123,9 +149,10 @@ def write_files(files: DataFrame, target: str) -> int:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, home = place(target)
         for batch in batches:
-            parts = [f"{aside}/{uuid.uuid4().hex}" for _ in range(batch.num_rows)]
+            some = f"{aside}/{uuid.uuid4().hex}"
+            parts = [f"{some}/{k}" for k in range(batch.num_rows)]
+            system.create_dir(f"{home}/{some}", recursive=True)
             for part, content in zip(parts, batch.column(1), strict=True):
-                system.create_dir(f"{home}/{aside}", recursive=True)
                 with system.open_output_stream(f"{home}/{part}") as f:
                     f.write(content.as_buffer() or b"")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(parts, pa.string())], names=["file", "part"])
@@ -148,7 +175,7 @@ def write_files(files: DataFrame, target: str) -> int:
 
     try:
         there = written(files.select("file", F.col("content").cast("binary").alias("content")).mapInArrow(write, "file string, part string"))
-        return there.mapInArrow(move, "n long").agg(F.sum("n")).first()[0] or 0
+        return dealt(there, "file").mapInArrow(move, "n long").agg(F.sum("n")).first()[0] or 0
     finally:
         from pyarrow import fs
 
@@ -199,7 +226,7 @@ def encode_dem_tiles(df: DataFrame) -> DataFrame:
                 contents.append(b"dem" + struct.pack("<II", width, height) + z.values.to_numpy().astype("<f4").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(contents, pa.binary())], names=["file", "content"])
 
-    return df.select("level", "x", "y", "width", "height", "z").mapInArrow(run, "file string, content binary")
+    return dealt(df.select("level", "x", "y", "width", "height", "z"), "level", "x", "y").mapInArrow(run, "file string, content binary")
 
 
 def write_dem_tiles(df: DataFrame, target: str) -> int:

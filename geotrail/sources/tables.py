@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geotrail.sources.scratch import written
+from geotrail.sources.scratch import dealt, written
 from geotrail.sources.tracks import place
 
 
@@ -32,7 +32,7 @@ def tile_of_path(files: DataFrame, flipped: bool) -> DataFrame:
 
 
 def list_files(spark: SparkSession, path: str, since: datetime | None = None) -> DataFrame:
-    """(path, length, modified) of all files below a folder, or of those modified after ``since``.
+    """(path, length, modified) of all files below a folder (of a file itself), or of those modified after ``since``.
 
     Folders are listed by tasks, level by level: a level's folders are rows that are dealt over tasks, and what they hold
     is written as rows, so the driver never has the files.  Names that begin with ``_`` or ``.`` are passed over.
@@ -46,13 +46,14 @@ def list_files(spark: SparkSession, path: str, since: datetime | None = None) ->
         for batch in batches:
             for folder in batch.column(0).to_pylist():
                 at = place(path)[1] if folder == path else folder
-                told = [f for f in system.get_file_info(fs.FileSelector(at)) if not f.base_name.startswith(("_", "."))]
+                inside = [one] if folder == path and (one := system.get_file_info(at)).is_file else system.get_file_info(fs.FileSelector(at))
+                told = [f for f in inside if not f.base_name.startswith(("_", "."))]
                 kinds = [pa.array([f.path for f in told], pa.string()), pa.array([f.type == fs.FileType.Directory for f in told], pa.bool_())]
                 size, modified = pa.array([f.size for f in told], pa.int64()), pa.array([f.mtime for f in told], pa.timestamp("us", "UTC"))
                 yield pa.RecordBatch.from_arrays([*kinds, size, modified], names=["path", "folder", "length", "modified"])
 
     while not folders.isEmpty():
-        level = written(folders.repartition("path").mapInArrow(run, "path string, folder boolean, length long, modified timestamp"))
+        level = written(dealt(folders, "path").mapInArrow(run, "path string, folder boolean, length long, modified timestamp"))
         found.append(level.filter("not folder").drop("folder"))
         folders = level.filter("folder").select("path")
     files = functools.reduce(DataFrame.unionByName, found)

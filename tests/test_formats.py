@@ -13,6 +13,7 @@ from geotrail.operators import match
 from geotrail.operators import sensors as sn
 from geotrail.operators import tables as tb
 from geotrail.operators.tiles import tile_status
+from geotrail.plans import file_queries
 from geotrail.sources import binary, text
 from geotrail.sources.tables import read_tile_inventory, write_tables
 
@@ -316,3 +317,18 @@ def test_many_files_make_one_batch(spark, tmp_path):
     assert binary.write_dem_tiles(dem, str(tmp_path)) == 200
     sizes = binary.read_dem_tiles(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()
     assert sum(r["count"] for r in sizes) == 200 and sorted(r.x for r in binary.read_dem_tiles(spark, str(tmp_path)).collect()) == list(range(200))
+
+
+def test_rows_become_objects_some_at_a_time(spark):
+    """Files' rows in Python: one batch of many points must not be there as objects all at once."""
+    point = lambda i: F.struct(i.cast("double").alias("x"), i.cast("double").alias("y"))
+    rows = spark.range(3000).coalesce(1).select("id", F.transform(F.sequence(F.lit(1), F.lit(600)), point).alias("points"))
+
+    def most(r) -> bytes:
+        import resource
+
+        return str(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss >> 10).encode()
+
+    home = file_queries._written(rows, lambda r: f"{r.id}.mb", most)
+    told = [int(r.value) for r in spark.read.text(home, recursiveFileLookup=True).collect()]
+    assert len(told) == 3000 and max(told) < 400, max(told)
