@@ -20,3 +20,10 @@ def maps(spark):
 
 def test_height_maps_are_made_by_many_tasks(spark):
     assert tasks(binary.encode_dem_tiles(maps(spark))) > 2 * spark.sparkContext.defaultParallelism
+
+
+def test_rows_of_files_are_made_by_many_tasks(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(binary, "write_files", lambda files, home, f=binary.write_files: seen.append(tasks(files)) or f(files, home))
+    assert QUERIES["s9_lerc_tiles"](spark, SF).count() > 100
+    assert len(seen) == 1 and seen[0] > 2 * spark.sparkContext.defaultParallelism
