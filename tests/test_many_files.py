@@ -29,7 +29,7 @@ def test_rows_of_files_are_made_by_many_tasks(spark, monkeypatch):
     assert len(seen) == 1 and seen[0] > 2 * spark.sparkContext.defaultParallelism
 
 
-@pytest.mark.parametrize("name", ["s13_model_index"])
+@pytest.mark.parametrize("name", ["s13_model_index", "s12_poi"])
 def test_files_are_not_listed_by_the_driver(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "binaryFile" not in plan and "BinaryFile" not in plan and "Format: Parquet" in plan, plan
