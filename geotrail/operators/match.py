@@ -8,6 +8,7 @@ are never paired with each other.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Callable, Iterator
 
@@ -269,7 +270,9 @@ def integrate_in_order(points: DataFrame, segments: DataFrame, limit_m: float =
     A point is dropped if a segment of an earlier track is near whose ends are both kept.  A round decides the points
     whose answer no longer depends on open ones: dropped, when such a segment is kept; kept, when all are gone.
     So tracks that aren't near each other are decided at once, and there are at most as many rounds as tracks.  A
-    point's near segments are ranges of its neighbours' tracks, asked by running counts, and each round is a written table.
+    point's near segments are ranges of its neighbours' tracks, asked by running counts.  After the first round only open points, those
+    beside a point that the last round found open, and ranges with open segments are read and written again: a segment that is
+    kept drops all points near it in the round after its last end was decided, and one that is gone doesn't matter any more.
     """
     w = Window.partitionBy("file").orderBy("line")
     numbered = points.select("file", F.col("line").cast("long").alias("line"), "x", "y").withColumn("k", F.row_number().over(w).cast("long"))
@@ -277,18 +280,30 @@ def integrate_in_order(points: DataFrame, segments: DataFrame, limit_m: float =
     cover = written(_near(numbered.withColumn("own", F.lit(None).cast("long")).withColumn("line", F.col("k")), ordered, limit_m, EARLIER).withColumnRenamed("line", "k"))
     begun = cover.select("file", "k").distinct().withColumn("open", F.lit(True))
     state = written(numbered.select("file", "k").join(begun, ["file", "k"], "left").select("file", "k", F.when(F.col("open"), F.lit(None)).otherwise(F.lit(True)).cast("boolean").alias("kept")))
-    while not state.filter("kept is null").isEmpty():
-        by = Window.partitionBy("file").orderBy("k")
-        after = F.lead("kept").over(by)
-        gone = (F.col("kept") == F.lit(False)) | (after == F.lit(False)) | (F.lead("k").over(by).isNull())
-        steps = state.select("file", "k", (F.col("kept") & after).alias("whole"), F.coalesce(gone, F.lit(False)).alias("gone"))
-        counts = steps.select("file", "k", *(F.sum(F.coalesce(c, F.lit(False)).cast("long")).over(by).alias(n) for c, n in ((F.col("whole"), "n_whole"), (~F.col("gone"), "n_open"))), F.coalesce("whole", F.lit(False)).cast("long").alias("whole"), (~F.col("gone")).cast("long").alias("left"))
-        end = lambda name, more: counts.select(F.col("file").alias("seg_file"), F.col("k").alias(name), *more)
-        asked = cover.join(state.filter("kept is null").select("file", "k"), ["file", "k"], "left_semi")
-        told = asked.join(end("last", ["n_whole", "n_open"]), ["seg_file", "last"]).join(end("first", [(F.col("n_whole") - F.col("whole")).alias("whole_before"), (F.col("n_open") - F.col("left")).alias("open_before")]), ["seg_file", "first"])
-        decided = told.groupBy("file", "k").agg(F.max(F.col("n_whole") > F.col("whole_before")).alias("drop"), F.max(F.col("n_open") > F.col("open_before")).alias("wait"))
+    by, key = Window.partitionBy("file").orderBy("k"), ["file", "k", "seg_file", "first", "last"]
+    running = Window.partitionBy("seg_file").orderBy("at", "turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    open_now, settled = F.col("kept").isNull(), [state.filter("kept is not null")]
+    act, asked = state, cover
+    while not act.filter(open_now).isEmpty():
+        follows = F.coalesce(F.lead("k").over(by) == F.col("k") + 1, F.lit(False))
+        after = F.when(follows, F.lead("kept").over(by))
+        gone = F.coalesce(~follows | (F.col("kept") == F.lit(False)) | (after == F.lit(False)), F.lit(False))
+        steps = act.select(F.col("file").alias("seg_file"), F.col("k").alias("at"), F.lit(1).alias("turn"), F.coalesce(F.col("kept") & after, F.lit(False)).cast("long").alias("whole"), (~gone).cast("long").alias("left"))
+        end = lambda at, turn: asked.select("seg_file", F.col(at).alias("at"), F.lit(turn).alias("turn"), "file", "k", "first", "last")  # noqa: B023, E731
+        marked = steps.unionByName(end("first", 0), allowMissingColumns=True).unionByName(end("last", 2), allowMissingColumns=True)
+        marked = marked.select(*key, "turn", *(F.sum(F.coalesce(c, F.lit(0))).over(running).alias(c) for c in ("whole", "left"))).filter("turn <> 1")
+        told = written(marked.groupBy(*key).agg(*((F.max(c) > F.min(c)).alias(c) for c in ("whole", "left"))))
+        decided = told.groupBy("file", "k").agg(F.max("whole").alias("drop"), F.max("left").alias("wait"))
         verdict = F.when(F.col("drop"), False).when(~F.col("wait"), True)
-        state = written(state.join(decided, ["file", "k"], "left").select("file", "k", F.coalesce("kept", verdict).alias("kept")))
+        now = act.join(decided, ["file", "k"], "left").select("file", "k", F.coalesce("kept", verdict).alias("kept"), open_now.alias("was"))
+        beside = [F.coalesce((f("k").over(by) == F.col("k") + d) & f("was").over(by), F.lit(False)) for f, d in ((F.lag, -1), (F.lead, 1))]
+        now = written(now.withColumn("beside", beside[0] | beside[1]).filter("was or beside"))
+        settled.append(now.filter("was and kept is not null").select("file", "k", "kept"))
+        if len(settled) > 16:
+            settled = [written(functools.reduce(DataFrame.unionByName, settled))]
+        act = now.select("file", "k", "kept")
+        asked = told.filter("left").join(act.filter(open_now), ["file", "k"], "left_semi").select(*key)
+    state = functools.reduce(DataFrame.unionByName, settled)
     near = nearest_segments(points, segments, limit_m)
     told = consensus_points(points, near).join(numbered.select("file", "line", "k"), ["file", "line"]).join(state, ["file", "k"])
     begins = (F.col("kept") & ~F.coalesce(F.lag("kept").over(w), F.lit(False))).cast("int")
