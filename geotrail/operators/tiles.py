@@ -24,13 +24,14 @@ def tile_status(df: DataFrame, layer: str = "layer") -> DataFrame:
 def fallback_tile(tiles: DataFrame, wanted: DataFrame) -> DataFrame:
     """``wanted`` (level, x, y) once each, with the nearest tile at or above it in ``tiles``: found_level, found_x, found_y.
 
-    Only distinct wanted tiles are written out over their ancestors.
+    Only distinct wanted tiles are written out over their ancestors.  ``tiles`` is shuffled, never broadcast: its files are
+    small for its rows, so that a plan takes it for less than it is.
     """
     asked = wanted.select("level", "x", "y").distinct()
     up = asked.select("level", "x", "y", F.explode(ancestor_tiles("level", "x", "y")).alias("a"))
     up = up.withColumn("key", tile_key("a.level", "a.x", "a.y"))
     have = tiles.select(tile_key("level", "x", "y").alias("key")).distinct()
-    best = up.join(have, "key").groupBy("level", "x", "y").agg(F.max_by("a", "a.level").alias("best"))
+    best = up.join(have.hint("merge"), "key").groupBy("level", "x", "y").agg(F.max_by("a", "a.level").alias("best"))
     found = best.select("level", "x", "y", F.col("best.level").alias("found_level"), F.col("best.x").alias("found_x"), F.col("best.y").alias("found_y"))
     return asked.join(found, ["level", "x", "y"], "left")
 
