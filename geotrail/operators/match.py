@@ -23,11 +23,11 @@ from geotrail.functions.plan import fixed
 from geotrail.sources.scratch import written
 
 #: Units of a finest cell; a segment is written to the cells that its band touches, column by column.
-CELL = 3.0
+CELL = 12.0
 #: Levels of cells above the finest, each 4 x 4 cells of the last; pairs and rows of a cell at most, points or segments of a dealt cell's block.
-LEVELS, PAIRS, ROWS, BLOCK = 4, 1 << 26, 1 << 19, 1 << 13
-#: Segments that the kernel boxes together; pairs that it may have in memory at a time.
-_BOX, _AT_ONCE = 8, 1 << 20
+LEVELS, PAIRS, ROWS, BLOCK = 3, 1 << 26, 1 << 19, 1 << 13
+#: Segments that the kernel boxes together; pairs that it may have in memory at a time; neighbouring points that it takes at a time, from strips of so many reaches.
+_BOX, _AT_ONCE, _POINTS, _STRIP = 8, 1 << 20, 128, 4
 
 
 def _grow(limit_m: float) -> Column:
@@ -36,29 +36,24 @@ def _grow(limit_m: float) -> Column:
     return F.lit(limit_m * 1.001) / (2 * math.pi * EQUATOR_M / UNITS * F.cos(F.radians(F.least(lat + 0.1, F.lit(89.0)))))
 
 
-def _cells() -> Column:
-    """Cells (cx, cy) within ``grow`` units of the segment (x0, y0, x1, y1)."""
-    x0, y0, x1, y1, grow = (F.col(c) for c in ("x0", "y0", "x1", "y1", "grow"))
+def _celled(s: DataFrame) -> DataFrame:
+    """Segments (x0, y0, x1, y1, grow) once for each cell (cx, cy) within ``grow`` units, column by column."""
+    x0, y0, x1, y1, grow, cx = (F.col(c) for c in ("x0", "y0", "x1", "y1", "grow", "cx"))
     cell = lambda c: F.floor(c / CELL)
     dx = x1 - x0
-    columns = F.sequence(cell(F.least(x0, x1) - grow), cell(F.greatest(x0, x1) + grow))
-
-    def rows(cx: Column) -> Column:
-        at = lambda x: F.when(dx == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (x - x0) / F.when(dx != 0, dx))))
-        ta, tb = at(cx * CELL - grow), at(cx * CELL + CELL + grow)
-        ya = F.when(dx == 0, y0).otherwise(y0 + ta * (y1 - y0))
-        yb = F.when(dx == 0, y1).otherwise(y0 + tb * (y1 - y0))
-        return F.transform(F.sequence(cell(F.least(ya, yb) - grow), cell(F.greatest(ya, yb) + grow)), lambda cy: F.struct(cx.alias("cx"), cy.alias("cy")))
-
-    return F.flatten(F.transform(columns, rows))
+    at = lambda x: F.when(dx == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (x - x0) / F.when(dx != 0, dx))))
+    s = s.withColumn("cx", F.explode(F.sequence(cell(F.least(x0, x1) - grow), cell(F.greatest(x0, x1) + grow))))
+    ya = F.when(dx == 0, y0).otherwise(y0 + at(cx * CELL - grow) * (y1 - y0))
+    yb = F.when(dx == 0, y1).otherwise(y0 + at(cx * CELL + CELL + grow) * (y1 - y0))
+    return s.withColumn("cy", F.explode(F.sequence(cell(F.least(ya, yb) - grow), cell(F.greatest(ya, yb) + grow))))
 
 
 def compared(points: tuple, segments: tuple, group: np.ndarray, limit_m: float, apart: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Iterator[tuple[np.ndarray, ...]]:
-    """Parts of (point, segment, distance, foot_x, foot_y): all pairs within the limit, by point and then segment.
+    """Parts of (point, segment, distance, foot_x, foot_y): all pairs within the limit, a point's together, by segment.
 
     points: arrays x, y and metres a unit; segments: x0, y0, x1, y1, sorted by group.  ``apart`` tells which pairs of a point
     and a segment count.  A group's segments are boxed by ``_BOX``, and only those of boxes near enough are compared, some
-    points at a time.
+    points at a time: neighbours, for which most boxes are ruled out at once.
     """
     px, py, unit = points
     x0, y0, x1, y1 = segments
@@ -71,13 +66,18 @@ def compared(points: tuple, segments: tuple, group: np.ndarray, limit_m: float,
     size = np.diff(opens, append=len(group))
     low_x, low_y = (np.minimum.reduceat(np.minimum(a, b), opens) for a, b in ((x0, x1), (y0, y1)))
     high_x, high_y = (np.maximum.reduceat(np.maximum(a, b), opens) for a, b in ((x0, x1), (y0, y1)))
-    step = max(1, _AT_ONCE // len(group))
+    step = max(1, min(_POINTS, _AT_ONCE // len(group)))
+    order = np.lexsort((px, np.floor(py / max(_STRIP * np.fmax.reduce(reach), 1e-9))))
     for at in range(0, len(px), step):
-        x, y, r = (c[at : at + step, None] for c in (px, py, reach))
-        p, box = np.nonzero((x >= low_x - r) & (x <= high_x + r) & (y >= low_y - r) & (y <= high_y + r))
+        some = order[at : at + step]
+        x, y, r = (c[some, None] for c in (px, py, reach))
+        (right, top, far), (left, foot) = (np.fmax.reduce(c)[0] for c in (x, y, r)), (np.fmin.reduce(c)[0] for c in (x, y))  # a place that isn't a number is near nothing
+        close = np.flatnonzero((low_x <= right + far) & (high_x >= left - far) & (low_y <= top + far) & (high_y >= foot - far))
+        p, box = np.nonzero((x >= low_x[close] - r) & (x <= high_x[close] + r) & (y >= low_y[close] - r) & (y <= high_y[close] + r))
+        box = close[box]
         n = size[box]
         s = np.arange(n.sum()) + np.repeat(opens[box] - np.cumsum(n) + n, n)
-        p = np.repeat(p + at, n)
+        p = np.repeat(some[p], n)
         mine = apart(p, s)
         p, s = p[mine], s[mine]
         dx, dy = x1[s] - x0[s], y1[s] - y0[s]
@@ -169,9 +169,9 @@ def _near(points: DataFrame, segments: DataFrame, limit_m: float, keep: str) ->
     types = {"file": dict(points.dtypes)["file"], "seg_file": dict(segments.dtypes)["file"]}
     schema = (COVER if keep == EARLIER else NEAR).format(**types)
     s = segments.select(F.col("file").alias("seg_file"), F.col("line").cast("long").alias("line"), "x0", "y0", "x1", "y1")
-    s = fixed(s, grow=_grow(limit_m)).withColumn("c", F.explode(_cells())).select("seg_file", "line", "x0", "y0", "x1", "y1", "c.cx", "c.cy")
+    s = _celled(written(fixed(s, grow=_grow(limit_m)))).drop("grow")  # both sides are read twice, and may be long in the making
     p = points.select("file", F.col("line").cast("long").alias("line"), "x", "y", F.col("own").cast("long").alias("own"))
-    p = p.withColumn("cx", F.floor(F.col("x") / CELL)).withColumn("cy", F.floor(F.col("y") / CELL))
+    p = written(p).withColumn("cx", F.floor(F.col("x") / CELL)).withColumn("cy", F.floor(F.col("y") / CELL))
     leaves = written(_leaves(p, s))
     key = ["level", "cx", "cy", "a", "b"]
     zero = F.lit(0).cast("long")

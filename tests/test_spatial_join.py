@@ -160,3 +160,22 @@ def test_tracks_with_names(spark):
     for f in (match.integrate_paths, match.integrate_in_order):
         kept = [{(of(str(r.file)) if isinstance(r.file, str) else r.file, r.line, r.run) for r in f(df, fx.segments(df)).collect()} for df in (name, number)]
         assert kept[0] == kept[1] and kept[0]
+
+
+def test_a_place_that_is_no_number_hides_no_neighbour():
+    r = np.random.default_rng(3)
+    x, y = r.uniform(0, 60, 700), r.uniform(0, 60, 700)
+    x[::50] = np.nan
+    x0, y0 = r.uniform(0, 60, 300), r.uniform(0, 60, 300)
+    group, unit = np.repeat(np.arange(30), 10), np.full(700, 38.0)
+    parts = match.compared((x, y, unit), (x0, y0, x0 + 1, y0), group, 30.0, lambda p, s: np.ones(len(p), bool))
+    got = sorted((int(p), int(s)) for part in parts for p, s in zip(part[0], part[1], strict=True))
+    near = np.hypot(x[:, None] - np.clip(x[:, None], x0, x0 + 1), y[:, None] - y0) * 38.0 <= 30.0
+    assert got == [(int(p), int(s)) for p, s in zip(*np.nonzero(near), strict=True)]
+
+
+def test_short_segments_are_copied_to_few_cells(spark):
+    """Tracks with a point each 20 m: a segment is written to fewer than two cells on the average (more than three with cells of 3 units)."""
+    rows = [(k * 0.6, f * 0.9, k * 0.6 + 0.6, f * 0.9 + 0.1, 1.0) for f in range(50) for k in range(50)]
+    s = spark.createDataFrame(rows, "x0 double, y0 double, x1 double, y1 double, grow double")
+    assert match._celled(s).count() < 2 * len(rows)
