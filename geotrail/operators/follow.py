@@ -30,14 +30,15 @@ def _metres(lon0: np.ndarray, lat0: np.ndarray, lon1: np.ndarray, lat1: np.ndarr
     return 2 * EARTH_M * np.arctan2(np.sqrt(a), np.sqrt(np.maximum(0.0, 1 - a)))
 
 
-def follow(opens: np.ndarray, t: np.ndarray, lon: np.ndarray, lat: np.ndarray, last: Last, max_mps: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+def follow(opens: np.ndarray, t: np.ndarray, lon: np.ndarray, lat: np.ndarray, last: Last, max_mps: float, sure: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """(taken, fast, step, walked) of fixes in order; ``opens`` marks a day's first, ``last`` is carried in and out, its total aside.
 
     t is in microseconds.  A stretch in which each new place is slow enough from the one before is accepted as a whole;
     from a fix that isn't, fixes are walked one by one (``walked`` of them) until the last accepted one is again the
-    first at its place.
+    first at its place.  A day's first that is ``sure`` has been accepted before, at 0, 0 too.
     """
     n = len(t)
+    sure = np.zeros(n, bool) if sure is None else sure
     taken, fast, step, walked = np.zeros(n, bool), np.zeros(n, bool), np.zeros(n), 0
     if not n:
         return taken, fast, step, walked
@@ -50,7 +51,7 @@ def follow(opens: np.ndarray, t: np.ndarray, lon: np.ndarray, lat: np.ndarray, l
     since = np.diff(t[at], prepend=t[at[0]]) / 1e6
     day = opens[at]
     away[day] = 0.0
-    stops = np.where(day, (lon[at] == 0) & (lat[at] == 0), away > max_mps * since)
+    stops = np.where(day, (lon[at] == 0) & (lat[at] == 0) & ~sure[at], away > max_mps * since)
     stops[0] |= not day[0]  # what was before the first is only known to ``last``
     stops = np.append(np.flatnonzero(stops), len(at))
     k = 0
@@ -68,7 +69,7 @@ def follow(opens: np.ndarray, t: np.ndarray, lon: np.ndarray, lat: np.ndarray, l
             if opens[i]:
                 last.moved, last.lon, last.lat = False, 0.0, 0.0
             x, y, now = float(lon[i]), float(lat[i]), int(t[i])
-            if x == last.lon and y == last.lat:
+            if x == last.lon and y == last.lat and not (opens[i] and sure[i]):
                 i += 1
                 continue
             far = metres(last.lon, last.lat, x, y) if last.moved else 0.0

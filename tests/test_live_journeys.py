@@ -108,3 +108,27 @@ def test_sink_opens_touched_dates_only(spark, tmp_path, monkeypatch):
     build = lambda source: live.stream_sink(live.stream_journeys(source), f"{home}/out", f"{home}/check")
     arrived(spark, home, [[fix(1, d, t + d * DAY) for d in range(4)], [fix(1, 7, t + 3 * DAY + 14_400)], [fix(2, 9, t + 9 * DAY)]], build)
     assert all(len(o) <= 1 for o in opened) and {"1970-01-14"} in opened
+
+
+def test_calls_dont_grow_with_users(spark, tmp_path, monkeypatch):
+    """Users are dealt into groups: a day goes on over batches for each, at 0, 0 and in any group, with as many states as groups."""
+    home, t, states = str(tmp_path), 10 * DAY, []
+    monkeypatch.setattr(live, "GROUPS", 4)
+    place = lambda u, k: (0.0, 0.0) if u % 3 == 0 and k in (0, 2) else (0.0001 * k + (60.0 if k == 3 and u % 5 == 0 else 0.0), 0.0)
+    batches = [[fix(u, k, t + k * 4000 + u, *place(u, k)) for u in range(40)] for k in range(6)] + [[fix(99, 99, t + 9 * DAY)]]
+    box = (-180.0, 180.0, -90.0, 90.0)
+
+    def build(source):
+        return live.stream_journeys(source, box=box).writeStream.format("parquet").option("checkpointLocation", f"{home}/check").option("path", f"{home}/out").trigger(availableNow=True)
+
+    for rows in batches:
+        spark.createDataFrame(rows, FIX).withColumn("ts", F.timestamp_seconds("s")).coalesce(1).write.mode("append").parquet(f"{home}/in")
+        query = live.start(build(live.fix_stream(spark, f"{home}/in", FIX + ", ts timestamp", max_files=100)), spark)
+        query.awaitTermination()
+        states += [s["numRowsTotal"] for p in query.recentProgress for s in p["stateOperators"]]
+    assert 0 < max(states) <= 4
+    rows = spark.createDataFrame([f for b in batches[:-1] for f in b], FIX).withColumn("ts", F.timestamp_seconds("s"))
+    got = spark.read.parquet(f"{home}/out")
+    want = fx.clean_path(rows, box=box).select("user_id", "event_id", F.round("way", 3).alias("way"), F.col("journey_time_id").alias("time_id"))
+    assert sorted(map(tuple, got.filter("kind = 'path'").select("user_id", "event_id", F.round("distance", 3), "time_id").collect())) == sorted(map(tuple, want.collect()))
+    assert got.filter("kind = 'journey'").count() == 40
