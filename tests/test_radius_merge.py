@@ -83,3 +83,20 @@ def test_files_are_listed_by_tasks(spark, tmp_path):
     since = read_tile_inventory(spark, str(tmp_path), "height", False, "dem", since=later - timedelta(minutes=1))
     assert [(r.level, r.x, r.y, r.bytes) for r in since.collect()] == [(1, 99, 1, 4)]
     assert list_files(spark, str(tmp_path / "0" / "empty")).count() == 0
+
+
+def test_chains_over_small_tiles_go_on_in_rounds_with_few_rows(spark, monkeypatch):
+    """Dense places, tiles of 16 radii: what waits goes on over edges; the pairs of near places are never rows."""
+    dealt = []
+    monkeypatch.setattr(graph, "TILE", 16)
+    monkeypatch.setattr(graph, "_dealt", lambda rows, radius, f=graph._dealt: dealt.append(f(rows, radius).count()) or f(rows, radius))
+    rng = np.random.default_rng(3)
+    rows = [(f, k, float(x), float(y)) for f in range(8) for k, (x, y) in enumerate((rng.random((100, 2)) * [12, 1.5] - 3).round(2).tolist())]
+    rows += [(20, k, -0.25, -2.5) for k in range(500)] + [(21, 0, -0.0, 0.0), (21, 1, 0.0, -0.0)]
+    leaders, of = elected(rows, 0.5)
+    df = spark.createDataFrame([*rows, (22, 0, None, 1.0)], "file long, line long, x double, y double")
+    vertices, members = graph.merge_by_radius(df.repartition(5))
+    assert {(r.id.x, r.id.y): r.acc_cnt for r in vertices.collect()} == dict(Counter(of[r[2:]] for r in rows))
+    assert {(r.file, r.line): (r.id.x, r.id.y) for r in members.collect()} == {r[:2]: of[r[2:]] for r in rows}
+    pairs = sum((p[2] - q[2]) ** 2 + (p[3] - q[3]) ** 2 <= 0.25 for p in rows for q in rows if p[2:] > q[2:])
+    assert len(dealt) > 2 and max(dealt) < 2 * len(rows) < pairs / 5
