@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from geotrail.functions.geo import col
 
@@ -64,17 +67,22 @@ def _towards_zero(c: Column, n: int) -> Column:
     return F.when(c < 0, -F.floor(-c / n)).otherwise(F.floor(c / n)).cast("long")
 
 
-def nmea_checksum(body) -> Column:
-    """XOR of a sentence's bytes, as an int: seven bytes at a time as one number, whose bytes are folded at the end."""
-    digits = F.hex(F.encode(col(body), "UTF-8"))
-    whole = F.rpad(digits, F.ceil(F.length(digits) / 14).cast("int") * 14, "0")
+@F.arrow_udf(IntegerType())
+def _xor(body: pa.Array) -> pa.Array:
+    """XOR of each text's bytes, over a batch's bytes at once; null for null."""
+    raw = body.cast(pa.large_binary())
+    begin = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
+    data = np.frombuffer(raw.buffers()[2] or b"", np.uint8)[begin[0] : begin[-1]]
+    full = np.flatnonzero(np.diff(begin))
+    out = np.zeros(len(raw), np.int32)
+    if len(full):
+        out[full] = np.bitwise_xor.reduceat(data, begin[full] - begin[0])
+    return pa.array(out, mask=raw.is_null().to_numpy(zero_copy_only=False))
 
-    def folded(seven: Column) -> Column:
-        for bits in (32, 16, 8):
-            seven = seven.bitwiseXOR(F.shiftright(seven, bits))
-        return seven.bitwiseAND(F.lit(255)).cast("int")
 
-    return F.aggregate(F.regexp_extract_all(whole, F.lit(".{14}"), F.lit(0)), F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.conv(x, 16, 10).cast("long")), folded)
+def nmea_checksum(body) -> Column:
+    """XOR of a sentence's bytes in UTF-8, as an int."""
+    return _xor(col(body))
 
 
 def nmea_parts(raw) -> Column:

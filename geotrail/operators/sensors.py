@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from geotrail.functions.plan import fixed
 from geotrail.functions.sensors import nmea_checksum, nmea_degrees, nmea_parts, nmea_time, obd_numbers, obd_reading
+from geotrail.sources.scratch import written
 
 #: Metres a second of a knot.
 KNOT = 1852.0 / 3600.0
@@ -73,6 +74,7 @@ def rmc_with_altitude(told: DataFrame, keys: tuple = (), chunk: int = CHUNK) ->
 
     A long log is cut into chunks of ``chunk`` lines, each ordered in a task of its own; a chunk's first and last RMC
     sentences, one row a chunk, are carried to its neighbours.  Which kind comes first is counted inside chunks, over the log.
+    The sentences with their neighbours are written once below the session's shared folder, as both read them, so that work starts when called.
     """
     log = [*keys] if keys else ["__file"]
     part = [*keys, "__file", "__chunk"]
@@ -80,7 +82,7 @@ def rmc_with_altitude(told: DataFrame, keys: tuple = (), chunk: int = CHUNK) ->
     names = ", ".join(f"`{c}`" for c in part)
     beside = lambda f: F.expr(f"{f}(__rmc, 1) ignore nulls over (partition by {names} order by __line)")
     talks = Window.partitionBy(*part, "rmc", "talker").orderBy("__line")
-    near = timed.select("*", beside("lead").alias("next"), beside("lag").alias("last"), F.lead("__line").over(talks).alias("__after"), F.lag("__line").over(talks).alias("__before"))
+    near = written(timed.select("*", beside("lead").alias("next"), beside("lag").alias("last"), F.lead("__line").over(talks).alias("__after"), F.lag("__line").over(talks).alias("__before")))
     gga, same = ~F.col("rmc"), lambda c: F.coalesce(F.col(f"{c}.utc") == F.col("utc"), F.lit(False))
 
     # one row a chunk: its ends, the talkers that tell altitudes outside its RMC sentences, and which kind comes first

@@ -90,3 +90,17 @@ def test_read_nmea_orders_lines_over_splits(spark, tmp_path):
         assert sorted(map(tuple, got)) == [(k, float(k)) for k in range(400)]
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_checksums_are_of_bytes_and_lines_are_taken_apart_once(spark):
+    from functools import reduce
+
+    from geotrail.functions.sensors import nmea_checksum
+
+    texts = ["GPRMC,1", "", None, "ünï,☃", "a" * 2000, "GPGGA,é"]
+    told = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").repartition(2).filter("k <> 4").withColumn("c", nmea_checksum("t"))
+    assert {r.k: r.c for r in told.collect()} == {k: None if t is None else reduce(lambda a, b: a ^ b, t.encode(), 0) for k, t in enumerate(texts) if k != 4}
+    body = lambda t: f"${t}*{reduce(lambda a, b: a ^ b, t.encode(), 0):02X}"
+    lines = [(1, k, body(f"GPRMC,09{k:02d}23,A,3721.9993,N,12823.6026,E,0.5,272.0,080619,6.0,W,A")) for k in range(5)]
+    fixes = sn.decode_nmea(spark.createDataFrame(lines, "device long, line long, raw string"), ("device",))
+    assert "regexp" not in fixes._jdf.queryExecution().analyzed().toString() and fixes.count() == 5
