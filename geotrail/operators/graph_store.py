@@ -8,7 +8,7 @@ cell and the histories; it is written last, so readers see files added as a whol
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from geotrail.functions.geo import UNIT_LEVEL
@@ -19,8 +19,11 @@ from geotrail.sources.commits import CommitLog
 
 #: Level of the coarse cells: there are 4 ** LEVEL at most, and their names pass through the driver.
 LEVEL = 10
+#: Files of a cell: tasks write some cells' files instead of one in each cell, so that files don't grow as tasks times cells do.
+FILES = 16
 _VERTEX = "gx long, gy long, sx double, sy double, n long"
 _EDGE = "a_x long, a_y long, b_x long, b_y long, n long"
+_CHANGE = "kind string, a_x long, a_y long, b_x long, b_y long, sx double, sy double, n long, cell string"
 _KEYS = {"vertices": ["gx", "gy"], "edges": ["a_x", "a_y", "b_x", "b_y"]}
 
 
@@ -39,45 +42,61 @@ class GraphStore:
         """history(file, is_complete, line, place) of all files that have been added."""
         paths = [self.folder(part, version) for part, version in self.log.read().items() if part.startswith("history/")]
         if not paths:
-            return self.spark.createDataFrame([], "file string, is_complete boolean, line int, place int")
+            return self.spark.range(0).select(F.lit("").alias("file"), F.lit(True).alias("is_complete"), F.lit(0).alias("line"), F.lit(0).alias("place"))
         return text.parse_history_lines(self.spark.read.text(paths).withColumn("place", F.lit(0)), "place")
 
     def add(self, tracks: DataFrame) -> int:
         """Adds the files of ``tracks`` (file, line, x, y) that haven't been added; a file must come whole.  The number of files added."""
         tracks = tracks.withColumn("file", F.col("file").cast("string"))
         files = pending_files(tracks.select("file").distinct(), self.history()).persist()
+        live, number = self.log.read(), (self.log.last() or 0) + 1
+        aside = f"{self.home}/_changes/{number}"
         try:
             count = files.count()
             if not count:
                 return 0
-            live, number = self.log.read(), (self.log.last() or 0) + 1
-            new = tracks.join(files, "file", "left_semi")
-            coarse = lambda x, y: F.concat_ws("_", *(F.floor(F.col(c) * self.cell / (1 << (UNIT_LEVEL - LEVEL))).cast("string") for c in (x, y)))
-            grid = [F.floor(F.col(c) / self.cell).alias(n) for c, n in (("x", "gx"), ("y", "gy"))]
-            sums = new.select(*grid, "x", "y").groupBy("gx", "gy").agg(F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.count("*").alias("n"))
-            steps = graph.merge_edges(new, self.cell).select(F.col("a.gx").alias("a_x"), F.col("a.gy").alias("a_y"), F.col("b.gx").alias("b_x"), F.col("b.gy").alias("b_y"), F.col("cnt").alias("n"))
-            for kind, rows, at in (("vertices", sums, ("gx", "gy")), ("edges", steps, ("a_x", "a_y"))):
-                live |= self._grow(kind, rows.withColumn("cell", coarse(*at)), live, number)
+            self._changes(tracks.join(files, "file", "left_semi")).write.mode("overwrite").parquet(aside)
+            rows = self.spark.read.schema(_CHANGE).parquet(aside)
+            touched = {kind: [] for kind in _KEYS}
+            for r in rows.select("kind", "cell").distinct().collect():  # coarse cells
+                touched[r.kind].append(f"{r.kind}/{r.cell}")
+            for kind, parts in touched.items():
+                live |= self._grow(kind, rows.filter(F.col("kind") == kind), parts, live, number)
             text.write_history(files.select("file", F.lit(True).alias("is_complete"), F.lit(0).alias("line")), self.folder(f"history/{number}", number))
             self.log.write(number, live | {f"history/{number}": number})
             self.log.drop(self.folder)
             return count
         finally:
             files.unpersist()
+            self.log.files.delete(self.log.path(aside), True)
 
-    def _grow(self, kind: str, rows: DataFrame, live: dict[str, int], number: int) -> dict[str, int]:
-        """Adds sums to those of the cells that they touch, as version ``number``; the new versions by part."""
-        rows = rows.persist()
-        try:
-            touched = [f"{kind}/{r.cell}" for r in rows.select("cell").distinct().collect()]  # coarse cells
-            old = self._read(kind, {part: live[part] for part in touched if part in live}, with_cell=True)
-            both = rows if old is None else rows.unionByName(old)
-            sums = [F.sum(c).alias(c) for c in both.columns if c not in (*_KEYS[kind], "cell")]
-            told = both.groupBy("cell", *_KEYS[kind]).agg(*sums).withColumn("version", F.lit(number))
-            told.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("cell", "version").parquet(f"{self.home}/{kind}")
-            return dict.fromkeys(touched, number)
-        finally:
-            rows.unpersist()
+    def _changes(self, tracks: DataFrame) -> DataFrame:
+        """What tracks add: the sums of ``graph.merge_points`` and the counts of ``graph.merge_edges``, from one pass over them."""
+        at = [F.floor(F.col(c) / self.cell).alias(n) for c, n in (("x", "gx"), ("y", "gy"))]
+        here = tracks.select("file", "line", "x", "y", F.struct(*at).alias("here")).withColumn("last", F.lag("here").over(Window.partitionBy("file").orderBy("line")))
+        none = lambda c: F.when(F.lit(False), F.col(c))
+        row = lambda kind, *rest: F.struct(F.lit(kind).alias("kind"), *(c.alias(n) for c, n in zip(rest, ("a", "b", "x", "y"), strict=True)))
+        point, step = row("vertices", F.col("here"), none("here"), F.col("x"), F.col("y")), row("edges", F.least("last", "here"), F.greatest("last", "here"), none("x"), none("y"))
+        both = here.select(F.explode(F.array(point, F.when(F.col("last").isNotNull() & (F.col("last") != F.col("here")), step))).alias("r")).filter("r is not null")
+        rows = both.select("r.kind", F.col("r.a.gx").alias("a_x"), F.col("r.a.gy").alias("a_y"), F.col("r.b.gx").alias("b_x"), F.col("r.b.gy").alias("b_y"), "r.x", "r.y")
+        sums = rows.groupBy("kind", "a_x", "a_y", "b_x", "b_y").agg(F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.count("*").alias("n"))
+        coarse = F.concat_ws("_", *(F.floor(F.col(c) * self.cell / (1 << (UNIT_LEVEL - LEVEL))).cast("string") for c in ("a_x", "a_y")))
+        return sums.withColumn("cell", coarse)
+
+    def _grow(self, kind: str, rows: DataFrame, touched: list[str], live: dict[str, int], number: int) -> dict[str, int]:
+        """Adds rows of ``_changes`` to the sums of the cells that they touch, as version ``number``; the new versions by part."""
+        if not touched:
+            return {}
+        keys = _KEYS[kind]
+        new = rows.withColumnsRenamed({"a_x": "gx", "a_y": "gy"}) if kind == "vertices" else rows
+        old = self._read(kind, {part: live[part] for part in touched if part in live}, with_cell=True)
+        told = [c for c in ("sx", "sy", "n") if kind == "vertices" or c == "n"]
+        both = new.select("cell", *keys, *told)
+        both = both if old is None else both.unionByName(old)
+        dealt = both.withColumn("deal", F.pmod(F.xxhash64(*keys), F.lit(FILES))).repartition("cell", "deal")
+        sums = dealt.groupBy("cell", "deal", *keys).agg(*(F.sum(c).alias(c) for c in told)).drop("deal").withColumn("version", F.lit(number))
+        sums.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("cell", "version").parquet(f"{self.home}/{kind}")
+        return dict.fromkeys(touched, number)
 
     def _read(self, kind: str, parts: dict[str, int], with_cell: bool = False) -> DataFrame | None:
         if not parts:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from geotrail.operators import graph
+from geotrail.operators import graph, graph_store
 from geotrail.operators.graph_store import GraphStore
 
 
@@ -61,3 +61,22 @@ def test_what_isnt_committed_isnt_seen(spark, tmp_path, monkeypatch):
     again = GraphStore(spark, str(tmp_path))
     assert told(*again.graph()) == before and again.add(tracks(spark, [1, 2, 3])) == 2
     assert told(*again.graph()) == told(*graph.build_road_graph(tracks(spark, range(4))))
+
+
+def test_files_dont_grow_with_tasks(spark, tmp_path, monkeypatch):
+    """A cell has ``FILES`` files at most, however many tasks write."""
+    monkeypatch.setattr(graph_store, "FILES", 2)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    for k, v in zip(before, ("16", "false"), strict=True):
+        spark.conf.set(k, v)
+    try:
+        store, far = GraphStore(spark, str(tmp_path)), tracks(spark, [0, 1, 2, 3]).withColumn("x", F.col("x") + 40_000.0)
+        store.add(tracks(spark, [4, 5, 6]).unionByName(far))
+        store.add(tracks(spark, [7, 8]))
+        found = {k: len([name for name, _ in files if name.endswith(".parquet")]) for k, files in folders(tmp_path).items()}
+        assert len(found) > 4 and max(found.values()) <= 2
+        assert not list(tmp_path.glob("_changes/*"))
+        assert told(*store.graph()) == told(*graph.build_road_graph(tracks(spark, range(4, 9)).unionByName(far)))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
