@@ -132,3 +132,18 @@ def test_calls_dont_grow_with_users(spark, tmp_path, monkeypatch):
     want = fx.clean_path(rows, box=box).select("user_id", "event_id", F.round("way", 3).alias("way"), F.col("journey_time_id").alias("time_id"))
     assert sorted(map(tuple, got.filter("kind = 'path'").select("user_id", "event_id", F.round("distance", 3), "time_id").collect())) == sorted(map(tuple, want.collect()))
     assert got.filter("kind = 'journey'").count() == 40
+
+
+def test_sink_files_dont_grow_with_tasks(spark, tmp_path, monkeypatch):
+    """A date's version has ``FILES`` files at most, however many tasks write."""
+    monkeypatch.setattr(live, "FILES", 2)
+    home, t, before = str(tmp_path), 10 * DAY, spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    try:
+        build = lambda source: live.stream_sink(live.stream_journeys(source), f"{home}/out", f"{home}/check")
+        arrived(spark, home, [[fix(u, d * 100 + u, t + d * DAY + u) for u in range(40) for d in range(3)], [fix(99, 999, t + 9 * DAY)]], build)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    found = [len(list(v.glob("*.parquet"))) for v in (tmp_path / "out/journeys").glob("date=*/version=*")]
+    assert len(found) == 3 and max(found) <= 2
+    assert live.read_journeys(spark, f"{home}/out").count() == 120
